@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linkgraph, mixing, quality, warc
+from . import decontam, htmltext, linkgraph, mixing, pii, quality, simhash, suffixes, toxicity, warc
 from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,28 @@ def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicate_classes(table(spark, sf_dir, "documents"), radius=3, shingle=3)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linkgraph.judge_urls(table(spark, sf_dir, "pages"), linkgraph.RULES)
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -41,8 +63,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that it holds."""
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_mix_sources, op2_warc_salvage, op8_url_verdicts, op9_quality_rules)
+    found = (op1_mix_sources, op2_warc_salvage, op3_pii_spans, op4_main_text, op5_suffix_dedup, op6_simhash_classes, op7_toxicity, op8_url_verdicts, op9_quality_rules, op10_decontaminate)
     return {f.__name__: f for f in found}
 
 
