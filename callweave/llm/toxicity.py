@@ -16,12 +16,13 @@ held out; repeated rows score alike; without labelled rows of both kinds all sco
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ BITS = 18
 SAMPLE_ROWS = 40_000
 SHARDS, ROUNDS = 4, 4
 #: FTRL: learning rate, smoothing of the rate, L1 and L2.
-RATE, SMOOTH, L1, L2 = 0.15, 1.0, 1.5, 0.01
+RATE, SMOOTH, L1, L2 = 0.15, 1.0, 1.0, 0.01
 THRESHOLD = 0.3
 STEMS = (4, 5)
 
@@ -91,6 +92,21 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _learner(shared: Broadcast, turn: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """One pass over a shard's rows, from the shared state, in an order that the turn seeds."""
+
+    def learn(group: pd.DataFrame) -> pd.DataFrame:
+        z, n = (x.copy() for x in shared.value)
+        rows = group.sort_values("key")
+        order = np.random.default_rng(turn).permutation(len(rows))
+        places, marks = rows["places"].to_numpy(), rows["label"].to_numpy()
+        ftrl_pass(z, n, [(places[i], int(marks[i])) for i in order])
+        used = np.flatnonzero(n)
+        return pd.DataFrame({"place": used, "z": z[used], "n": n[used]})
+
+    return learn
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     """The model from labelled rows that are not held out."""
     rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
@@ -114,18 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     state = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for turn in range(ROUNDS):
         shared = docs.sparkSession.sparkContext.broadcast(state)
-
-        def learn(group: pd.DataFrame, shared=shared, turn=turn) -> pd.DataFrame:
-            z, n = (x.copy() for x in shared.value)
-            rows = group.sort_values("key")
-            order = np.random.default_rng(turn).permutation(len(rows))
-            places, marks = rows["places"].to_numpy(), rows["label"].to_numpy()
-            ftrl_pass(z, n, [(places[i], int(marks[i])) for i in order])
-            used = np.flatnonzero(n)
-            return pd.DataFrame({"place": used, "z": z[used], "n": n[used]})
-
         # the mean over shards; a place that a shard has not seen counts as zero there
-        shards = encoded.groupBy("shard").applyInPandas(learn, "place long, z double, n double")
+        shards = encoded.groupBy("shard").applyInPandas(_learner(shared, turn), "place long, z double, n double")
         mean = shards.groupBy("place").agg((F.sum("z") / SHARDS).alias("z"), (F.sum("n") / SHARDS).alias("n")).toPandas()
         z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
         z[mean["place"]], n[mean["place"]] = mean["z"], mean["n"]
