@@ -124,13 +124,29 @@ def safe_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str = "lang", key
     return safe.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", key: str = "doc_id") -> DataFrame:
-    """docs' key columns with the statistics, the verdict `kept` and the cutoffs used; the text itself is not returned."""
+def _verdicts(docs: DataFrame, labels: DataFrame, text: str, stratum: str, key: str) -> tuple[DataFrame, DataFrame]:
     slim = docs.select(F.col(key).alias("doc_id"), F.col(stratum).alias("lang"), F.col(text).alias("text"))
     stats = cut(_rule_values(text_stats(slim).drop("text").withColumn("base_failed", base_failed())))
-    cuts = safe_cutoffs(stats, labels.select(F.col("doc_id"), F.col("quality")))
-    joined = stats.join(cuts, stats["lang"].eqNullSafe(cuts["stratum"]), "left").drop("stratum")
+    return stats, cut(safe_cutoffs(stats, labels.select(F.col(key).alias("doc_id"), F.col("quality"))))
+
+
+def _kept() -> Column:
     rejected = F.lit(False)
     for r in RULES:
         rejected = rejected | F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~rejected)
+    return ~F.col("base_failed") & ~rejected
+
+
+def judge_quality(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", key: str = "doc_id") -> DataFrame:
+    """(doc_id, lang), the statistics, the cutoffs used and the verdict `kept`; the text itself is not returned."""
+    stats, cuts = _verdicts(docs, labels, text, stratum, key)
+    return stats.join(cuts, stats["lang"].eqNullSafe(cuts["stratum"]), "left").drop("stratum").withColumn("kept", _kept())
+
+
+def accepted(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", key: str = "doc_id") -> DataFrame:
+    """The documents that are kept. Only the cutoffs, a row per stratum, are joined: no text is shuffled."""
+    _, cuts = _verdicts(docs, labels, text, stratum, key)
+    packed = docs.select(F.col(text).alias("text"), F.col(stratum).alias("lang"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    stats = _rule_values(text_stats(packed).withColumn("base_failed", base_failed()))
+    judged = stats.join(cuts, stats["lang"].eqNullSafe(cuts["stratum"]), "left").where(_kept())
+    return judged.select("row.*")
