@@ -56,14 +56,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """A column name that clashes with none of df's, compared as Spark does, without case."""
-    have = {c.lower() for c in df.columns}
-    while wanted.lower() in have:
-        wanted = f"_{wanted}"
-    return wanted
-
-
 def word_count(text: Column) -> Column:
     """Number of maximal runs of non-space characters; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(f"{WORD_CLASS}+")), F.lit(0)).cast("long")

@@ -21,7 +21,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stored
 
 
 class Rule(NamedTuple):
@@ -95,7 +95,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, url: str = "url"
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = personalised_rank(back, _seeds(urls, "block"))
     mass = trust.select("host", F.col("mass").alias("trust"), F.lit(0.0).alias("distrust")).unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("mass").alias("distrust")))
-    hosts = cut(mass.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
+    hosts = stored(mass.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "hosts")
     joined = urls.join(hosts, "host", "left")
     bad = (F.coalesce(F.col("distrust"), F.lit(0.0)) > ratio * F.coalesce(F.col("trust"), F.lit(0.0))) & (F.col("distrust") > least)
     method = F.when(F.coalesce(bad, F.lit(False)), "block").otherwise("allow")

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, word_count
+from .common import cut, stored, word_count
 
 SEED = 20240607
 #: Rows per histogram bucket aimed at, and the most buckets of one source.
@@ -100,7 +100,7 @@ def with_repetitions(docs: DataFrame, plan: DataFrame, key: str = "doc_id", sour
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of every document."""
     slim = cut(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
-    plan = cut(repetition_plan(slim, weights, share, max_epochs, seed))
+    plan = stored(repetition_plan(slim, weights, share, max_epochs, seed), "mix")  # a file of known size: a broadcast below the threshold, a join beyond it
     out = with_repetitions(slim, plan, "key", "source", seed)
     return out.select(F.col("key").alias(key), F.col("source"), "size", F.col("__size").alias("source_size"), F.col("__target").alias("target"), "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
@@ -108,8 +108,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 def mixed_rows(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED) -> DataFrame:
     """The documents themselves, each as often as the mix takes it."""
     slim = cut(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
-    plan = cut(repetition_plan(slim, weights, share, max_epochs, seed))
-    copies = free_name(docs, "copies")
-    counted = with_repetitions(docs, plan, key, source, seed, copies).where(F.col(copies) > 0)
-    repeat = free_name(docs, "repeat")
-    return counted.withColumn(repeat, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plan = stored(repetition_plan(slim, weights, share, max_epochs, seed), "mix")
+    packed = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    counted = with_repetitions(packed, plan, "key", "source", seed).where("copies > 0")
+    return counted.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, stored
+from .common import cut, stored
 from .components import connected_components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -48,15 +48,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, mark, fp): a hash of the text, and the fingerprint as a signed long."""
     kind = dict(docs.dtypes)[key]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column("text")), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "fp": pa.array(found.view(np.int64))})
+            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "mark": batch.column("mark"), "fp": pa.array(found.view(np.int64))})
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(scan, f"key {kind}, fp long").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text")).mapInArrow(scan, f"key {kind}, mark long, fp long").withColumnRenamed("key", key)
 
 
 # ---------------------------------------------------------------- vantage-point trees
@@ -167,21 +167,33 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return distinct.mapInPandas(deal, "leaf long, fp long").groupBy("leaf").applyInPandas(link, "a long, b long")
 
 
+def _classes(docs: DataFrame, key: str, text: str, radius: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(id, mark, fp) of the documents, and (fp, root) of the distinct fingerprints."""
+    marked = stored(fingerprints(docs, key, text, shingle).withColumnRenamed(key, "id"), "fingerprints")
+    distinct = cut(marked.select("fp").distinct())
+    roots = connected_components(fingerprint_links(distinct, radius))
+    # fingerprints without a link are their own root
+    return marked, cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): the smallest id reachable over links, the document's own included."""
-    marked = stored(fingerprints(docs, key, text, shingle), "fingerprints")
-    firsts = cut(marked.groupBy("fp").agg(F.min(key).alias("first")))
-    roots = connected_components(fingerprint_links(firsts.select("fp"), radius))
-    # all fingerprints with their root, themselves where they have no link
-    rooted = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    marked, rooted = _classes(docs, key, text, radius, shingle)
+    # smallest ids per fingerprint, with map-side minima, then per class; a hot fingerprint is one row by then
+    firsts = marked.groupBy("fp").agg(F.min("id").alias("first"))
+    least = firsts.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select(key, "fp", "component_id")
+    return marked.join(classes, "fp").select(F.col("id").alias(key), "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """The documents with the smallest id of their class, one row each."""
-    classes = near_duplicate_classes(docs, key, text, radius, shingle)
-    keep = classes.where(F.col(key) == F.col("component_id")).select(F.col(key)).distinct()
-    kept = docs.join(keep.repartition(shuffle_partitions(docs.sparkSession), key), key, "left_semi")
-    return kept.dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each class: that with the smallest id, ids before nulls, then the smallest text hash."""
+    marked, rooted = _classes(docs, key, text, radius, shingle)
+    order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("mark").alias("mark"))
+    firsts = marked.groupBy("fp").agg(F.min(order).alias("first"))
+    keep = cut(firsts.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("__id"), F.col("first.mark").alias("__mark")).distinct())
+    packed = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = packed.join(keep, packed["id"].eqNullSafe(F.col("__id")) & (packed["mark"] == F.col("__mark")), "left_semi")
+    # rows that repeat both id and text are told apart only if there are any
+    repeated = not marked.groupBy("id", "mark").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return (kept.dropDuplicates(["id", "mark"]) if repeated else kept).select("row.*")
