@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 _ANCHOR = re.compile(r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))[^>]*>(.*?)</a\s*>""")
 #: Titles of links that lead to no call.
-JUNK = frozenset("home about contact login register search next previous more read read more skip to content menu".split())
+JUNK = frozenset(("home", "about", "contact", "login", "register", "search", "next", "previous", "more", "read more", "skip to content", "menu"))
 
 
 def anchors_of(base: str, page: str) -> Iterator[tuple[str, str]]:
