@@ -92,3 +92,54 @@ def softmax(logits: Column) -> Column:
     powers = F.transform(logits, lambda x: F.exp(x - top))
     total = F.aggregate(powers, F.lit(0.0), lambda s, x: s + x)
     return F.transform(powers, lambda x: x / total)
+
+
+def decision_tree(must: Sequence[Column], prefer: Sequence[Column]) -> Column:
+    """From counts of met criteria: any missed MUST declines; all MUST and half of the PREFER met proceeds; else park."""
+    count = lambda cs, v: F.size(F.filter(F.array(*cs), lambda x: x == v))
+    met = (count(must, 1.0) == len(must)) & (2 * count(prefer, 1.0) >= len(prefer))
+    return F.when(count(must, 0.0) > 0, "Decline").when(met, "Proceed").otherwise("Park")
+
+
+def band(level: Column) -> Column:
+    """Priorities 0 to 5 in three bands: 0-1, 2-3, 4-5."""
+    return F.when(level.isNull(), F.lit(None).cast("double")).when(level >= 4, 1.0).when(level >= 2, 0.5).otherwise(0.0)
+
+
+def strategic_fit(ours: Column, theirs: Column) -> Column:
+    """Best theme of the funder: the lower of both bands on it; null without themes. Maps of theme to priority."""
+    fits = F.transform(F.map_entries(theirs), lambda e: F.least(band(F.coalesce(F.try_element_at(ours, e["key"]), F.lit(0))), band(e["value"])))
+    return F.when((F.size(theirs) > 0), F.array_max(fits))
+
+
+def compliance(factors: Sequence[Column]) -> Column:
+    """Not met if any factor is 0, Partial if any is a half, Met if all are 1; none known: Not sure."""
+    active = F.array_compact(F.array(*factors))
+    return F.when(F.size(active) == 0, "Not sure").when(F.exists(active, lambda x: x == 0), "Not met").when(F.exists(active, lambda x: x == 0.5), "Partial").otherwise("Met")
+
+
+def relationship(grantee: Column, contact: Column, known: Column) -> Column:
+    return F.when(F.coalesce(grantee, F.lit(False)), "Current/past grantee").when(F.coalesce(contact, F.lit(False)), "Some contact").when(F.coalesce(known, F.lit(False)), "None")
+
+
+def competitiveness(signals: Sequence[Column]) -> Column:
+    """Signed signals summed: from 1 Strong, to -0.5 Weak, else Moderate; none known: Not sure."""
+    active = F.array_compact(F.array(*signals))
+    total = F.aggregate(active, F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.size(active) == 0, "Not sure").when(total >= 1, "Strong").when(total <= -0.5, "Weak").otherwise("Moderate")
+
+
+def won(scores: Sequence[Column]) -> Column:
+    """(won, total) over active factors; nothing determined counts 1 of 2."""
+    active = F.array_compact(F.array(*scores))
+    return F.when(F.size(active) == 0, F.struct(F.lit(1.0).alias("won"), F.lit(2).alias("total"))).otherwise(F.struct(F.aggregate(active, F.lit(0.0), lambda s, x: s + x).alias("won"), F.size(active).alias("total")))
+
+
+def overlay(base: Column, top: Column) -> Column:
+    """Entries of both maps; the upper one wins."""
+    return F.map_from_entries(F.concat(F.map_entries(top), F.filter(F.map_entries(base), lambda e: ~F.map_contains_key(top, e["key"]))))
+
+
+def stated(call: Column, donor: Column, cleared: str = "not imposed") -> Column:
+    """What the call states wins, "not imposed" clears, a silent call leaves the donor's."""
+    return F.when(F.lower(F.trim(call)) == cleared, F.lit(None).cast("string")).when(F.trim(F.coalesce(call, F.lit(""))) != "", call).otherwise(donor)
