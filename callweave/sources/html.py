@@ -52,7 +52,7 @@ def rss(spark: SparkSession, path: str) -> DataFrame:
     items = spark.read.format("xml").option("rowTag", "item").load(path)
     have = set(items.columns)
     column = lambda c: F.col(c).cast("string") if c in have else F.lit(None).cast("string")
-    return items.select(column("title").alias("title"), column("link").alias("link"), F.to_timestamp(column("pubDate"), "EEE, d MMM yyyy HH:mm:ss Z").alias("published"))
+    return items.select(column("title").alias("title"), column("link").alias("link"), F.try_to_timestamp(F.regexp_replace(column("pubDate"), "^[A-Za-z]{3}, *", ""), F.lit("d MMM yyyy HH:mm:ss Z")).alias("published"))
 
 
 def releases(spark: SparkSession, path: str) -> DataFrame:
