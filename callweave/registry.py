@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from .plans import aggregates, dedup, feeds, filters, gates, incremental, joins, matching, scalars, scoring, streams  # noqa: F401
+    from .plans import aggregates, dedup, feeds, filters, gates, incremental, joins, matching, reports, scalars, scoring, streams  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
