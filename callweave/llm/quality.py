@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, WORD_CLASS, cut
+from .common import SPACE_CLASS, WORD_CLASS, cut, stored
 
 SYMBOLS = "#*$%&|<>"
 #: Candidate cutoffs, in thousandths, of each rule; integers keep every comparison exact.
@@ -127,7 +127,7 @@ def safe_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str = "lang", key
 def _verdicts(docs: DataFrame, labels: DataFrame, text: str, stratum: str, key: str) -> tuple[DataFrame, DataFrame]:
     slim = docs.select(F.col(key).alias("doc_id"), F.col(stratum).alias("lang"), F.col(text).alias("text"))
     stats = cut(_rule_values(text_stats(slim).drop("text").withColumn("base_failed", base_failed())))
-    return stats, cut(safe_cutoffs(stats, labels.select(F.col(key).alias("doc_id"), F.col("quality"))))
+    return stats, stored(safe_cutoffs(stats, labels.select(F.col(key).alias("doc_id"), F.col("quality"))), "cutoffs")  # a file of known size: a broadcast below the threshold, a join beyond it
 
 
 def _kept() -> Column:
@@ -144,9 +144,13 @@ def judge_quality(docs: DataFrame, labels: DataFrame, text: str = "text", stratu
 
 
 def accepted(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", key: str = "doc_id") -> DataFrame:
-    """The documents that are kept. Only the cutoffs, a row per stratum, are joined: no text is shuffled."""
+    """The documents that are kept. Only the cutoffs, a row per stratum, are joined: no text is shuffled.
+
+    The filter stays above the statistics: pushed below them, it would hold each nested expression many times over.
+    A number per row, which the filter reads and which is not deterministic, keeps it there.
+    """
     _, cuts = _verdicts(docs, labels, text, stratum, key)
     packed = docs.select(F.col(text).alias("text"), F.col(stratum).alias("lang"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    stats = _rule_values(text_stats(packed).withColumn("base_failed", base_failed()))
-    judged = stats.join(cuts, stats["lang"].eqNullSafe(cuts["stratum"]), "left").where(_kept())
+    stats = _rule_values(text_stats(packed).withColumn("base_failed", base_failed())).withColumn("number", F.monotonically_increasing_id())
+    judged = stats.join(cuts, stats["lang"].eqNullSafe(cuts["stratum"]), "left").where(_kept() & (F.col("number") >= 0))
     return judged.select("row.*")
