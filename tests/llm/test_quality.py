@@ -29,7 +29,7 @@ def test_sorting_and_scanning_agree(spark, documents, monkeypatch):
 
 def test_binomial_tail_is_exact(spark):
     cases = [(10, 0), (100, 0), (500, 2), (900, 8), (900, 9), (50, 0)]
-    rows = spark.createDataFrame(cases, "n double, k long").select("n", "k", quality.log_binomial_tail(F.col("n"), F.col("k"), 0.01).alias("p")).collect()
+    rows = spark.createDataFrame([(float(n), k) for n, k in cases], "n double, k long").select("n", "k", quality.log_binomial_tail(F.col("n"), F.col("k"), 0.01).alias("p")).collect()
     for r in rows:
         wanted = math.log(brute.binomial_tail(int(r.n), r.k, 0.01)) if r.k < r.n * 0.01 else 0.0
         assert abs(r.p - wanted) < 1e-9
