@@ -9,6 +9,10 @@ so those, and only those, go outside too. Every pair thus meets in some shard, a
 by fingerprints that bounds rule out. Within a shard the tree goes on until blocks are small, and blocks are
 compared with popcounts. A shard returns a star per local group, not pairs; groups are joined in Spark.
 
+One fingerprint of 64 bits parts near copies by chance: a changed word in 150 moves four bits on average. So
+several tables can be asked for, whose fingerprints come from the same shingle hashes, mixed anew for each; a pair
+within the radius in any table is linked. The precision of a link stays, and few near copies are missed.
+
 Edge cases: null and empty texts have fingerprint 0 and link like any other; repeated rows share a fingerprint;
 an empty table gives an empty result. Ties go to the smallest id; null ids are ignored as representatives.
 """
@@ -25,38 +29,53 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, mix, stored
 from .components import connected_components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
+#: Tables for removing near copies, and what is mixed into the hashes of each.
+TABLES = 6
+SALTS = mix(np.arange(1, 65, dtype=np.uint64))
 SAMPLE, SHARD_ROWS, DEEPEST, BLOCK = 16_384, 8_000, 12, 1_024
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def fingerprints_of(text: str | None, shingle: int = SHINGLE, tables: int = 1) -> np.ndarray:
+    """The text's fingerprint in each table; the first is that of the plain hashes."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(tables, np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(joined, SEED)
-    lengths = [len(w) for w in words]
-    ends = list(accumulate(n + 1 for n in lengths))
-    hashes = np.array([digest(joined[end - n - 1 : last - 1], SEED) for end, n, last in zip(ends, lengths, ends[shingle - 1 :], strict=False)], np.uint64)
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int(np.packbits(bits.sum(axis=0, dtype=np.int32) * 2 > len(hashes), bitorder="little").view("<u8")[0])
+        hashes = np.array([digest(joined, SEED)], np.uint64)
+    else:
+        lengths = [len(w) for w in words]
+        ends = list(accumulate(n + 1 for n in lengths))
+        hashes = np.array([digest(joined[end - n - 1 : last - 1], SEED) for end, n, last in zip(ends, lengths, ends[shingle - 1 :], strict=False)], np.uint64)
+    out = np.empty(tables, np.uint64)
+    for t in range(tables):
+        bits = np.unpackbits((mix(hashes ^ SALTS[t]) if t else hashes).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out[t] = np.packbits(bits.sum(axis=0, dtype=np.int32) * 2 > len(hashes), bitorder="little").view("<u8")[0]
+    return out
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return int(fingerprints_of(text, shingle)[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, mark, fp): a hash of the text, and the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, tables: int = 1) -> DataFrame:
+    """(doc_id, mark, fp, others): a hash of the text, the fingerprint as a signed long, and those of further tables."""
     kind = dict(docs.dtypes)[key]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column("text")), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "mark": batch.column("mark"), "fp": pa.array(found.view(np.int64))})
+            found = np.empty((batch.num_rows, tables), np.uint64)
+            for i, t in enumerate(batch.column("text")):
+                found[i] = fingerprints_of(t.as_py(), shingle, tables)
+            others = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (tables - 1)), pa.array(found[:, 1:].ravel().view(np.int64)))
+            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "mark": batch.column("mark"), "fp": pa.array(found[:, 0].copy().view(np.int64)), "others": others})
 
-    return docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text")).mapInArrow(scan, f"key {kind}, mark long, fp long").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text")).mapInArrow(scan, f"key {kind}, mark long, fp long, others array<long>").withColumnRenamed("key", key)
 
 
 # ---------------------------------------------------------------- vantage-point trees
@@ -143,42 +162,57 @@ def local_stars(fps: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndar
     yield from local_stars(outer, radius)
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """distinct: (fp). Rows (a, b) whose connected components are those of all pairs within `radius`."""
-    n = distinct.count()
-    depth = min(DEEPEST, max(0, int(np.ceil(np.log2(max(n, 1) / SHARD_ROWS)))) + 2) if n > SHARD_ROWS else 0
-    share = min(1.0, SAMPLE / max(n, 1))
-    picked = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) <= int(share * (1 << 20))).limit(2 * SAMPLE) if depth else None
-    sample = np.array(sorted(r.fp for r in picked.collect()), np.int64).view(np.uint64) if depth else np.zeros(0, np.uint64)
-    tree = grow(sample[np.argsort(sample * np.uint64(0x9E3779B97F4A7C15))], depth, radius) if depth else None
+def fingerprint_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """nodes: (t, fp), distinct. Rows (t, a, b) whose connected components are those of all pairs of a table within `radius`."""
+    trees: dict[int, tuple | None] = {}
+    for t, n in nodes.groupBy("t").agg(F.count("*").alias("n")).collect():  # a row a table
+        depth = min(DEEPEST, max(0, int(np.ceil(np.log2(n / SHARD_ROWS)))) + 2) if n > SHARD_ROWS else 0
+        if not depth:
+            trees[t] = None
+            continue
+        share = min(1.0, SAMPLE / n)
+        picked = nodes.where((F.col("t") == t) & (F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) <= int(share * (1 << 20)))).limit(2 * SAMPLE)
+        sample = np.array(sorted(r.fp for r in picked.select("fp").collect()), np.int64).view(np.uint64)
+        trees[t] = grow(sample[np.argsort(sample * np.uint64(0x9E3779B97F4A7C15))], depth, radius)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for leaf, part in route(batch["fp"].to_numpy().view(np.uint64), tree, radius):
-                yield pd.DataFrame({"leaf": np.full(len(part), leaf), "fp": part.view(np.int64)})
+            for t, own in batch.groupby("t"):
+                for leaf, part in route(own["fp"].to_numpy().view(np.uint64), trees[t], radius):
+                    yield pd.DataFrame({"t": np.full(len(part), t), "leaf": np.full(len(part), leaf), "fp": part.view(np.int64)})
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
         found = list(local_stars(np.unique(group["fp"].to_numpy()).view(np.uint64), radius))
-        if not found:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        a, b = (np.concatenate([x[k] for x in found]).view(np.int64) for k in (0, 1))
-        return pd.DataFrame({"a": a, "b": b})
-
-    return distinct.mapInPandas(deal, "leaf long, fp long").groupBy("leaf").applyInPandas(link, "a long, b long")
-
-
-def _classes(docs: DataFrame, key: str, text: str, radius: int, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """(id, mark, fp) of the documents, and (fp, root) of the distinct fingerprints."""
-    marked = stored(fingerprints(docs, key, text, shingle).withColumnRenamed(key, "id"), "fingerprints")
-    distinct = cut(marked.select("fp").distinct())
-    roots = connected_components(fingerprint_links(distinct, radius))
+        a, b = (np.concatenate([x[k] for x in found]).view(np.int64) if found else np.zeros(0, np.int64) for k in (0, 1))
+        return pd.DataFrame({"t": np.full(len(a), group["t"].iloc[0]), "a": a, "b": b})
+
+    return nodes.mapInPandas(deal, "t int, leaf long, fp long").groupBy("t", "leaf").applyInPandas(link, "t int, a long, b long")
+
+
+def _classes(docs: DataFrame, key: str, text: str, radius: int, shingle: int, tables: int) -> tuple[DataFrame, DataFrame]:
+    """(id, mark, fp) of the documents, and (fp, root) of the distinct fingerprints of the first table."""
+    marked = stored(fingerprints(docs, key, text, shingle, tables).withColumnRenamed(key, "id"), "fingerprints")
+    firsts = marked.select("fp").distinct()
+    node = lambda t, fp: F.struct(F.col(t).alias("t") if isinstance(t, str) else F.lit(t).alias("t"), F.col(fp).alias("fp"))
+    nodes = firsts.select(F.lit(0).alias("t"), "fp")
+    if tables > 1:
+        # which first fingerprints go with which others; only others that link or are shared can join classes
+        spread = cut(marked.select("fp", F.posexplode("others").alias("t", "other")).select("fp", (F.col("t") + 1).alias("t"), "other").distinct())
+        nodes = nodes.unionByName(spread.select("t", F.col("other").alias("fp")).distinct())
+    links = cut(fingerprint_links(cut(nodes), radius))
+    edges = links.select(node("t", "a").alias("a"), node("t", "b").alias("b"))
+    if tables > 1:
+        useful = links.select("t", F.col("a").alias("other")).union(links.select("t", "b")).union(spread.groupBy("t", "other").agg(F.count("*").alias("n")).where("n > 1").select("t", "other")).distinct()
+        across = spread.join(useful, ["t", "other"]).select(node(0, "fp").alias("a"), node("t", "other").alias("b"))
+        edges = edges.unionByName(across)
+    roots = connected_components(edges).where("node.t = 0").select(F.col("node.fp").alias("__fp"), "root")
     # fingerprints without a link are their own root
-    return marked, cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    return marked, cut(firsts.join(roots, firsts["fp"] == roots["__fp"], "left").select("fp", F.coalesce("root", node(0, "fp")).alias("root")))
 
 
 def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): the smallest id reachable over links, the document's own included."""
-    marked, rooted = _classes(docs, key, text, radius, shingle)
+    marked, rooted = _classes(docs, key, text, radius, shingle, 1)
     # smallest ids per fingerprint, with map-side minima, then per class; a hot fingerprint is one row by then
     firsts = marked.groupBy("fp").agg(F.min("id").alias("first"))
     least = firsts.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
@@ -186,9 +220,9 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     return marked.join(classes, "fp").select(F.col("id").alias(key), "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One document of each class: that with the smallest id, ids before nulls, then the smallest text hash."""
-    marked, rooted = _classes(docs, key, text, radius, shingle)
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, tables: int = TABLES) -> DataFrame:
+    """One document of each class over several tables: that with the smallest id, ids before nulls, then the smallest text hash."""
+    marked, rooted = _classes(docs, key, text, radius, shingle, tables)
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("mark").alias("mark"))
     firsts = marked.groupBy("fp").agg(F.min(order).alias("first"))
     keep = cut(firsts.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("__id"), F.col("first.mark").alias("__mark")).distinct())

@@ -33,10 +33,26 @@ def fingerprint(text, n=3):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def tables(text, n, salts, mix):
+    """Fingerprints of a text in n tables, from the same hashes mixed anew."""
+    w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not w:
+        return [0] * n
+    h = np.array([xxhash.xxh64_intdigest(" ".join(w[k : k + 3]).encode(), 42) for k in range(max(1, len(w) - 2))], np.uint64)
+    out = []
+    for t in range(n):
+        x = mix(h ^ salts[t]) if t else h
+        out.append(sum(1 << b for b in range(64) if 2 * int((x >> np.uint64(b) & np.uint64(1)).sum()) > len(x)))
+    return out
+
+
 def components(fps, radius=3):
-    v = np.array(fps, np.uint64)
+    """fps: one fingerprint a row, or one of each table; a pair near in any table is linked."""
+    v = np.array(fps, np.uint64).reshape(len(fps), -1)
     label = np.arange(len(v))
-    near = np.bitwise_count(v[:, None] ^ v[None, :]) <= radius
+    near = np.zeros((len(v), len(v)), bool)
+    for column in v.T:
+        near |= np.bitwise_count(column[:, None] ^ column[None, :]) <= radius
     while True:
         new = np.where(near, label[None, :], len(v)).min(axis=1)
         if (new == label).all():

@@ -1,6 +1,6 @@
 import corpus_pipeline
 
-from callweave.llm import decontam, pii, quality
+from callweave.llm import decontam, pii, quality, simhash
 from callweave.llm.queries import oracle_sql, queries
 
 from ..compare import SF, difference, duck
@@ -26,7 +26,7 @@ def test_every_stage_against_brute_force(spark):
 
     one = rows(spark, near(spark, kept, SF))
     texts = sorted((r.doc_id, r.text) for r in kept.collect())
-    label = brute.components([brute.fingerprint(t) for _, t in texts])
+    label = brute.components([brute.tables(t, simhash.TABLES, simhash.SALTS, simhash.mix) for _, t in texts])
     assert one.columns == columns
     assert sorted(r.doc_id for r in one.collect()) == sorted({texts[k][0] for k in label})
 

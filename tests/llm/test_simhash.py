@@ -6,7 +6,7 @@ from callweave.llm import simhash
 from callweave.llm.components import connected_components
 
 from . import brute
-from .conftest import sample_documents
+from .conftest import sample_documents, sentence
 
 
 def stars(pairs, fps):
@@ -68,10 +68,27 @@ def test_classes_equal_brute_force(spark, documents, monkeypatch):
     label = brute.components([brute.fingerprint(t) for _, t, _, _ in rows])
     wanted = {r[0]: rows[k][0] for r, k in zip(rows, label, strict=True)}
     assert {r.doc_id: r.component_id for r in simhash.near_duplicate_classes(documents).collect()} == wanted
-    kept = simhash.one_of_each(documents)
+    kept = simhash.one_of_each(documents, tables=1)
     assert kept.columns == documents.columns and {r.doc_id for r in kept.collect()} == set(wanted.values())
 
 
+def test_several_tables_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 40)
+    rnd = random.Random(11)
+    rows = [(i, sentence(rnd, 120)) for i in range(60)]
+    for i in range(60):  # copies with one or two changed words
+        words = rows[i % 20][1].split()
+        for _ in range(1 + i % 2):
+            words[rnd.randrange(len(words))] = "changed"
+        rows.append((100 + i, " ".join(words)))
+    label = brute.components([brute.tables(t, 6, simhash.SALTS, simhash.mix) for _, t in rows])
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tables=6)
+    found = {r.doc_id for r in kept.collect()}
+    assert found == {rows[k][0] for k in label}
+    one = len(set(brute.components([brute.fingerprint(t) for _, t in rows]).tolist()))
+    assert len(found) < one - 10
+
+
 def test_edge_cases(spark, odd, empty):
     assert simhash.near_duplicate_classes(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
     assert simhash.near_duplicate_classes(odd).count() == odd.count()
