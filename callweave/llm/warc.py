@@ -1,7 +1,7 @@
 """WARC/1.1 archives: a writer with revisit records and a reader that salvages what damage leaves.
 
 Writing. Records are rendered by SQL expressions and written by Spark's text writer, so archives go to any store
-that Spark reaches. The writer's line feed completes the CR LF CR LF that ends a record. Payloads of at least
+that Spark reaches; a file is one gzip stream. The writer's line feed completes the CR LF CR LF that ends a record. Payloads of at least
 `revisit_from` bytes that occur more than once are stored once, with the largest id; the others become revisit
 records that hold the HTTP head only, with the digest and length of the full payload.
 
@@ -68,7 +68,7 @@ def render(records: DataFrame, payload: str = "payload", id_: str = "id", uri: s
 
 def write_warc(pages: DataFrame, path: str, payload: Column, id_: Column, uri: Column, revisit_from: int = REVISIT_FROM, records_per_file: int = RECORDS_PER_FILE) -> None:
     rows = pages.select(id_.alias("id"), uri.alias("uri"), F.coalesce(payload.cast("binary"), F.lit("").cast("binary")).alias("payload"))
-    render(with_revisits(rows, revisit_from=revisit_from)).write.option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(path)
+    render(with_revisits(rows, revisit_from=revisit_from)).write.option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 # ---------------------------------------------------------------- reading
@@ -152,35 +152,46 @@ def salvage(data: bytes, base: int = 0) -> Iterator[dict]:
         yield {"kind": "gap", "offset": base + gap, "length": len(data) - gap, "reason": reason}
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int] | None:
-    engine = zlib.decompressobj(31)
-    try:
-        out = engine.decompress(data[at:]) if at else engine.decompress(data)
-    except zlib.error:
-        return None
-    return (out, len(data) - len(engine.unused_data)) if engine.eof else None
+def _member(data: bytes, at: int) -> tuple[bytes, int, bool]:
+    """What the gzip member at `at` holds, where it ends, and whether it is whole; fed in steps, so little is copied twice."""
+    engine, view, out = zlib.decompressobj(31), memoryview(data), []
+    step = 1 << 12
+    while at < len(data):
+        part = view[at : at + step]
+        try:
+            out.append(engine.decompress(part))
+        except zlib.error:
+            break
+        at += len(part)
+        if engine.eof:
+            return b"".join(out), at - len(engine.unused_data), True
+    return b"".join(out), at, False
 
 
 def salvage_gzip(data: bytes) -> Iterator[dict]:
-    """Records of an archive of gzip members; offsets are those of the members in the file."""
-    at, gap = 0, -1
+    """Records of an archive of gzip members (one for each record, or for many); offsets are those of the members.
+
+    Of a broken member the records before the damage are kept; the search for the next valid one starts after its head.
+    """
+    at, gap, reason = 0, -1, ""
     while at < len(data):
-        got = _member(data, at) if data[at : at + 3] == b"\x1f\x8b\x08" else None
-        if got:
-            if gap >= 0:
-                yield {"kind": "gap", "offset": gap, "length": at - gap, "reason": "no valid member"}
-                gap = -1
-            out, end = got
-            for x in salvage(out):
+        is_head = data[at : at + 3] == b"\x1f\x8b\x08"
+        out, end, whole = _member(data, at) if is_head else (b"", at, False)
+        if whole and gap >= 0:
+            yield {"kind": "gap", "offset": gap, "length": at - gap, "reason": reason}
+            gap = -1
+        for x in salvage(out):
+            if whole or x["kind"] == "record":
                 yield x | {"offset": at, "length": end - at}
+        if whole:
             at = end
             continue
         if gap < 0:
-            gap = at
+            gap, reason = at, "broken member" if is_head else "no member"
         following = data.find(b"\x1f\x8b\x08", at + 1)
         at = following if following >= 0 else len(data)
     if gap >= 0:
-        yield {"kind": "gap", "offset": gap, "length": len(data) - gap, "reason": "no valid member"}
+        yield {"kind": "gap", "offset": gap, "length": len(data) - gap, "reason": reason}
 
 
 def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
