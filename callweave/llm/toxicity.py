@@ -17,6 +17,7 @@ held out; repeated rows score alike; without labelled rows of both kinds all sco
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_words, mix, stored, text_blocks
+from .common import hashed_words, mix, scratch_path, text_blocks
 
 BITS = 18
 SAMPLE_ROWS = 40_000
@@ -92,17 +93,20 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _learner(shared: Broadcast, turn: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """One pass over a shard's rows, from the shared state, in an order that the turn seeds."""
+def _learner(shared: Broadcast, turn: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """One pass over a shard's rows (a bounded number), from the shared state, in an order that the turn seeds."""
 
-    def learn(group: pd.DataFrame) -> pd.DataFrame:
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
         z, n = (x.copy() for x in shared.value)
-        rows = group.sort_values("key")
+        rows = pd.concat(held).sort_values("key", kind="stable")
         order = np.random.default_rng(turn).permutation(len(rows))
         places, marks = rows["places"].to_numpy(), rows["label"].to_numpy()
         ftrl_pass(z, n, [(places[i], int(marks[i])) for i in order])
         used = np.flatnonzero(n)
-        return pd.DataFrame({"place": used, "z": z[used], "n": n[used]})
+        yield pd.DataFrame({"place": used, "z": z[used], "n": n[used]})
 
     return learn
 
@@ -126,13 +130,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     # the sample's ids have a proven bound, so they are broadcast; one row per id is used
     joined = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked), "key").withColumn("shard", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(SHARDS)).cast("int"))
     kind = dict(joined.dtypes)["key"]
-    encoded = stored(joined.mapInPandas(encode, f"key {kind}, label int, shard int, places array<int>"), "toxicity")
+    # written once, a folder a shard: a round reads each shard in one task, without a shuffle
+    path, spark = scratch_path(docs.sparkSession, "toxicity"), docs.sparkSession
+    joined.mapInPandas(encode, f"key {kind}, label int, shard int, places array<int>").write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    encoded = spark.read.schema(f"key {kind}, label int, places array<int>, shard int").parquet(path)
+    shards = reduce(DataFrame.union, [encoded.where(F.col("shard") == i).coalesce(1) for i in range(SHARDS)])
     state = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for turn in range(ROUNDS):
         shared = docs.sparkSession.sparkContext.broadcast(state)
         # the mean over shards; a place that a shard has not seen counts as zero there
-        shards = encoded.groupBy("shard").applyInPandas(_learner(shared, turn), "place long, z double, n double")
-        mean = shards.groupBy("place").agg((F.sum("z") / SHARDS).alias("z"), (F.sum("n") / SHARDS).alias("n")).toPandas()
+        states = shards.mapInPandas(_learner(shared, turn), "place long, z double, n double")
+        mean = states.groupBy("place").agg((F.sum("z") / SHARDS).alias("z"), (F.sum("n") / SHARDS).alias("n")).toPandas()
         z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
         z[mean["place"]], n[mean["place"]] = mean["z"], mean["n"]
         state = z, n
