@@ -83,17 +83,19 @@ def build_index(items: list[tuple], masks: tuple[str, ...] = MASKS, shortest: in
 def _best_stretch(same: np.ndarray, least: int, identity: float) -> tuple[int, int] | None:
     """The longest stretch of at least `least` places that begins and ends with an agreement and agrees in `identity` of its places."""
     places = np.flatnonzero(same)
-    need = min(least, len(same))
-    if len(places) < need * identity:
-        return None
-    # a stretch from the i-th to the j-th agreement holds j - i + 1 of places[j] - places[i] + 1
-    length = places[None, :] - places[:, None] + 1
-    agreed = np.arange(len(places))[None, :] - np.arange(len(places))[:, None] + 1
     # a stretch that a substitution cuts at its end counts with its agreeing part, if that is near the need
-    good = (length >= max(1, int(np.ceil(need * identity)))) & (agreed >= identity * np.maximum(length, need) - 1e-9)
-    if not good.any():
+    most = max(1, int(np.ceil(identity * min(least, len(same)) - 1e-9)))
+    if len(places) < most:
+        return None
+    # a stretch from the i-th to the j-th agreement holds j - i + 1 of places[j] - places[i] + 1: enough agree where
+    # slack[i] <= slack[j] + 1 - identity; the running minimum falls, so it shows the first such i of every j
+    last = np.arange(len(places))
+    slack = last - identity * places
+    first = np.searchsorted(-np.minimum.accumulate(slack), -(slack + 1 - identity + 1e-9), "left")
+    j = int(np.argmax(last - first))
+    i = int(first[j])
+    if j - i + 1 < most:
         return None
-    i, j = np.unravel_index(np.argmax(np.where(good, agreed, -1)), good.shape)
     return int(places[i]), int(places[j]) + 1
 
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from callweave.llm import decontam
 
 from .conftest import sentence
@@ -58,6 +60,24 @@ def test_overlaps_equal_a_plain_search():
     assert found == {(t, k) for t, x in enumerate(texts) for k, (_, b) in enumerate(bench) if b in x}
 
 
+def test_longest_stretch_equals_a_search_of_all():
+    rnd = random.Random(4)
+    for _ in range(400):
+        same = np.array([rnd.random() < rnd.choice((0.3, 0.75, 0.95)) for _ in range(rnd.randint(1, 60))])
+        places, need = np.flatnonzero(same), min(decontam.LEAST, len(same))
+        good = [(j - i + 1, -i, i, j) for i in range(len(places)) for j in range(i, len(places)) if j - i + 1 >= decontam.IDENTITY * max(places[j] - places[i] + 1, need) - 1e-9]
+        wanted = (int(places[max(good)[2]]), int(places[max(good)[3]]) + 1) if good else None
+        assert decontam._best_stretch(same, decontam.LEAST, decontam.IDENTITY) == wanted
+
+
+def test_a_very_long_item_needs_little_memory():
+    rnd = random.Random(5)
+    item = sentence(rnd, 60_000)
+    index = decontam.build_index([(1, item)])
+    found = {k: agreed for _, k, agreed, _, _ in decontam.overlaps([f"before {item} after"], index)}
+    assert found == {0: 60_000}
+
+
 def test_edge_cases(spark, odd, empty):
     bench = items(spark, [(1, "lorem ipsum dolor sit amet consectetur lorem"), (1, "lorem ipsum dolor sit amet consectetur lorem")])
     assert decontam.find_leaks(empty, bench).count() == 0 and decontam.without_leaks(empty, bench).count() == 0
