@@ -376,7 +376,10 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     """keyed: (doc, text). Covered byte spans (doc, a, b), which may overlap."""
     n = shuffle_partitions(keyed.sparkSession)
     runs = keyed.mapInArrow(_runs, RUNS)
-    found = stored(runs.repartition(n, "h").sortWithinPartitions("h", "c", "doc", "start").mapInArrow(_equal_runs, FOUND), "runs")
+    # runs that are covered already are only passed on, so they are dealt by document: of a hot anchor, a row for each
+    # different run of a batch meets the others
+    place = F.when(F.col("n") > 0, F.xxhash64("h")).otherwise(F.xxhash64("doc", "start"))
+    found = stored(runs.repartition(n, place).sortWithinPartitions("h", "c", "doc", "start").mapInArrow(_equal_runs, FOUND), "runs")
     covered = found.where(F.col("kind") == COVERED).select("doc", F.col("start").alias("a"), (F.col("start") + F.col("n") + (LENGTH - 1)).alias("b"))
     open_ = found.where(F.col("kind") == OPEN)
     # at most all rows / HOT_ROWS anchors are hot
