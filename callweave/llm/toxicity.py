@@ -17,7 +17,7 @@ held out; repeated rows score alike; without labelled rows of both kinds all sco
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
 import numpy as np
@@ -31,9 +31,9 @@ from .common import hashed_words, mix, scratch_path, text_blocks
 
 BITS = 18
 SAMPLE_ROWS = 40_000
-SHARDS, ROUNDS = 4, 4
+SHARDS, ROUNDS = 4, 5
 #: FTRL: learning rate, smoothing of the rate, L1 and L2.
-RATE, SMOOTH, L1, L2 = 0.15, 1.0, 1.0, 0.01
+RATE, SMOOTH, L1, L2 = 0.6, 1.0, 4.0, 0.01
 THRESHOLD = 0.3
 STEMS = (4, 5)
 
@@ -134,15 +134,19 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     path, spark = scratch_path(docs.sparkSession, "toxicity"), docs.sparkSession
     joined.mapInPandas(encode, f"key {kind}, label int, shard int, places array<int>").write.option("compression", "zstd").partitionBy("shard").parquet(path)
     encoded = spark.read.schema(f"key {kind}, label int, places array<int>, shard int").parquet(path)
-    shards = reduce(DataFrame.union, [encoded.where(F.col("shard") == i).coalesce(1) for i in range(SHARDS)])
+    shards = [encoded.where(F.col("shard") == i).coalesce(1) for i in range(SHARDS)]
     state = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for turn in range(ROUNDS):
         shared = docs.sparkSession.sparkContext.broadcast(state)
-        # the mean over shards; a place that a shard has not seen counts as zero there
-        states = shards.mapInPandas(_learner(shared, turn), "place long, z double, n double")
-        mean = states.groupBy("place").agg((F.sum("z") / SHARDS).alias("z"), (F.sum("n") / SHARDS).alias("n")).toPandas()
+        # a job a shard: a union of single partitions would be one task, and its rows one shard
+        with ThreadPoolExecutor(SHARDS) as pool:
+            states = list(pool.map(lambda s, shared=shared, turn=turn: s.mapInPandas(_learner(shared, turn), "place long, z double, n double").toPandas(), shards))
+        # the mean over shards that have rows; a place that a shard has not seen counts as zero there
+        seen = sum(bool(len(s)) for s in states) or 1
         z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-        z[mean["place"]], n[mean["place"]] = mean["z"], mean["n"]
+        for s in states:
+            z[s["place"]] += s["z"] / seen
+            n[s["place"]] += s["n"] / seen
         state = z, n
         shared.unpersist()
     z, n = state
