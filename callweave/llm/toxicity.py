@@ -17,7 +17,7 @@ held out; repeated rows score alike; without labelled rows of both kinds all sco
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -138,15 +138,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     state = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for turn in range(ROUNDS):
         shared = docs.sparkSession.sparkContext.broadcast(state)
-        # a job a shard: a union of single partitions would be one task, and its rows one shard
-        with ThreadPoolExecutor(SHARDS) as pool:
-            states = list(pool.map(lambda s, shared=shared, turn=turn: s.mapInPandas(_learner(shared, turn), "place long, z double, n double").toPandas(), shards))
-        # the mean over shards that have rows; a place that a shard has not seen counts as zero there
-        seen = sum(bool(len(s)) for s in states) or 1
+        # the mean over the shards that have rows, which are those with a bias; a place that a shard has not seen counts
+        # as zero there. Each shard learns before the union, which makes one task of single partitions.
+        states = reduce(DataFrame.union, [s.mapInPandas(_learner(shared, turn), "place long, z double, n double") for s in shards])
+        total = states.groupBy("place").agg(F.sum("z").alias("z"), F.sum("n").alias("n"), F.count("*").alias("shards")).toPandas()
+        seen = max(total["shards"].max(), 1) if len(total) else 1
         z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-        for s in states:
-            z[s["place"]] += s["z"] / seen
-            n[s["place"]] += s["n"] / seen
+        z[total["place"]], n[total["place"]] = total["z"] / seen, total["n"] / seen
         state = z, n
         shared.unpersist()
     z, n = state
