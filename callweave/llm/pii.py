@@ -6,8 +6,10 @@ become digits; "at" and "dot" in disguise become @ and a point. Identifiers foun
 back to source spans, so nothing is lost of the original's offsets. Base spans always stay; a disguised one is
 added unless a base span of its kind holds it.
 
-Spelled digits count in runs of at least `DIGIT_RUN` words. A bare "at" counts only if a "dot" in disguise
-follows in the domain, a bracketed one always: plain prose stays clean.
+Spelled digits count in runs of at least `DIGIT_RUN` words. A bare "at" and a plain @ count only if a "dot" in
+disguise follows in the domain or a bracketed one stands in the local part, a bracketed "at" always: plain prose
+stays clean. The local part is followed back over its dots for any length; a bare dot in it must use a word that
+the domain uses too, if the domain has dots in words ("contact point jane at example dot org").
 
 Edge cases: null and empty texts have no spans; repeated rows are searched each; offsets are code points.
 All patterns take linear time on long runs.
@@ -96,8 +98,9 @@ _OPEN, _CLOSE = r"[\[({<]\s*", r"\s*[\])}>]"
 _AT_SIGN = rf"\s*{_OPEN}(?:at|@|arroba|chez)(?:{_CLOSE})\s*"
 _DOT_SIGN = rf"\s*{_OPEN}(?:dot|\.|punto|point|punkt)(?:{_CLOSE})\s*"
 _BARE_AT, _BARE_DOT = r"\s+(?:at|arroba|chez)\s+", r"\s+(?:dot|punto|point|punkt)\s+"
-_AT = re.compile(rf"(?<=[a-z0-9_%+-])(?:({_AT_SIGN}|\s+@\s*|\s*@\s+)|({_BARE_AT}))(?=([a-z0-9-]+)((?:(?:\.|{_DOT_SIGN}|{_BARE_DOT})[a-z0-9-]+)+))")
+_AT = re.compile(rf"(?<=[a-z0-9_%+-])(?:({_AT_SIGN}|\s+@\s*|\s*@\s+)|({_BARE_AT}|@))(?=([a-z0-9-]+)((?:(?:\.|{_DOT_SIGN}|{_BARE_DOT})[a-z0-9-]+)+))")
 _DOT = re.compile(rf"{_DOT_SIGN}|{_BARE_DOT}")
+_DOT_WORDS = ("dot", "punto", "point", "punkt")
 _HINT = re.compile(rf"{_DOT_SIGN}|{_AT_SIGN}|\s(?:dot|punto|point|punkt)\s|\s@|@\s")
 
 
@@ -152,20 +155,57 @@ def spelled_digits(t: Traced) -> Traced:
     return t.rewrite(changes)
 
 
+def _skip_blanks(low: str, end: int, floor: int) -> int:
+    while end > floor and low[end - 1].isspace():
+        end -= 1
+    return end
+
+
+def _dot_before(low: str, end: int, floor: int) -> tuple[int, str, bool] | None:
+    """(start, word, whether in brackets) of the point in disguise that ends at `end`."""
+    at = _skip_blanks(low, end, floor)
+    closed = at > floor and low[at - 1] in "])}>"
+    if not closed and at == end:
+        return None
+    stop = _skip_blanks(low, at - 1, floor) if closed else at
+    word = next((w for w in (*_DOT_WORDS, ".") if (closed or w != ".") and low.startswith(w, max(floor, stop - len(w)), stop)), None)
+    if word is None:
+        return None
+    at = _skip_blanks(low, start := stop - len(word), floor)
+    if closed:
+        return (_skip_blanks(low, at - 1, floor), word, True) if at > floor and low[at - 1] in "[({<" else None
+    return (at, word, False) if at < start else None
+
+
+def _local_dots(low: str, end: int, floor: int, words: set[str]) -> tuple[list[tuple[int, int, str]], bool]:
+    """Changes for the points in disguise of the local part that ends at `end`, and whether one is in brackets."""
+    dots: list[tuple[int, int, str]] = []
+    bracketed = False
+    while True:
+        start = end
+        while start > floor and low[start - 1] in _LOCAL:
+            start -= 1
+        dot = _dot_before(low, start, floor) if start < end else None
+        if dot is None or dot[0] <= floor or low[dot[0] - 1] not in _LOCAL or not (dot[2] or not words or dot[1] in words):
+            return dots[::-1], bracketed
+        dots.append((dot[0], start, "."))
+        end, bracketed = dot[0], bracketed or dot[2]
+
+
 def at_and_dot(t: Traced) -> Traced:
     low, changes = _lower(t.text), []
+    tried = 0
     for m in _AT.finditer(low):
         dots = list(_DOT.finditer(low, m.end(3), m.end(4)))
-        if m[1] is None and not dots:
-            continue  # a bare "at" before a plain host name is prose
-        if m.start() < (changes[-1][1] if changes else 0):
+        floor = changes[-1][1] if changes else 0
+        if m.start() < floor:
             continue
-        # points in disguise in the local part, just before
-        before = low[max(0, m.start() - 64) : m.start()]
-        local = re.search(rf"[a-z0-9_%+-]+(?:{_DOT_SIGN}[a-z0-9_%+-]+)+$", before)
-        if local:
-            base = m.start() - len(before)
-            changes += [(base + d.start(), base + d.end(), ".") for d in re.finditer(_DOT_SIGN, before) if d.start() >= local.start() and base + d.start() >= (changes[-1][1] if changes else 0)]
+        words = {w for d in dots for w in _DOT_WORDS if w in d.group()}
+        local, bracketed = _local_dots(low, m.start(), max(floor, tried), words)
+        if m[1] is None and not dots and not bracketed:
+            tried = m.start()
+            continue  # a bare "at" before a plain host name is prose
+        changes += local
         changes.append((m.start(), m.end(), "@"))
         changes += [(d.start(), d.end(), ".") for d in dots]
     return t.rewrite(changes)

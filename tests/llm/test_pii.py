@@ -39,6 +39,32 @@ def test_disguises_map_back_to_their_source(text, kind, found):
     assert added == [found]
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("mail jane@example dot com now", "jane@example dot com"),
+        ("mail jane@example[dot]com now", "jane@example[dot]com"),
+        ("mail jane dot doe at example dot com now", "jane dot doe at example dot com"),
+        ("mail jane (dot) doe@example.com now", "jane (dot) doe@example.com"),
+        ("mail jane [dot] doe at example.com now", "jane [dot] doe at example.com"),
+        ("contact point jane at example dot org", "jane at example dot org"),
+        ("see " + " [dot] ".join(["jane"] * 30) + " [at] example.com", " [dot] ".join(["jane"] * 30) + " [at] example.com"),
+        ("see " + " dot ".join(["jane"] * 30) + " at example dot com", " dot ".join(["jane"] * 30) + " at example dot com"),
+    ],
+)
+def test_whole_disguised_address(text, found):
+    start = text.index(found)
+    assert (start, start + len(found)) in pii.both(text)[1]["email"]
+    assert pii.redact(text) == text.replace(found, "[EMAIL]")
+
+
+@pytest.mark.parametrize("text", ["a dot " * 50_000, "a dot " * 50_000 + "at b", "a [dot] " * 40_000 + "at b.c", "a at b.c " * 40_000, "a dot a@b.c " * 30_000, "a@b dot " * 40_000])
+def test_long_chains_take_linear_time(text):
+    start = time.time()
+    pii.both(text)
+    assert time.time() - start < 20
+
+
 @pytest.mark.parametrize("text", ["meet me at example.com today", "the one two of us", "at dot", "she looked at the dot. com", "one two three four", "", "point at that. No dot at all"])
 def test_prose_stays_clean(text):
     assert pii.joined(pii.both(text)[1]) == ""
