@@ -1,7 +1,8 @@
 """WARC/1.1 archives: a writer with revisit records and a reader that salvages what damage leaves.
 
 Writing. Records are rendered by SQL expressions and written by Spark's text writer, so archives go to any store
-that Spark reaches; a file is one gzip stream. The writer's line feed completes the CR LF CR LF that ends a record. Payloads of at least
+that Spark reaches; every record is a gzip member of its own, so damage to one leaves the others readable. The
+text writer ends each row with a separator, which is an empty gzip member here. Payloads of at least
 `revisit_from` bytes that occur more than once are stored once, with the largest id; the others become revisit
 records that hold the HTTP head only, with the digest and length of the full payload.
 
@@ -18,17 +19,21 @@ record and reads back empty.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REVISIT_FROM = 1000
 RECORDS_PER_FILE = 2000
+#: A gzip member without content: valid between members and at the end of a file.
+EMPTY_MEMBER = b"\x1f\x8b\x08\0\0\0\0\0\0\x03\x03\0\0\0\0\0\0\0\0\0"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 SCHEMA = "path string, kind string, offset long, length long, reason string, record_type string, record_id string, refers_to string, target_uri string, payload_digest string, payload_bytes long, payload binary"
 
@@ -51,7 +56,7 @@ def with_revisits(pages: DataFrame, payload: str = "payload", id_: str = "id", r
 
 
 def render(records: DataFrame, payload: str = "payload", id_: str = "id", uri: str = "uri", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """One column `value`: the record, without its last line feed."""
+    """One column `value`: the bytes of the record."""
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     revisit = F.col("record_type") == "revisit"
     length = F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("size"))
@@ -63,12 +68,25 @@ def render(records: DataFrame, payload: str = "payload", id_: str = "id", uri: s
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), length.cast("string"), F.lit("\r\n\r\n"),
     )
     body = F.when(revisit, F.lit("").cast("binary")).otherwise(F.col(payload))
-    return records.select(F.concat(head.cast("binary"), http.cast("binary"), body, F.lit("\r\n\r").cast("binary")).cast("string").alias("value"))
+    return records.select(F.concat(head.cast("binary"), http.cast("binary"), body, F.lit("\r\n\r\n").cast("binary")).alias("value"))
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record as a gzip member; a few at a time, so that a batch is not held twice."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 100):
+            out = []
+            for value in batch.column(0).slice(start, 100):
+                engine = zlib.compressobj(6, zlib.DEFLATED, 31)
+                out.append(engine.compress(value.as_py()) + engine.flush())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
 
 def write_warc(pages: DataFrame, path: str, payload: Column, id_: Column, uri: Column, revisit_from: int = REVISIT_FROM, records_per_file: int = RECORDS_PER_FILE) -> None:
     rows = pages.select(id_.alias("id"), uri.alias("uri"), F.coalesce(payload.cast("binary"), F.lit("").cast("binary")).alias("payload"))
-    render(with_revisits(rows, revisit_from=revisit_from)).write.option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
+    members = render(with_revisits(rows, revisit_from=revisit_from)).mapInArrow(_members, "value binary").select(F.col("value").cast("string"))
+    # the encoding is that of the separator; the rows' bytes are written as they are
+    members.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", records_per_file).option("compression", "none").text(path)
 
 
 # ---------------------------------------------------------------- reading
@@ -154,13 +172,20 @@ def salvage(data: bytes, base: int = 0) -> Iterator[dict]:
 
 def _member(data: bytes, at: int) -> tuple[bytes, int, bool]:
     """What the gzip member at `at` holds, where it ends, and whether it is whole; fed in steps, so little is copied twice."""
-    engine, view, out = zlib.decompressobj(31), memoryview(data), []
+    engine, view, out, begin = zlib.decompressobj(31), memoryview(data), [], at
     step = 1 << 12
     while at < len(data):
         part = view[at : at + step]
         try:
             out.append(engine.decompress(part))
         except zlib.error:
+            # a failing step gives nothing: decoded again, byte by byte, it gives what stands before the damage
+            engine = zlib.decompressobj(31)
+            engine.decompress(view[begin:at])
+            with contextlib.suppress(zlib.error):
+                while at < len(data):
+                    out.append(engine.decompress(view[at : at + 1]))
+                    at += 1
             break
         at += len(part)
         if engine.eof:
@@ -171,27 +196,33 @@ def _member(data: bytes, at: int) -> tuple[bytes, int, bool]:
 def salvage_gzip(data: bytes) -> Iterator[dict]:
     """Records of an archive of gzip members (one for each record, or for many); offsets are those of the members.
 
-    Of a broken member the records before the damage are kept; the search for the next valid one starts after its head.
+    Of a broken member the records before the damage are kept, and the gap begins where decoding failed; the search
+    for the next valid one starts after its head, and the gap goes back to that head if a member follows before.
     """
-    at, gap, reason = 0, -1, ""
+    at, gap, reason, failed = 0, -1, "", -1
     while at < len(data):
         is_head = data[at : at + 3] == b"\x1f\x8b\x08"
         out, end, whole = _member(data, at) if is_head else (b"", at, False)
         if whole and gap >= 0:
-            yield {"kind": "gap", "offset": gap, "length": at - gap, "reason": reason}
-            gap = -1
+            start = failed if gap < failed < at else gap
+            yield {"kind": "gap", "offset": start, "length": at - start, "reason": reason}
+            gap = failed = -1
+        kept = 0
         for x in salvage(out):
             if whole or x["kind"] == "record":
+                kept += 1
                 yield x | {"offset": at, "length": end - at}
         if whole:
             at = end
             continue
         if gap < 0:
             gap, reason = at, "broken member" if is_head else "no member"
+            failed = end if kept else -1
         following = data.find(b"\x1f\x8b\x08", at + 1)
         at = following if following >= 0 else len(data)
     if gap >= 0:
-        yield {"kind": "gap", "offset": gap, "length": len(data) - gap, "reason": reason}
+        start = failed if gap < failed < len(data) else gap
+        yield {"kind": "gap", "offset": start, "length": len(data) - start, "reason": reason}
 
 
 def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import random
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -76,6 +77,41 @@ def test_gzip_members():
     assert "<urn:page:0>" in {x.get("record_id") for x in warc.salvage_gzip(one[:-12])}
 
 
+def test_written_archive_loses_only_the_damaged_record(spark, tmp_path):
+    rnd = random.Random(4)
+    rows = [(i, "".join(rnd.choice("abcdefgh é") for _ in range(800)), f"http://h/{i}") for i in range(40)]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, html string, url string").coalesce(1), f"{tmp_path}/w", F.col("html"), F.col("page_id"), F.col("url"))
+    (path,) = (tmp_path / "w").glob("part-*")
+    whole = path.read_bytes()
+    assert gzip.decompress(whole).count(b"WARC-Type: response") == 40  # other readers see plain gzip
+    for _ in range(60):
+        at = rnd.randrange(len(whole))
+        hurt = whole[:at] + bytes([whole[at] ^ rnd.randint(1, 255)]) + whole[at + 1 :]
+        found = [x for x in warc.salvage_gzip(hurt) if x["kind"] == "record"]
+        assert len({x["record_id"] for x in found}) >= 39
+    hurt = whole[:300] + bytes([whole[300] ^ 85]) + whole[301:]
+    path.write_bytes(hurt)
+    for crc in (tmp_path / "w").glob(".part-*.crc"):
+        crc.unlink()
+    got = warc.read_warc(spark, f"{tmp_path}/w").collect()
+    assert len({r.record_id for r in got if r.kind == "record"}) == 39 and any(r.kind == "gap" for r in got)
+
+
+def test_records_before_the_damage_are_kept():
+    rnd = random.Random(6)
+    parts = [record(i, bytes(rnd.choice(b"abcdefgh") for _ in range(300))) for i in range(30)]
+    member, block = gzip.compress(b"".join(parts)), 1 << 12
+    at = min(block - 200, len(member) - 20)  # within the first step
+    engine = zlib.decompressobj(31)
+    before = engine.decompress(member[:at]).count(b"WARC/1.1") - 1  # the last may be cut
+    hurt = member[:at] + bytes(60) + member[at + 60 :]
+    found = list(warc.salvage_gzip(hurt))
+    ids = [x["record_id"] for x in found if x["kind"] == "record"]
+    assert before > 5 and ids[:before] == [f"<urn:page:{i}>" for i in range(before)]
+    (gap,) = [x for x in found if x["kind"] == "gap"]
+    assert gap["offset"] >= at - 200 and gap["offset"] + gap["length"] == len(hurt)
+
+
 def test_empty_table(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, html string, url string")
     warc.write_warc(none, f"{tmp_path}/n", F.col("html"), F.col("page_id"), F.col("url"))
