@@ -63,3 +63,32 @@ def test_edge_cases(spark):
     assert linkgraph.judge_urls(spark.createDataFrame([], schema)).count() == 0
     rows = [(None, "http://a.org/", "<a href='http://b.org/'>" * 5, "h", 1.0, "x")] * 2
     assert linkgraph.judge_urls(spark.createDataFrame(rows, schema)).count() == 2
+
+
+def test_settled_ranks_equal_a_long_iteration(spark):
+    rng = np.random.default_rng(3)
+    edges = {(f"h{a}", f"h{b}"): int(n) for a, b, n in zip(rng.integers(0, 12, 40), rng.integers(0, 12, 40), rng.integers(1, 5, 40), strict=True) if a != b}
+    seeds = {"h0": 0.75, "h3": 0.25}
+    frames = spark.createDataFrame([("w", a, b, n) for (a, b), n in edges.items()], "walk string, src string, dst string, n long"), spark.createDataFrame([("w", *x) for x in seeds.items()], "walk string, host string, seed double")
+    got, wanted = {r.host: r.mass for r in linkgraph.settled_ranks(*frames).collect()}, rank(edges, seeds, rounds=300)
+    assert set(got) == set(wanted) and sum(abs(got[h] - wanted[h]) for h in got) < 2 * linkgraph.TOLERANCE
+
+
+def test_copies_of_the_graph_leave_verdicts_unchanged(spark):
+    """Each copy: twelve hosts in a row lead to a blocked one, and one of 50 hosts that link to it."""
+    rules = (Rule("block", "bad", "/"), Rule("allow", "good", "/"))
+
+    def graph(k, size):
+        chain = [page(None, f"http://c{i}.k{k}/", f"http://c{i + 1}.k{k}/" if i < 11 else f"http://k{k}.bad/") for i in range(12)]
+        fans = [page(None, f"http://f{i}.k{k}/", f"http://k{k}.bad/", f"http://a{i}.k{k}/") for i in range(size)]
+        return [*chain, *fans, page(None, f"http://k{k}.bad/"), page(None, f"http://k{k}.good/", f"http://c3.k{k}/")]
+
+    def verdicts(copies):
+        rows = [x for k in range(copies) for x in graph(k, 50 if k == 0 else 1)]
+        many = [page(None, f"http://x{k}.bad/") for k in range(60_000)] if copies > 1 else []
+        pages = spark.createDataFrame(rows + many, "page_id long, url string, html string")
+        return {(r.host, r.verdict) for r in linkgraph.judge_urls(pages, rules).where("host like '%.k0' or host like 'k0.%'").collect()}
+
+    once = verdicts(1)
+    assert ("c0.k0", "block") in once and ("f7.k0", "block") in once and ("c3.k0", "block") not in once
+    assert verdicts(3) == once
