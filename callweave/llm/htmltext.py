@@ -1,14 +1,14 @@
-"""Main text of web pages: block structure first, then a suffix array per host for what structure leaves open.
+"""Main text of web pages: block structure first, then the runs that a host repeats for what structure leaves open.
 
 A page with an article (or main) element says itself where its text is: its blocks are that element's, without
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments. A page without one
-leaves open which of its blocks are text. For these pages the token streams of all of a host's pages are
-concatenated, their suffixes are ranked, and strings of `RUN` tokens or more that occur on pages of different
-content are boilerplate: covered tokens go, unique runs stay. (Text within an article is never removed as
-repeated: copies and quotations are part of a page's text.)
+leaves open which of its blocks are text. For these pages strings of `RUN` tokens or more that occur on pages of
+different content of their host are boilerplate: covered tokens go, unique runs stay. (Text within an article is
+never removed as repeated, nor does it make others' text repeated: copies and quotations are part of a page's text.)
 
-A host's pages are dealt into shards of about SHARD_PAGES pages, so a hot host is many tasks; boilerplate is
-on most pages of a host and shows in every shard.
+The search is exact over all pages of a host: each window of RUN tokens is hashed to 128 bits, and one exchange with
+map-side minima and maxima finds the windows with more than one content. It takes the pages without an article, and
+of the same hosts' other pages what stands outside their articles. No host or shard is gathered in a task.
 
 Edge cases: null and empty html gives the empty text; unclosed and stray tags, tags cut off by the end of the
 page, and attributes with > in quotes are read as browsers do; repeated pages are no distinct pages, so copies
@@ -22,15 +22,15 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 from .linkgraph import host_of
 
-RUN, SHARD_PAGES = 8, 2_000
+RUN = 8
 #: Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
@@ -63,6 +63,12 @@ def _is_noise(tag: str, attributes: str, in_article: bool) -> bool:
 
 def blocks(page: str) -> tuple[list[str], bool]:
     """The text blocks of a page, and whether they come from an article or main element."""
+    inside, outside, found = all_blocks(page)
+    return (inside, True) if found else (outside, False)
+
+
+def all_blocks(page: str) -> tuple[list[str], list[str], bool]:
+    """The text blocks inside and outside of article and main elements, and whether there is such an element."""
     inside: list[str] = []
     outside: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # (tag, noise from here on, in an article from here on)
@@ -151,7 +157,7 @@ def blocks(page: str) -> tuple[list[str], bool]:
         stack.append((tag, noisy, article_now))
         noise, article = noisy, article_now
     close_block()
-    return (inside, True) if found else (outside, False)
+    return inside, outside, found
 
 
 def repeated_tokens(pages: list[list[str]], run: int = RUN) -> list[np.ndarray]:
@@ -188,20 +194,31 @@ def repeated_tokens(pages: list[list[str]], run: int = RUN) -> list[np.ndarray]:
     return [x[:-1] for x in np.split(covered, edges[:-1])] if pages else []
 
 
-def unique_text(group: list[list[str]], run: int = RUN) -> list[str]:
-    """The texts of a host's pages (each a list of blocks) without the tokens that pages share."""
-    tokens = [[w for b in page for w in b.split(" ")] for page in group]
-    out = []
-    for page, gone in zip(group, repeated_tokens(tokens, run), strict=True):
-        at, kept = 0, []
-        for b in page:
-            own = b.split(" ")
-            left = [w for w, x in zip(own, gone[at : at + len(own)], strict=True) if not x]
-            at += len(own)
-            if left:
-                kept.append(" ".join(left))
-        out.append("\n\n".join(kept))
-    return out
+def _tokens(page: list[str]) -> list[str]:
+    return [w for b in page for w in b.split(" ")]
+
+
+def _digests(tokens: list[str], run: int) -> tuple[bytes, list[bytes]]:
+    """128-bit hashes of a page's tokens, and of each window of `run` of them."""
+    words = [w.encode("utf-8", "surrogatepass") for w in tokens]
+    digest = xxhash.xxh3_128_digest
+    return digest(b" ".join(words)), [digest(b" ".join(words[i : i + run])) for i in range(len(words) - run + 1)]
+
+
+def without_runs(page: list[str], starts: list[int], run: int) -> str:
+    """The page's text without the tokens of the windows that begin at `starts`."""
+    gone = np.zeros(sum(b.count(" ") + 1 for b in page) + 1, np.int64)
+    np.add.at(gone, starts, 1)
+    np.add.at(gone, np.array(starts, np.int64) + run, -1)
+    gone = np.cumsum(gone) > 0
+    at, kept = 0, []
+    for b in page:
+        own = b.split(" ")
+        left = [w for w, x in zip(own, gone[at : at + len(own)], strict=True) if not x]
+        at += len(own)
+        if left:
+            kept.append(" ".join(left))
+    return "\n\n".join(kept)
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", run: int = RUN) -> DataFrame:
@@ -211,21 +228,37 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [blocks(v.as_py() or "") for v in batch.column(2)]
-            settled = pa.array([closed or not b for b, closed in found])
-            text = pa.array(["\n\n".join(b) if closed else "" for b, closed in found], pa.string())
-            open_ = pa.array([None if closed or not b else b for b, closed in found], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), settled, text, open_], names=["key", "url", "settled", "text", "blocks"])
+            found = [all_blocks(v.as_py() or "") for v in batch.column(2)]
+            settled = pa.array([closed or not outside for _, outside, closed in found])
+            text = pa.array(["\n\n".join(inside) if closed else "" for inside, _, closed in found], pa.string())
+            rest = pa.array([outside or None for _, outside, _ in found], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), settled, text, rest], names=["key", "url", "settled", "text", "blocks"])
 
-    # parsed once; most pages are settled by their own structure
-    parsed = stored(pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(parse, f"{head}, settled boolean, text string, blocks array<string>"), "blocks")
-    settled = parsed.where("settled").select("key", "url", "text")
-    open_ = parsed.where("not settled").select("key", "url", "blocks", host_of(F.col("url")).alias("host"))
-    sizes = open_.groupBy(F.col("host").alias("__host")).agg(F.ceil(F.count("*") / SHARD_PAGES).cast("int").alias("shards"))
-    dealt = open_.join(sizes, F.col("host") == F.col("__host")).withColumn("shard", F.pmod(F.xxhash64("key", "blocks"), F.col("shards")))
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(page, host, blocks) -> a row for each window."""
+        for batch in batches:
+            for page, host, found in zip(*batch.columns, strict=True):
+                content, own = _digests(_tokens(found.as_py()), run)
+                n = len(own)
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array([page.as_py()] * n, pa.int64()), pa.array([host.as_py()] * n, pa.string()), pa.array(own, pa.binary()), pa.array([content] * n, pa.binary()), pa.array(range(n), pa.int32())], names=["page", "host", "w", "content", "at"])
 
-    def clean(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"key": group["key"], "url": group["url"], "text": unique_text([list(b) for b in group["blocks"]], run)})
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = [without_runs(b.as_py(), starts.as_py() or [], run) for b, starts in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], names=["key", "url", "text"])
 
-    cleaned = dealt.select("host", "shard", "key", "url", "blocks").groupBy("host", "shard").applyInPandas(clean, f"{head}, text string")
+    # parsed once; most pages are settled by their own structure
+    parsed = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(parse, f"{head}, settled boolean, text string, blocks array<string>")
+    parsed = stored(parsed.withColumn("host", host_of(F.col("url"))).withColumn("page", F.monotonically_increasing_id()), "blocks")
+    settled = parsed.where("settled").select("key", "url", "text")
+    open_ = parsed.where("not settled").select("page", "key", "url", "host", "blocks")
+    # evidence: pages of the same hosts with an article, as far as they have text outside of it
+    beside = parsed.where("settled and blocks is not null").join(open_.select("host").distinct(), "host", "left_semi")
+    schema = "page long, host string, w binary, content binary, at int"
+    own = open_.select("page", "host", "blocks").mapInArrow(windows, schema)
+    every = own.unionByName(beside.select("page", "host", "blocks").mapInArrow(windows, schema))
+    shared = every.groupBy("host", "w").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").select("host", "w")
+    starts = own.join(shared, ["host", "w"]).groupBy("page").agg(F.collect_list("at").alias("starts"))  # of one page
+    cleaned = open_.join(starts, "page", "left").select("key", "url", "blocks", "starts").mapInArrow(clean, f"{head}, text string")
     return settled.unionByName(cleaned).select(F.col("key").alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))

@@ -55,6 +55,32 @@ def test_pages_without_article_lose_what_their_host_repeats(spark):
     assert got == sorted((i, t, len(t)) for i, t in [*own, (10, "kept"), (11, ""), (12, ""), (13, rest)])
 
 
+def test_a_run_on_two_of_a_hosts_many_pages_goes(spark):
+    """Twenty pairs of pages share a run each, among 4 100 pages of one host."""
+    run = lambda k: " ".join(f"r{k}x{j}" for j in range(9))
+    rows = [(i, f"http://h.org/{i}", f"<p>own{i} text{i}</p>" + (f"<p>{run(i % 20)}</p>" if i < 40 else "")) for i in range(4_100)]
+    got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"own{i} text{i}" for i in range(4_100)}
+
+
+def test_pages_with_an_article_show_what_their_host_repeats(spark):
+    rest, quoted = "imprint terms privacy and all that legal matter below here", "a long sentence that the article of another page holds too"
+    rows = [(1, "http://h.org/1", f"<p>own text</p><p>{quoted}</p><div>{rest}</div>"), (2, "http://h.org/2", f"<article>{quoted}</article><div>{rest}</div>"), (3, "http://o.org/", f"<p>{rest}</p>")]
+    got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: f"own text\n\n{quoted}", 2: quoted, 3: rest}
+
+
+def test_exchange_equals_plain_search(spark):
+    rng = np.random.default_rng(7)
+    pages = [" ".join(str(x) for x in rng.integers(0, 4, int(rng.integers(1, 120)))) for _ in range(20)]
+    pages += [pages[0], pages[1] + " 1"]
+    rows = [(i, "http://h.org/", f"<p>{p}</p>") for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), run=5).collect()}
+    tokens = [p.split(" ") for p in pages]
+    gone = htmltext.repeated_tokens(tokens, 5)
+    assert got == {i: " ".join(w for w, x in zip(t, gone[i], strict=True) if not x) for i, t in enumerate(tokens)}
+
+
 def test_edge_cases(spark):
     schema = "page_id long, url string, html string, blocks string, settled string, host string"
     assert htmltext.main_text(spark.createDataFrame([], schema)).count() == 0
