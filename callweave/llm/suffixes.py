@@ -10,12 +10,14 @@ windows of one anchor form a run.
    batch keep the first; the others are covered already (pre-aggregation, before any shuffle).
 2. Sorted by these hashes, equal runs keep the first; the others are covered. Anchors left with different runs
    need their bytes compared.
-3. For those, the suffixes that follow the anchor and the reversed prefixes before it are sorted: multikey
-   quicksort to a shallow depth, then blind tries for groups with a longer common prefix. With both orders'
+3. For those, the suffixes that follow the anchor and the reversed prefixes before it are sorted: by their first
+   bytes as words (np.lexsort) to a shallow depth, then blind tries for groups with a longer common prefix. With both orders'
    common prefix lengths, the windows at each offset fall into classes of equal bytes; all but the first of a
-   class are covered. An anchor with more than HOT_ROWS runs is dealt anew by its single windows.
+   class are covered.
+4. An anchor with more than HOT_ROWS runs is not gathered: its windows become rows of their own, a map-side minimum
+   finds the first of each, and the others are covered. No task holds a window's copies.
 
-Runs of step 2 are told apart by 128 bits of hash; step 3 compares bytes.
+Runs of step 2 and windows of step 4 are told apart by 128 bits of hash; step 3 compares bytes.
 
 Edge cases: null and empty texts have no bytes; identical rows (same id and text) are one document, and each
 gets its result; rows with one id and different texts are ordered by a hash of the text; null ids come first;
@@ -339,25 +341,33 @@ def _compare_segment(rows: pa.Table) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- on DataFrames
 
 
-def _with_contexts(hot: frozenset) -> object:
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(doc, text, runs) -> CONTEXTS; the runs of hot anchors are dealt by single windows."""
-        for batch in batches:
-            out: dict[str, list] = {k.split()[0]: [] for k in CONTEXTS.split(", ")}
-            for doc, text, runs in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                for r in runs:
-                    single = r["h"] in hot
-                    for k in range(r["n"]) if single else (0,):
-                        start, n = r["start"] + k, 1 if single else r["n"]
-                        context = raw[start : start + n + LENGTH - 1]
-                        h = int.from_bytes(hashlib.blake2b(context, digest_size=8).digest(), "big", signed=True) if single else r["h"]
-                        for name, value in zip(out, (h, doc, start, n, r["offset"] - k, context), strict=True):
-                            out[name].append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield from pa.Table.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out)).to_batches(5_000)
-
-    return take
+def _with_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, text, runs) -> CONTEXTS."""
+    for batch in batches:
+        out: dict[str, list] = {k.split()[0]: [] for k in CONTEXTS.split(", ")}
+        for doc, text, runs in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            for r in runs:
+                start, n = r["start"], r["n"]
+                for name, value in zip(out, (r["h"], doc, start, n, r["offset"], raw[start : start + n + LENGTH - 1]), strict=True):
+                    out[name].append(value)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        yield from pa.Table.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out)).to_batches(5_000)
+
+
+WINDOWS = "w binary, doc long, start long"
+
+
+def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, text, runs) -> WINDOWS: the hash of each window of the runs."""
+    for batch in batches:
+        for doc, text, runs in zip(*batch.columns, strict=True):
+            raw, doc = (text.as_py() or "").encode("utf-8", "surrogatepass"), doc.as_py()
+            places = [r["start"] + k for r in runs.as_py() for k in range(r["n"])]
+            for a in range(0, len(places), 20_000):
+                part = places[a : a + 20_000]
+                w = [hashlib.blake2b(raw[p : p + LENGTH], digest_size=16).digest() for p in part]
+                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array([doc] * len(part), pa.int64()), pa.array(part, pa.int64())], names=["w", "doc", "start"])
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
@@ -383,11 +393,22 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     covered = found.where(F.col("kind") == COVERED).select("doc", F.col("start").alias("a"), (F.col("start") + F.col("n") + (LENGTH - 1)).alias("b"))
     open_ = found.where(F.col("kind") == OPEN)
     # at most all rows / HOT_ROWS anchors are hot
-    hot = frozenset(r.h for r in open_.groupBy("h").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT_ROWS).select("h").collect())
-    asked = open_.groupBy("doc").agg(F.collect_list(F.struct("h", "start", "n", "offset")).alias("runs"))  # of one document
-    contexts = keyed.join(asked, "doc").select("doc", "text", "runs").mapInArrow(_with_contexts(hot), CONTEXTS)
+    hot = [r.h for r in open_.groupBy("h").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT_ROWS).select("h").collect()]
+    is_hot = F.col("h").isin(hot) if hot else F.lit(False)
+
+    def with_texts(runs: DataFrame) -> DataFrame:
+        asked = runs.groupBy("doc").agg(F.collect_list(F.struct("h", "start", "n", "offset")).alias("runs"))  # of one document
+        return keyed.join(asked, "doc").select("doc", "text", "runs")
+
+    contexts = with_texts(open_.where(~is_hot)).mapInArrow(_with_contexts, CONTEXTS)
     compared = contexts.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_compare, "doc long, a long, b long")
-    return covered.unionByName(cut(compared))
+    spans = covered.unionByName(cut(compared))
+    if not hot:
+        return spans
+    single = stored(with_texts(open_.where(is_hot)).mapInArrow(_single_windows, WINDOWS), "windows")
+    firsts = single.groupBy("w").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("rows")).where("rows > 1").select("w", "first")
+    late = single.join(firsts, "w").where(F.struct("doc", "start") > F.col("first"))
+    return spans.unionByName(cut(late.select("doc", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("b"))))
 
 
 def _merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

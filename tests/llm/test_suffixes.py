@@ -52,6 +52,32 @@ def test_hot_anchors_and_small_pieces(spark, monkeypatch):
     check(spark, texts(), 4)
 
 
+def test_windows_of_hot_anchors_are_not_gathered(spark, monkeypatch):
+    """A passage between different texts: no task compares its copies, however many there are."""
+    rnd = random.Random(11)
+    letters = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    passage = letters(300)
+    rows = [(i, letters(90) + passage + letters(90)) for i in range(120)]
+    seen = spark.sparkContext.accumulator(0)
+    plain = suffixes._compare_segment
+
+    def counted(segment):
+        seen.add(segment.num_rows)
+        yield from plain(segment)
+
+    monkeypatch.setattr(suffixes, "HOT_ROWS", 20)
+    monkeypatch.setattr(suffixes, "_compare_segment", counted)
+    compare = suffixes._compare
+
+    def _compare(batches):
+        suffixes._compare_segment = counted
+        yield from compare(batches)
+
+    monkeypatch.setattr(suffixes, "_compare", _compare)
+    check(spark, rows, 4)
+    assert seen.value < 120
+
+
 def test_pieces_hold_every_window_once(monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 64)
     whole = [t.encode() for _, t in texts() if t]
