@@ -34,8 +34,9 @@ def rule_pairs(rows: DataFrame) -> DataFrame:
     found = None
     for rule, key in keys.items():
         keyed = rows.withColumn("key", key).where("key is not null")
-        # one leader for each country, so the veto loses no match within a country
-        leads = keyed.groupBy("key", F.coalesce("country", F.lit("")).alias("place")).agg(F.min(F.struct("id", "oid")).alias("lead"))
+        # one leader for each country (and for links each opportunity id), so no veto loses a match
+        groups = ["key", F.coalesce("country", F.lit("")).alias("place")] + ([F.col("oid").alias("of")] if rule == "2 link" else [])
+        leads = keyed.groupBy(*groups).agg(F.min(F.struct("id", "oid")).alias("lead")).select("key", "place", "lead")
         pairs = keyed.join(leads, "key").where("lead.id < id and (country is null or place = '' or place = country)")
         if rule == "2 link":
             pairs = pairs.where("oid = '' or lead.oid = '' or oid = lead.oid")

@@ -36,6 +36,13 @@ def test_rules_and_country_veto(spark):
     assert got == {2: (1, "1 id"), 4: (1, "2 link"), 5: (1, "5 value"), 6: (1, "5 value"), 7: (1, "1 id")}
 
 
+def test_a_vetoed_link_leader_hides_no_other(spark):
+    rows = [(1, "X", "l", "a", None, None, None), (2, "", "l", "b", None, None, None), (3, "Y", "l", "c", None, None, None), (4, "Z", "l", "d", None, None, "Mali"), (5, "Y", "m", "e", None, None, "Mali")]
+    frame = spark.createDataFrame(rows, "id long, oid string, link string, funder string, deadline date, value long, country string")
+    got = {r.id: (r.lead, r.rule) for r in dedup.rule_pairs(frame).collect()}
+    assert got == {2: (1, "2 link"), 3: (2, "2 link"), 4: (2, "2 link"), 5: (3, "1 id")}
+
+
 def test_gap_fill(spark):
     schema = "id long, title string, amount long"
     old = spark.createDataFrame([(1, "a", None), (2, " ", 5), (3, "c", 7)], schema)
