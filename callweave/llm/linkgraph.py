@@ -34,7 +34,7 @@ class Rule(NamedTuple):
 
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 ROUNDS, DAMPING, RATIO, LEAST = 8, 0.85, 1.0, 1e-6
-#: Mass of a walk that may be left when it ends, and rounds between two cuts. The damping bounds the rounds: 86 of them.
+#: Mass of a walk that may be left when it ends, and rounds between two cuts. The damping bounds the rounds: 88 of them.
 TOLERANCE, STEPS = 1e-6, 4
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(https?://[^"'\s>]+)"""
 
