@@ -1,6 +1,9 @@
+import math
 import random
 import zlib
 
+import numpy as np
+
 from callweave.llm import toxicity
 
 from .conftest import sentence
@@ -37,6 +40,66 @@ def test_held_out_labels_are_never_read(spark):
     assert (a.weights == b.weights).all() and a.bias == b.bias
 
 
+def plain_pass(z, n, rows):
+    """FTRL-proximal by its formulas, a coordinate at a time; z and n are dicts, -1 is the bias."""
+    for places, y in rows:
+        w = {}
+        for i in places:
+            zi = z.get(i, 0.0)
+            w[i] = 0.0 if abs(zi) <= toxicity.L1 else -(zi - math.copysign(toxicity.L1, zi)) / ((toxicity.SMOOTH + math.sqrt(n.get(i, 0.0))) / toxicity.RATE + toxicity.L2)
+        w[-1] = -z.get(-1, 0.0) / ((toxicity.SMOOTH + math.sqrt(n.get(-1, 0.0))) / toxicity.RATE)
+        g = 1 / (1 + math.exp(-max(-30, min(30, sum(w.values()))))) - y
+        if abs(g) < 1e-4:
+            continue
+        for i, wi in w.items():
+            old = n.get(i, 0.0)
+            z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / toxicity.RATE * wi
+            n[i] = old + g * g
+
+
+def test_weights_equal_plain_ftrl(spark):
+    docs, labels = tables(spark, 240)
+    text, label = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.toxic for r in labels.collect()}
+    keys = sorted(i for i in text if zlib.crc32(str(i).encode()) % 4 != 2)
+    shards = {r.doc_id: r.s for r in docs.select("doc_id", toxicity.shard_of(docs["doc_id"]).alias("s")).collect()}
+    z, n = {}, {}
+    for turn in range(toxicity.ROUNDS):
+        states = []
+        for s in range(toxicity.SHARDS):
+            own = [k for k in keys if shards[k] == s]
+            order = np.random.default_rng(turn).permutation(len(own))
+            a, b = dict(z), dict(n)
+            plain_pass(a, b, [(toxicity.distinct_features([text[own[i]]])[0].tolist(), label[own[i]]) for i in order])
+            states.append((a, b))
+        z, n = ({i: sum(x[k].get(i, 0.0) for x in states) / toxicity.SHARDS for i in set().union(*(x[k] for x in states))} for k in (0, 1))
+    model = toxicity.train(docs, labels)
+    want = np.zeros(1 << toxicity.BITS)
+    for i, zi in z.items():
+        if i >= 0 and abs(zi) > toxicity.L1:
+            want[i] = -(zi - math.copysign(toxicity.L1, zi)) / ((toxicity.SMOOTH + math.sqrt(n[i])) / toxicity.RATE + toxicity.L2)
+    assert np.count_nonzero(want) > 5 and np.abs(model.weights - want).max() < 1e-5
+    bias = -z[-1] / ((toxicity.SMOOTH + math.sqrt(n[-1])) / toxicity.RATE)
+    assert abs(model.bias - bias) < 1e-6
+    scored = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for k in keys[:20]:
+        total = bias + sum(want[i] for i in set(toxicity.distinct_features([text[k]])[0].tolist()))
+        assert abs(scored[k] - 1 / (1 + math.exp(-total))) < 1e-5
+
+
+def test_each_shard_trains_in_its_own_task(spark):
+    docs, _ = tables(spark, 400)
+    dealt = docs.select(toxicity.shard_of(docs["doc_id"]).alias("shard")).repartitionByRange(toxicity.SHARDS, "shard")
+    held = [set(x) for x in dealt.rdd.map(lambda r: r.shard).glom().collect() if x]
+    assert len(held) == toxicity.SHARDS and all(len(x) == 1 for x in held)
+
+
+def test_several_labels_of_one_document(spark):
+    docs, labels = tables(spark, 200)
+    mixed = labels.unionByName(labels.selectExpr("doc_id", "quality", "0 as toxic"))
+    a, b = toxicity.train(docs, labels), toxicity.train(docs, mixed)
+    assert (a.weights == b.weights).all() and a.bias == b.bias
+
+
 def test_weights_are_sparse(spark):
     model = toxicity.train(*tables(spark))
     assert 0 < (model.weights != 0).sum() < 0.1 * len(model.weights)
