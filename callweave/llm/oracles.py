@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import ALPHA, CANDIDATES, DELTA, MIN_WORDS, RULES
+from .quality import ALPHA, DELTA, LEVELS, MIN_WORDS
 
 WARC = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
  g AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS first FROM p)
@@ -11,10 +11,8 @@ WARC = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coale
 _WORD = r"[^\x20\x09-\x0D]"
 _PER = {"r_symbols": ("n_symbols", "word_chars"), "r_dup_lines": ("n_dup_lines", "n_lines"), "r_repeat": ("n_repeat_words", "n_words"), "r_exclaim": ("n_exclaim", "word_chars"), "r_capitals": ("n_capitals", "word_chars")}
 _RATIOS = ", ".join(f"CAST(floor({a} * 1000 / greatest({b}, 1)) AS BIGINT) AS {r}" for r, (a, b) in _PER.items())
-_RULES = ", ".join(f"'{r}'" for r in RULES)
-_VALUES = ", ".join(RULES)
-_REJECTED = " OR ".join(f"coalesce({r} > cut_{r}, false)" for r in RULES)
-_CUTS = ", ".join(f"min(CASE WHEN rule = '{r}' THEN cutoff END) AS cut_{r}" for r in RULES)
+_FIRST = "least(" + ", ".join(f"len(list_filter({list(cutoffs)}, lambda c: {r} <= c))" for r, cutoffs in LEVELS.items()) + ")"
+_N = len(LEVELS["r_symbols"])
 
 QUALITY = f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l FROM documents),
  i AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d),
@@ -23,9 +21,9 @@ QUALITY = f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_ex
  s AS (SELECT d.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(l) AS n_lines, length(t) - length(replace(t, '!', '')) AS n_exclaim, len(regexp_extract_all(t, '[A-Z]')) AS n_capitals FROM d LEFT JOIN c USING (doc_id)),
  v AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, {_RATIOS} FROM s),
- good AS (SELECT lang, {_VALUES} FROM v WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
- u AS (SELECT lang, unnest([{_RULES}]) AS rule, unnest([{_VALUES}]) AS value FROM good),
- k AS (SELECT lang, rule, cutoff, count(*) AS n, count(*) FILTER (value > cutoff) AS k FROM u, (SELECT unnest({list(CANDIDATES)}) AS cutoff) GROUP BY 1, 2, 3),
+ f AS (SELECT *, {_FIRST} AS first FROM v),
+ good AS (SELECT lang, first FROM f WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+ k AS (SELECT lang, level, count(*) AS n, count(*) FILTER (first <= level) AS k FROM good, (SELECT unnest(range(0, {_N})) AS level) GROUP BY 1, 2),
  p AS (SELECT *, CASE WHEN k < n * {ALPHA} THEN list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - (CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA})))) ELSE 1 END AS p FROM k),
- cuts AS (SELECT lang AS stratum, {_CUTS} FROM p WHERE p <= {DELTA} / (SELECT count(*) FROM k) GROUP BY 1)
- SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_REJECTED}) AS kept FROM v LEFT JOIN cuts ON lang IS NOT DISTINCT FROM stratum"""
+ cuts AS (SELECT lang AS stratum, coalesce(min(level) FILTER (p > {DELTA} / (SELECT count(*) FROM k WHERE level = 0)), {_N}) - 1 AS level FROM p GROUP BY 1)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(first > level, true) AS kept FROM f LEFT JOIN cuts ON lang IS NOT DISTINCT FROM stratum"""

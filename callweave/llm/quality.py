@@ -1,11 +1,13 @@
-"""Quality rules with risk-controlled cutoffs, in DataFrame functions only.
+"""Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Every rule is a number per document (share of repeated words, of duplicate lines, symbols and capitals per
-character, ...) and rejects above its cutoff. Cutoffs come from labelled holdouts: for each stratum, rule and
-candidate cutoff the false rejections k among n good documents are counted, and an exact binomial tail
-P(Bin(n, alpha) <= k) is the p-value of "this cutoff rejects more than alpha of the good". Cutoffs with a
-p-value of at most delta, divided by the number of tests (Bonferroni over strata, rules and candidates), are
-safe; the strictest safe one is applied. A stratum without a safe cutoff applies no rule.
+character, ...) and rejects above its cutoff. A level holds one cutoff for each rule; from one level to the next
+no cutoff rises, so each level rejects what the one before rejects. For each stratum the levels are tested in this
+fixed order on labelled holdouts: of n good documents the level's rules together reject k, and the exact binomial
+tail P(Bin(n, alpha) <= k) is the p-value of "this level rejects more than alpha of the good". Testing stops at the
+first level whose p-value is above delta / strata; the one before is applied. A fixed sequence needs no correction
+for its length, and Bonferroni covers the strata: with a probability of 1 - delta no stratum loses more than alpha
+of its good documents to all rules together. A stratum too small for the first level applies no rule.
 
 Edge cases: null and empty texts have no words and fail the base rule. Null strata form a stratum of their own.
 Labels that are null are not used; without labels only the base rule rejects. Repeated rows each get a verdict.
@@ -19,10 +21,15 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, WORD_CLASS, cut, stored
 
 SYMBOLS = "#*$%&|<>"
-#: Candidate cutoffs, in thousandths, of each rule; integers keep every comparison exact.
-CANDIDATES = (1000, 800, 600, 400, 300, 200, 150, 100, 70, 50, 30, 20, 10)
-RULES = ("r_symbols", "r_dup_lines", "r_repeat", "r_exclaim", "r_capitals")
-ALPHA, DELTA = 0.01, 0.05
+#: The cutoffs of each rule in thousandths, from the mildest level to the strictest; integers keep every comparison exact.
+LEVELS = {
+    "r_symbols": (500, 400, 300, 250, 200, 150, 100, 80, 60, 40, 30, 20),
+    "r_dup_lines": (950, 900, 850, 800, 700, 600, 500, 450, 400, 350, 300, 250),
+    "r_repeat": (500, 490, 480, 470, 450, 430, 400, 380, 350, 320, 300, 250),
+    "r_exclaim": (500, 400, 300, 250, 200, 150, 100, 80, 60, 50, 40, 30),
+    "r_capitals": (950, 900, 850, 800, 700, 600, 500, 450, 400, 350, 300, 250),
+}
+ALPHA, DELTA = 0.025, 0.05
 MIN_WORDS = 50
 
 
@@ -108,49 +115,48 @@ def log_binomial_tail(n: Column, k: Column, alpha: float) -> Column:
     return F.when(k < n * alpha, tail).otherwise(F.lit(0.0))
 
 
-def safe_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str = "lang", key: str = "doc_id", good: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Rows (stratum, one cutoff in thousandths or null per rule) from the good labelled documents that pass the base rule."""
-    held = labels.where(F.col(good) == 1).select(F.col(key).alias("__key")).distinct()
-    rows = stats.where(~F.col("base_failed")).select(F.col(key).alias("__key"), F.col(stratum).alias("stratum"), *RULES).join(held, "__key", "left_semi")
-    # one row per stratum: all false-rejection counts come from one aggregation with map-side sums
-    counts = [F.count_if(F.col(r) > c).alias(f"{r}_{c}") for r in RULES for c in CANDIDATES]
-    per = cut(rows.groupBy("stratum").agg(F.count("*").alias("n"), *counts))
-    tests = max(per.count(), 1) * len(RULES) * len(CANDIDATES)
-    long = per.select(
-        "stratum", "n",
-        F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{c}").alias("k")) for r in RULES for c in CANDIDATES])).alias("x"),
-    ).select("stratum", "n", "x.*")
-    safe = long.where(log_binomial_tail(F.col("n").cast("double"), F.col("k"), alpha) <= F.log(F.lit(delta / tests)))
-    return safe.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
+def first_rejecting(levels: dict[str, tuple[int, ...]] = LEVELS) -> Column:
+    """The first level whose rules reject the row; the number of levels if none does."""
+    passes = lambda rule: lambda cutoff: F.col(rule) <= cutoff
+    return F.least(*[F.size(F.filter(F.array(*map(F.lit, cutoffs)), passes(rule))) for rule, cutoffs in levels.items()])
 
 
-def _verdicts(docs: DataFrame, labels: DataFrame, text: str, stratum: str, key: str) -> tuple[DataFrame, DataFrame]:
-    slim = docs.select(F.col(key).alias("doc_id"), F.col(stratum).alias("lang"), F.col(text).alias("text"))
-    stats = cut(_rule_values(text_stats(slim).drop("text").withColumn("base_failed", base_failed())))
-    return stats, stored(safe_cutoffs(stats, labels.select(F.col(key).alias("doc_id"), F.col("quality"))), "cutoffs")  # a file of known size: a broadcast below the threshold, a join beyond it
+def safe_levels(counts: DataFrame, n_levels: int, alpha: float = ALPHA, delta: float = DELTA, strata: int | None = None) -> DataFrame:
+    """counts: (stratum, n, k: rejected good documents at each level). (stratum, level): the last level before the first that fails its test."""
+    tests = max(strata if strata is not None else counts.count(), 1)
+    failed = [F.when(log_binomial_tail(F.col("n").cast("double"), F.get("k", F.lit(i)), alpha) > F.log(F.lit(delta / tests)), i) for i in range(n_levels)]
+    return counts.select("stratum", (F.coalesce(*failed, F.lit(n_levels)) - 1).alias("level")).where("level >= 0")
 
 
-def _kept() -> Column:
-    rejected = F.lit(False)
-    for r in RULES:
-        rejected = rejected | F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False))
-    return ~F.col("base_failed") & ~rejected
+def _levels_of(stats: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
+    """(stratum, level) from the good labelled documents that pass the base rule; stats: (doc_id, lang, base_failed, first)."""
+    n = len(next(iter(LEVELS.values())))
+    held = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("__key")).distinct()
+    rows = stats.where(~F.col("base_failed")).select(F.col("doc_id").alias("__key"), F.col("lang").alias("stratum"), "first").join(held, "__key", "left_semi")
+    # one row per stratum: all counts come from one aggregation with map-side sums
+    per = cut(rows.groupBy("stratum").agg(F.count("*").alias("n"), F.array(*[F.count_if(F.col("first") <= i) for i in range(n)]).alias("k")))
+    return stored(safe_levels(per, n, alpha, delta), "levels")  # a file of known size: a broadcast below the threshold, a join beyond it
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", key: str = "doc_id") -> DataFrame:
-    """(doc_id, lang), the statistics, the cutoffs used and the verdict `kept`; the text itself is not returned."""
-    stats, cuts = _verdicts(docs, labels, text, stratum, key)
-    return stats.join(cuts, stats["lang"].eqNullSafe(cuts["stratum"]), "left").drop("stratum").withColumn("kept", _kept())
+def _stats(docs: DataFrame) -> DataFrame:
+    return _rule_values(text_stats(docs).withColumn("base_failed", base_failed())).withColumn("first", first_rejecting())
 
 
-def accepted(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", key: str = "doc_id") -> DataFrame:
-    """The documents that are kept. Only the cutoffs, a row per stratum, are joined: no text is shuffled.
+def _kept() -> Column:
+    return ~F.col("base_failed") & F.coalesce(F.col("first") > F.col("level"), F.lit(True))
+
+
+def judge_quality(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", key: str = "doc_id", good: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(doc_id, lang), the statistics, the first level that rejects, the stratum's level and the verdict `kept`; the text itself is not returned."""
+    slim = docs.select(F.col(key).alias("doc_id"), F.col(stratum).alias("lang"), F.col(text).alias("text"))
+    stats = cut(_stats(slim).drop("text"))
+    levels = _levels_of(stats, labels.select(F.col(key).alias("doc_id"), F.col(good).alias("quality")), alpha, delta)
+    return stats.join(levels, stats["lang"].eqNullSafe(levels["stratum"]), "left").drop("stratum").withColumn("kept", _kept())
+
 
-    The filter stays above the statistics: pushed below them, it would hold each nested expression many times over.
-    A number per row, which the filter reads and which is not deterministic, keeps it there.
-    """
-    _, cuts = _verdicts(docs, labels, text, stratum, key)
-    packed = docs.select(F.col(text).alias("text"), F.col(stratum).alias("lang"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    stats = _rule_values(text_stats(packed).withColumn("base_failed", base_failed())).withColumn("number", F.monotonically_increasing_id())
-    judged = stats.join(cuts, stats["lang"].eqNullSafe(cuts["stratum"]), "left").where(_kept() & (F.col("number") >= 0))
-    return judged.select("row.*")
+def accepted(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", key: str = "doc_id", good: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """The documents that are kept. The rows are written once beside their statistics, so no text is counted twice or shuffled."""
+    packed = docs.select(F.col(key).alias("doc_id"), F.col(stratum).alias("lang"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    stats = stored(_stats(packed).select("doc_id", "lang", "base_failed", "first", "row"), "quality")
+    levels = _levels_of(stats, labels.select(F.col(key).alias("doc_id"), F.col(good).alias("quality")), alpha, delta)
+    return stats.join(levels, stats["lang"].eqNullSafe(levels["stratum"]), "left").where(_kept()).select("row.*")

@@ -1,9 +1,11 @@
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from callweave.llm import quality
 
+from ..compare import SF, difference, duck
 from . import brute
 from .conftest import sample_documents
 
@@ -50,6 +52,47 @@ def test_cutoffs_hold_the_risk(spark):
     assert {r.doc_id for r in quality.accepted(docs, marks).collect()} == {r.doc_id for r in out.where("kept").collect()}
 
 
+def test_levels_only_tighten():
+    assert len({len(x) for x in quality.LEVELS.values()}) == 1
+    assert all(list(x) == sorted(x, reverse=True) for x in quality.LEVELS.values())
+
+
+def test_levels_stop_at_the_first_failure(spark):
+    """Against exact tails; the fourth level would pass again by itself, but the sequence has ended."""
+    rows = [("a", 1000, [0, 5, 40, 0]), ("b", 100, [0, 0, 0, 0]), (None, 150, [0, 0, 0, 0]), ("c", 5000, [0, 50, 90, 120])]
+    got = {r.stratum: r.level for r in quality.safe_levels(spark.createDataFrame(rows, "stratum string, n long, k array<long>"), 4).collect()}
+    want = {}
+    for s, n, ks in rows:
+        level = -1
+        while level < 3 and ks[level + 1] < n * quality.ALPHA and brute.binomial_tail(n, ks[level + 1], quality.ALPHA) <= quality.DELTA / len(rows):
+            level += 1
+        if level >= 0:
+            want[s] = level
+    assert got == want == {"a": 1, "c": 2}
+
+
+def test_risk_is_limited_over_many_holdouts(spark):
+    """Holdouts drawn from known risks: at most about DELTA of them may lead to a level whose true risk is above ALPHA."""
+    rnd, risks = np.random.default_rng(3), [0.0, 0.01, 0.02, 0.03, 0.06]
+    draws = []
+    for i in range(600):
+        n = int(rnd.integers(150, 1500))
+        first = np.searchsorted(risks, rnd.random(n))  # the first level that rejects each good document
+        draws.append((str(i), n, [int((first <= k).sum()) for k in range(len(risks))]))
+    chosen = quality.safe_levels(spark.createDataFrame(draws, "stratum string, n long, k array<long>"), len(risks), strata=1).collect()
+    violated = sum(risks[r.level] > quality.ALPHA for r in chosen)
+    assert len(chosen) > 500 and violated <= quality.DELTA * 600 + 3 * math.sqrt(600 * quality.DELTA)
+    assert sum(risks[r.level] > 0 for r in chosen) > 100  # and the bound is not so wide that nothing passes
+
+
+def test_query_with_levels_that_act_equals_sql(spark):
+    from callweave.llm import queries
+
+    out = queries.op9_quality_rules(spark, SF)
+    assert out.where("not kept and not base_failed").count() > 0  # a level is applied on these tables
+    assert difference(out, queries.oracle_sql()["op9_quality_rules"], duck()) == ""
+
+
 def test_main_path_is_native(documents, spark):
     plan = quality.accepted(documents, labels(spark, []))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
