@@ -1,81 +1,97 @@
 """SimHash near-dedup: fingerprints of word shingles, linked through vantage-point trees.
 
-A fingerprint bit is set if it is set in more than half of the shingles' hashes. Equal fingerprints are joined
-first. The distinct ones are dealt to shards by the upper levels of a vantage-point tree, which is fitted on a
-bounded sample (`SAMPLE` fingerprints) but routes all: at each node a fingerprint goes inside if its Hamming
-distance to the vantage is at most the node's radius, else outside. For two fingerprints within `radius` r of each
-other, one inside and one outside, the triangle inequality puts the inner one among the last r distances inside;
-so those, and only those, go outside too. Every pair thus meets in some shard, and no shard is searched in full
-by fingerprints that bounds rule out. Within a shard the tree goes on until blocks are small, and blocks are
-compared with popcounts. A shard returns a star per local group, not pairs; groups are joined in Spark.
-
-One fingerprint of 64 bits parts near copies by chance: a changed word in 150 moves four bits on average. So
-several tables can be asked for, whose fingerprints come from the same shingle hashes, mixed anew for each; a pair
-within the radius in any table is linked. The precision of a link stays, and few near copies are missed.
-
-Edge cases: null and empty texts have fingerprint 0 and link like any other; repeated rows share a fingerprint;
-an empty table gives an empty result. Ties go to the smallest id; null ids are ignored as representatives.
+A fingerprint bit is set if it is set in more than half of the shingles' hashes; Spark hashes the shingles, a task
+counts the bits. Distinct fingerprints are dealt to shards by a vantage-point tree, which is fitted on a sample
+(hash-chosen, some per shard) but routes all: at each node a fingerprint goes inside if its Hamming distance to the
+vantage is at most the node's, else outside. For two fingerprints within r of each other, one inside and one
+outside, the triangle inequality puts the inner one among the last r distances inside; so those, and only those, go
+outside too. Every such pair thus meets in some shard. Where no vantage parts a dense group, it is dealt by its bits:
+a pair within three bits agrees in one of four blocks of bits, so copies go to the shard of each block's value.
+Within a shard the tree goes on until blocks are small, and blocks are compared with popcounts. A shard returns a
+forest, not pairs; components are found in Spark.
+
+`near_duplicate_classes` links fingerprints within `radius` (exactly, by one table). `one_of_each` keeps one document
+of each class of texts whose shingle sets have a Jaccard similarity of `similarity` or more: such pairs differ in ten
+of 64 bits, too many for one exact table. So some tables are dealt with a ring of RING; within a shard all pairs
+near in all tables together are candidates, of which the least spanning forest and each text's busiest neighbour are
+kept, and the shingle sets of these are compared exactly. Near pairs may be missed where all tables part them
+(`tests/llm/test_simhash.py` holds the recall against brute force); no pair below the similarity is linked.
+
+Edge cases: null and empty texts have fingerprint 0 and link like any other; texts shorter than a shingle are one
+shingle; repeated rows share a fingerprint; an empty table gives an empty result. Ties go to the smallest id; null
+ids are ignored as representatives.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, stored
+from .common import SPACE_CLASS, cut, mix, stored
 from .components import connected_components
 
-RADIUS, SHINGLE, SEED = 3, 3, 42
-#: Tables for removing near copies, and what is mixed into the hashes of each.
-TABLES = 6
+RADIUS, SHINGLE = 3, 3
+#: Near copies: words of a shingle, least Jaccard similarity, tables, and ring of boundary copies.
+NEAR_SHINGLE, SIMILARITY, TABLES, RING = 5, 0.8, 4, 4
+#: What is mixed into the hashes of each table after the first.
 SALTS = mix(np.arange(1, 65, dtype=np.uint64))
-SAMPLE, SHARD_ROWS, DEEPEST, BLOCK = 16_384, 8_000, 12, 1_024
-
-
-def fingerprints_of(text: str | None, shingle: int = SHINGLE, tables: int = 1) -> np.ndarray:
-    """The text's fingerprint in each table; the first is that of the plain hashes."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(tables, np.uint64)
-    joined = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        hashes = np.array([digest(joined, SEED)], np.uint64)
-    else:
-        lengths = [len(w) for w in words]
-        ends = list(accumulate(n + 1 for n in lengths))
-        hashes = np.array([digest(joined[end - n - 1 : last - 1], SEED) for end, n, last in zip(ends, lengths, ends[shingle - 1 :], strict=False)], np.uint64)
-    out = np.empty(tables, np.uint64)
-    for t in range(tables):
-        bits = np.unpackbits((mix(hashes ^ SALTS[t]) if t else hashes).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        out[t] = np.packbits(bits.sum(axis=0, dtype=np.int32) * 2 > len(hashes), bitorder="little").view("<u8")[0]
-    return out
+#: Most differing bits of a candidate in one table, and in the mean over all tables. At similarity 0.8 a bit differs
+#: with probability arccos(2 * 0.8 / 1.8) / pi = 0.1515: 9.7 of 64.
+BITS_ONE, BITS_MEAN = 19, 14
+SHARD_ROWS, BLOCK, SAMPLE_PER_SHARD, LEAST_SAMPLE = 12_000, 1_024, 24, 16_384
+
+
+# ---------------------------------------------------------------- fingerprints
+
+
+def shingles(words: Column, shingle: int) -> Column:
+    """64-bit hashes (XXH64, seed 42) of all shingles of a column of words, repeats included; fewer words are one shingle."""
+    n = F.size(words)
+    at = lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(words, i + k) for k in range(shingle)]))
+    many = F.transform(F.sequence(F.lit(0), n - shingle), at)
+    return F.when(n == 0, F.array().cast("array<bigint>")).when(n <= shingle, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(many)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    return int(fingerprints_of(text, shingle)[0])
+def with_shingles(df: DataFrame, text: str, shingle: int, name: str = "hashes") -> DataFrame:
+    """df with the hashes of its text's shingles: A-Z lower-cased, words parted by ASCII white space."""
+    low = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    worded = df.withColumn("__words", F.array_remove(F.split(low, f"{SPACE_CLASS}+"), ""))
+    return worded.withColumn(name, shingles(F.col("__words"), shingle)).drop("__words")
+
+
+def majority(hashes: np.ndarray, tables: int = 1) -> np.ndarray:
+    """The fingerprint of some hashes in each table; the first is that of the plain hashes."""
+    out = np.zeros(tables, np.uint64)
+    if len(hashes):
+        for t in range(tables):
+            bits = np.unpackbits((mix(hashes ^ SALTS[t]) if t else hashes).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            out[t] = np.packbits(bits.sum(axis=0, dtype=np.int32) * 2 > len(hashes), bitorder="little").view("<u8")[0]
+    return out
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, tables: int = 1) -> DataFrame:
-    """(doc_id, mark, fp, others): a hash of the text, the fingerprint as a signed long, and those of further tables."""
+    """(id, own, mark, fps): hashes of the text and of its words, and the fingerprints as signed longs."""
     kind = dict(docs.dtypes)[key]
+    slim = with_shingles(docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("own"), F.col(text).alias("text")), "text", shingle)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lists = batch.column(3)
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
             found = np.empty((batch.num_rows, tables), np.uint64)
-            for i, t in enumerate(batch.column("text")):
-                found[i] = fingerprints_of(t.as_py(), shingle, tables)
-            others = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (tables - 1)), pa.array(found[:, 1:].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "mark": batch.column("mark"), "fp": pa.array(found[:, 0].copy().view(np.int64)), "others": others})
+            for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                found[i] = majority(values[a:b], tables)
+            fps = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * tables), pa.array(found.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], fps], names=["id", "own", "mark", "fps"])
 
-    return docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text")).mapInArrow(scan, f"key {kind}, mark long, fp long, others array<long>").withColumnRenamed("key", key)
+    hashed = slim.select("id", "own", F.xxhash64("hashes").alias("mark"), "hashes")
+    return hashed.mapInArrow(scan, f"id {kind}, own long, mark long, fps array<long>")
 
 
 # ---------------------------------------------------------------- vantage-point trees
@@ -85,8 +101,8 @@ def distances(fps: np.ndarray, vantage: int) -> np.ndarray:
     return np.bitwise_count(fps ^ np.uint64(vantage))
 
 
-def choose(fps: np.ndarray, radius: int, tries: int = 12) -> tuple[int, int, float] | None:
-    """The vantage and split distance that leave the least work: the larger side with its copies, as a share."""
+def choose(fps: np.ndarray, radius: int, tries: int = 12) -> tuple[int, int] | None:
+    """The vantage and split distance that leave the least work; None if none makes both sides smaller."""
     best = None
     some = fps if len(fps) <= 4096 else fps[:: len(fps) // 4096]
     for vantage in some[:: max(1, len(some) // tries)][:tries]:
@@ -98,136 +114,262 @@ def choose(fps: np.ndarray, radius: int, tries: int = 12) -> tuple[int, int, flo
             work = inside[mu] ** 2 + outside**2
             if max(inside[mu], outside) < 0.95 and (best is None or work < best[2]):
                 best = (int(vantage), mu, work)
-    return best
-
-
-def grow(fps: np.ndarray, depth: int, radius: int) -> tuple | None:
-    """(vantage, split, inner tree, outer tree), or None for a leaf."""
-    picked = choose(fps, radius) if depth and len(fps) >= 32 else None
+    return best and best[:2]
+
+
+def bit_blocks(free: int) -> list[np.uint64]:
+    """The free bits as four masks of about equal size."""
+    bits = [b for b in range(64) if free >> b & 1]
+    return [np.uint64(sum(1 << b for b in bits[k::4])) for k in range(4)]
+
+
+def grow(fps: np.ndarray, scale: float, radius: int, shard_rows: int = SHARD_ROWS, free: int = (1 << 64) - 1, ids: Iterator[int] | None = None) -> tuple | int:
+    """A tree over a sample that stands for `scale` times its rows. A leaf is a number.
+
+    ("vantage", vantage, distance, inner, outer) parts by distance; ("bits", parts) deals a dense group by the value of
+    each of four masks: (mask, subtrees of the frequent values, first leaf and number of leaves of the others).
+    """
+    ids = count() if ids is None else ids
+    if len(fps) * scale <= shard_rows or len(fps) < 8:
+        return next(ids)
+    if picked := choose(fps, radius):
+        d = distances(fps, picked[0])
+        inner, outer = (grow(x, scale, radius, shard_rows, free, ids) for x in (fps[d <= picked[1]], fps[d > picked[1] - radius]))
+        return "vantage", *picked, inner, outer
+    if free.bit_count() < 8:
+        return next(ids)
+    parts = []
+    for mask in bit_blocks(free):
+        values, n = np.unique(fps & mask, return_counts=True)
+        frequent = values[n * scale > shard_rows]
+        trees = {int(v): grow(fps[fps & mask == v], scale, radius, shard_rows, free & ~int(mask), ids) for v in frequent}
+        leaves = [next(ids) for _ in range(max(1, int(np.ceil(n[n * scale <= shard_rows].sum() * scale / shard_rows))))]
+        parts.append((mask, trees, leaves))
+    return "bits", parts
+
+
+def route(fps: np.ndarray, tree: tuple | int, radius: int, at: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(leaf, places of the fingerprints that belong or are copied to it)."""
+    at = np.arange(len(fps)) if at is None else at
+    if not len(at):
+        return
+    if isinstance(tree, int):
+        yield tree, at
+    elif tree[0] == "vantage":
+        _, vantage, mu, inner, outer = tree
+        d = distances(fps[at], vantage)
+        yield from route(fps, inner, radius, at[d <= mu])
+        yield from route(fps, outer, radius, at[d > mu - radius])
+    else:
+        for mask, trees, leaves in tree[1]:
+            values, rest = fps[at] & mask, np.ones(len(at), bool)
+            for value, below in trees.items():
+                same = values == np.uint64(value)
+                rest &= ~same
+                yield from route(fps, below, radius, at[same])
+            leaf = (mix(values[rest]) % np.uint64(len(leaves))).astype(np.int64)
+            for k in np.unique(leaf):
+                yield leaves[k], at[rest][leaf == k]
+
+
+def local_blocks(fps: np.ndarray, radius: int, at: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Places of blocks of a shard; pairs within the radius are together in one of them. Dense groups stay whole."""
+    at = np.arange(len(fps)) if at is None else at
+    picked = choose(fps[at], radius) if len(at) > BLOCK else None
     if not picked:
-        return None
-    vantage, mu, _ = picked
-    d = distances(fps, vantage)
-    return vantage, mu, grow(fps[d <= mu], depth - 1, radius), grow(fps[d > mu], depth - 1, radius)
-
-
-def route(fps: np.ndarray, tree: tuple | None, radius: int, at: int = 1) -> Iterator[tuple[int, np.ndarray]]:
-    """(leaf, fingerprints that belong or are copied to it)."""
-    if not len(fps):
+        yield at
         return
-    if tree is None:
-        yield at, fps
+    d = distances(fps[at], picked[0])
+    inner, outer = at[d <= picked[1]], at[d > picked[1] - radius]
+    if max(len(inner), len(outer)) > 0.97 * len(at):
+        yield at
         return
-    vantage, mu, inner, outer = tree
-    d = distances(fps, vantage)
-    yield from route(fps[d <= mu], inner, radius, 2 * at)
-    yield from route(fps[d > mu - radius], outer, radius, 2 * at + 1)
-
-
-def _join_blocks(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Stars of the groups among fps, by comparing blocks until no label falls any more."""
-    labels = np.arange(len(fps))
-    cuts = range(0, len(fps), BLOCK)
-    linked = [(i, j, near) for i in cuts for j in cuts if j >= i and (near := np.bitwise_count(fps[i : i + BLOCK, None] ^ fps[None, j : j + BLOCK]) <= radius).any() and (i != j or near.sum() > len(near))] if len(fps) <= 8 * BLOCK else None
-    changed = True
-    while changed:
-        changed = False
-        pairs = linked if linked is not None else ((i, j, np.bitwise_count(fps[i : i + BLOCK, None] ^ fps[None, j : j + BLOCK]) <= radius) for i in cuts for j in cuts if j >= i)
-        for i, j, near in pairs:
-            a, b = labels[i : i + BLOCK], labels[j : j + BLOCK]
-            rows = np.minimum(a, np.where(near, b[None, :], len(fps)).min(axis=1))
-            cols = np.minimum(b, np.where(near, rows[:, None], len(fps)).min(axis=0))
-            if (rows < a).any() or (cols < b).any():
-                changed = True
-                labels[i : i + BLOCK] = rows
-                labels[j : j + BLOCK] = np.minimum(labels[j : j + BLOCK], cols)
-        labels = labels[labels]  # shorten chains
-    own = np.flatnonzero(labels != np.arange(len(fps)))
-    if len(own):
-        yield fps[own], fps[labels[own]]
+    yield from local_blocks(fps, radius, inner)
+    yield from local_blocks(fps, radius, outer)
+
+
+def stars(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, place of the first of its group): searched outwards from each first one, against those not yet reached.
+
+    Only a strip of distances is held, and each fingerprint is compared once with those that are left.
+    """
+    left, own, root = np.arange(len(fps)), [], []
+    if len(fps) <= BLOCK:  # most blocks hold no pair at all
+        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
+        left = np.flatnonzero(near.sum(axis=1) > 1)
+    while len(left):
+        first, left = left[0], left[1:]
+        front = np.array([first])
+        while len(front) and len(left):
+            step, front = front[:BLOCK], front[BLOCK:]
+            hit = np.zeros(len(left), bool)
+            for a in range(0, len(left), 1 << 14):
+                hit[a : a + (1 << 14)] = (np.bitwise_count(fps[left[a : a + (1 << 14)], None] ^ fps[None, step]) <= radius).any(axis=1)
+            new, left = left[hit], left[~hit]
+            own.append(new)
+            root.append(np.full(len(new), first))
+            front = np.concatenate((front, new))
+    return (np.concatenate(own), np.concatenate(root)) if own else (np.zeros(0, np.int64),) * 2
 
 
 def local_stars(fps: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (fingerprint, one of its group) that join all groups of fingerprints within `radius`."""
-    if len(fps) <= BLOCK or not (picked := choose(fps, radius)):
-        yield from _join_blocks(fps, radius)
-        return
-    vantage, mu, _ = picked
-    d = distances(fps, vantage)
-    inner, outer = fps[d <= mu], fps[d > mu - radius]
-    if max(len(inner), len(outer)) > 0.97 * len(fps):
-        yield from _join_blocks(fps, radius)
-        return
-    yield from local_stars(inner, radius)
-    yield from local_stars(outer, radius)
+    for at in local_blocks(fps, radius):
+        own, root = stars(fps[at], radius)
+        if len(own):
+            yield fps[at][own], fps[at][root]
+
+
+def nearest_forest(fps: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """fps: rows of several tables. Edges of the least spanning forest of all pairs that differ in at most `most` bits (Prim)."""
+    n = len(fps)
+    best, parent, left = np.full(n, most + 1), np.zeros(n, np.int64), np.ones(n, bool)
+    at = 0
+    for _ in range(n - 1):
+        left[at] = False
+        d = np.bitwise_count(fps ^ fps[at]).sum(axis=1)
+        better = left & (d < best)
+        best[better], parent[better] = d[better], at
+        at = int(np.argmin(np.where(left, best, most + 2)))
+        if best[at] <= most:
+            yield at, int(parent[at])
+
+
+def local_candidates(fps: np.ndarray, t: int, radius: int = RING, one: int = BITS_ONE, mean: float = BITS_MEAN) -> Iterator[tuple[int, int]]:
+    """Pairs of places of a shard of table t: in each block, the least spanning forest of all candidates and each text's busiest neighbour."""
+    most = int(mean * fps.shape[1])
+    for at in local_blocks(fps[:, t], radius):
+        rows = fps[at]
+        busy, strip = np.zeros(len(rows), np.int64), max(1, (1 << 20) // max(len(rows), 1))
+        hits: list[tuple[np.ndarray, np.ndarray]] = []
+        for passes in range(2):  # how many neighbours each has; then the busiest of them
+            for a in range(0, len(rows), strip):
+                i, j = np.nonzero(np.bitwise_count(rows[a : a + strip, None, t] ^ rows[None, :, t]) <= one)
+                near = np.bitwise_count(rows[a + i] ^ rows[j]).sum(axis=1) <= most
+                i, j = i[near] + a, j[near]
+                if passes == 0:
+                    busy += np.bincount(i, minlength=len(rows))
+                    continue
+                i, j = i[i != j], j[i != j]
+                order = np.lexsort((j, -busy[j], i))
+                i, j = i[order], j[order]
+                first = np.concatenate(([True], i[1:] != i[:-1])) if len(i) else np.zeros(0, bool)
+                hits.append((i[first], j[first]))
+            if busy.max(initial=0) < 2:
+                break
+        for i, j in hits:
+            yield from zip(at[i].tolist(), at[j].tolist(), strict=True)
+        some = np.flatnonzero(busy > 1)
+        for i, j in nearest_forest(rows[some], most):
+            yield int(at[some[i]]), int(at[some[j]])
+
+
+# ---------------------------------------------------------------- on DataFrames
+
+
+def _trees(nodes: DataFrame, tables: int, radius: int) -> list[tuple | int]:
+    """A tree for each table, grown on hash-chosen nodes: some for each shard there will be."""
+    n = nodes.count()
+    wanted = max(LEAST_SAMPLE, SAMPLE_PER_SHARD * n // SHARD_ROWS)
+    share = min(1.0, wanted / max(n, 1))
+    picked = nodes.where(F.pmod(F.xxhash64("m"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else nodes
+    if n <= SHARD_ROWS:
+        return [0] * tables
+    columns = picked.select(*[F.col("fps")[t].alias(f"f{t}") for t in range(tables)]).toArrow()
+    samples = [np.unique(columns[t].to_numpy().view(np.uint64)) for t in range(tables)]
+    return [grow(s[np.argsort(mix(s))], n / max(len(s), 1), radius) for s in samples]
+
+
+def _dealt(nodes: DataFrame, tables: int, radius: int) -> DataFrame:
+    """nodes: (m, fps). Rows (t, leaf, m, fps) for each shard that a node belongs or is copied to."""
+    shared = nodes.sparkSession.sparkContext.broadcast(_trees(nodes, tables, radius))  # about two nodes for each shard
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, lists = batch.column(0), batch.column(1)
+            fps = lists.flatten().to_numpy().view(np.uint64).reshape(-1, tables)
+            for t, tree in enumerate(shared.value):
+                found = list(route(fps[:, t], tree, radius))
+                if not found:
+                    continue
+                at = np.concatenate([x for _, x in found])
+                leaf = np.repeat([k for k, _ in found], [len(x) for _, x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(leaf.astype(np.int64)), m.take(pa.array(at)), lists.take(pa.array(at))], names=["t", "leaf", "m", "fps"])
+
+    return nodes.mapInArrow(deal, "t int, leaf long, m long, fps array<long>")
 
 
 def fingerprint_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """nodes: (t, fp), distinct. Rows (t, a, b) whose connected components are those of all pairs of a table within `radius`."""
-    trees: dict[int, tuple | None] = {}
-    for t, n in nodes.groupBy("t").agg(F.count("*").alias("n")).collect():  # a row a table
-        depth = min(DEEPEST, max(0, int(np.ceil(np.log2(n / SHARD_ROWS)))) + 2) if n > SHARD_ROWS else 0
-        if not depth:
-            trees[t] = None
-            continue
-        share = min(1.0, SAMPLE / n)
-        picked = nodes.where((F.col("t") == t) & (F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) <= int(share * (1 << 20)))).limit(2 * SAMPLE)
-        sample = np.array(sorted(r.fp for r in picked.select("fp").collect()), np.int64).view(np.uint64)
-        trees[t] = grow(sample[np.argsort(sample * np.uint64(0x9E3779B97F4A7C15))], depth, radius)
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for t, own in batch.groupby("t"):
-                for leaf, part in route(own["fp"].to_numpy().view(np.uint64), trees[t], radius):
-                    yield pd.DataFrame({"t": np.full(len(part), t), "leaf": np.full(len(part), leaf), "fp": part.view(np.int64)})
+    """nodes: (fp), distinct. Rows (a, b) whose connected components are those of all pairs within `radius`."""
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
-        found = list(local_stars(np.unique(group["fp"].to_numpy()).view(np.uint64), radius))
+        found = list(local_stars(np.unique(group["m"].to_numpy()).view(np.uint64), radius))
         a, b = (np.concatenate([x[k] for x in found]).view(np.int64) if found else np.zeros(0, np.int64) for k in (0, 1))
-        return pd.DataFrame({"t": np.full(len(a), group["t"].iloc[0]), "a": a, "b": b})
-
-    return nodes.mapInPandas(deal, "t int, leaf long, fp long").groupBy("t", "leaf").applyInPandas(link, "t int, a long, b long")
-
-
-def _classes(docs: DataFrame, key: str, text: str, radius: int, shingle: int, tables: int) -> tuple[DataFrame, DataFrame]:
-    """(id, mark, fp) of the documents, and (fp, root) of the distinct fingerprints of the first table."""
-    marked = stored(fingerprints(docs, key, text, shingle, tables).withColumnRenamed(key, "id"), "fingerprints")
-    firsts = marked.select("fp").distinct()
-    node = lambda t, fp: F.struct(F.col(t).alias("t") if isinstance(t, str) else F.lit(t).alias("t"), F.col(fp).alias("fp"))
-    nodes = firsts.select(F.lit(0).alias("t"), "fp")
-    if tables > 1:
-        # which first fingerprints go with which others; only others that link or are shared can join classes
-        spread = cut(marked.select("fp", F.posexplode("others").alias("t", "other")).select("fp", (F.col("t") + 1).alias("t"), "other").distinct())
-        nodes = nodes.unionByName(spread.select("t", F.col("other").alias("fp")).distinct())
-    links = cut(fingerprint_links(cut(nodes), radius))
-    edges = links.select(node("t", "a").alias("a"), node("t", "b").alias("b"))
-    if tables > 1:
-        useful = links.select("t", F.col("a").alias("other")).union(links.select("t", "b")).union(spread.groupBy("t", "other").agg(F.count("*").alias("n")).where("n > 1").select("t", "other")).distinct()
-        across = spread.join(useful, ["t", "other"]).select(node(0, "fp").alias("a"), node("t", "other").alias("b"))
-        edges = edges.unionByName(across)
-    roots = connected_components(edges).where("node.t = 0").select(F.col("node.fp").alias("__fp"), "root")
-    # fingerprints without a link are their own root
-    return marked, cut(firsts.join(roots, firsts["fp"] == roots["__fp"], "left").select("fp", F.coalesce("root", node(0, "fp")).alias("root")))
+        return pd.DataFrame({"a": a, "b": b})
+
+    dealt = _dealt(nodes.select(F.col("fp").alias("m"), F.array("fp").alias("fps")), 1, radius)
+    return dealt.select("leaf", "m").groupBy("leaf").applyInPandas(link, "a long, b long")
 
 
 def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): the smallest id reachable over links, the document's own included."""
-    marked, rooted = _classes(docs, key, text, radius, shingle, 1)
+    marked = stored(fingerprints(docs, key, text, shingle).select("id", F.col("fps")[0].alias("fp")), "fingerprints")
     # smallest ids per fingerprint, with map-side minima, then per class; a hot fingerprint is one row by then
-    firsts = marked.groupBy("fp").agg(F.min("id").alias("first"))
-    least = firsts.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
+    firsts = cut(marked.groupBy("fp").agg(F.min("id").alias("first")))
+    roots = connected_components(fingerprint_links(firsts.select("fp"), radius))
+    rooted = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = cut(rooted)  # fingerprints without a link are their own root
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select(F.col("id").alias(key), "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, tables: int = TABLES) -> DataFrame:
-    """One document of each class over several tables: that with the smallest id, ids before nulls, then the smallest text hash."""
-    marked, rooted = _classes(docs, key, text, radius, shingle, tables)
-    order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("mark").alias("mark"))
-    firsts = marked.groupBy("fp").agg(F.min(order).alias("first"))
-    keep = cut(firsts.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("__id"), F.col("first.mark").alias("__mark")).distinct())
-    packed = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = packed.join(keep, packed["id"].eqNullSafe(F.col("__id")) & (packed["mark"] == F.col("__mark")), "left_semi")
+def candidates(nodes: DataFrame, tables: int = TABLES, radius: int = RING) -> DataFrame:
+    """nodes: (m, fps), of distinct fingerprints. Pairs (a, b) of m that may be similar, a < b: few for each node."""
+
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        one = group.drop_duplicates("m")
+        m, fps = one["m"].to_numpy(), np.stack(one["fps"].to_numpy()).view(np.uint64)
+        found = np.array(list(local_candidates(fps, int(one["t"].iloc[0]), radius)), np.int64).reshape(-1, 2)
+        a, b = m[found[:, 0]], m[found[:, 1]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    return _dealt(nodes, tables, radius).groupBy("t", "leaf").applyInPandas(link, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """pairs (a, b) of the marks of sets (mark, hashes) that have the similarity."""
+    left = pairs.join(sets.select(F.col("mark").alias("a"), F.col("hashes").alias("ha")), "a")
+    both = left.join(sets.select(F.col("mark").alias("b"), F.col("hashes").alias("hb")), "b")
+    common = F.size(F.array_intersect("ha", "hb"))
+    return both.where(common >= F.lit(similarity) * (F.size("ha") + F.size("hb") - common)).select("a", "b")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY, tables: int = TABLES) -> DataFrame:
+    """One document of each class of similar texts: that with the smallest id, ids before nulls, then the smallest text hash."""
+    marked = stored(fingerprints(docs, key, text, shingle, tables), "fingerprints")
+    order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("own").alias("own"))
+    # a row for each different sequence of words, then for each different tuple of fingerprints
+    kinds = cut(marked.groupBy("mark").agg(F.min(order).alias("first"), F.min("fps").alias("fps")))
+    tuples = cut(kinds.groupBy("fps").agg(F.min("mark").alias("m")))
+    mates = kinds.join(tuples, "fps").where("mark <> m").select(F.least("mark", "m").alias("a"), F.greatest("mark", "m").alias("b"))
+    pairs = cut(candidates(tuples.select("m", "fps"), tables).unionByName(mates).distinct())
+    # the shingles of those texts only that stand in a pair, read again by their rows' ids and hashes
+    asked = pairs.select(F.col("a").alias("mark")).union(pairs.select("b")).distinct()
+    rows = kinds.join(asked, "mark").select("mark", F.col("first.id").alias("__id"), F.col("first.own").alias("__own"))
+    slim = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("own"), F.col(text).alias("text"))
+    texts = slim.join(rows, slim["id"].eqNullSafe(F.col("__id")) & (slim["own"] == F.col("__own"))).dropDuplicates(["mark"]).select("mark", "text")
+    sets = stored(with_shingles(texts, "text", shingle).select("mark", F.array_distinct("hashes").alias("hashes")), "shingles")
+    links = verified(pairs, sets, similarity)
+    roots = connected_components(links).withColumnRenamed("node", "mark")
+    rooted = kinds.select("mark", "first").join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+    keep = rooted.groupBy("root").agg(F.min("first").alias("kept"))
+    # what goes: rows of other kinds than their class's first, and of its kind those with another id or text
+    chosen = rooted.join(keep, "root").select("mark", "kept")
+    gone = marked.join(chosen, "mark").where(~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("own") == F.col("kept.own"))))
+    gone = stored(gone.select(F.col("id").alias("__id"), F.col("own").alias("__own")).distinct(), "gone")
+    packed = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("own"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = packed.join(gone, packed["id"].eqNullSafe(F.col("__id")) & (packed["own"] == F.col("__own")), "left_anti")
     # rows that repeat both id and text are told apart only if there are any
-    repeated = not marked.groupBy("id", "mark").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    return (kept.dropDuplicates(["id", "mark"]) if repeated else kept).select("row.*")
+    repeated = not marked.groupBy("id", "own").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return (kept.dropDuplicates(["id", "own"]) if repeated else kept).select("row.*")

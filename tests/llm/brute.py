@@ -33,12 +33,12 @@ def fingerprint(text, n=3):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def tables(text, n, salts, mix):
+def tables(text, n, salts, mix, size=3):
     """Fingerprints of a text in n tables, from the same hashes mixed anew."""
     w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not w:
         return [0] * n
-    h = np.array([xxhash.xxh64_intdigest(" ".join(w[k : k + 3]).encode(), 42) for k in range(max(1, len(w) - 2))], np.uint64)
+    h = np.array([xxhash.xxh64_intdigest(" ".join(w[k : k + size]).encode(), 42) for k in range(max(1, len(w) - size + 1))], np.uint64)
     out = []
     for t in range(n):
         x = mix(h ^ salts[t]) if t else h
@@ -46,6 +46,31 @@ def tables(text, n, salts, mix):
     return out
 
 
+def similar(texts, size=5, least=0.8):
+    """For each text, the first of its class: classes of pairs whose sets of word shingles have the Jaccard similarity."""
+    sets = []
+    for t in texts:
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append(frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))))
+    holders = collections.defaultdict(list)
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        for j in {j for x in s for j in holders[x]}:
+            both = len(s & sets[j])
+            if both >= least * (len(s) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+        for x in s:
+            holders[x].append(i)
+    return [find(i) for i in range(len(texts))]
+
+
 def components(fps, radius=3):
     """fps: one fingerprint a row, or one of each table; a pair near in any table is linked."""
     v = np.array(fps, np.uint64).reshape(len(fps), -1)
