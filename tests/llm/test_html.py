@@ -1,7 +1,10 @@
+from html.parser import HTMLParser
+
 import numpy as np
 
 from callweave.llm import htmltext
 
+from ..compare import SF
 from .conftest import LONG
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>";</script></head><body><header><a href="/">Site</a></header>
@@ -30,19 +33,83 @@ def test_damaged_pages():
     assert text('<article><p class="x>y">q</p>') == "q"
 
 
-def test_repeated_tokens_equal_plain_search():
-    rng = np.random.default_rng(1)
-    shared = [str(x) for x in rng.integers(0, 9, 12)]
-    pages = [[str(x) for x in rng.integers(10, 400, 30)] + shared * (k % 2) + [str(x) for x in rng.integers(10, 400, 10)] for k in range(9)]
-    pages += [pages[0], [], ["1"]]
-    run, found = 4, htmltext.repeated_tokens(pages, 4)
-    for i, page in enumerate(pages):
+def test_attributes_and_names():
+    assert text('<article><div style="overflow: hidden">seen</div></article>') == "seen"
+    assert text('<article><p data-id="menu" title="class=ad">seen</p></article>') == "seen"
+    assert text('<article><div class="article-header"><h1>Title</h1></div><section class="related-work">Section</section></article>') == "Title\n\nSection"
+    assert text('<main><p>text</p><article class="comment">not this</article></main>') == "text"
+    assert text('<article><div class="site-footer x">no</div><div class="comment-list">no</div><p hidden>no</p><p aria-hidden="true">no</p><p class="adverb">yes</p></article>') == "yes"
+    assert text("<article><p CLASS=Newsletter>no</p><p class='wide sidebar'>no</p><p id=note>yes</p></article>") == "yes"
+
+
+class Plain(HTMLParser):
+    """A plain reading of well-formed pages with one article, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.skipped, self.blocks, self.parts = False, 0, [], []
+
+    def end_block(self):
+        if piece := " ".join("".join(self.parts).split()):
+            self.blocks.append(piece)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.inside = True
+        elif tag in ("script", "style", "nav", "form", "aside", "footer"):
+            self.skipped += 1
+        elif tag == "br":
+            self.parts.append(" ")
+        elif tag in ("p", "h1", "h2", "h3", "li", "ul", "div", "section"):
+            self.end_block()
+
+    def handle_endtag(self, tag):
+        if tag == "article":
+            self.end_block()
+            self.inside = False
+        elif tag in ("script", "style", "nav", "form", "aside", "footer"):
+            self.skipped -= 1
+        elif tag in ("p", "h1", "h2", "h3", "li", "ul", "div", "section"):
+            self.end_block()
+
+    def handle_data(self, data):
+        if self.inside and not self.skipped:
+            self.parts.append(data)
+
+
+def test_whole_pages_equal_a_plain_reading(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r.page_id: (r.text, r.n_chars) for r in htmltext.main_text(pages).collect()}
+    rows = pages.collect()
+    assert len(got) == len(rows) > 200
+    for r in rows:
+        plain = Plain()
+        plain.feed(r.html)
+        want = "\n\n".join(plain.blocks)
+        assert got[r.page_id] == (want, len(want)) and want
+
+
+def test_blocks_that_a_host_shows_elsewhere_leave_articles(spark):
+    """Every page takes part: the notice stands beside other articles of the host; a passage that only articles share stays."""
+    notice, passage = "Read our newsletter for more of this", "a passage that several articles of the host quote in full"
+    rows = [(i, f"http://h.org/{i}", f"<article><p>own text {i}</p><p>{passage}</p></article><footer><p>{notice}</p></footer>") for i in range(4)]
+    rows += [(10, "http://h.org/x", f"<article><p>own text x</p><p>{notice}</p><p>{passage}</p></article>"), (11, "http://o.org/x", f"<article><p>{notice}</p></article>")]
+    got = {r.page_id: (r.text, r.n_repeated) for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {i: (f"own text {i}\n\n{passage}", 0) for i in range(4)} | {10: (f"own text x\n\n{passage}", 1), 11: (notice, 0)}
+
+
+def repeated_tokens(pages, run):
+    """Plainly: which tokens a string of `run` tokens covers that a page of other content holds."""
+    out = []
+    for page in pages:
         covered = [False] * len(page)
         for at in range(len(page) - run + 1):
             piece = page[at : at + run]
             if any(q != page and any(q[j : j + run] == piece for j in range(len(q) - run + 1)) for q in pages):
                 covered[at : at + run] = [True] * run
-        assert found[i].tolist() == covered
+        out.append(covered)
+    return out
 
 
 def test_pages_without_article_lose_what_their_host_repeats(spark):
@@ -77,7 +144,7 @@ def test_exchange_equals_plain_search(spark):
     rows = [(i, "http://h.org/", f"<p>{p}</p>") for i, p in enumerate(pages)]
     got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), run=5).collect()}
     tokens = [p.split(" ") for p in pages]
-    gone = htmltext.repeated_tokens(tokens, 5)
+    gone = repeated_tokens(tokens, 5)
     assert got == {i: " ".join(w for w, x in zip(t, gone[i], strict=True) if not x) for i, t in enumerate(tokens)}
 
 
