@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,11 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
+    """The folder that driver and executors share; a temporary one only for a local master without one (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='callweave-')}"
+        if current.isDefined():
+            folder = current.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            folder = f"file://{tempfile.mkdtemp(prefix='callweave-')}"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
     return folder.rstrip("/")
 
 
@@ -41,8 +46,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_SCOPES: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/callweave-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/callweave-{label}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch folders made within are removed at the end: for results that are written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        remove(spark, *_SCOPES.pop())
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -8,11 +8,11 @@ and the overlap counts if some stretch of at least `least` tokens (or the whole
 
 Tokens are lower-cased words without ASCII punctuation, compared by 64-bit hashes. The items are taken in blocks
 of at most `block_chars` characters; each block's index is a bounded broadcast and all documents are read against
-it, without any shuffle.
+it, without any shuffle: a benchmark of several blocks costs as many reads of the documents.
 
 Edge cases: null and empty texts and items match nothing; items of fewer tokens than a mask's span are sought
-with a full mask of their own length, those of fewer than `shortest` tokens are not sought (they are too common
-to tell a leak); repeated items and documents are each reported; an empty benchmark reports nothing.
+with a full mask of their own length, those of fewer than `shortest` tokens (too common within a text to tell a leak)
+are found where they are a document's whole text; repeated items and documents are each reported; an empty benchmark reports nothing.
 """
 
 from __future__ import annotations
@@ -41,6 +41,7 @@ class Index(NamedTuple):
     starts: np.ndarray
     seeds: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]
     sieve: np.ndarray
+    short: dict[tuple[int, ...], list[int]]
 
 
 def _seed_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
@@ -77,7 +78,10 @@ def build_index(items: list[tuple], masks: tuple[str, ...] = MASKS, shortest: in
             places = places[order]
             seeds.append((mask, hashes[places], owner[places].astype(np.int32), (places - starts[owner[places]]).astype(np.int32)))
             sieve[(hashes[places] >> np.uint64(44)).astype(np.int64)] = True
-    return Index([i for i, _ in items], tokens, starts, seeds, sieve)
+    short: dict[tuple[int, ...], list[int]] = {}
+    for k in np.flatnonzero((counts > 0) & (counts < shortest)):
+        short.setdefault(tuple(tokens[starts[k] : starts[k + 1]].tolist()), []).append(int(k))
+    return Index([i for i, _ in items], tokens, starts, seeds, sieve, short)
 
 
 def _best_stretch(same: np.ndarray, least: int, identity: float) -> tuple[int, int] | None:
@@ -101,8 +105,9 @@ def _best_stretch(same: np.ndarray, least: int, identity: float) -> tuple[int, i
 
 def overlaps(texts: list[str], index: Index, least: int = LEAST, identity: float = IDENTITY) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, agreeing tokens, first and end token in the text) of the best overlap of each pair."""
-    if not index.seeds:
+    if not index.seeds and not index.short:
         return
+    longest = max(map(len, index.short), default=0)
     for begin, end in text_blocks(texts):
         counts, tokens = hashed_words([t.lower() for t in texts[begin:end]])
         starts = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
@@ -127,6 +132,9 @@ def overlaps(texts: list[str], index: Index, least: int = LEAST, identity: float
                 agreed = int(same[stretch[0] : stretch[1]].sum())
                 if agreed > best.get((doc, k), (0,))[0]:
                     best[doc, k] = (agreed, stretch[0] + diagonal, stretch[1] + diagonal)
+        for doc in np.flatnonzero((counts > 0) & (counts <= longest)).tolist():
+            n = int(counts[doc])
+            best |= {(doc, k): (n, 0, n) for k in index.short.get(tuple(tokens[starts[doc] : starts[doc + 1]].tolist()), ())}
         for (doc, k), (agreed, a, b) in sorted(best.items()):
             yield begin + doc, k, agreed, a, b
 

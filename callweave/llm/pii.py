@@ -6,7 +6,7 @@ become digits; "at" and "dot" in disguise become @ and a point. Identifiers foun
 back to source spans, so nothing is lost of the original's offsets. Base spans always stay; a disguised one is
 added unless a base span of its kind holds it.
 
-Spelled digits count in runs of at least `DIGIT_RUN` words. A bare "at" and a plain @ count only if a "dot" in
+Spelled digits count in runs of at least `DIGIT_RUN` of them, of `LEAST_DIGITS` digits of either kind, or of four parts. A bare "at" and a plain @ count only if a "dot" in
 disguise follows in the domain or a bracketed one stands in the local part, a bracketed "at" always: plain prose
 stays clean. The local part is followed back over its dots for any length; a bare dot in it must use a word that
 the domain uses too, if the domain has dots in words ("contact point jane at example dot org").
@@ -88,11 +88,12 @@ _HOMOGLYPH = re.compile(f"[{re.escape(''.join(HOMOGLYPHS))}]")
 
 #: Digits as words, in the languages of the corpus.
 DIGIT_WORDS = {w: str(d) for d, words in enumerate(("zero oh cero zéro null", "one uno un eins", "two dos deux zwei", "three tres trois drei", "four cuatro quatre vier", "five cinco cinq fünf", "six seis sechs", "seven siete sept sieben", "eight ocho huit acht", "nine nueve neuf neun")) for w in words.split()}
-DIGIT_RUN = 4
+#: A run counts with so many spelled digits, or with so many digits in all (the least of a phone number), or as four parts.
+DIGIT_RUN, LEAST_DIGITS, LEAST_DOTS = 4, 9, 3
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_RUN = re.compile(rf"(?<!\w)(?:{_WORD})(?:[\s,-]{{1,3}}(?:{_WORD}|[0-9]|(?:plus|dot|point|punto|punkt)(?!\w)))*(?!\w)")
+_UNIT = rf"(?:(?:{_WORD})(?!\w)|[0-9]+)"
+_RUN = re.compile(rf"(?<!\w){_UNIT}(?:[\s,-]{{1,3}}(?:{_UNIT}|(?:plus|dot|point|punto|punkt)(?!\w)))*+(?!\w)")
 _TOKEN = re.compile(rf"(?<!\w)({_WORD})(?!\w)|[0-9]|(?<!\w)(?:dot|point|punto|punkt)(?!\w)")
-_PLUS = re.compile(r"(?<!\w)plus\s+$")
 
 _OPEN, _CLOSE = r"[\[({<]\s*", r"\s*[\])}>]"
 _AT_SIGN = rf"\s*{_OPEN}(?:at|@|arroba|chez)(?:{_CLOSE})\s*"
@@ -141,13 +142,16 @@ def spelled_digits(t: Traced) -> Traced:
     low, changes = _lower(t.text), []
     for run in _RUN.finditer(low):
         tokens = list(_TOKEN.finditer(low, run.start(), run.end()))
-        if sum(bool(x[1]) for x in tokens) < DIGIT_RUN:
+        spelled = sum(bool(x[1]) for x in tokens)
+        digits = spelled + sum(x.group().isdigit() for x in tokens)
+        if not spelled or (spelled < DIGIT_RUN and digits < LEAST_DIGITS and len(tokens) - digits < LEAST_DOTS):
             continue
         while tokens and not (tokens[-1][1] or tokens[-1].group().isdigit()):
             tokens.pop()
         start = run.start()
-        if plus := _PLUS.search(low, max(0, start - 16), start):
-            changes.append((plus.start(), start, "+"))
+        before = _skip_blanks(low, start, 0)
+        if before < start and low.endswith("plus", 0, before) and not (before > 4 and (low[before - 5].isalnum() or low[before - 5] == "_")):
+            changes.append((before - 4, start, "+"))
         for i, x in enumerate(tokens):
             # each token takes the separator after it along, so that digits join
             end = tokens[i + 1].start() if i + 1 < len(tokens) else x.end()
@@ -234,12 +238,12 @@ def disguised(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     return out
 
 
-_FOUR = re.compile(rf"(?<!\w)(?:{_WORD})(?:[\s,-]{{1,3}}(?:{_WORD}|[0-9]|dot|point|punto|punkt)){{3}}")
+_SPELLED = re.compile(rf"(?<!\w)(?:{_WORD})[\s,-]{{1,3}}(?:(?:{_WORD}|dot|point|punto|punkt)(?!\w)|[0-9])|[0-9][\s,-]{{1,3}}(?:{_WORD})(?!\w)")
 
 
 def _RUN_HINT(low: str) -> bool:  # noqa: N802
-    """Cheap sieve first: a spelled run of four digits nearly always holds one of these."""
-    return bool(_FOUR.search(low))
+    """Cheap sieve first: a run that counts holds a spelled digit beside another of its parts."""
+    return bool(_SPELLED.search(low))
 
 
 def joined(spans: dict[str, list[Span]]) -> str:

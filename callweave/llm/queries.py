@@ -21,7 +21,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path, F.col("html"), F.col("page_id"), F.col("url"))
-    records = warc.read_warc(spark, path).where("kind = 'record'")
+    records = warc.salvaged(spark, path, scratch_path(spark, "warc-log"), with_payload=False)
     return records.select(
         warc.page_of(F.col("record_id")).alias("page_id"),
         "payload_bytes",

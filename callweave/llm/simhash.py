@@ -1,21 +1,24 @@
 """SimHash near-dedup: fingerprints of word shingles, linked through vantage-point trees.
 
 A fingerprint bit is set if it is set in more than half of the shingles' hashes; Spark hashes the shingles, a task
-counts the bits. Distinct fingerprints are dealt to shards by a vantage-point tree, which is fitted on a sample
-(hash-chosen, some per shard) but routes all: at each node a fingerprint goes inside if its Hamming distance to the
-vantage is at most the node's, else outside. For two fingerprints within r of each other, one inside and one
-outside, the triangle inequality puts the inner one among the last r distances inside; so those, and only those, go
-outside too. Every such pair thus meets in some shard. Where no vantage parts a dense group, it is dealt by its bits:
-a pair within three bits agrees in one of four blocks of bits, so copies go to the shard of each block's value.
-Within a shard the tree goes on until blocks are small, and blocks are compared with popcounts. A shard returns a
-forest, not pairs; components are found in Spark.
+counts the bits. Distinct fingerprints are dealt to shards by vantage-point trees, which are fitted on a sample
+(hash-chosen, some per shard) but route all: at each node a fingerprint goes inside if its Hamming distance to the
+vantage is at most the node's, else outside. In the metric of all 64 bits nearly all distances are about 32, so a
+boundary as wide as the radius would be copied at every level, and copies grow with the data. So the bits are taken
+as four blocks with a metric and a tree each: two fingerprints within three bits agree in one block, where the
+triangle inequality puts them on one side of every boundary. Each fingerprint goes to four shards at any size, and
+every pair meets in one of them. A group that agrees in a whole block is dealt on by the blocks of its other bits.
+Within a shard a tree of all bits goes on until blocks are small, with the inner side's last distances copied outside
+as the triangle inequality asks, and blocks are compared with popcounts. A shard returns a forest, not pairs;
+components are found in Spark.
 
 `near_duplicate_classes` links fingerprints within `radius` (exactly, by one table). `one_of_each` keeps one document
 of each class of texts whose shingle sets have a Jaccard similarity of `similarity` or more: such pairs differ in ten
-of 64 bits, too many for one exact table. So some tables are dealt with a ring of RING; within a shard all pairs
-near in all tables together are candidates, of which the least spanning forest and each text's busiest neighbour are
-kept, and the shingle sets of these are compared exactly. Near pairs may be missed where all tables part them
-(`tests/llm/test_simhash.py` holds the recall against brute force); no pair below the similarity is linked.
+of 64 bits, too many to be sure to agree in a block. So some tables are dealt, four trees each; a pair stays together
+in a tree unless a boundary parts it. Within a shard all pairs near in all tables together are candidates, of which
+the least spanning forest and each text's busiest neighbour are kept, and the shingle sets of these are compared
+exactly. Near pairs may be missed where all trees part them (`tests/llm/test_simhash.py` holds the recall against
+brute force); no pair below the similarity is linked.
 
 Edge cases: null and empty texts have fingerprint 0 and link like any other; texts shorter than a shingle are one
 shingle; repeated rows share a fingerprint; an empty table gives an empty result. Ties go to the smallest id; null
@@ -37,7 +40,7 @@ from .common import SPACE_CLASS, cut, mix, stored
 from .components import connected_components
 
 RADIUS, SHINGLE = 3, 3
-#: Near copies: words of a shingle, least Jaccard similarity, tables, and ring of boundary copies.
+#: Near copies: words of a shingle, least Jaccard similarity, tables, and ring of boundary copies within a shard.
 NEAR_SHINGLE, SIMILARITY, TABLES, RING = 5, 0.8, 4, 4
 #: What is mixed into the hashes of each table after the first.
 SALTS = mix(np.arange(1, 65, dtype=np.uint64))
@@ -105,6 +108,7 @@ def choose(fps: np.ndarray, radius: int, tries: int = 12) -> tuple[int, int] | N
     """The vantage and split distance that leave the least work; None if none makes both sides smaller."""
     best = None
     some = fps if len(fps) <= 4096 else fps[:: len(fps) // 4096]
+    most = 0.95 if radius else 1.0
     for vantage in some[:: max(1, len(some) // tries)][:tries]:
         shares = np.bincount(distances(some, vantage), minlength=65) / len(some)
         inside = np.cumsum(shares)
@@ -112,64 +116,51 @@ def choose(fps: np.ndarray, radius: int, tries: int = 12) -> tuple[int, int] | N
             ring = inside[mu] - (inside[mu - radius] if mu >= radius else 0)
             outside = 1 - inside[mu] + ring
             work = inside[mu] ** 2 + outside**2
-            if max(inside[mu], outside) < 0.95 and (best is None or work < best[2]):
+            if max(inside[mu], outside) < most - 1e-9 and (best is None or work < best[2]):
                 best = (int(vantage), mu, work)
     return best and best[:2]
 
 
-def bit_blocks(free: int) -> list[np.uint64]:
+def bit_blocks(free: int) -> list[int]:
     """The free bits as four masks of about equal size."""
     bits = [b for b in range(64) if free >> b & 1]
-    return [np.uint64(sum(1 << b for b in bits[k::4])) for k in range(4)]
+    return [sum(1 << b for b in bits[k::4]) for k in range(4)]
 
 
-def grow(fps: np.ndarray, scale: float, radius: int, shard_rows: int = SHARD_ROWS, free: int = (1 << 64) - 1, ids: Iterator[int] | None = None) -> tuple | int:
+def grow(fps: np.ndarray, scale: float, shard_rows: int = SHARD_ROWS, free: int = (1 << 64) - 1, mask: int = 0, ids: Iterator[int] | None = None) -> tuple | int:
     """A tree over a sample that stands for `scale` times its rows. A leaf is a number.
 
-    ("vantage", vantage, distance, inner, outer) parts by distance; ("bits", parts) deals a dense group by the value of
-    each of four masks: (mask, subtrees of the frequent values, first leaf and number of leaves of the others).
+    ("blocks", trees) sends all to a tree for each block of the free bits; ("vantage", mask, vantage, distance, inner, outer)
+    parts by the distance in the bits of the mask.
     """
     ids = count() if ids is None else ids
     if len(fps) * scale <= shard_rows or len(fps) < 8:
         return next(ids)
-    if picked := choose(fps, radius):
-        d = distances(fps, picked[0])
-        inner, outer = (grow(x, scale, radius, shard_rows, free, ids) for x in (fps[d <= picked[1]], fps[d > picked[1] - radius]))
-        return "vantage", *picked, inner, outer
+    if mask and (picked := choose(fps & np.uint64(mask), 0)):
+        d = distances(fps & np.uint64(mask), picked[0])
+        inner, outer = (grow(x, scale, shard_rows, free, mask, ids) for x in (fps[d <= picked[1]], fps[d > picked[1]]))
+        return "vantage", mask, *picked, inner, outer
+    free &= ~mask  # all agree in the mask
     if free.bit_count() < 8:
         return next(ids)
-    parts = []
-    for mask in bit_blocks(free):
-        values, n = np.unique(fps & mask, return_counts=True)
-        frequent = values[n * scale > shard_rows]
-        trees = {int(v): grow(fps[fps & mask == v], scale, radius, shard_rows, free & ~int(mask), ids) for v in frequent}
-        leaves = [next(ids) for _ in range(max(1, int(np.ceil(n[n * scale <= shard_rows].sum() * scale / shard_rows))))]
-        parts.append((mask, trees, leaves))
-    return "bits", parts
-
-
-def route(fps: np.ndarray, tree: tuple | int, radius: int, at: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """(leaf, places of the fingerprints that belong or are copied to it)."""
+    return "blocks", [grow(fps, scale, shard_rows, free, m, ids) for m in bit_blocks(free)]
+
+
+def route(fps: np.ndarray, tree: tuple | int, at: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(leaf, places of the fingerprints that belong to it)."""
     at = np.arange(len(fps)) if at is None else at
     if not len(at):
         return
     if isinstance(tree, int):
         yield tree, at
-    elif tree[0] == "vantage":
-        _, vantage, mu, inner, outer = tree
-        d = distances(fps[at], vantage)
-        yield from route(fps, inner, radius, at[d <= mu])
-        yield from route(fps, outer, radius, at[d > mu - radius])
+    elif tree[0] == "blocks":
+        for below in tree[1]:
+            yield from route(fps, below, at)
     else:
-        for mask, trees, leaves in tree[1]:
-            values, rest = fps[at] & mask, np.ones(len(at), bool)
-            for value, below in trees.items():
-                same = values == np.uint64(value)
-                rest &= ~same
-                yield from route(fps, below, radius, at[same])
-            leaf = (mix(values[rest]) % np.uint64(len(leaves))).astype(np.int64)
-            for k in np.unique(leaf):
-                yield leaves[k], at[rest][leaf == k]
+        _, mask, vantage, mu, inner, outer = tree
+        d = distances(fps[at] & np.uint64(mask), vantage)
+        yield from route(fps, inner, at[d <= mu])
+        yield from route(fps, outer, at[d > mu])
 
 
 def local_blocks(fps: np.ndarray, radius: int, at: np.ndarray | None = None) -> Iterator[np.ndarray]:
@@ -267,7 +258,7 @@ def local_candidates(fps: np.ndarray, t: int, radius: int = RING, one: int = BIT
 # ---------------------------------------------------------------- on DataFrames
 
 
-def _trees(nodes: DataFrame, tables: int, radius: int) -> list[tuple | int]:
+def _trees(nodes: DataFrame, tables: int) -> list[tuple | int]:
     """A tree for each table, grown on hash-chosen nodes: some for each shard there will be."""
     n = nodes.count()
     wanted = max(LEAST_SAMPLE, SAMPLE_PER_SHARD * n // SHARD_ROWS)
@@ -277,19 +268,19 @@ def _trees(nodes: DataFrame, tables: int, radius: int) -> list[tuple | int]:
         return [0] * tables
     columns = picked.select(*[F.col("fps")[t].alias(f"f{t}") for t in range(tables)]).toArrow()
     samples = [np.unique(columns[t].to_numpy().view(np.uint64)) for t in range(tables)]
-    return [grow(s[np.argsort(mix(s))], n / max(len(s), 1), radius) for s in samples]
+    return [grow(s[np.argsort(mix(s))], n / max(len(s), 1)) for s in samples]
 
 
-def _dealt(nodes: DataFrame, tables: int, radius: int) -> DataFrame:
-    """nodes: (m, fps). Rows (t, leaf, m, fps) for each shard that a node belongs or is copied to."""
-    shared = nodes.sparkSession.sparkContext.broadcast(_trees(nodes, tables, radius))  # about two nodes for each shard
+def _dealt(nodes: DataFrame, tables: int) -> DataFrame:
+    """nodes: (m, fps). Rows (t, leaf, m, fps) for each shard that a node is dealt to."""
+    shared = nodes.sparkSession.sparkContext.broadcast(_trees(nodes, tables))  # about two nodes for each shard
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m, lists = batch.column(0), batch.column(1)
             fps = lists.flatten().to_numpy().view(np.uint64).reshape(-1, tables)
             for t, tree in enumerate(shared.value):
-                found = list(route(fps[:, t], tree, radius))
+                found = list(route(fps[:, t], tree))
                 if not found:
                     continue
                 at = np.concatenate([x for _, x in found])
@@ -307,7 +298,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         a, b = (np.concatenate([x[k] for x in found]).view(np.int64) if found else np.zeros(0, np.int64) for k in (0, 1))
         return pd.DataFrame({"a": a, "b": b})
 
-    dealt = _dealt(nodes.select(F.col("fp").alias("m"), F.array("fp").alias("fps")), 1, radius)
+    dealt = _dealt(nodes.select(F.col("fp").alias("m"), F.array("fp").alias("fps")), 1)
     return dealt.select("leaf", "m").groupBy("leaf").applyInPandas(link, "a long, b long")
 
 
@@ -334,7 +325,7 @@ def candidates(nodes: DataFrame, tables: int = TABLES, radius: int = RING) -> Da
         a, b = m[found[:, 0]], m[found[:, 1]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
-    return _dealt(nodes, tables, radius).groupBy("t", "leaf").applyInPandas(link, "a long, b long").distinct()
+    return _dealt(nodes, tables).groupBy("t", "leaf").applyInPandas(link, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -27,11 +27,13 @@ from pyspark import Broadcast, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_words, mix, stored, text_blocks
+from .common import hashed_words, mix, text_blocks
 
 BITS = 18
 SAMPLE_ROWS = 40_000
 SHARDS, ROUNDS = 4, 5
+#: Places of a state that travel in one row.
+STRIP = 1 << 14
 #: FTRL: learning rate, smoothing of the rate, L1 and L2.
 RATE, SMOOTH, L1, L2 = 0.6, 1.0, 4.0, 0.01
 THRESHOLD = 0.3
@@ -93,17 +95,20 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _learner(shared: Broadcast, turn: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _learner(shared: Broadcast, turn: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """One pass over a shard's rows (a bounded number), from the shared state, in an order that the turn seeds."""
 
-    def learn(shard: pd.DataFrame) -> pd.DataFrame:
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
         z, n = (x.copy() for x in shared.value)
-        rows = shard.sort_values("key", kind="stable")
+        rows = pd.concat(held).sort_values("key", kind="stable")
         order = np.random.default_rng(turn).permutation(len(rows))
         places, marks = rows["places"].to_numpy(), rows["label"].to_numpy()
         ftrl_pass(z, n, [(places[i], int(marks[i])) for i in order])
-        used = np.flatnonzero(n)
-        return pd.DataFrame({"place": used, "z": z[used], "n": n[used]})
+        starts = range(0, len(z), STRIP)
+        yield pd.DataFrame({"start": starts, "z": [z[a : a + STRIP] for a in starts], "n": [n[a : a + STRIP] for a in starts]})
 
     return learn
 
@@ -131,20 +136,20 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     # the sample's ids have a proven bound, so they are broadcast; one row per id is used
     joined = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked), "key").withColumn("shard", shard_of(F.col("key")))
     kind = dict(joined.dtypes)["key"]
-    encoded = stored(joined.mapInPandas(encode, f"key {kind}, label int, shard int, places array<int>"), "toxicity")
-    # a range a shard, so each round trains every shard in a task of its own; dealt once and kept on the executors' disks
-    dealt = encoded.repartitionByRange(SHARDS, "shard").persist(StorageLevel.DISK_ONLY)
+    encoded = joined.mapInPandas(encode, f"key {kind}, label int, shard int, places array<int>")
+    # a partition a shard, so each round trains every shard in a task of its own; encoded once and kept on the executors' disks
+    dealt = encoded.repartitionById(SHARDS, "shard").persist(StorageLevel.DISK_ONLY)
     state = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for turn in range(ROUNDS):
         shared = docs.sparkSession.sparkContext.broadcast(state)
-        # the mean over the shards that have rows, which are those with a bias; a place that a shard has not seen counts
-        # as zero there. At most 2**BITS + 1 rows come back, as Arrow batches.
-        states = dealt.groupBy("shard").applyInPandas(_learner(shared, turn), "place long, z double, n double")
-        total = states.groupBy("place").agg(F.sum("z").alias("z"), F.sum("n").alias("n"), F.count("*").alias("shards")).toArrow()
-        place, seen = total["place"].to_numpy(), max(total["shards"].to_numpy().max(initial=0), 1)
+        # the mean over the shards that have rows; a round's states are SHARDS times 2**BITS + 1 places, as Arrow batches
+        found = dealt.mapInPandas(_learner(shared, turn), "start int, z array<double>, n array<double>").toArrow()
         z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-        z[place], n[place] = total["z"].to_numpy() / seen, total["n"].to_numpy() / seen
-        state = z, n
+        for start, own_z, own_n in zip(found["start"].to_pylist(), found["z"], found["n"], strict=True):
+            z[start : start + STRIP] += own_z.values.to_numpy()
+            n[start : start + STRIP] += own_n.values.to_numpy()
+        seen = max((found["start"].to_numpy() == 0).sum(), 1)
+        state = z / seen, n / seen
         shared.unpersist()
     dealt.unpersist()
     z, n = state

@@ -2,14 +2,14 @@
 
 Writing. Records are rendered by SQL expressions and written by Spark's text writer, so archives go to any store
 that Spark reaches; every record is a gzip member of its own, so damage to one leaves the others readable. The
-text writer ends each row with a separator, which is an empty gzip member here. Payloads of at least
+text writer ends each row, some members together, with a separator, which is an empty gzip member here. Payloads of at least
 `revisit_from` bytes that occur more than once are stored once, with the largest id; the others become revisit
 records that hold the HTTP head only, with the digest and length of the full payload.
 
-Reading. Archives are read whole (the writer bounds them by `records_per_file`) and parsed in the task. A record
+Reading. Archives are read whole (the writer bounds them by `bytes_per_file` and one record) and parsed in the task. A record
 is accepted if its header block is well formed, its length fits, CR LF CR LF follows and the digest of its
 payload agrees. After a failed check the reader searches for the next valid member (gzip) or version line, goes
-on there, and reports the bytes between as a quarantined gap with the reason.
+on there, and reports the bytes between as a quarantined gap with the reason; `salvaged` keeps the log of gaps.
 
 Edge cases: null payloads are empty; null ids are written as an empty id and read back as null; repeated rows are
 written each; equal payloads whose largest id occurs on several rows are all responses; an empty table writes no
@@ -23,7 +23,7 @@ import contextlib
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -31,7 +31,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REVISIT_FROM = 1000
-RECORDS_PER_FILE = 2000
+#: Bytes of an archive, and of the rows that it is written in; the last record of a row may go beyond.
+BYTES_PER_FILE, ROWS_PER_FILE = 16 << 20, 8
+#: Bytes and rows of a batch of parsed records.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 1000
 #: A gzip member without content: valid between members and at the end of a file.
 EMPTY_MEMBER = b"\x1f\x8b\x08\0\0\0\0\0\0\x03\x03\0\0\0\0\0\0\0\0\0"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -71,22 +74,34 @@ def render(records: DataFrame, payload: str = "payload", id_: str = "id", uri: s
     return records.select(F.concat(head.cast("binary"), http.cast("binary"), body, F.lit("\r\n\r\n").cast("binary")).alias("value"))
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each record as a gzip member; a few at a time, so that a batch is not held twice."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, 100):
-            out = []
-            for value in batch.column(0).slice(start, 100):
+def _members(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each record as a gzip member; a row holds members until they reach `most` bytes."""
+
+    def row(members: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["value"])
+
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
+        for batch in batches:
+            for value in batch.column(0):
                 engine = zlib.compressobj(6, zlib.DEFLATED, 31)
-                out.append(engine.compress(value.as_py()) + engine.flush())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                held.append(engine.compress(value.as_py()) + engine.flush())
+                size += len(held[-1])
+                if size >= most:
+                    yield row(held)
+                    held, size = [], 0
+        if held:
+            yield row(held)
 
+    return compress
 
-def write_warc(pages: DataFrame, path: str, payload: Column, id_: Column, uri: Column, revisit_from: int = REVISIT_FROM, records_per_file: int = RECORDS_PER_FILE) -> None:
+
+def write_warc(pages: DataFrame, path: str, payload: Column, id_: Column, uri: Column, revisit_from: int = REVISIT_FROM, bytes_per_file: int = BYTES_PER_FILE) -> None:
     rows = pages.select(id_.alias("id"), uri.alias("uri"), F.coalesce(payload.cast("binary"), F.lit("").cast("binary")).alias("payload"))
-    members = render(with_revisits(rows, revisit_from=revisit_from)).mapInArrow(_members, "value binary").select(F.col("value").cast("string"))
+    members = render(with_revisits(rows, revisit_from=revisit_from)).mapInArrow(_members(bytes_per_file // ROWS_PER_FILE), "value binary").select(F.col("value").cast("string"))
     # the encoding is that of the separator; the rows' bytes are written as they are
-    members.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", records_per_file).option("compression", "none").text(path)
+    members.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", ROWS_PER_FILE).option("compression", "none").text(path)
 
 
 # ---------------------------------------------------------------- reading
@@ -225,19 +240,25 @@ def salvage_gzip(data: bytes) -> Iterator[dict]:
         yield {"kind": "gap", "offset": start, "length": len(data) - start, "reason": reason}
 
 
-def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parse_files(with_payload: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            found = salvage_gzip(content) if content[:2] == b"\x1f\x8b" else salvage(content)
-            rows: list[dict] = []
-            for x in found:
-                rows.append(x | {"path": path})
-                if len(rows) == 1000:
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                found = salvage_gzip(content) if content[:2] == b"\x1f\x8b" else salvage(content)
+                rows: list[dict] = []
+                size = 0
+                for x in found:
+                    rows.append(x | {"path": path} | ({} if with_payload else {"payload": None}))
+                    size += len(x.get("payload") or b"") if with_payload else 0
+                    if len(rows) == BATCH_ROWS or size >= BATCH_BYTES:
+                        yield _frame(rows, names)
+                        rows, size = [], 0
+                if rows:
                     yield _frame(rows, names)
-                    rows = []
-            if rows:
-                yield _frame(rows, names)
+
+    return parse
 
 
 def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
@@ -245,10 +266,16 @@ def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
     return out.astype({"payload_bytes": "Int64"}).astype(object).where(lambda x: x.notna(), None)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Rows of kind `record`, and of kind `gap` for quarantined bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return files.mapInPandas(_parse_files, SCHEMA)
+    return files.mapInPandas(_parse_files(with_payload), SCHEMA)
+
+
+def salvaged(spark: SparkSession, path: str, log: str, with_payload: bool = True) -> DataFrame:
+    """The records; rows and the log of gaps are written below `log`, as kind=record and kind=gap."""
+    read_warc(spark, path, with_payload).write.option("compression", "zstd").partitionBy("kind").parquet(log)
+    return spark.read.schema(SCHEMA).parquet(log).where("kind = 'record'").select(*[x.split()[0] for x in SCHEMA.split(", ")])
 
 
 def page_of(urn: Column) -> Column:

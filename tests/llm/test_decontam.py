@@ -85,3 +85,18 @@ def test_edge_cases(spark, odd, empty):
     assert decontam.find_leaks(odd, none).count() == 0 and decontam.without_leaks(odd, none).count() == odd.count()
     assert {r.doc_id for r in decontam.find_leaks(odd, bench).collect()} == {1}
     assert decontam.without_leaks(odd, bench).columns == odd.columns
+
+
+def test_items_of_few_words_are_found_as_whole_texts(spark):
+    docs = spark.createDataFrame([(1, "What is love?"), (2, "so what is love then, I ask"), (3, "yes"), (4, ""), (5, None), (6, "what is  love")], "doc_id long, text string")
+    items = spark.createDataFrame([(10, "what is love"), (11, "Yes!"), (12, "what is love"), (13, "")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, items).collect()}
+    assert found == {(1, 10), (1, 12), (6, 10), (6, 12), (3, 11)}
+    assert {r.doc_id for r in decontam.without_leaks(docs, items).collect()} == {2, 4, 5}
+
+
+def test_texts_with_nul(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, words.replace(" ", "\0", 3)), (2, "\0\0"), (3, words)], "doc_id long, text string")
+    items = spark.createDataFrame([(10, words), (11, "\0")], "item_id long, text string")
+    assert {r.doc_id for r in decontam.find_leaks(docs, items).collect()} == {1, 3}

@@ -45,8 +45,9 @@ def test_local_trees_find_every_link():
         fps.append(f)
     fps = np.unique(np.array(fps, np.uint64))
     assert stars(simhash.local_stars(fps), fps) == brute.components(fps).tolist()
-    tree = simhash.grow(fps, 1.0, 3, shard_rows=400)
-    dealt = [fps[at] for _, at in simhash.route(fps, tree, 3)]
+    tree = simhash.grow(fps, 1.0, shard_rows=400)
+    dealt = [fps[at] for _, at in simhash.route(fps, tree)]
+    assert sum(map(len, dealt)) == 4 * len(fps)  # four copies at any size
     assert len(dealt) > 4
     assert stars([p for part in dealt for p in simhash.local_stars(np.unique(part))], fps) == brute.components(fps).tolist()
 
@@ -58,27 +59,27 @@ def test_one_dense_group():
     assert len(set(stars(simhash.local_stars(fps), fps))) == 1
     rnd = random.Random(2)
     dense = np.unique(np.array([base ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(3, 7))) for _ in range(3000)], np.uint64))
-    tree = simhash.grow(dense, 1.0, 3, shard_rows=900)
-    dealt = [dense[at] for _, at in simhash.route(dense, tree, 3)]
+    tree = simhash.grow(dense, 1.0, shard_rows=900)
+    dealt = [dense[at] for _, at in simhash.route(dense, tree)]
     assert len(dealt) > 3 and max(map(len, dealt)) < len(dense)
     assert stars([p for part in dealt for p in simhash.local_stars(np.unique(part))], dense) == brute.components(dense).tolist()
 
 
-def test_bit_blocks_deal_every_near_pair():
+def test_blocks_deal_every_near_pair():
     rnd = random.Random(8)
-    fps = np.array([rnd.getrandbits(64) for _ in range(200)], np.uint64)
+    fps = np.array([rnd.getrandbits(64) for _ in range(2000)], np.uint64)
     near = np.array([int(f) ^ sum(1 << b for b in rnd.sample(range(64), 3)) for f in fps], np.uint64)
     both = np.concatenate((fps, near))
-    tree = ("bits", [(mask, {}, list(range(10 * k, 10 * k + 10))) for k, mask in enumerate(simhash.bit_blocks((1 << 64) - 1))])
-    met = {(i, i + 200) for _, at in simhash.route(both, tree, 3) for i in at if i < 200 and i + 200 in at}
-    assert len(met) == 200
+    tree = simhash.grow(both, 1.0, shard_rows=50)
+    met = {i for _, at in simhash.route(both, tree) for i in set(at.tolist()) & {x - 2000 for x in at.tolist()}}
+    assert len(met) == 2000
 
 
 def test_trees_grow_as_deep_as_the_rows_ask():
     rnd = np.random.default_rng(1)
     sample = np.unique(rnd.integers(0, 2**63, 20_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
-    leaves = [k for k, _ in simhash.route(sample, simhash.grow(sample, 100.0, 3), 3)]
-    assert len(set(leaves)) > 1000  # more than twelve levels of halves would give 4096 at most, with fewer rows
+    dealt = list(simhash.route(sample, simhash.grow(sample, 10_000.0)))  # a sample of 200 million rows
+    assert len({k for k, _ in dealt}) > 4000 and sum(len(at) for _, at in dealt) < 4.3 * len(sample)
 
 
 def test_components(spark):

@@ -88,7 +88,7 @@ def test_weights_equal_plain_ftrl(spark):
 
 def test_each_shard_trains_in_its_own_task(spark):
     docs, _ = tables(spark, 400)
-    dealt = docs.select(toxicity.shard_of(docs["doc_id"]).alias("shard")).repartitionByRange(toxicity.SHARDS, "shard")
+    dealt = docs.select(toxicity.shard_of(docs["doc_id"]).alias("shard")).repartitionById(toxicity.SHARDS, "shard")
     held = [set(x) for x in dealt.rdd.map(lambda r: r.shard).glom().collect() if x]
     assert len(held) == toxicity.SHARDS and all(len(x) == 1 for x in held)
 

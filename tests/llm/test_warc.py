@@ -24,7 +24,7 @@ def kinds(found):
 def test_whole_archive_round_trips(spark, tmp_path):
     rows = [(i, t, f"http://h/{i}") for i, t, _, _ in sample_documents()] + [(None, "x" * 2000, None), (500, "same" * 300, "u v"), (501, "same" * 300, "u"), (502, "same" * 300, "u"), (502, "same" * 300, "u"), (503, "WARC/1.1\r\nWARC-Type: response\r\n\r\n", "u")]
     pages = spark.createDataFrame(rows, "page_id long, html string, url string").repartition(3)
-    warc.write_warc(pages, f"{tmp_path}/w", F.col("html"), F.col("page_id"), F.col("url"), records_per_file=7)
+    warc.write_warc(pages, f"{tmp_path}/w", F.col("html"), F.col("page_id"), F.col("url"), bytes_per_file=1000)
     got = warc.read_warc(spark, f"{tmp_path}/w").collect()
     assert {r.kind for r in got} == {"record"} and len(got) == len(rows)
     first = {}
@@ -116,3 +116,30 @@ def test_empty_table(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, html string, url string")
     warc.write_warc(none, f"{tmp_path}/n", F.col("html"), F.col("page_id"), F.col("url"))
     assert warc.read_warc(spark, f"{tmp_path}/n").count() == 0
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    rnd = random.Random(9)
+    text = lambda n: "".join(chr(rnd.randrange(32, 1000)) for _ in range(n))
+    rows = [(i, text(2_000), f"http://h/{i}") for i in range(60)] + [(100, text(100_000), "http://h/big"), (101, None, None)]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, html string, url string").coalesce(1), f"{tmp_path}/w", F.col("html"), F.col("page_id"), F.col("url"), bytes_per_file=32_000)
+    sizes = sorted(p.stat().st_size for p in (tmp_path / "w").glob("part-*"))
+    assert len(sizes) > 3 and all(x < 32_000 + 8 * 4_000 for x in sizes[:-1])  # a row goes beyond by one record at most
+    assert sizes[-1] > 100_000  # one record is larger than a file, and whole
+    got = {r.record_id: r.payload_bytes for r in warc.read_warc(spark, f"{tmp_path}/w").collect()}
+    assert got == {f"<urn:page:{i}>": len((t or "").encode()) for i, t, _ in rows}
+
+
+def test_gaps_are_logged(spark, tmp_path):
+    rows = [(i, f"text {i} " * 50, f"http://h/{i}") for i in range(20)]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, html string, url string").coalesce(1), f"{tmp_path}/w", F.col("html"), F.col("page_id"), F.col("url"))
+    (path,) = (tmp_path / "w").glob("part-*")
+    whole = path.read_bytes()
+    at = whole.index(b"\x1f\x8b\x08", 1000) + 20  # within a record's member
+    path.write_bytes(whole[:at] + bytes(40) + whole[at + 40 :])
+    for crc in (tmp_path / "w").glob(".part-*.crc"):
+        crc.unlink()
+    records = warc.salvaged(spark, f"{tmp_path}/w", f"{tmp_path}/log", with_payload=False)
+    gaps = spark.read.parquet(f"{tmp_path}/log").where("kind = 'gap'").collect()
+    assert records.count() == 19 and records.columns == [x.split()[0] for x in warc.SCHEMA.split(", ")]
+    assert gaps and all(g.length > 0 and g.reason and g.path for g in gaps)
