@@ -10,8 +10,9 @@ windows of one anchor form a run.
    batch keep the first; the others are covered already (pre-aggregation, before any shuffle).
 2. Sorted by these hashes, equal runs keep the first; the others are covered. Anchors left with different runs
    need their bytes compared.
-3. For those, the suffixes that follow the anchor and the reversed prefixes before it are sorted: by their first
-   bytes as words (np.lexsort) to a shallow depth, then blind tries for groups with a longer common prefix. With both orders'
+3. For those, the suffixes that follow the anchor and the reversed prefixes before it are sorted: by ternary multikey
+   quicksort to a shallow depth (all segments of a batch at once), then blind tries order the groups with a longer
+   common prefix. With both orders'
    common prefix lengths, the windows at each offset fall into classes of equal bytes; all but the first of a
    class are covered.
 4. An anchor with more than HOT_ROWS runs is not gathered: its windows become rows of their own, a map-side minimum
@@ -241,6 +242,33 @@ class BlindTrie:
                 stack += [(depth if i else lcp, children[byte]) for i, byte in reversed(list(enumerate(sorted(children))))]
 
 
+def multikey_quicksort(group: np.ndarray, strings: np.ndarray, depth: int) -> np.ndarray:
+    """The order of rows of bytes within groups by their first `depth` bytes.
+
+    A segment is parted by one byte into those below, at and above its middle row's byte; the middle part goes on with
+    the next byte. All segments of a round are parted together, so a round is a few array steps, whatever their number.
+    """
+    order = np.argsort(group, kind="stable")
+    places = np.arange(len(order))
+    segment = np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(group[order]) != 0)), places, 0)) if len(order) else places
+    at = np.zeros(len(order), np.int64)  # the byte that each row's segment is parted by next
+    live = places
+    while True:
+        size = np.bincount(segment[live], minlength=len(order))[segment[live]]
+        live, size = live[keep := (size > 1) & (at[live] < depth)], size[keep]
+        if not len(live):
+            return order
+        rows, own = order[live], segment[live]
+        middle = own + size // 2
+        byte, pivot = strings[rows, at[live]], strings[order[middle], at[middle]]
+        side = (byte >= pivot).astype(np.int8) + (byte > pivot)
+        parted = np.lexsort((side, own))  # stable: rows keep their order within a part
+        order[live], side = rows[parted], side[parted]
+        at[live] += side == 1
+        new = np.concatenate(([True], (np.diff(own) != 0) | (np.diff(side) != 0)))
+        segment[live] = np.maximum.accumulate(np.where(new, live, 0))
+
+
 def deep_shallow(group: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorts rows of equal-length strings (bytes, n x width) within groups.
 
@@ -250,8 +278,7 @@ def deep_shallow(group: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, np
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     shallow = min(SHALLOW, width)
-    words = np.ascontiguousarray(np.pad(strings[:, :shallow], ((0, 0), (0, -shallow % 8)))).view(">u8").astype(np.uint64)
-    order = np.lexsort((*reversed(words.T), group))
+    order = multikey_quicksort(group, strings, shallow)
     g, w = group[order], strings[order]
     lcp = np.full(n, -1, np.int64)
     new = np.flatnonzero(g[1:] == g[:-1]) + 1

@@ -25,6 +25,15 @@ def test_deep_shallow_orders_and_measures():
             assert lcp[k] == wanted
 
 
+def test_multikey_quicksort_equals_plain_sorting():
+    rng = np.random.default_rng(2)
+    for n, kinds, depth in ((0, 2, 4), (1, 2, 4), (300, 2, 16), (500, 3, 5), (400, 200, 8), (200, 1, 12)):
+        rows, group = rng.integers(0, kinds, (n, 20)).astype(np.uint8), rng.integers(0, 4, n)
+        order = suffixes.multikey_quicksort(group, rows, depth)
+        found = [(group[i], rows[i, :depth].tobytes()) for i in order]
+        assert sorted(order.tolist()) == list(range(n)) and found == sorted(found)
+
+
 def texts():
     rnd = random.Random(9)
     letters = lambda n: "".join(rnd.choice("abcdefgh é") for _ in range(n))
@@ -93,3 +102,11 @@ def test_edge_cases(spark, odd, empty):
     # identical rows are one document: both keep the same
     twins = [(r.n_bytes, r.n_removed, bytes(r.kept)) for r in out if r.doc_id == 1]
     assert len(twins) == 2 and twins[0] == twins[1]
+
+
+def test_ids_of_string_type(spark):
+    rows = [(f"k{i:03}", t) for i, t in texts()]
+    numbered = brute.repeats([(i, t) for i, (_, t) in enumerate(sorted(rows))])
+    out = suffixes.without_repeats(spark.createDataFrame(rows, "doc_id string, text string").repartition(3)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha"))
+    names = [k for k, _ in sorted(rows)]
+    assert {r.doc_id: tuple(r)[1:] for r in out.collect()} == {names[i]: v for i, v in numbered.items()}
