@@ -10,9 +10,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Openings that name the kind of paper rather than the call.
-SOLICITATION = r"(?i)^\s*(?:request for (?:proposals?|applications?|quotations?)|call for (?:proposals?|applications?)|notice of funding opportunity|rf[paq]|nofo|cfp)\b[\s:–-]*"
+OPENINGS = (
+    r"call for (?:letters? of interest|expressions? of interest|proposals?|applications?|concept notes?|tenders?)", r"requests? for (?:proposals?|applications?|expressions? of interest|information|quotations?)",
+    "expressions? of interest", "letters? of interest", "notice of funding opportunity", "funding opportunity announcement", "invitation to (?:tender|bid)", "eoi", "loi", "nofo", "rfp", "rfa", "rfq", "cfp", "cfa",
+)
+SOLICITATION = r"(?i)^\s*(?:" + "|".join(OPENINGS).replace(" ", r"\s+") + r")\b\s*[:–—-]*\s*"
 #: Words of titles that tell nothing apart.
-GENERIC = ("the", "and", "for", "with", "call", "grant", "grants", "fund", "funding", "program", "programme", "project", "projects", "proposal", "proposals", "support", "opportunity", "request", "application", "applications")
+GENERIC = tuple("call calls proposal proposals for the of a an and to in on is are now open until grant grants fund funds funding rfp rfa cfp eoi rfq application applications apply round programme program project projects award awards scheme new research".split())
+#: Words without an initial in a funder's acronym.
+SMALL_WORDS = tuple("of the and for de du des la le et".split())
 
 
 def normal_title(title: Column) -> Column:
@@ -25,7 +31,35 @@ def normal_title(title: Column) -> Column:
 def distinctive_tokens(title: Column) -> Column:
     """Distinct words of three characters or more that are neither generic nor a bare year."""
     words = F.array_distinct(F.split(normal_title(title), " "))
-    return F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*GENERIC) & ~w.rlike(r"^(19|20)\d\d$"))
+    return F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*GENERIC) & ~w.rlike(r"^\d{4}$"))
+
+
+def _after_prefix(name: Column) -> Column:
+    """What follows a leading "ACRONYM - "."""
+    at = F.instr(name, " - ")
+    return F.when(at > 0, F.substr(name, at + 3)).otherwise(name)
+
+
+def funder_core(name: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(_after_prefix(F.coalesce(name, F.lit("")))), r"[^\p{L}\p{N}_]+", " "))
+
+
+def funder_letters(name: Column) -> Column:
+    """The letters of a name, as an acronym would have them."""
+    return F.upper(F.regexp_replace(F.coalesce(name, F.lit("")), "[^A-Za-z]", ""))
+
+
+def funder_initials(name: Column) -> Column:
+    words = F.regexp_extract_all(_after_prefix(F.coalesce(name, F.lit(""))), F.lit(r"([A-Za-z][A-Za-z'&\-]*)"), 1)
+    return F.upper(F.array_join(F.transform(F.filter(words, lambda w: ~F.lower(w).isin(*SMALL_WORDS)), lambda w: F.left(w, F.lit(1))), ""))
+
+
+def same_funder(a: Column, b: Column) -> Column:
+    """Equal cores, one within the other from five characters on, or an acronym and its initials."""
+    x, y = funder_core(a), funder_core(b)
+    within = (F.length(x) >= 5) & (F.length(y) >= 5) & (F.contains(x, y) | F.contains(y, x))
+    short = lambda p, q: F.length(funder_letters(p)).between(2, 6) & (funder_letters(p) == funder_initials(q))
+    return (x != "") & (y != "") & ((x == y) | within | short(a, b) | short(b, a))
 
 
 def funder_key(name: Column) -> Column:

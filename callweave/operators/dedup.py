@@ -1,14 +1,14 @@
-"""Duplicate calls: equality keys, similar titles from blocks, a country veto, and greedy leaders."""
+"""Duplicate calls: the rule chain, similar titles by an exact filter, funders that are the same, and greedy leaders."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import sequence_ratio
+from ..functions.text import distinctive_tokens, funder_core, funder_initials, funder_letters, sequence_ratio
 
 RATIO = 0.90
 
@@ -20,69 +20,169 @@ def first_seen(df: DataFrame, key: Column, id_: str) -> DataFrame:
     return keyed.join(firsts, "key").select("id", "first", "copies")
 
 
-def rule_pairs(rows: DataFrame) -> DataFrame:
-    """rows: (id, oid, link, funder, deadline, value, country). (id, lead, rule): the first rule by which an earlier row leads.
+def first_rule(found: list[DataFrame]) -> DataFrame:
+    """(id, lead, rule) of the first rule that finds a lead, and its least lead."""
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("id").agg(F.min(F.struct("rule", "lead")).alias("m")).select("id", F.col("m.lead").alias("lead"), F.col("m.rule").alias("rule"))
 
-    Each rule has an equality key, so it is one aggregate (the smallest id of a key leads) and one join. Link
-    matches with two different ids, and any match between two different countries, are vetoed.
+
+def same_id(rows: DataFrame) -> DataFrame:
+    """Rule 1 over (id, oid): the least id with the same opportunity id leads."""
+    keyed = rows.where("oid <> ''").select("id", "oid")
+    return keyed.join(keyed.groupBy("oid").agg(F.min("id").alias("lead")), "oid").where("lead < id").select("id", "lead", F.lit("1 id").alias("rule"))
+
+
+def same_link(rows: DataFrame) -> DataFrame:
+    """Rule 2 over (id, oid, link): the least id with the same link leads, unless both have opportunity ids and they differ.
+
+    A row without an id may follow any row of its link; one with an id follows those without and those with its own:
+    three minima for each link, no pairs.
+    """
+    keyed = rows.where("link <> ''").select("id", "oid", "link")
+    per = keyed.groupBy("link").agg(F.min("id").alias("any"), F.min(F.when(F.col("oid") == "", F.col("id"))).alias("bare"))
+    own = keyed.groupBy("link", "oid").agg(F.min("id").alias("own"))
+    both = keyed.join(per, "link").join(own, ["link", "oid"])
+    lead = F.when(F.col("oid") == "", F.col("any")).otherwise(F.least("bare", "own"))
+    return both.select("id", lead.alias("lead"), F.lit("2 link").alias("rule")).where("lead < id")
+
+
+def same_place(a: Column, b: Column) -> Column:
+    """Not two titles that name countries and share none."""
+    return (F.size(a) == 0) | (F.size(b) == 0) | F.arrays_overlap(a, b)
+
+
+def funder_pairs(names: DataFrame, name: str = "funder") -> DataFrame:
+    """(a, b) of distinct names that stand for one funder, either way and with themselves.
+
+    The cores are equal; or one holds the other, from five characters on; or one is an acronym of two to six letters
+    and the other's initials. Containment is found by the shorter core's first five characters, which are one of the
+    longer core's runs of five, so no name meets all others.
+    """
+    n = names.select(F.col(name).alias("name")).where("name is not null").distinct()
+    n = n.select("name", funder_core(F.col("name")).alias("core"), funder_letters(F.col("name")).alias("letters"), funder_initials(F.col("name")).alias("initials")).where("core <> ''")
+    one, two = (n.select(*[F.col(c).alias(f"{c}_{k}") for c in n.columns]) for k in "ab")
+    equal = one.join(two, F.col("core_a") == F.col("core_b"))
+    runs = two.where(F.length("core_b") >= 5).withColumn("run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("core_b") - 4), lambda i: F.substr(F.col("core_b"), i, F.lit(5))))))
+    within = one.where(F.length("core_a") >= 5).join(runs, F.left("core_a", F.lit(5)) == F.col("run")).where(F.contains("core_b", "core_a"))
+    short = one.where(F.length("letters_a").between(2, 6)).join(two, F.col("letters_a") == F.col("initials_b"))
+    pairs = equal.select("name_a", "name_b").union(within.select("name_a", "name_b")).union(short.select("name_a", "name_b"))
+    return pairs.union(pairs.select("name_b", "name_a")).distinct().toDF("a", "b")
+
+
+def same_value(rows: DataFrame, funders: DataFrame) -> DataFrame:
+    """Rule 5 over (id, funder, deadline, value, countries): funder, deadline and value agree. Leads are kept by funder and countries."""
+    keyed = rows.where("funder is not null and deadline is not null and value is not null").select("id", "funder", "deadline", "value", "countries")
+    leads = keyed.groupBy("deadline", "value", F.col("funder").alias("b"), F.col("countries").alias("places")).agg(F.min("id").alias("lead"))
+    met = keyed.join(funders, F.col("funder") == F.col("a")).join(leads, ["deadline", "value", "b"]).where((F.col("lead") < F.col("id")) & same_place(F.col("countries"), F.col("places")))
+    return met.groupBy("id").agg(F.min("lead").alias("lead")).withColumn("rule", F.lit("5 value"))
+
+
+def same_deadline(rows: DataFrame, funders: DataFrame, least: float = 0.75, shared: int = 3) -> DataFrame:
+    """Rule 4 over (id, title, funder, deadline, countries): funder and deadline agree, and the titles have a ratio of `least` or `shared` words.
+
+    Only different titles of one deadline and equal funders meet; the ratio is computed where too few words are shared
+    and the lengths leave room for it.
+    """
+    kinds = rows.where("funder is not null and deadline is not null").select("id", "title", "funder", "deadline", "countries")
+    kinds = kinds.groupBy("title", "funder", "deadline", "countries").agg(F.min("id").alias("lead")).withColumn("words", distinctive_tokens(F.col("title")))
+    a = kinds.select(*[F.col(c).alias(f"{c}_a") for c in kinds.columns])
+    b = kinds.select(*[F.col(c).alias(f"{c}_b") for c in kinds.columns])
+    met = a.join(funders, F.col("funder_a") == F.col("a")).join(b, (F.col("b") == F.col("funder_b")) & (F.col("deadline_a") == F.col("deadline_b"))).where(same_place(F.col("countries_a"), F.col("countries_b")))
+    met = met.withColumn("common", F.size(F.array_intersect("words_a", "words_b")))
+    n, m = F.length("title_a"), F.length("title_b")
+    close = met.where("common < " + str(shared)).where((F.least(n, m) >= (n + m) * (least / 2)) & (F.col("title_a") != "") & (F.col("title_b") != ""))
+    alike = close.where((F.col("title_a") == F.col("title_b")) | (sequence_ratio(F.col("title_a"), F.col("title_b")) >= least))
+    keys = ["title_a", "funder_a", "deadline_a", "countries_a", "lead_b"]
+    leads = met.where(f"common >= {shared}").select(*keys).union(alike.select(*keys)).groupBy(*keys[:4]).agg(F.min("lead_b").alias("lead"))
+    cond = [F.col(k).eqNullSafe(F.col(f"{k}_a")) for k in ("title", "funder", "deadline", "countries")]
+    return rows.join(leads, cond).where("lead < id").select("id", "lead", F.lit("4 deadline").alias("rule"))
+
+
+def same_title(rows: DataFrame, least: float = RATIO) -> DataFrame:
+    """Rule 3 over (id, title, countries): titles with a ratio of `least`, whose countries do not part them."""
+    kinds = rows.where("title <> ''").groupBy("title", "countries").agg(F.min("id").alias("lead"))
+    titles = kinds.groupBy("title").agg(F.min("lead").alias("id"))
+    pairs = similar_titles(titles, least).select("id", "other")
+    either = pairs.union(pairs.select("other", "id")).union(titles.select("id", F.col("id").alias("other"))).toDF("x", "y")
+    named = titles.join(either, F.col("id") == F.col("x")).select("title", "y")
+    others = titles.select(F.col("id").alias("y"), F.col("title").alias("title_b")).join(named, "y").select("title", "title_b")
+    b = kinds.select(F.col("title").alias("title_b"), F.col("countries").alias("places"), "lead")
+    met = kinds.drop("lead").join(others, "title").join(b, "title_b").where(same_place(F.col("countries"), F.col("places")))
+    leads = met.groupBy("title", "countries").agg(F.min("lead").alias("lead"))
+    cond = [F.col(k).eqNullSafe(F.col(f"{k}_l")) for k in ("title", "countries")]
+    return rows.join(leads.withColumnsRenamed({"title": "title_l", "countries": "countries_l"}), cond).where("lead < id").select("id", "lead", F.lit("3 title").alias("rule"))
+
+
+def find_duplicates(rows: DataFrame, least: float = RATIO) -> DataFrame:
+    """rows: (id, oid, link, title, funder, deadline, value, countries); title normalised. (id, lead, rule).
+
+    The first of the five rules by which an earlier row (a smaller id) is the same call, and the least such row.
+    Countries part titles under rules 3 to 5; an equal id or link outranks them.
     """
-    keys = {
-        "1 id": F.when(F.col("oid") != "", F.col("oid")),
-        "2 link": F.when(F.col("link") != "", F.col("link")),
-        "5 value": F.when(F.col("value").isNotNull() & F.col("deadline").isNotNull(), F.concat_ws("|", "funder", F.col("deadline").cast("string"), F.col("value").cast("string"))),
-    }
-    found = None
-    for rule, key in keys.items():
-        keyed = rows.withColumn("key", key).where("key is not null")
-        # one leader for each country (and for links each opportunity id), so no veto loses a match
-        groups = ["key", F.coalesce("country", F.lit("")).alias("place")] + ([F.col("oid").alias("of")] if rule == "2 link" else [])
-        leads = keyed.groupBy(*groups).agg(F.min(F.struct("id", "oid")).alias("lead")).select("key", "place", "lead")
-        pairs = keyed.join(leads, "key").where("lead.id < id and (country is null or place = '' or place = country)")
-        if rule == "2 link":
-            pairs = pairs.where("oid = '' or lead.oid = '' or oid = lead.oid")
-        part = pairs.groupBy("id").agg(F.min("lead.id").alias("lead")).withColumn("rule", F.lit(rule))
-        found = part if found is None else found.unionByName(part)
-    return found.groupBy("id").agg(F.min(F.struct("rule", "lead")).alias("m")).select("id", F.col("m.lead").alias("lead"), F.col("m.rule").alias("rule"))
+    funders = funder_pairs(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    return first_rule([same_id(rows), same_link(rows), same_title(rows, least), same_deadline(rows, funders), same_value(rows, funders)])
+
+
+#: Groups of letters whose counts are compared before any ratio is computed.
+_BAG = ("ab", "cd", "e", "fgh", "i", "jkl", "mn", "o", "pqr", "s", "t", "uvwxyz", "0123456789")
+
+
+def _grams(title: Column, q: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(title) - (q - 1)), lambda i: F.substr(title, i, F.lit(q))))
 
 
 def similar_titles(rows: DataFrame, least: float = RATIO) -> DataFrame:
     """rows: (id, title), titles of one id each. (id, other, ratio) of pairs with a ratio of at least `least`, id > other.
 
-    ratio >= r bounds the lengths (the shorter has r / (2 - r) of the longer), and leaves room for one unmatched
-    character in five, so titles that share no word are not sought. Pairs meet on a shared word within the length
-    bounds; the ratio is computed once per pair. The cost follows the commonest words of distinct titles.
+    A ratio r leaves at most D = (1 - r) (m + n) of both titles' characters unmatched, each of which parts q of the runs of
+    q characters. So of either title all but q D different runs are in the other, and of any order of runs, the q D + 1
+    first of both titles have one in common: titles meet on these, the rarest first. What else the bound says (lengths,
+    counts of letters) is asked in the join; the ratio is computed once per pair. Runs have two characters in titles up
+    to eleven and three from ten on, so that the runs are enough. Nothing is lost.
     """
-    keyed = rows.select("id", "title", F.explode(F.array_distinct(F.split("title", " "))).alias("word"))
+    n = F.length("title")
+    counts = [(n - F.length(F.translate("title", letters, ""))).alias(f"c{k}") for k, letters in enumerate(_BAG)]
+    bags = rows.where("title is not null").select("id", "title", n.alias("n"), *counts).persist(StorageLevel.MEMORY_AND_DISK)
+    most = F.floor(F.col("n") * ((1 - least) * 2 / least) + 1e-9)  # D, for the longest title that may be a partner
+    runs = None
+    for q, low, high in ((2, 4, 11), (3, 10, 1 << 30)):
+        part = bags.where(F.col("n").between(low, high)).select("id", (F.lit(q) * most + 1).alias("first"), F.explode(_grams(F.col("title"), q)).alias("run"))
+        runs = part if runs is None else runs.unionByName(part)
+    often = runs.groupBy("run").agg(F.count("*").alias("often"))
+    placed = runs.join(often, "run").withColumn("place", F.row_number().over(Window.partitionBy("id", F.length("run")).orderBy("often", "run"))).where("place <= first")
+    keyed = placed.select("id", "run").join(bags, "id")
     a, b = keyed.alias("a"), keyed.alias("b")
-    short, long = F.least(F.length("a.title"), F.length("b.title")), F.greatest(F.length("a.title"), F.length("b.title"))
-    met = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.id") > F.col("b.id")) & (short >= long * (least / (2 - least))))
-    pairs = met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), F.col("a.title").alias("t"), F.col("b.title").alias("u")).distinct()
-    return pairs.select("id", "other", F.when(F.col("t") == F.col("u"), F.lit(1.0)).otherwise(sequence_ratio(F.col("t"), F.col("u"))).alias("ratio")).where(F.col("ratio") >= least)
+    apart = sum((F.abs(F.col(f"a.c{k}") - F.col(f"b.c{k}")) for k in range(len(_BAG))), F.lit(0))
+    room = (F.col("a.n") + F.col("b.n")) * (1 - least) + 1e-9
+    met = a.join(b, (F.col("a.run") == F.col("b.run")) & (F.col("a.id") > F.col("b.id")) & (F.abs(F.col("a.n") - F.col("b.n")) <= room) & (apart <= room))
+    pairs = met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
+    named = pairs.join(bags.select("id", F.col("title").alias("t")), "id").join(bags.select(F.col("id").alias("other"), F.col("title").alias("u")), "other")
+    return named.select("id", "other", F.when(F.col("t") == F.col("u"), F.lit(1.0)).otherwise(sequence_ratio(F.col("t"), F.col("u"))).alias("ratio")).where(F.col("ratio") >= least)
 
 
 def leaders(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Greedy leaders: in rank order a row joins the first leader it is similar to, else it leads itself.
+    """Greedy leaders: in the order of (rank, id) a row joins the first leader it is similar to, else it leads itself.
 
-    ranked: (id, rank, block), pairs: (id, other) either way, within blocks. A block is a connected set of similar
-    rows; the order within it decides, so a block is folded in one task.
+    ranked: (id, rank), pairs: (id, other) either way. In a round every row is decided whose earlier partners allow it:
+    it joins its first leading partner if no undecided one comes before, and leads if no partner leads or is undecided.
+    Rounds follow the longest chain of partners in falling order; no group of rows is gathered.
     """
-    links = pairs.unionByName(pairs.select(F.col("other").alias("id"), F.col("id").alias("other"))).groupBy("id").agg(F.collect_set("other").alias("others"))
-    rows = ranked.join(links, "id", "left")
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["rank", "id"])
-        heads: list[int] = []
-        lead = []
-        for row in group.itertuples():
-            near = set(row.others) if row.others is not None else set()
-            head = next((h for h in heads if h in near), None)
-            if head is None:
-                heads.append(row.id)
-                head = row.id
-            lead.append(head)
-        return pd.DataFrame({"id": group["id"], "lead": lead})
-
-    return rows.groupBy("block").applyInPandas(fold, "id long, lead long")
+    at = lambda c: F.struct(F.col(f"{c}.rank").alias("rank"), F.col(f"{c}.id").alias("id"))
+    either = pairs.select("id", "other").union(pairs.select("other", "id")).toDF("i", "o")
+    a, b = ranked.alias("a"), ranked.alias("b")
+    open_ = either.join(a, F.col("i") == F.col("a.id")).join(b, F.col("o") == F.col("b.id")).where(at("b") < at("a")).select(F.col("i").alias("id"), at("b").alias("before")).distinct().checkpoint()
+    done = ranked.join(open_.select("id").distinct(), "id", "left_anti").select("id", F.col("id").alias("lead")).checkpoint()
+    while not open_.isEmpty():
+        d = done.select(F.col("id").alias("d"), "lead")
+        seen = open_.join(d, F.col("before.id") == F.col("d"), "left")
+        leads = F.min(F.when(F.col("lead") == F.col("d"), F.col("before"))).alias("leads")
+        waits = F.min(F.when(F.col("d").isNull(), F.col("before"))).alias("waits")
+        new = seen.groupBy("id").agg(leads, waits).where("waits is null or leads < waits").select("id", F.coalesce("leads.id", "id").alias("lead")).checkpoint()
+        done = done.unionByName(new).checkpoint()
+        open_ = open_.join(new.select("id"), "id", "left_anti").checkpoint()
+    return done
 
 
 def blank_count(columns: Iterator[str]) -> Column:

@@ -55,7 +55,7 @@ _GENERIC = ", ".join(f"'{w}'" for w in text.GENERIC)
 
 
 @query(f"""WITH x AS (SELECT doc_id, trim(regexp_replace(lower(CASE WHEN length(trim(substr(t, 6))) < 8 THEN t ELSE substr(t, 6) END), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS title FROM (SELECT doc_id, {_TITLE} AS t FROM documents))
- SELECT doc_id, coalesce(array_to_string(list_sort(list_filter(list_distinct(string_split(title, ' ')), lambda w: length(w) >= 3 AND w NOT IN ({_GENERIC}) AND NOT regexp_matches(w, '^(19|20)\\d\\d$'))), ' '), '') AS tokens FROM x""")
+ SELECT doc_id, coalesce(array_to_string(list_sort(list_filter(list_distinct(string_split(title, ' ')), lambda w: length(w) >= 3 AND w NOT IN ({_GENERIC}) AND NOT regexp_matches(w, '^[0-9]{{4}}$'))), ' '), '') AS tokens FROM x""")
 def distinctive_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.sort_array(text.distinctive_tokens(_title())), " ").alias("tokens"))
 

@@ -1,14 +1,20 @@
 """Operators whose results the carriers do not show."""
 
 import datetime
+import random
+import re
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
+from callweave.functions import text
 from callweave.operators import aggregates, dedup, joins, matching, ranking, state
+from callweave.plans import dedup as plans
 from callweave.sources import html, tables
 from callweave.streaming import jobs
 
+from .compare import SF
+
 
 def test_similar_titles_equal_brute_force(spark):
     titles = ["clean water for east kenya schools", "clean water for east kenya school", "clean water for west kenya schools", "poetry grants for young writers", "poetry grant for young writers 2024", "malaria vaccine delivery research call", "malaria vaccines delivery research calls", "short"]
@@ -17,29 +23,119 @@ def test_similar_titles_equal_brute_force(spark):
     assert got == {(i, j) for i in range(len(titles)) for j in range(i) if SequenceMatcher(None, titles[i], titles[j]).ratio() >= 0.9}
 
 
+def similar(a, b, least):
+    return bool(a) and bool(b) and SequenceMatcher(None, a, b).ratio() >= least
+
+
+def test_titles_without_a_common_word_and_with_many_changes(spark):
+    rnd = random.Random(3)
+    titles = ["organisation", "organization", "sustainable agriculture", "sustainible agricultire", "abcd", "abce", "abcdefghij", "abcdefghijk", "abdcefghij", "aaaaaaaaaa", "aaaaaaaaaaa", "ab", "ab c"]
+    for _ in range(150):
+        base = list(rnd.choice(titles[:4]) + " " + "".join(rnd.choice("abcde ") for _ in range(rnd.randint(0, 40))))
+        for _ in range(rnd.randint(0, 4)):
+            base[rnd.randrange(len(base))] = rnd.choice("xyz ab")
+        titles.append("".join(base))
+    titles = list(dict.fromkeys(titles))
+    rows = spark.createDataFrame(list(enumerate(titles)), "id long, title string").repartition(3)
+    for least in (0.9, 0.75):
+        got = {(r.id, r.other) for r in dedup.similar_titles(rows, least).collect()}
+        assert got == {(i, j) for i in range(len(titles)) for j in range(i) if similar(titles[i], titles[j], least)}
+        assert (1, 0) in got and (3, 2) in got
+
+
+def test_page_titles_equal_plain_search(spark):
+    titles = sorted((r.id, r.title) for r in plans.page_titles(spark, SF).collect())
+    got = {(r.id, r.other): r.ratio for r in plans.dedup_rule_3_ratio(spark, SF).collect()}
+    want = {(i, j): round(x, 6) for n, (i, t) in enumerate(titles) for j, u in titles[:n] if (x := SequenceMatcher(None, t, u).ratio()) >= 0.9}
+    assert got == want
+
+
+def greedy(ranks, pairs):
+    near = {frozenset(p) for p in pairs}
+    heads, lead = [], {}
+    for _, i in sorted((r, i) for i, r in ranks):
+        lead[i] = next((h for h in heads if frozenset((h, i)) in near), i)
+        if lead[i] == i:
+            heads.append(i)
+    return lead
+
+
 def test_leaders_are_greedy_not_components(spark):
-    """2 ~ 1 and 3 ~ 2, but 3 is not like 1: 2 joins 1, and 3 leads itself."""
-    ranked = spark.createDataFrame([(1, 1, 1), (2, 2, 1), (3, 3, 1), (9, 4, 9)], "id long, rank long, block long")
-    pairs = spark.createDataFrame([(2, 1), (3, 2)], "id long, other long")
-    assert {r.id: r.lead for r in dedup.leaders(ranked, pairs).collect()} == {1: 1, 2: 1, 3: 3, 9: 9}
+    """2 ~ 1 and 3 ~ 2, but 3 is not like 1: 2 joins 1, and 3 leads itself. 5 joins leader 4, though it is linked to 2."""
+    rnd = random.Random(7)
+    cases = [([(1, 1), (2, 2), (3, 3), (9, 4)], [(2, 1), (3, 2)]), ([(i, i) for i in range(1, 6)], [(5, 2), (5, 4), (2, 1)]), ([(i, 0) for i in range(30)], [(i, i + 1) for i in range(29)])]
+    cases.append(([(i, rnd.randint(0, 9)) for i in range(60)], list({tuple(sorted(rnd.sample(range(60), 2))) for _ in range(140)})))
+    for ranks, pairs in cases:
+        got = dedup.leaders(spark.createDataFrame(ranks, "id long, rank long"), spark.createDataFrame(pairs, "id long, other long"))
+        assert {r.id: r.lead for r in got.collect()} == greedy(ranks, pairs)
+
+
+DUP = "id long, oid string, link string, title string, funder string, deadline date, value long, countries array<string>"
+
+
+def rules(a, b):
+    """The first rule by which b, an earlier row, is the same call as a; plainly, pair by pair."""
+    if a["oid"] and a["oid"] == b["oid"]:
+        return "1 id"
+    if a["link"] and a["link"] == b["link"]:
+        return None if a["oid"] and b["oid"] else "2 link"
+    if a["countries"] and b["countries"] and not set(a["countries"]) & set(b["countries"]):
+        return None
+    if similar(a["title"], b["title"], 0.9):
+        return "3 title"
+    if a["funder"] and b["funder"] and a["deadline"] and a["deadline"] == b["deadline"] and same_funder(a["funder"], b["funder"]):
+        words = [{w for w in x["title"].split() if len(w) >= 3 and w not in text.GENERIC and not re.fullmatch(r"[0-9]{4}", w)} for x in (a, b)]
+        if similar(a["title"], b["title"], 0.75) or len(words[0] & words[1]) >= 3:
+            return "4 deadline"
+        if a["value"] is not None and a["value"] == b["value"]:
+            return "5 value"
+    return None
+
+
+def same_funder(a, b):
+    after = [x.split(" - ", 1)[1] if " - " in x else x for x in (a, b)]
+    x, y = (" ".join(re.sub("[^a-z0-9]+", " ", n.lower()).split()) for n in after)
+    if x == y or (len(x) >= 5 and len(y) >= 5 and (x in y or y in x)):
+        return True
+    initials = ["".join(w[0].upper() for w in re.findall(r"[A-Za-z][A-Za-z'&-]*", n) if w.lower() not in text.SMALL_WORDS) for n in after]
+    letters = [re.sub("[^A-Za-z]", "", n).upper() for n in (a, b)]
+    return any(2 <= len(p) <= 6 and p == q for p, q in ((letters[0], initials[1]), (letters[1], initials[0])))
+
+
+def first_rules(rows):
+    out = {}
+    for a in rows:
+        # a link's ids that differ settle a pair, whatever the later rules say
+        found = [(rule, b["id"]) for b in rows if b["id"] < a["id"] and (rule := rules(a, b))]
+        if found:
+            out[a["id"]] = min(found)[::-1]
+    return out
 
 
 def test_rules_and_country_veto(spark):
     day = datetime.date(2026, 8, 1)
+    one = "modern slavery fund albania programme"
     rows = [
-        (1, "A1", "x/1", "f", day, 5, None), (2, "A1", "", "g", None, None, "Kenya"), (3, "B2", "x/1", "h", None, None, None),
-        (4, "", "x/1", "h", None, None, None), (5, "", "", "f", day, 5, "Mali"), (6, "C", "", "f", day, 5, "Kenya"), (7, "A1", "", "q", None, None, "Mali"),
+        (1, "A1", "x/1", "", "f", day, 5, []), (2, "A1", "", "", "g", None, None, ["kenya"]), (3, "B2", "x/1", "", "h", None, None, []),
+        (4, "", "x/1", "", "h", None, None, []), (5, "", "", "", "f", day, 5, ["mali"]), (6, "C", "", "", "f", day, 5, ["kenya"]), (7, "A1", "", "", "q", None, None, ["mali"]),
+        (10, "", "", one, "k", None, None, ["albania"]), (11, "", "", one.replace("albania", "algeria"), "k", None, None, ["algeria"]), (12, "", "", one + "s", "k", None, None, []),
+        (20, "", "", "ninth african malaria drug discovery", "Medicines for Malaria Venture", day, None, []), (21, "", "", "malaria drug discovery african round", "MMV", day, None, []),
+        (22, "", "", "grand cost innovations", "MMV", day, None, []), (23, "", "", "other thing entirely", "MMV - Medicines for Malaria Venture", day, 9, []), (24, "", "", "unlike it", "MMV", day, 9, []),
     ]
-    frame = spark.createDataFrame(rows, "id long, oid string, link string, funder string, deadline date, value long, country string")
-    got = {r.id: (r.lead, r.rule) for r in dedup.rule_pairs(frame).collect()}
-    # 3 shares 1's link but has another id; 4 has none
-    assert got == {2: (1, "1 id"), 4: (1, "2 link"), 5: (1, "5 value"), 6: (1, "5 value"), 7: (1, "1 id")}
+    got = {r.id: (r.lead, r.rule) for r in dedup.find_duplicates(spark.createDataFrame(rows, DUP)).collect()}
+    assert got == {2: (1, "1 id"), 4: (1, "2 link"), 5: (1, "5 value"), 6: (1, "5 value"), 7: (1, "1 id"), 12: (10, "3 title"), 21: (20, "4 deadline"), 24: (23, "5 value")}
+
+
+def test_the_whole_chain_equals_plain_search(spark):
+    rows = plans.titled_calls(spark, SF.replace("sf0.01", "sf0.001")).where("id < 1500")
+    plain = [r.asDict() for r in rows.collect()]
+    got = {r.id: (r.lead, r.rule) for r in dedup.find_duplicates(rows).collect()}
+    assert len(plain) > 100 and got == first_rules(plain) and {x[1] for x in got.values()} >= {"2 link", "3 title"}
 
 
 def test_a_vetoed_link_leader_hides_no_other(spark):
-    rows = [(1, "X", "l", "a", None, None, None), (2, "", "l", "b", None, None, None), (3, "Y", "l", "c", None, None, None), (4, "Z", "l", "d", None, None, "Mali"), (5, "Y", "m", "e", None, None, "Mali")]
-    frame = spark.createDataFrame(rows, "id long, oid string, link string, funder string, deadline date, value long, country string")
-    got = {r.id: (r.lead, r.rule) for r in dedup.rule_pairs(frame).collect()}
+    rows = [(1, "X", "l", "", "a", None, None, []), (2, "", "l", "", "b", None, None, []), (3, "Y", "l", "", "c", None, None, []), (4, "Z", "l", "", "d", None, None, ["mali"]), (5, "Y", "m", "", "e", None, None, ["mali"])]
+    got = {r.id: (r.lead, r.rule) for r in dedup.find_duplicates(spark.createDataFrame(rows, DUP)).collect()}
     assert got == {2: (1, "2 link"), 3: (2, "2 link"), 4: (2, "2 link"), 5: (3, "1 id")}
 
 
