@@ -3,20 +3,30 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Names that mean the same place.
-SYNONYMS = {"usa": "United States", "us": "United States", "u.s.": "United States", "united states of america": "United States", "uk": "United Kingdom", "drc": "DR Congo", "congo, democratic republic of the": "DR Congo", "tanzania, united republic of": "Tanzania", "ivory coast": "Cote d'Ivoire"}
-#: A small gazetteer; a larger one is a parameter.
+SYNONYMS = {"usa": "United States", "us": "United States", "u.s.": "United States", "united states of america": "United States", "uk": "United Kingdom", "drc": "DR Congo", "congo, democratic republic of the": "DR Congo", "tanzania, united republic of": "Tanzania", "ivory coast": "Cote d'Ivoire", "democratic republic of the congo": "DR Congo", "vietnam": "Viet Nam", "turkey": "Turkiye", "swaziland": "Eswatini", "burma": "Myanmar", "cape verde": "Cabo Verde", "czech republic": "Czechia", "macedonia": "North Macedonia", "south-korea": "South Korea", "republic of korea": "South Korea", "holland": "Netherlands", "uae": "United Arab Emirates"}
+#: Countries by region. Further or other regions are a parameter.
 REGIONS = {
-    "East Africa": ("Kenya", "Uganda", "Tanzania", "Rwanda", "Ethiopia"),
-    "West Africa": ("Ghana", "Nigeria", "Senegal", "Mali", "Cote d'Ivoire"),
-    "South Asia": ("India", "Nepal", "Pakistan", "Bangladesh"),
-    "North America": ("United States", "Canada", "Mexico"),
-    "Europe": ("France", "Germany", "Spain", "United Kingdom"),
+    "East Africa": ("Burundi", "Comoros", "Djibouti", "Eritrea", "Ethiopia", "Kenya", "Madagascar", "Mauritius", "Rwanda", "Seychelles", "Somalia", "South Sudan", "Sudan", "Tanzania", "Uganda"),
+    "West Africa": ("Benin", "Burkina Faso", "Cabo Verde", "Cote d'Ivoire", "Gambia", "Ghana", "Guinea", "Guinea-Bissau", "Liberia", "Mali", "Mauritania", "Niger", "Nigeria", "Senegal", "Sierra Leone", "Togo"),
+    "Central Africa": ("Cameroon", "Central African Republic", "Chad", "Congo", "DR Congo", "Equatorial Guinea", "Gabon", "Sao Tome and Principe"),
+    "Southern Africa": ("Angola", "Botswana", "Eswatini", "Lesotho", "Malawi", "Mozambique", "Namibia", "South Africa", "Zambia", "Zimbabwe"),
+    "Middle East and North Africa": ("Algeria", "Bahrain", "Egypt", "Iran", "Iraq", "Israel", "Jordan", "Kuwait", "Lebanon", "Libya", "Morocco", "Oman", "Palestine", "Qatar", "Saudi Arabia", "Syria", "Tunisia", "United Arab Emirates", "Yemen"),
+    "South Asia": ("Afghanistan", "Bangladesh", "Bhutan", "India", "Maldives", "Nepal", "Pakistan", "Sri Lanka"),
+    "South-East Asia": ("Brunei", "Cambodia", "Indonesia", "Laos", "Malaysia", "Myanmar", "Philippines", "Singapore", "Thailand", "Timor-Leste", "Viet Nam"),
+    "East Asia": ("China", "Japan", "Mongolia", "North Korea", "South Korea"),
+    "Central Asia": ("Kazakhstan", "Kyrgyzstan", "Tajikistan", "Turkmenistan", "Uzbekistan"),
+    "Pacific": ("Australia", "Fiji", "Kiribati", "New Zealand", "Papua New Guinea", "Samoa", "Solomon Islands", "Tonga", "Tuvalu", "Vanuatu"),
+    "North America": ("Canada", "Mexico", "United States"),
+    "Central America": ("Belize", "Costa Rica", "El Salvador", "Guatemala", "Honduras", "Nicaragua", "Panama"),
+    "Caribbean": ("Bahamas", "Barbados", "Cuba", "Dominica", "Dominican Republic", "Grenada", "Haiti", "Jamaica", "Saint Lucia", "Trinidad and Tobago"),
+    "South America": ("Argentina", "Bolivia", "Brazil", "Chile", "Colombia", "Ecuador", "Guyana", "Paraguay", "Peru", "Suriname", "Uruguay", "Venezuela"),
+    "Europe": ("Albania", "Austria", "Belgium", "Bosnia and Herzegovina", "Bulgaria", "Croatia", "Cyprus", "Czechia", "Denmark", "Estonia", "Finland", "France", "Germany", "Greece", "Hungary", "Iceland", "Ireland", "Italy", "Kosovo", "Latvia", "Lithuania", "Luxembourg", "Malta", "Moldova", "Montenegro", "Netherlands", "North Macedonia", "Norway", "Poland", "Portugal", "Romania", "Serbia", "Slovakia", "Slovenia", "Spain", "Sweden", "Switzerland", "Turkiye", "Ukraine", "United Kingdom"),
 }
 WORLDWIDE = r"(?i)\b(world[- ]?wide|any country|all countries|global(?:ly)? eligible|open to applicants (?:from )?(?:anywhere|around the world))\b"
 
@@ -30,17 +40,28 @@ def places(text: Column, regions: Mapping[str, Sequence[str]] = REGIONS) -> Colu
 
 def canonical(name: Column) -> Column:
     """A synonym's name, an inverted official name turned round ('Gambia, The'), else the name in title case."""
-    low = F.lower(F.trim(name))
-    turned = F.regexp_replace(F.trim(name), r"(?i)^([^,]+),\s*(the|republic of|kingdom of|state of)$", "$1")
-    out = F.when(F.lit(False), F.lit(""))
-    for k, v in SYNONYMS.items():
-        out = out.when(low == k, F.lit(v))
-    return out.otherwise(F.initcap(F.lower(turned)))
+    return canonical_of({})(name)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def canonical_of(regions: Mapping[str, Sequence[str]]) -> Callable[[Column], Column]:
+    """canonical(), with names of these regions and their members kept as they are written there, whatever their case."""
+    known = SYNONYMS | {n.lower(): n for n in (*regions, *(c for cs in regions.values() for c in cs))}
+    # one constant map, given as text: a column a name would cost a call a name
+    names = F.expr("map(" + ", ".join(f"{_quoted(k)}, {_quoted(v)}" for k, v in known.items()) + ")")
+    return lambda name: F.coalesce(F.try_element_at(names, F.lower(F.trim(name))), F.initcap(F.lower(_turned(name))))
+
+
+def _turned(name: Column) -> Column:
+    return F.regexp_replace(F.trim(name), r"(?i)^([^,]+),\s*(the|republic of|kingdom of|state of)$", "$1")
 
 
 def expand(labels: Column, regions: Mapping[str, Sequence[str]] = REGIONS) -> Column:
     """The labels with the members of those that are regions."""
-    members = F.create_map(*[x for r, cs in regions.items() for x in (F.lit(r), F.array(*map(F.lit, (r, *cs))))])
+    members = F.expr("map(" + ", ".join(f"{_quoted(r)}, array({', '.join(_quoted(x) for x in (r, *cs))})" for r, cs in regions.items()) + ")")
     return F.array_distinct(F.flatten(F.transform(labels, lambda x: F.coalesce(F.try_element_at(members, x), F.array(x)))))
 
 

@@ -46,7 +46,7 @@ _AFTER = "CASE WHEN instr(name, ' - ') > 0 THEN substr(name, instr(name, ' - ')
 
 
 @query(f"""WITH {_NAMES}, c AS (SELECT name, trim(regexp_replace(lower({_AFTER}), '[^a-z0-9]+', ' ', 'g')) AS core, upper(regexp_replace(name, '[^A-Za-z]', '', 'g')) AS letters,
-  upper(coalesce(array_to_string(list_transform(list_filter(regexp_extract_all({_AFTER}, '[A-Za-z][A-Za-z''&\\-]*'), w -> lower(w) NOT IN ({", ".join(f"'{w}'" for w in text.SMALL_WORDS)})), w -> left(w, 1)), ''), '')) AS initials FROM n)
+  upper(coalesce(array_to_string(list_transform(list_filter(regexp_extract_all({_AFTER}, '[A-Za-z][A-Za-z''&\\-]*'), lambda w: lower(w) NOT IN ({", ".join(f"'{w}'" for w in text.SMALL_WORDS)})), lambda w: left(w, 1)), ''), '')) AS initials FROM n)
  SELECT a.name AS a, b.name AS b FROM c a, c b WHERE a.core <> '' AND b.core <> '' AND (a.core = b.core OR (length(a.core) >= 5 AND length(b.core) >= 5 AND (contains(a.core, b.core) OR contains(b.core, a.core)))
   OR (length(a.letters) BETWEEN 2 AND 6 AND a.letters = b.initials) OR (length(b.letters) BETWEEN 2 AND 6 AND b.letters = a.initials))""")
 def funder_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
