@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import distinctive_tokens, funder_core, funder_initials, funder_letters, sequence_ratio
+from ..sources.tables import ensure_checkpoints
 
 RATIO = 0.90
 
@@ -169,6 +170,7 @@ def leaders(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
     it joins its first leading partner if no undecided one comes before, and leads if no partner leads or is undecided.
     Rounds follow the longest chain of partners in falling order; no group of rows is gathered.
     """
+    ensure_checkpoints(ranked.sparkSession)
     at = lambda c: F.struct(F.col(f"{c}.rank").alias("rank"), F.col(f"{c}.id").alias("id"))
     either = pairs.select("id", "other").union(pairs.select("other", "id")).toDF("i", "o")
     a, b = ranked.alias("a"), ranked.alias("b")

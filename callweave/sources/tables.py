@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
@@ -13,10 +14,22 @@ from pyspark.sql import functions as F
 from ..operators.joins import upsert
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder only for a local master that has none (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+    return (folder or f"file://{tempfile.mkdtemp(prefix='callweave-')}").rstrip("/")
+
+
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; a folder of its own is set only where none is (tests)."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="callweave-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/callweave-{label}-{uuid.uuid4().hex}"
 
 
 def upsert_parquet(spark: SparkSession, incoming: DataFrame, path: str, keys: Sequence[str], next_path: str) -> DataFrame:
