@@ -6,11 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words before a date that make it a deadline, and those that make it something else.
-SUBMIT = ("submission deadline", "application deadline", "closing date", "deadline", "due date", "due by", "apply by", "submit by", "closes on", "closes")
+SUBMIT = ("submission deadline", "application deadline", "closing date", "deadline", "due date", "due by", "apply by", "submit by", "open until", "closes on", "closes", "date limite", "jusqu'au")
 OTHER = ("posted", "published", "issued", "release date", "opening date", "opens", "start date", "updated", "last modified", "webinar", "award date")
 ROLLING = r"(?i)\b(rolling basis|open until filled|no (?:fixed )?deadline|ongoing|year[- ]round|accepted at any time)\b"
-_MONTH = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
-_DATE = rf"\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}(?:st|nd|rd|th)?\s+{_MONTH}\.?,?\s+\d{{4}}|{_MONTH}\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}|\d{{1,2}}[/.]\d{{1,2}}[/.]\d{{4}}|{_MONTH}\.?\s+\d{{4}}"
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+#: Parts of a date: a month by its first three letters, four for September, or in full; a day with or without its ending.
+_MONTH = "(?:" + "|".join(rf"{m[:3]}(?:{m[3:]})?" if m != "september" else "sep(?:t(?:ember)?)?" for m in MONTHS) + ")"
+_DAY, _YEAR = r"[0-9]{1,2}(?:st|nd|rd|th)?", "[0-9]{4}"
+#: The shapes of a date, most telling first: ISO, day first, month first, numbers, a month alone.
+SHAPES = ("{year}-[0-9]{{2}}-[0-9]{{2}}", r"{day}\s+{month}[.]?,?\s+{year}", r"{month}[.]?\s+{day},?\s+{year}", "[0-9]{{1,2}}[/.][0-9]{{1,2}}[/.]{year}", r"{month}[.]?\s+{year}")
+_DATE = "|".join(s.format(day=_DAY, month=_MONTH, year=_YEAR) for s in SHAPES)
 WINDOW = 70
 
 
@@ -49,7 +54,7 @@ def deadline(text: Column, year: int) -> Column:
     return F.when(submit.isNotNull() & submit["precise"], out(submit["date"], "labelled", "high")).when(submit.isNotNull(), out(submit["date"], "labelled month", "medium")).when(text.rlike(ROLLING), out(F.to_date(F.lit(f"{year}-12-31")), "rolling", "medium")).when(plain.isNotNull(), out(plain["date"], "unlabelled", "low"))
 
 
-def posted(text: Column, as_of: str, head: int = 300) -> Column:
+def posted(text: Column, as_of: str, head: int = 600) -> Column:
     """The latest past date with a publication label, else the first past date of the opening; never a future one."""
     past = lambda x: x["at"]["date"] < F.to_date(F.lit(as_of))
     labelled = F.array_max(F.transform(F.filter(dated(text), lambda x: (x["kind"] == "other") & past(x)), lambda x: x["at"]["date"]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -10,16 +11,19 @@ from pyspark.sql import functions as F
 #: Units per dollar's worth, for want of a live rate.
 RATES = {"USD": 1.0, "EUR": 1.1, "GBP": 1.25, "CHF": 1.1, "CAD": 0.75, "KES": 0.0078}
 _SIGNS = {"$": "USD", "€": "EUR", "£": "GBP"}
-_CODE = r"USD|EUR|GBP|CHF|CAD|KES|\$|€|£"
-_NUMBER = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
-_SCALE = r"k|thousand|m|mn|million|bn|b|billion"
+_CODE = "|".join([*RATES, *(re.escape(s) for s in _SIGNS)])
+#: Words and letters after a number, and what they multiply it by.
+SCALES = {"thousand": 1e3, "million": 1e6, "billion": 1e9, "k": 1e3, "mn": 1e6, "m": 1e6, "bn": 1e9, "b": 1e9}
+_SCALE = "|".join(SCALES)
+# whole part in groups of three, or plain digits; then decimals
+_WHOLE = "(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)"
+_NUMBER = rf"{_WHOLE}(?:[.][0-9]+)?"
 MONEY = rf"(?i)(?:({_CODE})\s*({_NUMBER})\s*({_SCALE})?\b|({_NUMBER})\s*({_SCALE})?\s*({_CODE}))"
 
 
 def number(text: Column, scale: Column) -> Column:
-    low = F.lower(scale)
-    factor = F.when(low.isin("k", "thousand"), 1e3).when(low.isin("m", "mn", "million"), 1e6).when(low.isin("bn", "b", "billion"), 1e9).otherwise(1.0)
-    return F.replace(text, F.lit(","), F.lit("")).try_cast("double") * factor
+    factor = F.create_map(*[F.lit(x) for kv in SCALES.items() for x in kv])
+    return F.replace(text, F.lit(","), F.lit("")).try_cast("double") * F.coalesce(F.try_element_at(factor, F.lower(scale)), F.lit(1.0))
 
 
 def amounts(text: Column) -> Column:

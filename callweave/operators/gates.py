@@ -26,6 +26,9 @@ class Policy(NamedTuple):
     geography: bool = True
     theme: bool = True
     stale_days: int = 90
+    home: str = ""
+    types: tuple[str, ...] = ()
+    match_types: bool = False
 
 
 #: Shapes of addresses, titles and texts that are no open call.
@@ -46,6 +49,10 @@ JOB = r"(?i)\b(?:vacancy|job opening|terms of employment|curriculum vitae requir
 CLOSED_TEXT = r"(?i)\b(?:this call (?:is|has) (?:now )?closed|applications are (?:now )?closed|no longer accepting)\b"
 DOMESTIC = r"(?i)\b(?:only (?:u\.?s\.?|domestic) (?:organi[sz]ations|entities)|must be located in the united states)\b"
 FOREIGN_OK = r"(?i)\b(?:foreign (?:organi[sz]ations|entities) (?:are|may)|non-u\.?s\.? entities are eligible)"
+NAMED_ONLY = r"(?i)\b(?:only (?:current )?(?:members|alumni|grantees) of|restricted to (?:members|grantees)|open only to (?:members|staff|employees) of)\b"
+DONOR_INVEST = r"(?i)\b(?:donate (?:now|today)|make a donation|invest(?:ment)? opportunities for investors)\b"
+LOANS = r"(?i)\b(?:loans? (?:of|up to)|concessional loan|micro-?credit)\b"
+TRAINING = r"(?i)\b(?:training (?:course|workshop)|webinar series|summer school)\b"
 ROLLING = r"(?i)\brolling basis\b|\bopen until filled\b"
 #: Share of letters beyond Latin that makes a text unreadable to the screeners, and the least text to judge by.
 FOREIGN_SHARE, FOREIGN_LEAST = 0.3, 80
@@ -61,8 +68,30 @@ def any_of(words: Sequence[str]) -> str:
     return taxonomy.keyword_pattern(words) if words else r"(?!)"
 
 
-def gate(title: Column, body: Column, url: Column, deadline: Column, posted: Column, policy: Policy, as_of: str) -> Column:
-    """The first reason, 'group: detail', in the chain's order. The page's own text counts if it is held, else the brief."""
+def other_country(found: Column, eligible: Sequence[str], broad: Sequence[str] = ()) -> Column:
+    """A named country governs over a broad region: countries are named, none of them is ours, though a region of ours may be."""
+    named = F.filter(found, lambda x: ~x.isin(*geo.REGIONS))
+    return (F.size(named) > 0) & ~F.arrays_overlap(named, F.array(*map(F.lit, eligible)) if eligible else F.array().cast("array<string>"))
+
+
+def applicant_country_mismatch(countries: Column, home: str) -> Column:
+    """A published list of applicants' countries, regions with their members, that does not hold the applicant's."""
+    listed = geo.expand(F.transform(countries, geo.canonical_of(geo.REGIONS)))
+    return F.coalesce((F.size(countries) > 0) & ~F.array_contains(listed, home), F.lit(False)) if home else F.lit(False)
+
+
+def applicant_type_mismatch(types: Column, text: Column, ours: Sequence[str]) -> Column:
+    """Closed to named applicants by wording; or published groups that are neither open nor ours."""
+    groups = F.transform(types, lambda x: F.lower(F.trim(x)))
+    other = (F.size(groups) > 0) & ~F.array_contains(groups, "open") & ~F.arrays_overlap(groups, F.array(*map(F.lit, ours)) if ours else F.array().cast("array<string>"))
+    return F.coalesce(text.rlike(NAMED_ONLY), F.lit(False)) | F.coalesce(other, F.lit(False))
+
+
+def gate(title: Column, body: Column, url: Column, deadline: Column, posted: Column, policy: Policy, as_of: str, types: Column | None = None, countries: Column | None = None) -> Column:
+    """The first reason, 'group: detail', in the chain's order. The page's own text counts if it is held, else the brief.
+
+    types and countries: what the call publishes of its applicants' groups and countries, where it is known.
+    """
     text = F.concat_ws(" ", title, body)
     day = F.to_date(F.lit(as_of))
     found = geo.places(text)
@@ -78,12 +107,15 @@ def gate(title: Column, body: Column, url: Column, deadline: Column, posted: Col
         ("shape: archive", url.rlike(ARCHIVE_URL)),
         ("shape: navigation", title.rlike(ARROW_TITLE)),
         ("shape: future call", title.rlike(FUTURE_TITLE)),
+        ("shape: donation", title.rlike(DONOR_INVEST)),
         ("source: not primary", host_in(host(url), policy.aggregators)),
         ("signal: error page", text.rlike(ERROR_TEXT) & ~strong),
         ("signal: none", ~signal),
         ("type: individual award", title.rlike(PERSONAL)),
         ("type: job", text.rlike(JOB) & ~strong),
         ("type: procurement", text.rlike(PROCUREMENT) & ~strong),
+        ("type: loan", title.rlike(LOANS)),
+        ("type: training", title.rlike(TRAINING) & ~strong),
         ("language: not readable", foreign_script(text)),
         ("closed: wording", text.rlike(CLOSED_TEXT) & ~F.coalesce(deadline >= day, F.lit(False))),
     ]
@@ -92,7 +124,12 @@ def gate(title: Column, body: Column, url: Column, deadline: Column, posted: Col
             ("feasibility: keyword", text.rlike(f"(?i){any_of(policy.infeasible)}")),
             ("geography: domestic only", text.rlike(DOMESTIC) & ~text.rlike(FOREIGN_OK) & ~F.lit("United States" in policy.countries)),
             ("geography: foreign", fit == "foreign"),
+            ("geography: another country", (fit == "regional") & other_country(found, policy.countries, policy.broad)),
         ]
+    if countries is not None:
+        rules.append(("applicant: country", applicant_country_mismatch(countries, policy.home)))
+    if policy.match_types and types is not None:
+        rules.append(("applicant: type", applicant_type_mismatch(types, text, policy.types)))
     if policy.theme:
         verdict = taxonomy.theme_verdict(title, body, policy.themes, policy.excluded)
         rules += [("theme: none set", F.lit(not policy.themes)), ("theme: excluded", verdict == "excluded"), ("theme: off", verdict == "off-theme")]

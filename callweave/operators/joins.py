@@ -18,17 +18,37 @@ def ladder_join(left: DataFrame, right: DataFrame, left_key: Column, keys: Seque
     return left.join(best, left_key == F.col("__key"), "left").select(left["*"], F.col("__best.__id").alias(name))
 
 
-def longest_contained(left: DataFrame, right: DataFrame, text: str, term: str, id_: str, shortest: int = 5) -> DataFrame:
-    """left with the longest right term that its text holds as whole words, ties by term.
+def longest_contained(left: DataFrame, right: DataFrame, key: str, text: str, term: str, id_: str, shortest: int = 5) -> DataFrame:
+    """left with the longest right term that its text holds as whole words, ties by term; one row for each key of the left.
 
-    Terms meet texts on their first word, an equi-join; containment is verified after it.
+    Terms meet texts on their first word, an equi-join; containment is verified after it. Texts are joined by key once.
     """
     terms = right.where(F.length(term) >= shortest).select(F.lower(term).alias("__term"), F.col(id_).alias("__id")).groupBy("__term").agg(F.min("__id").alias("__id"))
     terms = terms.withColumn("__first", F.regexp_extract("__term", r"^(\S+)", 1))
-    words = left.select("*", F.explode_outer(F.array_distinct(F.split(F.lower(text), r"\s+"))).alias("__word"))
-    hits = words.join(terms, F.col("__word") == F.col("__first"), "left").where(F.col("__term").isNull() | F.contains(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), F.concat(F.lit(" "), F.col("__term"), F.lit(" "))))
-    best = hits.groupBy(*left.columns).agg(F.max(F.when(F.col("__term").isNotNull(), F.struct(F.length("__term").alias("n"), F.col("__term").alias("t"), F.col("__id").alias("i")))).alias("__best"))
-    return best.select(*left.columns, F.col("__best.t").alias("term"), F.col("__best.i").alias("match"))
+    words = left.select(F.col(key).alias("__k"), F.lower(text).alias("__text"), F.explode(F.array_distinct(F.split(F.lower(text), r"\s+"))).alias("__word"))
+    hits = words.join(terms, F.col("__word") == F.col("__first")).where(F.contains(F.concat(F.lit(" "), F.col("__text"), F.lit(" ")), F.concat(F.lit(" "), F.col("__term"), F.lit(" "))))
+    return _with_longest(left, hits, key)
+
+
+def _with_longest(left: DataFrame, hits: DataFrame, key: str) -> DataFrame:
+    best = hits.groupBy("__k").agg(F.max(F.struct(F.length("__term").alias("n"), F.col("__term").alias("t"), F.col("__id").alias("i"))).alias("__best"))
+    return left.join(best, F.col(key) == F.col("__k"), "left").select(*[left[c] for c in left.columns], F.col("__best.t").alias("term"), F.col("__best.i").alias("match"))
+
+
+def contained_either_way(left: DataFrame, right: DataFrame, key: str, text: str, term: str, id_: str, shortest: int = 5) -> DataFrame:
+    """left with the longest right term that holds its text, or is held by it, letter by letter from `shortest` characters on.
+
+    Whichever is held begins with `shortest` characters that are a run of the holder: the join is on these runs of
+    distinct names, never of all pairs.
+    """
+    runs = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (shortest - 1)), lambda i: F.substr(F.col(c), i, F.lit(shortest)))))
+    terms = right.where(F.length(term) >= shortest).select(F.lower(term).alias("__term"), F.col(id_).alias("__id")).groupBy("__term").agg(F.min("__id").alias("__id"))
+    texts = left.select(F.col(key).alias("__k"), F.lower(text).alias("__text")).where(F.length("__text") >= shortest)
+    head = lambda c: F.left(c, F.lit(shortest)).alias("__run")
+    holds = texts.select("*", runs("__text").alias("__run")).join(terms.select("*", head("__term")), "__run").where(F.contains("__text", "__term"))
+    held = texts.select("*", head("__text")).join(terms.select("*", runs("__term").alias("__run")), "__run").where(F.contains("__term", "__text"))
+    cols = ["__k", "__term", "__id"]
+    return _with_longest(left, holds.select(*cols).unionByName(held.select(*cols)), key)
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -58,16 +78,18 @@ def gap_fill(existing: DataFrame, incoming: DataFrame, key: str, fields: Sequenc
 
 
 def chain(edges: DataFrame, child: str, parent: str, most: int = 100) -> DataFrame:
-    """(node, ancestor, hops) for every ancestor; a cycle ends a walk. By doubling: log2(most) joins instead of one per hop."""
+    """(node, ancestor, hops) for every ancestor; a cycle raises. By doubling: log2(most) joins instead of one per hop."""
     step = edges.where(F.col(parent).isNotNull()).select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("hops"))
-    reached, span = step, 1
-    while span < most:
+    reached, span, before = step.checkpoint(), 1, -1
+    while True:
+        n, loops, one = reached.agg(F.count("*"), F.count_if(F.col("node") == F.col("ancestor")), F.min(F.when(F.col("node") == F.col("ancestor"), F.col("node")))).first()
+        if loops:
+            raise ValueError(f"the parents of {one} form a cycle")
+        if n == before or span >= most:
+            return reached
         further = reached.alias("a").join(reached.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor", (F.col("a.hops") + F.col("b.hops")).alias("hops"))
-        grown = reached.unionByName(further).groupBy("node", "ancestor").agg(F.min("hops").alias("hops")).checkpoint()
-        if grown.count() == reached.count():
-            break
-        reached, span = grown, span * 2
-    return reached.where("node <> ancestor")
+        reached = reached.unionByName(further).groupBy("node", "ancestor").agg(F.min("hops").alias("hops")).checkpoint()
+        span, before = span * 2, n
 
 
 def sessions(df: DataFrame, keys: Sequence[str], time: str, gap_seconds: int) -> DataFrame:

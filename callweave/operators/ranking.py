@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +41,11 @@ def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> Data
 
 
 def dense_ids(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """Numbers 1, 2, ... in a global order: a range-partitioned sort, partition counts, and offsets."""
-    ordered = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    """Numbers 1, 2, ... in a global order: a range-partitioned sort, partition counts, and offsets.
+
+    The ranges come from a sample, so the ranged rows are kept: counts and numbers must see the same partitions.
+    """
+    ordered = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
     numbered = ordered.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     offsets = ordered.groupBy("__p").agg(F.count("*").alias("__c")).withColumn("__o", F.coalesce(F.sum("__c").over(before), F.lit(0)))

@@ -136,3 +136,22 @@ def first_name_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = read(spark, sf_dir, "customer").select("c_custkey", text.person(cell).alias("name")).withColumn("first", F.split_part("name", F.lit(" "), F.lit(1)))
     fuller = named.where(F.contains("name", F.lit(" "))).groupBy("first").agg(F.count_distinct("name").alias("n"))
     return named.join(fuller, "first", "left").select("c_custkey", F.when(F.col("n") > 1, F.col("name")).otherwise(F.col("first")).alias("shown"))
+
+
+_SAID = "['Kenya', 'France', 'East Africa', 'Peru', 'Uganda', 'nowhere'][1 + uid % 6]"
+
+
+@query(with_calls(f"""SELECT uid, CASE WHEN p = 'Kenya' THEN NULL WHEN p IN ('France', 'Peru', 'Uganda') AND NOT wide THEN 'geography: foreign' WHEN p IN ('France', 'Peru', 'Uganda') THEN 'geography: another country' END AS place,
+ uid % 4 = 2 AS country, CASE WHEN uid % 7 = 0 THEN true WHEN uid % 5 = 2 THEN true ELSE false END AS type FROM (SELECT uid, {_SAID} AS p, uid % 3 = 0 AS wide FROM calls)"""))
+def applicant_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which place a call names, which countries and which groups of applicants it publishes, against one applicant's."""
+    k = F.col("uid")
+    said = F.get(F.array(*map(F.lit, ("Kenya", "France", "East Africa", "Peru", "Uganda", "nowhere"))), (k % 6).cast("int"))
+    body = F.concat(F.lit("Work in "), said, F.when(k % 3 == 0, " and across East Africa").otherwise(""), F.when(k % 7 == 0, "; only members of the club").otherwise(""))
+    texts = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    countries = F.when(k % 4 == 0, texts("Peru", "kenya")).when(k % 4 == 1, texts("EAST AFRICA")).when(k % 4 == 2, texts("France")).otherwise(texts())
+    types = F.when(k % 5 == 0, texts("NGO")).when(k % 5 == 1, texts("open", "academic")).when(k % 5 == 2, texts("academic", "govt")).when(k % 5 == 3, texts())
+    found = geo.places(body)
+    fit = geo.strength(found, body, ("Kenya",), ("East Africa",))
+    place = F.when(fit == "foreign", "geography: foreign").when((fit == "regional") & op.other_country(found, ("Kenya",)), "geography: another country")
+    return calls(spark, sf_dir).select("uid", place.alias("place"), op.applicant_country_mismatch(countries, "Kenya").alias("country"), op.applicant_type_mismatch(types, body, ("ngo",)).alias("type"))

@@ -28,7 +28,17 @@ def longest_substring_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
     terms = part.select(F.explode(F.split("p_type", " ")).alias("term")).distinct().withColumn("id", F.lit(0))
     texts = part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("body"))
-    return op.longest_contained(texts, terms, "body", "term", "id").select("p_partkey", "term")
+    return op.longest_contained(texts, terms, "p_partkey", "body", "term", "id").select("p_partkey", "term")
+
+
+@query("""WITH t AS (SELECT DISTINCT lower(p_type) AS term FROM part UNION SELECT 'promo' UNION SELECT lower(n_name) FROM nation WHERE length(n_name) >= 5), x AS (SELECT s_suppkey, lower(CASE WHEN s_suppkey % 3 = 0 THEN n_name || ' trade office' WHEN s_suppkey % 3 = 1 THEN left(n_name, 6) ELSE 'xyz' END) AS body FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+ SELECT s_suppkey, arg_max(term, printf('%09d', length(term)) || term) AS term FROM x LEFT JOIN t ON length(body) >= 5 AND length(term) >= 5 AND (contains(body, term) OR contains(term, body)) GROUP BY s_suppkey""")
+def containment_either_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, nation, k = read(spark, sf_dir, "part"), read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.col("s_suppkey")
+    terms = part.select(F.lower("p_type").alias("term")).union(nation.select(F.lower("n_name"))).union(nation.limit(1).select(F.lit("promo"))).distinct().withColumn("id", F.lit(0))
+    body = F.when(k % 3 == 0, F.concat("n_name", F.lit(" trade office"))).when(k % 3 == 1, F.left("n_name", F.lit(6))).otherwise("xyz")
+    texts = read(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", body.alias("body"))
+    return op.contained_either_way(texts, terms, "s_suppkey", "body", "term", "id").select("s_suppkey", "term")
 
 
 @query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = o_custkey)")

@@ -3,14 +3,18 @@
 import datetime
 import random
 import re
+import subprocess
+import sys
 from difflib import SequenceMatcher
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from callweave.functions import text
 from callweave.operators import aggregates, dedup, joins, matching, ranking, state
 from callweave.plans import dedup as plans
-from callweave.sources import html, tables
+from callweave.sources import html, landed, tables
 from callweave.streaming import jobs
 
 from .compare import SF
@@ -147,10 +151,13 @@ def test_gap_fill(spark):
     assert got == {1: ("a", 9, "title"), 2: (" ", 5, ""), 3: ("c", 7, ""), 4: ("d", 1, "")}
 
 
-def test_chain_ends_at_cycles(spark):
+def test_chain_rejects_cycles(spark):
     tables.ensure_checkpoints(spark)
-    edges = spark.createDataFrame([(1, None), (2, 1), (3, 2), (10, 11), (11, 10)], "c long, p long")
-    assert {tuple(r) for r in joins.chain(edges, "c", "p").collect()} == {(2, 1, 1), (3, 2, 1), (3, 1, 2), (10, 11, 1), (11, 10, 1)}
+    edges = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, 4)], "c long, p long")
+    assert {tuple(r) for r in joins.chain(edges, "c", "p").collect()} == {(i, j, i - j) for i in range(2, 6) for j in range(1, i)}
+    for loop in ([(10, 11), (11, 10)], [(7, 7)], [(1, 2), (2, 3), (3, 1), (4, 1)]):
+        with pytest.raises(ValueError, match="cycle"):
+            joins.chain(spark.createDataFrame(loop, "c long, p long"), "c", "p")
 
 
 def test_buckets_without_rows(spark):
@@ -215,3 +222,29 @@ def test_upserting_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     spark.createDataFrame([(2, 5, "d")], schema).write.mode("append").parquet(source)
     run()
     assert {tuple(r) for r in jobs.current(spark, f"{tmp_path}/out", ["id"], ["at"]).select("id", "v").collect()} == {(1, "b"), (2, "d")}
+
+
+def test_landed_payloads(spark, tmp_path):
+    item = "<item><title>&lt;b&gt;A&lt;/b&gt; call</title><link>https://www.google.com/url?rct=j&amp;url={}&amp;ct=ga</link><pubDate>Mon, 01 Jan 2024 10:00:00 +0000</pubDate></item>"
+    (tmp_path / "a.xml").write_text("<rss><channel>" + item.format("https%3A%2F%2Fwww.fund.org%2Fcall") + item.format("https%3A%2F%2Fm.youtube.com%2Fx") + "</channel></rss>")
+    got = landed.alerts(spark, f"{tmp_path}/a.xml").collect()
+    assert [(r.title, r.link, r.funder, r.posted) for r in got] == [("A call", "https://www.fund.org/call", "Fund", datetime.date(2024, 1, 1))]
+    (tmp_path / "t.json").write_text('{"notices": [{"publication-number": "1-2024", "notice-title": {"fra": "Eau", "eng": "Water"}, "buyer-name": {"fra": ["Ville"]}, "deadline-receipt-tender-date-lot": ["2024-05-06+02:00", "2024-07-08"], "publication-date": "2024-04-01Z"}, {"publication-number": "2"}]}')
+    got = {r.opportunity_id: (r.title, r.funder, r.deadline, r.posted) for r in landed.tenders(spark, f"{tmp_path}/t.json").collect()}
+    assert got == {"1-2024": ("Water", "Ville", datetime.date(2024, 7, 8), datetime.date(2024, 4, 1)), "2": (None, None, None, None)}
+    rows = landed.dispatched(spark, [("alerts", f"{tmp_path}/a.xml"), ("tenders", f"{tmp_path}/t.json")])
+    assert rows.columns == list(landed.COLUMNS) and rows.count() == 3
+    with pytest.raises(ValueError, match="no parser for magic"):
+        landed.dispatched(spark, [("magic", "x")])
+
+
+def test_pages_that_are_calls(spark):
+    pages = spark.createDataFrame([("http://a", "<title>T</title><h1>Water</h1><p>Call for proposals. Deadline: 1 May.</p>"), ("http://b", "<h1>News</h1><p>Call for proposals</p>"), ("http://c", None)], "url string, html string")
+    assert [(r.title, r.link) for r in landed.self_candidates(pages).collect()] == [("T", "http://a")]
+
+
+def test_entry_survives_a_broken_subpackage(tmp_path):
+    """Whatever import of the training-data folder fails, the other queries stay."""
+    code = "import sys; sys.modules['callweave.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; n = e.queries(); assert 'funnel_by_source' in n and 'pipeline' not in n and not any(k.startswith('op1_') for k in n); print(len(n))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[1])
+    assert out.returncode == 0 and int(out.stdout) > 150
