@@ -92,3 +92,30 @@ def test_copies_of_the_graph_leave_verdicts_unchanged(spark):
     once = verdicts(1)
     assert ("c0.k0", "block") in once and ("f7.k0", "block") in once and ("c3.k0", "block") not in once
     assert verdicts(3) == once
+
+
+def test_verdicts_on_thousands_of_hosts_equal_plain_pagerank(spark):
+    """3 000 hosts with links by preference; trust goes forward from good hosts, distrust back from bad ones."""
+    rng = np.random.default_rng(5)
+    n = 3_000
+    name = [f"h{i}.{'bad' if i % 40 == 0 else 'good' if i % 25 == 1 else 'net' if i % 2 else 'org'}" for i in range(n)]
+    rows, forth = [], {}
+    for i in range(n):
+        targets = {int(x) for x in (rng.random(int(rng.integers(0, 6))) ** 2 * n)} - {i}
+        rows.append(page(i, f"http://{name[i]}/", *(f"http://{name[j]}/p" for j in sorted(targets))))
+        forth |= {(name[i], name[j]): 1 for j in targets}
+    back = {(b, a): w for (a, b), w in forth.items()}
+    seeds = lambda kind: {h: 1 / sum(x.endswith(kind) for x in name) for h in name if h.endswith(kind)}
+    trust, distrust = rank(forth, seeds(".good"), rounds=150), rank(back, seeds(".bad"), rounds=150)
+    bad = sum(x.endswith(".bad") for x in name)
+    rules = (Rule("block", "bad", "/"), Rule("allow", "good", "/"))
+    got = {r.host: r.verdict for r in linkgraph.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), rules).collect()}
+    judged = 0
+    for h in name:
+        t, d = trust.get(h, 0.0), distrust.get(h, 0.0)
+        if h.endswith((".bad", ".good")) or abs(d - t) < 1e-7 or abs(d * bad - linkgraph.LEAST) < 1e-7:
+            continue
+        judged += 1
+        assert got[h] == ("block" if d > t and d * bad > linkgraph.LEAST else "allow"), h
+    assert judged > 2_500 and len(got) == n
+    assert 300 < sum(v == "block" for v in got.values()) < n - 300
