@@ -58,15 +58,17 @@ def funder_pairs(names: DataFrame, name: str = "funder") -> DataFrame:
     """(a, b) of distinct names that stand for one funder, either way and with themselves.
 
     The cores are equal; or one holds the other, from five characters on; or one is an acronym of two to six letters
-    and the other's initials. Containment is found by the shorter core's first five characters, which are one of the
-    longer core's runs of five, so no name meets all others.
+    and the other's initials. Containment is found by the shorter core's rarest run of five characters, which is one of
+    the longer core's, so names meet few others, however alike they begin.
     """
     n = names.select(F.col(name).alias("name")).where("name is not null").distinct()
     n = n.select("name", funder_core(F.col("name")).alias("core"), funder_letters(F.col("name")).alias("letters"), funder_initials(F.col("name")).alias("initials")).where("core <> ''")
     one, two = (n.select(*[F.col(c).alias(f"{c}_{k}") for c in n.columns]) for k in "ab")
     equal = one.join(two, F.col("core_a") == F.col("core_b"))
-    runs = two.where(F.length("core_b") >= 5).withColumn("run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("core_b") - 4), lambda i: F.substr(F.col("core_b"), i, F.lit(5))))))
-    within = one.where(F.length("core_a") >= 5).join(runs, F.left("core_a", F.lit(5)) == F.col("run")).where(F.contains("core_b", "core_a"))
+    runs = n.where(F.length("core") >= 5).withColumn("run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("core") - 4), lambda i: F.substr(F.col("core"), i, F.lit(5))))))
+    often = runs.groupBy("run").agg(F.count("*").alias("often"))
+    rarest = runs.join(often, "run").groupBy("name", "core").agg(F.min(F.struct("often", "run")).alias("m")).select(F.col("name").alias("name_a"), F.col("core").alias("core_a"), F.col("m.run").alias("run"))
+    within = rarest.join(runs.select(F.col("name").alias("name_b"), F.col("core").alias("core_b"), "run"), "run").where(F.contains("core_b", "core_a"))
     short = one.where(F.length("letters_a").between(2, 6)).join(two, F.col("letters_a") == F.col("initials_b"))
     pairs = equal.select("name_a", "name_b").union(within.select("name_a", "name_b")).union(short.select("name_a", "name_b"))
     return pairs.union(pairs.select("name_b", "name_a")).distinct().toDF("a", "b")

@@ -79,7 +79,7 @@ def dedup_rule_3_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = page_titles(spark, sf_dir)
-    return op.leaders(titles.select("id", F.col("id").alias("rank")), op.similar_titles(titles, 0.6).select("id", "other"))
+    return op.leaders(titles.select("id", F.col("id").alias("rank")), op.similar_titles(titles).select("id", "other"))
 
 
 def titled_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
