@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, linkgraph, mixing, oracles, pii, quality, simhash, suffixes, toxicity, warc
+from . import decontam, htmltext, linkgraph, mixing, oracles, periodic, pii, quality, simhash, suffixes, toxicity, warc
 from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,8 +68,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, of which every tenth by its id's checksum first repeats its own words."""
+    seed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    out = periodic.periodic_runs(table(spark, sf_dir, "documents"), seed=seed, rewrite=periodic.planted)
+    return out.drop("n_words")
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_mix_sources, op2_warc_salvage, op3_pii_spans, op4_main_text, op5_suffix_dedup, op6_simhash_classes, op7_toxicity, op8_url_verdicts, op9_quality_rules, op10_decontaminate)
+    found = (op1_mix_sources, op2_warc_salvage, op3_pii_spans, op4_main_text, op5_suffix_dedup, op6_simhash_classes, op7_toxicity, op8_url_verdicts, op9_quality_rules, op10_decontaminate, op12_periodic_runs)
     return {f.__name__: f for f in found}
 
 
