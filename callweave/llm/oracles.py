@@ -27,3 +27,22 @@ QUALITY = f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_ex
  p AS (SELECT *, CASE WHEN k < n * {ALPHA} THEN list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - (CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA})))) ELSE 1 END AS p FROM k),
  cuts AS (SELECT lang AS stratum, coalesce(min(level) FILTER (p > {DELTA} / (SELECT count(*) FROM k WHERE level = 0)), {_N}) - 1 AS level FROM p GROUP BY 1)
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(first > level, true) AS kept FROM f LEFT JOIN cuts ON lang IS NOT DISTINCT FROM stratum"""
+
+
+_FIELD = lambda c: f"coalesce(strlen({c}) || ':' || {c}, '-')"
+_LEAF = lambda text: "sha256(" + " || ".join(_FIELD(c) for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
+#: crc32 of an ASCII text, bit by bit; its last bit says whether it is even.
+_CRC = "xor(list_reduce(flatten(list_transform(range(1, len(id) + 1), lambda i: [CAST(ascii(id[i]) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])), lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384), 4294967295), 4294967295)"
+
+MANIFEST = f"""WITH RECURSIVE d AS (SELECT *, CAST(doc_id AS VARCHAR) AS id, {_LEAF("text")} AS leaf, {_LEAF("replace(text, chr(10), '')")} AS bare, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM documents),
+ e AS MATERIALIZED (SELECT *, CASE WHEN {_CRC} % 2 = 0 THEN bare ELSE leaf END AS shown, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS rank FROM d),
+ low(lvl, tree, rank, n, h) AS (SELECT 0, tree, rank, count(*) OVER (PARTITION BY tree), leaf FROM e UNION ALL SELECT lvl + 1, tree, rank // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY rank)) FROM low WHERE n > 1 GROUP BY lvl, tree, rank // 3, n),
+ subroots AS MATERIALIZED (SELECT tree, h AS subroot FROM low WHERE n = 1),
+ high(lvl, tree, rank, n, h) AS (SELECT 0, -1, tree, count(*) OVER (), subroot FROM subroots UNION ALL SELECT lvl + 1, tree, rank // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY rank)) FROM high WHERE n > 1 GROUP BY lvl, tree, rank // 3, n),
+ nodes AS MATERIALIZED (SELECT * FROM low WHERE n > 1 UNION ALL SELECT * FROM high WHERE n > 1),
+ sides AS MATERIALIZED (SELECT a.lvl, a.tree, a.rank, coalesce(string_agg(b.h, '' ORDER BY b.rank) FILTER (b.rank < a.rank), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.rank) FILTER (b.rank > a.rank), '') AS r FROM nodes a JOIN nodes b ON a.lvl = b.lvl AND a.tree = b.tree AND a.rank // 3 = b.rank // 3 GROUP BY 1, 2, 3),
+ a(own, pos, lvl, tree, rank, h, proof) AS (SELECT tree, rank, 0, tree, rank, shown, '' FROM e UNION ALL SELECT a.own, a.pos, a.lvl + 1, a.tree, a.rank // 3, sha256(l || h || r), proof || l || r FROM a JOIN sides s ON s.lvl = a.lvl AND s.tree = a.tree AND s.rank = a.rank),
+ b AS MATERIALIZED (SELECT own, pos, h, proof FROM a QUALIFY row_number() OVER (PARTITION BY own, pos ORDER BY lvl DESC) = 1),
+ c(own, pos, lvl, tree, rank, h, proof) AS (SELECT own, pos, 0, -1, own, h, proof FROM b UNION ALL SELECT c.own, c.pos, c.lvl + 1, c.tree, c.rank // 3, sha256(l || h || r), proof || l || r FROM c JOIN sides s ON s.lvl = c.lvl AND s.tree = c.tree AND s.rank = c.rank),
+ f AS (SELECT own, pos, h, proof FROM c QUALIFY row_number() OVER (PARTITION BY own, pos ORDER BY lvl DESC) = 1)
+ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f.h AS folded_root, f.h = root AS verified FROM e JOIN f ON own = e.tree AND pos = e.rank JOIN subroots USING (tree), (SELECT h AS root FROM high WHERE n = 1)"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, linkgraph, mixing, oracles, periodic, pii, quality, simhash, suffixes, toxicity, warc
+from . import decontam, htmltext, linkgraph, manifest, mixing, oracles, periodic, pii, quality, simhash, suffixes, toxicity, warc
 from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,11 +75,19 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("n_words")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents; those whose id has an even checksum are checked with their line ends deleted."""
+    fields = lambda text: [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    altered = F.when(even & F.contains("text", F.lit("\n")), manifest.leaf_digest(fields(F.replace("text", F.lit("\n")))))
+    return manifest.manifest(table(spark, sf_dir, "documents"), "doc_id", "source", manifest.leaf_digest(fields(F.col("text"))), altered)
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_mix_sources, op2_warc_salvage, op3_pii_spans, op4_main_text, op5_suffix_dedup, op6_simhash_classes, op7_toxicity, op8_url_verdicts, op9_quality_rules, op10_decontaminate, op12_periodic_runs)
+    found = (op1_mix_sources, op2_warc_salvage, op3_pii_spans, op4_main_text, op5_suffix_dedup, op6_simhash_classes, op7_toxicity, op8_url_verdicts, op9_quality_rules, op10_decontaminate, op12_periodic_runs, op13_merkle_manifest)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """The other queries are held against brute force in the tests."""
-    return {"op2_warc_salvage": oracles.WARC, "op9_quality_rules": oracles.QUALITY}
+    return {"op2_warc_salvage": oracles.WARC, "op9_quality_rules": oracles.QUALITY, "op13_merkle_manifest": oracles.MANIFEST}
