@@ -46,3 +46,13 @@ MANIFEST = f"""WITH RECURSIVE d AS (SELECT *, CAST(doc_id AS VARCHAR) AS id, {_L
  c(own, pos, lvl, tree, rank, h, proof) AS (SELECT own, pos, 0, -1, own, h, proof FROM b UNION ALL SELECT c.own, c.pos, c.lvl + 1, c.tree, c.rank // 3, sha256(l || h || r), proof || l || r FROM c JOIN sides s ON s.lvl = c.lvl AND s.tree = c.tree AND s.rank = c.rank),
  f AS (SELECT own, pos, h, proof FROM c QUALIFY row_number() OVER (PARTITION BY own, pos ORDER BY lvl DESC) = 1)
  SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f.h AS folded_root, f.h = root AS verified FROM e JOIN f ON own = e.tree AND pos = e.rank JOIN subroots USING (tree), (SELECT h AS root FROM high WHERE n = 1)"""
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+JACCARD = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_WORD}+') AS w FROM documents),
+ s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS g FROM w),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+ r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(least(d.doc_id, m), d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY 1) USING (doc_id)"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, linkgraph, manifest, mixing, oracles, periodic, pii, quality, simhash, suffixes, toxicity, warc
+from . import decontam, htmltext, jaccard, linkgraph, manifest, mixing, oracles, periodic, pii, quality, simhash, suffixes, toxicity, warc
 from .common import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_classes(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of all documents, of which every tenth by its id's checksum first repeats its own words."""
     seed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -84,10 +88,10 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_mix_sources, op2_warc_salvage, op3_pii_spans, op4_main_text, op5_suffix_dedup, op6_simhash_classes, op7_toxicity, op8_url_verdicts, op9_quality_rules, op10_decontaminate, op12_periodic_runs, op13_merkle_manifest)
+    found = (op1_mix_sources, op2_warc_salvage, op3_pii_spans, op4_main_text, op5_suffix_dedup, op6_simhash_classes, op7_toxicity, op8_url_verdicts, op9_quality_rules, op10_decontaminate, op11_jaccard_join, op12_periodic_runs, op13_merkle_manifest)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """The other queries are held against brute force in the tests."""
-    return {"op2_warc_salvage": oracles.WARC, "op9_quality_rules": oracles.QUALITY, "op13_merkle_manifest": oracles.MANIFEST}
+    return {"op2_warc_salvage": oracles.WARC, "op9_quality_rules": oracles.QUALITY, "op11_jaccard_join": oracles.JACCARD, "op13_merkle_manifest": oracles.MANIFEST}
