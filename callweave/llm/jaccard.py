@@ -1,10 +1,12 @@
 """N-gram Jaccard join: classes of documents whose sets of word n-grams are similar, through prefix trees.
 
 All n-grams have one global order, rare before common (by a sketch of their numbers), then by hash. Two sets of a
-Jaccard similarity of t share one of their first n - ceil(t * n) + 1 n-grams, so each set is posted under these. An
-n-gram that only one set posts joins nothing and goes; of n-grams posted by the same sets one stays. What is left deals
-the sets to shards, some n-grams a shard, so that all sets of an n-gram meet; the sets of an n-gram with too many are
-dealt in parts, two parts a shard.
+Jaccard similarity of t share one of their first n - ceil(t * n) + 1 n-grams, so each set is posted under these, with its
+size and the n-gram's place. An n-gram that only one set posts joins nothing and goes. What is left meets in cells of an
+n-gram and two neighbouring classes of sizes, as similar sets are nearly of one size; a set goes from a cell where what
+is left of it from that place on is too short even for the cell's smallest set. Of cells with the same sets one stays.
+Cells deal the sets to shards, all with one least set to the same, so that the cells of a family meet; large cells have
+shards of their own, and the largest are dealt in parts, two parts a shard.
 
 A shard stores its ordered sets in a compressed trie: sets with the same beginning share its nodes. Sets are sought in
 blocks: going down, a node's overlap with each sought set is its parent's and the n-grams of its own edge, counted once
@@ -23,6 +25,7 @@ columns do not matter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +41,9 @@ from .components import connected_components
 NGRAM = 4
 #: Percent of the union that two sets share at least.
 LEAST_PERCENT = 85
-#: Places of the sketch of n-grams' numbers and of the map of posted n-grams; a task reports places that it met so often.
-SKETCH_BITS, LIVE_BITS, LEAST_SEEN = 20, 23, 4
-#: Dealt rows aimed at in a shard; sets of one n-gram beyond this many are dealt in parts of half as many.
+#: Places of the sketch of n-grams' numbers and of the map of dealt sets; a task reports places that it met so often, and four times more than the mean.
+SKETCH_BITS, LIVE_BITS, LEAST_SEEN = 22, 23, 8
+#: Sets of a shard of small families, and of a cell that shares its family's shard; sets of a cell, beyond which it is dealt in parts of half as many.
 SHARD_ROWS, PART_ROWS = 1024, 8192
 #: Sets sought together: a few first, so that dense families are joined before the rest is sought.
 BLOCKS, STEP = (4, 16, 64), 1 << 22
@@ -118,7 +121,7 @@ def marked_sets(docs: DataFrame, key: str, text: str, n: int) -> tuple[DataFrame
             kind = part.column(0).type
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([mark_of(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int64())], names=["key", "n_shingles", "mark", "seen"])
         if kind is not None:
-            often = np.flatnonzero(seen >= LEAST_SEEN)
+            often = np.flatnonzero(seen >= LEAST_SEEN + 4 * seen.mean())
             yield pa.RecordBatch.from_arrays([pa.nulls(len(often), kind), pa.nulls(len(often), pa.int64()), pa.array(often, pa.int64()), pa.array(seen[often])], names=["key", "n_shingles", "mark", "seen"])
 
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -130,30 +133,28 @@ def marked_sets(docs: DataFrame, key: str, text: str, n: int) -> tuple[DataFrame
 
 
 def postings(docs: DataFrame, text: str, n: int, percent: int, sketch: Broadcast) -> DataFrame:
-    """(gram, mark) for each n-gram of each set's prefix; sets that a step meets again are left out."""
+    """(gram, mark, size, at) for each n-gram of each set's prefix; sets that a step meets again are left out."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _texts(batches, 0):
             sets = {mark_of(s): s for s in gram_sets(texts, n) if len(s)}
             heads = [in_order(s, sketch.value)[: prefix_size(len(s), percent)] for s in sets.values()]
             if heads:
-                marks = np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(x) for x in heads])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(marks)], names=["gram", "mark"])
+                per = [len(x) for x in heads]
+                marks, sizes = np.repeat(np.fromiter(sets, np.int64, len(sets)), per), np.repeat([len(s) for s in sets.values()], per)
+                at = np.concatenate([np.arange(k) for k in per])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(marks), pa.array(sizes, pa.int64()), pa.array(at, pa.int64())], names=["gram", "mark", "size", "at"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(post, "gram long, mark long")
+    return docs.select(F.col(text).alias("text")).mapInArrow(post, "gram long, mark long, size long, at long")
 
 
-def posted_sets(docs: DataFrame, text: str, n: int, percent: int, sketch: Broadcast, live: Broadcast) -> DataFrame:
-    """(mark, grams) of the sets whose prefix meets the map of live n-grams: all that may join, and some that may not."""
+def posted_sets(docs: DataFrame, text: str, n: int, sketch: Broadcast, live: Broadcast) -> DataFrame:
+    """(mark, grams) of the sets whose mark meets the map: all that are dealt, and some that are not."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _texts(batches, 0):
-            found = {}
-            for s in gram_sets(texts, n):
-                ordered = in_order(s, sketch.value)
-                if live.value[(ordered[: prefix_size(len(s), percent)] & np.uint64((1 << LIVE_BITS) - 1)).astype(np.int64)].any():
-                    found[mark_of(s)] = ordered.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["mark", "grams"])
+            found = {m: s for s in gram_sets(texts, n) if live.value[(m := mark_of(s)) & ((1 << LIVE_BITS) - 1)]}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([in_order(s, sketch.value).tobytes() for s in found.values()], pa.binary())], names=["mark", "grams"])
 
     return docs.select(F.col(text).alias("text")).mapInArrow(read, "mark long, grams binary")
 
@@ -308,29 +309,44 @@ def forest(sets: list[np.ndarray], sketch: np.ndarray, percent: int = LEAST_PERC
 # ---------------------------------------------------------------- on DataFrames
 
 
-def live_groups(posted: DataFrame) -> DataFrame:
-    """(gram, n) of the n-grams that several sets post; of those with the same sets one."""
+def _several(rows: DataFrame, *by: str) -> DataFrame:
+    """The groups of rows with more than one set, by their least and largest mark; minima are taken map-side."""
+    return rows.groupBy(*by).agg(F.min("mark").alias("a"), F.max("mark").alias("b"), F.min("size").alias("least")).where("a <> b")
+
+
+def cells(posted: DataFrame, percent: int) -> DataFrame:
+    """(a, n, gram, cell, mark): the sets of each cell that is left, with its least set and its number of sets."""
+    shared = stored(_several(posted, "gram").select("gram"), "shared")  # of known size: broadcast below the threshold
+    class_ = F.floor(F.log(F.col("size").cast("double")) / (math.log(100 / percent) + 1e-9))  # similar sizes are one class apart at most
+    rows = posted.join(shared, "gram").distinct().withColumn("cell", F.explode(F.array(class_, class_ + 1)))
+    rows = stored(rows, "cells")
+    least = _several(rows, "gram", "cell").select("gram", "cell", "least")
+    reach = lambda size, at, other: (100 + percent) * (size - at) >= percent * (size + other)
+    rows = stored(rows.join(least, ["gram", "cell"]).where(reach(F.col("size"), F.col("at"), F.col("least"))), "reach")
     own = [F.sum(F.shiftright(F.xxhash64("mark"), 20 * i).bitwiseAND(F.lit((1 << 20) - 1))).alias(f"own{i}") for i in range(3)]
-    many = posted.groupBy("gram").agg(F.min("mark").alias("a"), F.max("mark").alias("b"), F.count("*").alias("n"), *own).where("a <> b")
-    return many.groupBy("a", "b", "n", "own0", "own1", "own2").agg(F.min("gram").alias("gram")).select("gram", "n")
+    ends = [f(F.struct("size", "at")).alias(name) for f, name in ((F.min, "p"), (F.max, "q"))]
+    left = rows.groupBy("gram", "cell").agg(F.min("mark").alias("a"), F.max("mark").alias("b"), F.count("*").alias("n"), *own, *ends).where("a <> b")
+    pair = reach(F.col("p.size"), F.col("p.at"), F.col("q.size")) & reach(F.col("q.size"), F.col("q.at"), F.col("p.size"))
+    one = left.where((F.col("n") > 2) | pair).groupBy("a", "b", "n", "own0", "own1", "own2").agg(F.min(F.struct("gram", "cell")).alias("c"))
+    return rows.select("gram", "cell", "mark").join(one.select("a", "n", "c.gram", "c.cell"), ["gram", "cell"])
 
 
-def _live_map(groups: DataFrame) -> np.ndarray:
-    """A bit for each place that a live n-gram falls on; 2 ** LIVE_BITS of them at any size of the data."""
-    place = F.col("gram").bitwiseAND(F.lit((1 << LIVE_BITS) - 1))
-    words = groups.select((place / 32).cast("long").alias("word"), F.expr(f"shiftleft(1L, cast(gram & {(1 << LIVE_BITS) - 1} as int) % 32)").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+def _mark_map(dealt: DataFrame) -> np.ndarray:
+    """A flag for each place that a dealt set's mark falls on; 2 ** LIVE_BITS of them at any size of the data."""
+    low = F.col("mark").bitwiseAND(F.lit((1 << LIVE_BITS) - 1))
+    words = dealt.select((low / 32).cast("long").alias("word"), F.expr(f"shiftleft(1L, cast(mark & {(1 << LIVE_BITS) - 1} as int) % 32)").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros((1 << LIVE_BITS) // 32, np.uint32)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
-def _shard(shards: int) -> Column:
-    """The shards of a set under an n-gram: one for n-grams of usual size; for a large one all that hold the set's part with another."""
+def _shard() -> Column:
+    """The shards of a set in a cell: its family's, the cell's own for a large cell, or all that hold the set's part with another."""
     parts = F.when(F.col("n") > PART_ROWS, F.ceil(F.col("n") / (PART_ROWS // 2))).otherwise(F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("mark"), parts).cast("int")
-    usual = F.array(F.pmod(F.xxhash64("gram"), F.lit(shards)))
+    usual = F.array(F.when(F.col("n") > SHARD_ROWS, F.xxhash64("gram", "cell")).otherwise(F.xxhash64("a")))
     others = F.filter(F.sequence(F.lit(0), parts - 1), lambda j: j != own)
-    return F.explode(F.when(parts > 1, F.transform(others, lambda j: F.xxhash64("gram", F.least(own, j), F.greatest(own, j)))).otherwise(usual)).alias("shard")
+    return F.explode(F.when(parts > 1, F.transform(others, lambda j: F.xxhash64("gram", "cell", F.least(own, j), F.greatest(own, j)))).otherwise(usual))
 
 
 def set_links(docs: DataFrame, text: str, sketch: np.ndarray, n: int = NGRAM, percent: int = LEAST_PERCENT) -> DataFrame:
@@ -338,13 +354,13 @@ def set_links(docs: DataFrame, text: str, sketch: np.ndarray, n: int = NGRAM, pe
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(sketch)  # 2 ** SKETCH_BITS bytes
     posted = stored(postings(docs, text, n, percent, shared), "postings")
-    groups = stored(live_groups(posted), "groups")
-    live = spark.sparkContext.broadcast(_live_map(groups))
-    wanted = posted.join(groups, "gram").groupBy("gram", "mark", "n").agg(F.count("*").alias("rows"))
-    wanted = stored(wanted.drop("rows"), "wanted")
-    shards = max(1, -(-wanted.count() // SHARD_ROWS))
-    dealt = wanted.select("mark", _shard(shards)).distinct()
-    sets = posted_sets(docs, text, n, percent, shared, live).dropDuplicates(["mark"])
+    families = stored(cells(posted, percent).select("mark", _shard().alias("family")).distinct(), "families")
+    live = spark.sparkContext.broadcast(_mark_map(families))
+    # small families share a shard: a trie of many sets costs less than many tries
+    shards = max(1, -(-families.count() // SHARD_ROWS))
+    size = families.groupBy("family").agg(F.count("*").alias("sets"))
+    dealt = families.join(size, "family").select("mark", F.when(F.col("sets") < SHARD_ROWS // 8, F.pmod("family", F.lit(shards))).otherwise(F.col("family")).alias("shard")).distinct()
+    sets = posted_sets(docs, text, n, shared, live).dropDuplicates(["mark"])
 
     def link(part: pd.DataFrame) -> pd.DataFrame:
         one = part.drop_duplicates("mark")
