@@ -6,7 +6,9 @@ size and the n-gram's place. An n-gram that only one set posts joins nothing and
 n-gram and two neighbouring classes of sizes, as similar sets are nearly of one size; a set goes from a cell where what
 is left of it from that place on is too short even for the cell's smallest set. Of cells with the same sets one stays.
 Cells deal the sets to shards, all with one least set to the same, so that the cells of a family meet; large cells have
-shards of their own, and the largest are dealt in parts, two parts a shard.
+shards of their own, and the largest are dealt in parts, two parts a shard. Before whole sets are dealt, small maps of
+them are: bit b is the parity of the number of n-grams that fall on b, so two maps differ in no more bits than the sets
+do in n-grams, and a set without a partner whose map is near enough goes.
 
 A shard stores its ordered sets in a compressed trie: sets with the same beginning share its nodes. Sets are sought in
 blocks: going down, a node's overlap with each sought set is its parent's and the n-grams of its own edge, counted once
@@ -93,6 +95,30 @@ def mark_of(grams: np.ndarray) -> int:
     return int(mix(mix(grams + np.uint64(0xA5A5)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(grams))).view(np.int64)[0])
 
 
+def parity_map(grams: np.ndarray) -> bytes:
+    """For each of 4 to 8 bits a n-gram, a power of two in all, the parity of the number of n-grams that fall on it."""
+    bits = 1 << max(9, (4 * len(grams) - 1).bit_length())
+    return np.packbits((np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def near_maps(sizes: np.ndarray, maps: list[bytes], percent: int = LEAST_PERCENT) -> np.ndarray:
+    """Which sets have another one whose map differs in no more bits than similar sets of the two sizes may. Maps of twice the bits are folded."""
+    near, length = np.zeros(len(maps), bool), np.array([len(m) for m in maps])
+    for size in np.unique(length).tolist():
+        own, twice = np.flatnonzero(length == size), np.flatnonzero(length == 2 * size)
+        rows = np.frombuffer(b"".join(maps[i] for i in own), np.uint64).reshape(len(own), size // 8)
+        larger = np.frombuffer(b"".join(maps[i] for i in twice), np.uint64).reshape(len(twice), 2, size // 8)
+        every, at = np.concatenate((rows, larger[:, 0] ^ larger[:, 1])), np.concatenate((own, twice))
+        strip = max(1, STEP // max(1, every.size))
+        for a in range(0, len(own), strip):
+            apart = np.bitwise_count(rows[a : a + strip, None] ^ every[None]).sum(axis=2, dtype=np.int64)
+            mine = own[a : a + strip]
+            i, j = np.nonzero(((100 + percent) * apart <= (100 - percent) * (sizes[mine][:, None] + sizes[at][None, :])) & (mine[:, None] != at[None, :]))
+            near[mine[i]] = True
+            near[at[j]] = True
+    return near
+
+
 def in_order(grams: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """The n-grams of a set in the global order: by the sketch's class of their number, then by hash."""
     return grams[np.argsort(sketch[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")]
@@ -110,7 +136,7 @@ def _texts(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.Reco
 
 
 def marked_sets(docs: DataFrame, key: str, text: str, n: int) -> tuple[DataFrame, np.ndarray]:
-    """(key, n_shingles, mark) of every document; and the sketch, a class (log2) of the number of n-grams at each place."""
+    """(key, n_shingles, mark, map) of every document; and the sketch, a class (log2) of the number of n-grams at each place."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -119,13 +145,13 @@ def marked_sets(docs: DataFrame, key: str, text: str, n: int) -> tuple[DataFrame
             sets = gram_sets(texts, n)
             seen += np.bincount(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), minlength=len(seen))
             kind = part.column(0).type
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([mark_of(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int64())], names=["key", "n_shingles", "mark", "seen"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([mark_of(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int64()), pa.array([parity_map(s) if len(s) else None for s in sets], pa.binary())], names=["key", "n_shingles", "mark", "seen", "map"])
         if kind is not None:
             often = np.flatnonzero(seen >= LEAST_SEEN + 4 * seen.mean())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(often), kind), pa.nulls(len(often), pa.int64()), pa.array(often, pa.int64()), pa.array(seen[often])], names=["key", "n_shingles", "mark", "seen"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(often), kind), pa.nulls(len(often), pa.int64()), pa.array(often, pa.int64()), pa.array(seen[often]), pa.nulls(len(often), pa.binary())], names=["key", "n_shingles", "mark", "seen", "map"])
 
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = stored(slim.mapInArrow(mark, f"key {docs.schema[key].dataType.simpleString()}, n_shingles long, mark long, seen long"), "sets")
+    rows = stored(slim.mapInArrow(mark, f"key {docs.schema[key].dataType.simpleString()}, n_shingles long, mark long, seen long, map binary"), "sets")
     sketch = np.zeros(1 << SKETCH_BITS, np.uint8)
     counted = rows.where("seen is not null").groupBy("mark").agg(F.sum("seen").alias("seen")).toArrow()  # a row for each place of the sketch at most
     sketch[counted["mark"].to_numpy()] = np.log2(counted["seen"].to_numpy() + 1).astype(np.uint8)
@@ -349,17 +375,24 @@ def _shard() -> Column:
     return F.explode(F.when(parts > 1, F.transform(others, lambda j: F.xxhash64("gram", "cell", F.least(own, j), F.greatest(own, j)))).otherwise(usual))
 
 
-def set_links(docs: DataFrame, text: str, sketch: np.ndarray, n: int = NGRAM, percent: int = LEAST_PERCENT) -> DataFrame:
-    """(a, b) of marks whose connected components are those of all similar sets."""
+def set_links(docs: DataFrame, text: str, maps: DataFrame, sketch: np.ndarray, n: int = NGRAM, percent: int = LEAST_PERCENT) -> DataFrame:
+    """(a, b) of marks whose connected components are those of all similar sets. maps: (mark, n_shingles, map), rows may repeat."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(sketch)  # 2 ** SKETCH_BITS bytes
     posted = stored(postings(docs, text, n, percent, shared), "postings")
     families = stored(cells(posted, percent).select("mark", _shard().alias("family")).distinct(), "families")
-    live = spark.sparkContext.broadcast(_mark_map(families))
     # small families share a shard: a trie of many sets costs less than many tries
     shards = max(1, -(-families.count() // SHARD_ROWS))
     size = families.groupBy("family").agg(F.count("*").alias("sets"))
     dealt = families.join(size, "family").select("mark", F.when(F.col("sets") < SHARD_ROWS // 8, F.pmod("family", F.lit(shards))).otherwise(F.col("family")).alias("shard")).distinct()
+
+    def sieve(part: pd.DataFrame) -> pd.DataFrame:
+        one = part.drop_duplicates("mark")
+        return one.loc[near_maps(one["n_shingles"].to_numpy(), one["map"].tolist(), percent), ["shard", "mark"]]
+
+    dealt = dealt.join(maps.dropDuplicates(["mark"]), "mark").groupBy("shard").applyInPandas(sieve, "shard long, mark long")
+    dealt = stored(dealt, "dealt")
+    live = spark.sparkContext.broadcast(_mark_map(dealt))
     sets = posted_sets(docs, text, n, shared, live).dropDuplicates(["mark"])
 
     def link(part: pd.DataFrame) -> pd.DataFrame:
@@ -375,7 +408,8 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     """(doc_id, n_shingles, component_id): the smallest id reachable over links, the document's own included."""
     marked, sketch = marked_sets(docs, key, text, n)
     classes = cut(marked.where("n_shingles > 0").groupBy("mark").agg(F.min("key").alias("first")))
-    roots = connected_components(set_links(docs, text, sketch, n, percent)).withColumnRenamed("node", "mark")
+    maps = marked.where("n_shingles > 0").select("mark", "n_shingles", "map")
+    roots = connected_components(set_links(docs, text, maps, sketch, n, percent)).withColumnRenamed("node", "mark")
     rooted = cut(classes.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark")))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("mark", "component_id")

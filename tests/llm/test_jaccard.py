@@ -86,6 +86,17 @@ def test_a_shard_joins_what_all_pairs_join(seed):
         assert label == plain_classes([set(s.tolist()) for s in sets], percent)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_maps_lose_no_similar_set(seed):
+    rnd = random.Random(seed)
+    texts = [t for t in texts_of(rnd) if t and len(plain_set(t)) > 0] + family(rnd, 20, 520, 30) + family(rnd, 20, 510, 20)
+    sets = jaccard.gram_sets(texts)
+    near = jaccard.near_maps(np.array([len(s) for s in sets]), [jaccard.parity_map(s) for s in sets])
+    plain = [set(s.tolist()) for s in sets]
+    linked = [any(100 * len(a & b) >= 85 * len(a | b) for j, b in enumerate(plain) if j != i) for i, a in enumerate(plain)]
+    assert all(n for n, x in zip(near, linked) if x) and not near.all()
+
+
 def test_whole_table_equals_sql(spark):
     assert difference(queries.op11_jaccard_join(spark, SF), oracles.JACCARD, duck()) == ""
 
