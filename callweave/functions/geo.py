@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Names that mean the same place.
-SYNONYMS = {"usa": "United States", "us": "United States", "u.s.": "United States", "united states of america": "United States", "uk": "United Kingdom", "drc": "DR Congo", "congo, democratic republic of the": "DR Congo", "tanzania, united republic of": "Tanzania", "ivory coast": "Cote d'Ivoire", "democratic republic of the congo": "DR Congo", "vietnam": "Viet Nam", "turkey": "Turkiye", "swaziland": "Eswatini", "burma": "Myanmar", "cape verde": "Cabo Verde", "czech republic": "Czechia", "macedonia": "North Macedonia", "south-korea": "South Korea", "republic of korea": "South Korea", "holland": "Netherlands", "uae": "United Arab Emirates"}
+SYNONYMS = {"usa": "United States", "us": "United States", "u.s.": "United States", "united states of america": "United States", "uk": "United Kingdom", "drc": "DR Congo", "congo, democratic republic of the": "DR Congo", "tanzania, united republic of": "Tanzania", "ivory coast": "Cote d'Ivoire", "democratic republic of the congo": "DR Congo", "vietnam": "Viet Nam", "turkey": "Turkiye", "swaziland": "Eswatini", "burma": "Myanmar", "cape verde": "Cabo Verde", "czech republic": "Czechia", "macedonia": "North Macedonia", "south-korea": "South Korea", "republic of korea": "South Korea", "holland": "Netherlands", "uae": "United Arab Emirates", "côte d'ivoire": "Cote d'Ivoire", "türkiye": "Turkiye", "são tomé and príncipe": "Sao Tome and Principe"}
 #: Countries by region. Further or other regions are a parameter.
 REGIONS = {
     "East Africa": ("Burundi", "Comoros", "Djibouti", "Eritrea", "Ethiopia", "Kenya", "Madagascar", "Mauritius", "Rwanda", "Seychelles", "Somalia", "South Sudan", "Sudan", "Tanzania", "Uganda"),
@@ -34,8 +34,8 @@ WORLDWIDE = r"(?i)\b(world[- ]?wide|any country|all countries|global(?:ly)? elig
 def places(text: Column, regions: Mapping[str, Sequence[str]] = REGIONS) -> Column:
     """Distinct canonical places of a text, in order; longer names are tried first, on word boundaries."""
     names = sorted({*regions, *(c for cs in regions.values() for c in cs), *(s for s in SYNONYMS if len(s) > 3)}, key=lambda x: (-len(x), x))
-    found = F.regexp_extract_all(text, F.lit(r"(?i)(?<!\w)(?:" + "|".join(map(re.escape, names)) + r")(?!\w)"), 0)
-    return F.array_distinct(F.transform(found, canonical))
+    found = F.regexp_extract_all(text, F.lit(r"(?iu)(?<!\w)(?:" + "|".join(map(re.escape, names)) + r")(?!\w)"), 0)
+    return F.array_distinct(F.transform(found, canonical_of(regions)))
 
 
 def canonical(name: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,24 +28,53 @@ def first_rule(found: list[DataFrame]) -> DataFrame:
     return every.groupBy("id").agg(F.min(F.struct("rule", "lead")).alias("m")).select("id", F.col("m.lead").alias("lead"), F.col("m.rule").alias("rule"))
 
 
-def same_id(rows: DataFrame) -> DataFrame:
+def _among(rows: DataFrame, among: DataFrame | None, earlier: bool = False) -> tuple[DataFrame, Column]:
+    """Where leads are sought, and what a lead must be: any of these, or an earlier one, as always among the rows themselves."""
+    return (rows if among is None else among, F.col("lead") < F.col("id") if among is None or earlier else F.col("lead").isNotNull())
+
+
+def same_id(rows: DataFrame, among: DataFrame | None = None, earlier: bool = False) -> DataFrame:
     """Rule 1 over (id, oid): the least id with the same opportunity id leads."""
-    keyed = rows.where("oid <> ''").select("id", "oid")
-    return keyed.join(keyed.groupBy("oid").agg(F.min("id").alias("lead")), "oid").where("lead < id").select("id", "lead", F.lit("1 id").alias("rule"))
+    there, lead = _among(rows, among, earlier)
+    firsts = there.where("oid <> ''").groupBy("oid").agg(F.min("id").alias("lead"))
+    return rows.where("oid <> ''").select("id", "oid").join(firsts, "oid").where(lead).select("id", "lead", F.lit("1 id").alias("rule"))
 
 
-def same_link(rows: DataFrame) -> DataFrame:
+def same_link(rows: DataFrame, among: DataFrame | None = None, earlier: bool = False) -> DataFrame:
     """Rule 2 over (id, oid, link): the least id with the same link leads, unless both have opportunity ids and they differ.
 
     A row without an id may follow any row of its link; one with an id follows those without and those with its own:
     three minima for each link, no pairs.
     """
-    keyed = rows.where("link <> ''").select("id", "oid", "link")
-    per = keyed.groupBy("link").agg(F.min("id").alias("any"), F.min(F.when(F.col("oid") == "", F.col("id"))).alias("bare"))
-    own = keyed.groupBy("link", "oid").agg(F.min("id").alias("own"))
-    both = keyed.join(per, "link").join(own, ["link", "oid"])
+    there, ok = _among(rows, among, earlier)
+    keyed, there = (x.where("link <> ''").select("id", "oid", "link") for x in (rows, there))
+    per = there.groupBy("link").agg(F.min("id").alias("any"), F.min(F.when(F.col("oid") == "", F.col("id"))).alias("bare"))
+    own = there.groupBy("link", "oid").agg(F.min("id").alias("own"))
+    both = keyed.join(per, "link").join(own, ["link", "oid"], "left")
     lead = F.when(F.col("oid") == "", F.col("any")).otherwise(F.least("bare", "own"))
-    return both.select("id", lead.alias("lead"), F.lit("2 link").alias("rule")).where("lead < id")
+    return both.select("id", lead.alias("lead"), F.lit("2 link").alias("rule")).where(ok)
+
+
+def _mark() -> Column:
+    """The link of a row that has an opportunity id as well: rows of one mark and other ids are not the same call."""
+    return F.when((F.col("link") != "") & (F.col("oid") != ""), F.col("link"))
+
+
+def _per_mark(rows: DataFrame, by: list[str]) -> DataFrame:
+    return rows.groupBy(*by, _mark().alias("mark")).agg(F.min("id").alias("lead"))
+
+
+def _choices(per_mark: DataFrame, by: list[str]) -> DataFrame:
+    """by and the least leads of a group: without a mark, of any mark, that mark, and of any other mark."""
+    marked = F.col("mark").isNotNull()
+    heads = per_mark.groupBy(*by).agg(F.min(F.when(~marked, F.col("lead"))).alias("bare"), F.min(F.when(marked, F.struct("lead", "mark"))).alias("m"))
+    others = per_mark.where(marked).join(heads, by).where(F.col("mark") != F.col("m.mark")).groupBy(*by).agg(F.min("lead").alias("second"))
+    return heads.join(others, by, "left").select(*by, "bare", F.col("m.lead").alias("first"), F.col("m.mark").alias("first_mark"), "second")
+
+
+def _allowed() -> Column:
+    """The least of a group's leads that the row's link and id do not veto; equal ids are rule 1's."""
+    return F.least("bare", F.when(_mark() == F.col("first_mark"), F.col("second")).otherwise(F.col("first"))).alias("lead")
 
 
 def same_place(a: Column, b: Column) -> Column:
@@ -74,58 +102,100 @@ def funder_pairs(names: DataFrame, name: str = "funder") -> DataFrame:
     return pairs.union(pairs.select("name_b", "name_a")).distinct().toDF("a", "b")
 
 
-def same_value(rows: DataFrame, funders: DataFrame) -> DataFrame:
-    """Rule 5 over (id, funder, deadline, value, countries): funder, deadline and value agree. Leads are kept by funder and countries."""
-    keyed = rows.where("funder is not null and deadline is not null and value is not null").select("id", "funder", "deadline", "value", "countries")
-    leads = keyed.groupBy("deadline", "value", F.col("funder").alias("b"), F.col("countries").alias("places")).agg(F.min("id").alias("lead"))
-    met = keyed.join(funders, F.col("funder") == F.col("a")).join(leads, ["deadline", "value", "b"]).where((F.col("lead") < F.col("id")) & same_place(F.col("countries"), F.col("places")))
-    return met.groupBy("id").agg(F.min("lead").alias("lead")).withColumn("rule", F.lit("5 value"))
+def same_value(rows: DataFrame, funders: DataFrame, among: DataFrame | None = None, earlier: bool = False) -> DataFrame:
+    """Rule 5 over (id, oid, link, funder, deadline, value, countries): funder, deadline and value agree. Leads are kept by funder and countries."""
+    there, ok = _among(rows, among, earlier)
+    keyed, there = (x.where("funder is not null and deadline is not null and value is not null").select("id", "oid", "link", "funder", "deadline", "value", "countries") for x in (rows, there))
+    by = ["deadline", "value", "b", "places"]
+    leads = _choices(_per_mark(there.withColumnsRenamed({"funder": "b", "countries": "places"}), by), by)
+    met = keyed.join(funders, F.col("funder") == F.col("a")).join(leads, ["deadline", "value", "b"]).where(same_place(F.col("countries"), F.col("places")))
+    return met.select("id", _allowed()).where(ok).groupBy("id").agg(F.min("lead").alias("lead")).withColumn("rule", F.lit("5 value"))
 
 
-def same_deadline(rows: DataFrame, funders: DataFrame, least: float = 0.75, shared: int = 3) -> DataFrame:
-    """Rule 4 over (id, title, funder, deadline, countries): funder and deadline agree, and the titles have a ratio of `least` or `shared` words.
+def same_deadline(rows: DataFrame, funders: DataFrame, least: float = 0.75, shared: int = 3, among: DataFrame | None = None, earlier: bool = False) -> DataFrame:
+    """Rule 4 over (id, oid, link, title, funder, deadline, countries): funder and deadline agree, and the titles have a ratio of `least` or `shared` words.
 
     Only different titles of one deadline and equal funders meet; the ratio is computed where too few words are shared
     and the lengths leave room for it.
     """
-    kinds = rows.where("funder is not null and deadline is not null").select("id", "title", "funder", "deadline", "countries")
-    kinds = kinds.groupBy("title", "funder", "deadline", "countries").agg(F.min("id").alias("lead")).withColumn("words", distinctive_tokens(F.col("title")))
-    a = kinds.select(*[F.col(c).alias(f"{c}_a") for c in kinds.columns])
-    b = kinds.select(*[F.col(c).alias(f"{c}_b") for c in kinds.columns])
+    there, ok = _among(rows, among, earlier)
+    by = ["title", "funder", "deadline", "countries"]
+    has = "funder is not null and deadline is not null"
+    kinds = lambda x: x.where(has).select(*by).distinct().withColumn("words", distinctive_tokens(F.col("title")))
+    a = kinds(rows).select(*[F.col(c).alias(f"{c}_a") for c in (*by, "words")])
+    b = kinds(there).select(*[F.col(c).alias(f"{c}_b") for c in (*by, "words")])
     met = a.join(funders, F.col("funder_a") == F.col("a")).join(b, (F.col("b") == F.col("funder_b")) & (F.col("deadline_a") == F.col("deadline_b"))).where(same_place(F.col("countries_a"), F.col("countries_b")))
     met = met.withColumn("common", F.size(F.array_intersect("words_a", "words_b")))
     n, m = F.length("title_a"), F.length("title_b")
     close = met.where("common < " + str(shared)).where((F.least(n, m) >= (n + m) * (least / 2)) & (F.col("title_a") != "") & (F.col("title_b") != ""))
     alike = close.where((F.col("title_a") == F.col("title_b")) | (sequence_ratio(F.col("title_a"), F.col("title_b")) >= least))
-    keys = ["title_a", "funder_a", "deadline_a", "countries_a", "lead_b"]
-    leads = met.where(f"common >= {shared}").select(*keys).union(alike.select(*keys)).groupBy(*keys[:4]).agg(F.min("lead_b").alias("lead"))
-    cond = [F.col(k).eqNullSafe(F.col(f"{k}_a")) for k in ("title", "funder", "deadline", "countries")]
-    return rows.join(leads, cond).where("lead < id").select("id", "lead", F.lit("4 deadline").alias("rule"))
-
-
-def same_title(rows: DataFrame, least: float = RATIO) -> DataFrame:
-    """Rule 3 over (id, title, countries): titles with a ratio of `least`, whose countries do not part them."""
-    kinds = rows.where("title <> ''").groupBy("title", "countries").agg(F.min("id").alias("lead"))
-    titles = kinds.groupBy("title").agg(F.min("lead").alias("id"))
-    pairs = similar_titles(titles, least).select("id", "other")
-    either = pairs.union(pairs.select("other", "id")).union(titles.select("id", F.col("id").alias("other"))).toDF("x", "y")
-    named = titles.join(either, F.col("id") == F.col("x")).select("title", "y")
-    others = titles.select(F.col("id").alias("y"), F.col("title").alias("title_b")).join(named, "y").select("title", "title_b")
-    b = kinds.select(F.col("title").alias("title_b"), F.col("countries").alias("places"), "lead")
-    met = kinds.drop("lead").join(others, "title").join(b, "title_b").where(same_place(F.col("countries"), F.col("places")))
-    leads = met.groupBy("title", "countries").agg(F.min("lead").alias("lead"))
-    cond = [F.col(k).eqNullSafe(F.col(f"{k}_l")) for k in ("title", "countries")]
-    return rows.join(leads.withColumnsRenamed({"title": "title_l", "countries": "countries_l"}), cond).where("lead < id").select("id", "lead", F.lit("3 title").alias("rule"))
-
-
-def find_duplicates(rows: DataFrame, least: float = RATIO) -> DataFrame:
+    keys = [f"{c}_{k}" for k in "ab" for c in by]
+    pairs = met.where(f"common >= {shared}").select(*keys).union(alike.select(*keys))
+    leads = _per_mark(there.where(has), by).withColumnsRenamed({c: f"{c}_b" for c in by})
+    own = pairs.join(leads, [f"{c}_b" for c in by]).groupBy(*[F.col(f"{c}_a").alias(c) for c in by], "mark").agg(F.min("lead").alias("lead"))
+    return rows.where(has).join(_choices(own, by), by).select("id", _allowed()).where(ok).select("id", "lead", F.lit("4 deadline").alias("rule"))
+
+
+def same_title(rows: DataFrame, least: float = RATIO, among: DataFrame | None = None, earlier: bool = False) -> DataFrame:
+    """Rule 3 over (id, oid, link, title, countries): titles with a ratio of `least`, whose countries do not part them."""
+    there, ok = _among(rows, among, earlier)
+    asked, known = (x.where("title <> ''").select("title").distinct() for x in (rows, there))
+    if among is None:
+        named = similar_titles(asked.select(F.col("title").alias("id"), "title"), least).select("id", "other")
+        pairs = named.union(named.select("other", "id")).union(asked.select("title", F.col("title").alias("other")))
+    else:
+        both = asked.withColumn("new", F.lit(True)).union(known.withColumn("new", F.lit(False))).groupBy("title").agg(F.max("new").alias("new"))
+        named = similar_titles(both.select(F.col("title").alias("id"), "title", "new"), least, new="new").select("id", "other")
+        pairs = named.union(named.select("other", "id")).union(both.where("new").select("title", "title"))
+    pairs = pairs.toDF("title", "title_b")
+    by = ["title", "countries"]
+    kinds = rows.where("title <> ''").select(*by).distinct()
+    leads = _per_mark(there.where("title <> ''"), by).withColumnsRenamed({"title": "title_b", "countries": "places"})
+    met = kinds.join(pairs, "title").join(leads, "title_b").where(same_place(F.col("countries"), F.col("places")))
+    own = met.groupBy(*by, "mark").agg(F.min("lead").alias("lead"))
+    return rows.where("title <> ''").join(_choices(own, by), by).select("id", _allowed()).where(ok).select("id", "lead", F.lit("3 title").alias("rule"))
+
+
+def find_duplicates(rows: DataFrame, least: float = RATIO, among: DataFrame | None = None, earlier: bool = False) -> DataFrame:
     """rows: (id, oid, link, title, funder, deadline, value, countries); title normalised. (id, lead, rule).
 
-    The first of the five rules by which an earlier row (a smaller id) is the same call, and the least such row.
-    Countries part titles under rules 3 to 5; an equal id or link outranks them.
+    The first of the five rules by which an earlier row (a smaller id) is the same call, and the least such row; with
+    `among`, of the same columns, any row of those, or any `earlier` one. Countries part titles under rules 3 to 5; an equal id or link
+    outranks them. Two different ids under one link part rows under every rule.
+    """
+    ensure_checkpoints(rows.sparkSession)
+    names = rows.select("funder") if among is None else rows.select("funder").union(among.select("funder"))
+    funders = funder_pairs(names).checkpoint()
+    return first_rule([same_id(rows, among, earlier), same_link(rows, among, earlier), same_title(rows, least, among, earlier), same_deadline(rows, funders, among=among, earlier=earlier), same_value(rows, funders, among, earlier)])
+
+
+def kept_and_dropped(rows: DataFrame, known: DataFrame, least: float = RATIO, never: DataFrame | None = None) -> DataFrame:
+    """(id, lead, rule) of all rows, each judged in the order of ids by known rows and by the rows that were kept before it.
+
+    A row that is like a dropped one only is kept itself (lead null). A row that is like no known one, but like a row of
+    `never`, goes with 'seen' before the rule. Rows are decided in rounds: those that no earlier open row is like are kept,
+    and what is like a kept one goes; a group of copies takes two rounds, and rounds follow the longest chain of rows
+    that are each like the one before. At the end the first rule and least lead of what went are read off all kept rows.
     """
-    funders = funder_pairs(rows).persist(StorageLevel.MEMORY_AND_DISK)
-    return first_rule([same_id(rows), same_link(rows), same_title(rows, least), same_deadline(rows, funders), same_value(rows, funders)])
+    ensure_checkpoints(rows.sparkSession)
+    old = find_duplicates(rows, least, known).checkpoint()
+    open_, seen = rows.join(old.select("id"), "id", "left_anti"), None
+    if never is not None:
+        seen = find_duplicates(open_, least, never).select("id", "lead", F.concat(F.lit("seen "), "rule").alias("rule")).checkpoint()
+        open_ = open_.join(seen.select("id"), "id", "left_anti")
+    open_, kept = open_.checkpoint(), rows.limit(0)
+    while not open_.isEmpty():
+        waits = find_duplicates(open_, least).select("id").checkpoint()
+        new = open_.join(waits, "id", "left_anti").checkpoint()
+        rest = open_.join(waits, "id", "left_semi")
+        gone = find_duplicates(rest, least, new, True).select("id")
+        kept, open_ = kept.union(new), rest.join(gone, "id", "left_anti").checkpoint()
+    judged = rows.join(kept.select("id"), "id", "left_anti")
+    if seen is not None:
+        judged = judged.join(seen.select("id"), "id", "left_anti")
+    out = first_rule([old, find_duplicates(judged, least, kept, True)])
+    out = out.union(kept.select("id", F.lit(None).cast("long"), F.lit(None).cast("string")))
+    return out if seen is None else out.union(seen)
 
 
 #: Groups of letters whose counts are compared before any ratio is computed.
@@ -136,9 +206,11 @@ def _grams(title: Column, q: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(title) - (q - 1)), lambda i: F.substr(title, i, F.lit(q))))
 
 
-def similar_titles(rows: DataFrame, least: float = RATIO) -> DataFrame:
+def similar_titles(rows: DataFrame, least: float = RATIO, new: str | None = None) -> DataFrame:
     """rows: (id, title), titles of one id each. (id, other, ratio) of pairs with a ratio of at least `least`, id > other.
 
+    With `new`, a flag of the rows, only pairs with a flagged row are sought.
+
     A ratio r leaves at most D = (1 - r) (m + n) of both titles' characters unmatched, each of which parts q of the runs of
     q characters. So of either title all but q D different runs are in the other, and of any order of runs, the q D + 1
     first of both titles have one in common: titles meet on these, the rarest first. What else the bound says (lengths,
@@ -147,7 +219,8 @@ def similar_titles(rows: DataFrame, least: float = RATIO) -> DataFrame:
     """
     n = F.length("title")
     counts = [(n - F.length(F.translate("title", letters, ""))).alias(f"c{k}") for k, letters in enumerate(_BAG)]
-    bags = rows.where("title is not null").select("id", "title", n.alias("n"), *counts).persist(StorageLevel.MEMORY_AND_DISK)
+    ensure_checkpoints(rows.sparkSession)
+    bags = rows.where("title is not null").select("id", "title", n.alias("n"), (F.lit(True) if new is None else F.col(new)).alias("new"), *counts).checkpoint()
     most = F.floor(F.col("n") * ((1 - least) * 2 / least) + 1e-9)  # D, for the longest title that may be a partner
     runs = None
     for q, low, high in ((2, 4, 11), (3, 10, 1 << 30)):
@@ -159,7 +232,7 @@ def similar_titles(rows: DataFrame, least: float = RATIO) -> DataFrame:
     a, b = keyed.alias("a"), keyed.alias("b")
     apart = sum((F.abs(F.col(f"a.c{k}") - F.col(f"b.c{k}")) for k in range(len(_BAG))), F.lit(0))
     room = (F.col("a.n") + F.col("b.n")) * (1 - least) + 1e-9
-    met = a.join(b, (F.col("a.run") == F.col("b.run")) & (F.col("a.id") > F.col("b.id")) & (F.abs(F.col("a.n") - F.col("b.n")) <= room) & (apart <= room))
+    met = a.join(b, (F.col("a.run") == F.col("b.run")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.new") | F.col("b.new")) & (F.abs(F.col("a.n") - F.col("b.n")) <= room) & (apart <= room))
     pairs = met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
     named = pairs.join(bags.select("id", F.col("title").alias("t")), "id").join(bags.select(F.col("id").alias("other"), F.col("title").alias("u")), "other")
     return named.select("id", "other", F.when(F.col("t") == F.col("u"), F.lit(1.0)).otherwise(sequence_ratio(F.col("t"), F.col("u"))).alias("ratio")).where(F.col("ratio") >= least)

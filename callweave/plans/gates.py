@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import deadlines, geo, taxonomy, text
+from ..functions import deadlines, geo, places, taxonomy, text
 from ..operators import gates as op
 from ..operators import scoring, state
 from ..registry import query
@@ -155,3 +155,60 @@ def applicant_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit = geo.strength(found, body, ("Kenya",), ("East Africa",))
     place = F.when(fit == "foreign", "geography: foreign").when((fit == "regional") & op.other_country(found, ("Kenya",)), "geography: another country")
     return calls(spark, sf_dir).select("uid", place.alias("place"), op.applicant_country_mismatch(countries, "Kenya").alias("country"), op.applicant_type_mismatch(types, body, ("ngo",)).alias("type"))
+
+
+def _kinds(concat: str, name: str, group: str, tier: str) -> list[tuple[str, str]]:
+    """(title, text after it) of the eight kinds of calls that geo_gate reads, for either dialect."""
+    join = lambda *parts: f"{concat}({', '.join(parts)})"
+    plain = "'Health call'"
+    return [
+        (join("'Health fund: '", name), join("'for '", group)),
+        (plain, join("'clinics in '", group)),
+        (plain, join("'clinics in '", name, "', open to '", tier)),
+        (plain, join("'worldwide, but restricted to '", name, "' and its schools'")),
+        (plain, join("'clinics in '", name)),
+        (plain, "'clinics and schools'"),
+        (plain, join(name, "' within '", group, "' for '", tier)),
+        (plain, join("'open to international applicants, as in '", name)),
+    ]
+
+
+def _pick(options: list[str], by: str) -> str:
+    return "CASE " + " ".join(f"WHEN {by} % {len(options)} = {i} THEN {x}" for i, x in enumerate(options)) + " END"
+
+
+_GROUPS, _TIERS = [f"'{g}'" for g in places.regions()], ["'low- and middle-income countries'", "'developing countries'", "'LDCs'"]
+_GROUP, _TIER = _pick(_GROUPS, "c_custkey"), _pick(_TIERS, "c_custkey")
+#: A country for each nation of the tables, whose own names are numbers.
+_COUNTRY = _pick([f"'{c}'" for c in places.countries() if "'" not in c][::7], "n_nationkey")
+_MEMBERS = ", ".join(f"('{g}', '{c}')".replace("d'I", "d''I") for g in places.regions() for c in sorted(places.members()[g]))
+
+
+@query(f"""WITH m(place, country) AS (VALUES {_MEMBERS}), n AS (SELECT n_nationkey, {_COUNTRY} AS name FROM nation),
+ c AS (SELECT c_custkey, c_custkey // 8 % 8 AS kind, a.name, b.name AS own, {_GROUP} AS g FROM customer JOIN n a ON a.n_nationkey = c_nationkey JOIN n b ON b.n_nationkey = (c_custkey * 7 + c_nationkey) % 25),
+ f AS (SELECT *, name = own AS hit, EXISTS (SELECT 1 FROM m WHERE place = g AND country = own) AS inside FROM c)
+ SELECT c_custkey, CASE kind WHEN 0 THEN CASE WHEN hit THEN 'keep' ELSE 'reject' END WHEN 1 THEN CASE WHEN inside THEN 'keep' ELSE 'reject' END WHEN 2 THEN 'keep' WHEN 3 THEN CASE WHEN hit THEN 'keep' ELSE 'reject' END WHEN 4 THEN CASE WHEN hit THEN 'keep' ELSE 'reject' END
+  WHEN 5 THEN 'silent' WHEN 6 THEN CASE WHEN inside OR hit THEN 'keep' ELSE 'reject' END ELSE 'keep' END AS verdict,
+  CASE kind WHEN 0 THEN CASE WHEN hit THEN 'title' ELSE 'title: ' || name END WHEN 1 THEN CASE WHEN inside THEN 'region' ELSE 'region: ' || g END WHEN 2 THEN 'open or tier' WHEN 3 THEN CASE WHEN hit THEN 'open or tier' ELSE 'restricted to: ' || name END
+   WHEN 4 THEN CASE WHEN hit THEN 'country' ELSE 'country: ' || name END WHEN 5 THEN 'no geography' WHEN 6 THEN CASE WHEN inside OR hit THEN 'region' ELSE 'region: ' || g END ELSE 'open or tier' END AS reason FROM f""")
+def geo_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's call, in eight kinds of wording over all regions and nations, against the country of another nation."""
+    nation = read(spark, sf_dir, "nation").select("n_nationkey", F.expr(_COUNTRY).alias("name"))
+    own = nation.toDF("own_key", "own")
+    rows = read(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    rows = rows.join(F.broadcast(own), F.col("own_key") == (F.col("c_custkey") * 7 + F.col("c_nationkey")) % 25)
+    rows = rows.withColumns({"g": F.expr(_GROUP), "tier": F.expr(_TIER), "kind": F.floor(F.col("c_custkey") / 8) % 8})
+    kinds = _kinds("concat", "name", "g", "tier")
+    title, body = (F.expr("CASE " + " ".join(f"WHEN kind = {i} THEN {k[j]}" for i, k in enumerate(kinds)) + " END") for j in (0, 1))
+    rows = rows.withColumns({"title": title, "body": body})
+    verdict = places.scope(F.col("title"), F.concat_ws(" ", "title", "body"), F.array("own"))
+    return rows.select("c_custkey", verdict.alias("v")).select("c_custkey", "v.verdict", "v.reason")
+
+
+@query(f"""WITH m(place, country) AS (VALUES {_MEMBERS}) SELECT country, string_agg(place, '|' ORDER BY place) AS groups, count(*) AS n FROM m
+ WHERE country IN (SELECT {_COUNTRY} FROM nation) GROUP BY 1""")
+def place_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions and blocs that take in each nation's country, through the hierarchy."""
+    wanted = read(spark, sf_dir, "nation").select(places.canonical(F.upper(F.expr(_COUNTRY))).alias("name")).distinct()
+    pairs = places.hierarchy(spark).where(F.col("place").isin(*places.regions()))
+    return pairs.join(wanted, F.col("country") == F.col("name")).groupBy("country").agg(F.array_join(F.array_sort(F.collect_list("place")), "|").alias("groups"), F.count("*").alias("n"))

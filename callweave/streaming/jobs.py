@@ -45,3 +45,12 @@ def upsert_batches(stream: DataFrame, folder: str, checkpoint: str, keys: list[s
 def current(spark: SparkSession, folder: str, keys: list[str], order: list[str]) -> DataFrame:
     """The state that the upserted batches add up to."""
     return latest(spark.read.parquet(folder).drop("batch"), keys, order)
+
+
+def run_changes(stream: DataFrame, folder: str, checkpoint: str) -> None:
+    """Each batch's changes go to a folder of its own number, so a repeated batch overwrites itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

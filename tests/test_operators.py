@@ -15,7 +15,7 @@ from callweave.functions import text
 from callweave.operators import aggregates, dedup, joins, matching, ranking, state
 from callweave.plans import dedup as plans
 from callweave.sources import html, landed, tables
-from callweave.streaming import jobs
+from callweave.streaming import ingest, jobs
 
 from .compare import SF
 
@@ -82,7 +82,7 @@ def rules(a, b):
     if a["oid"] and a["oid"] == b["oid"]:
         return "1 id"
     if a["link"] and a["link"] == b["link"]:
-        return None if a["oid"] and b["oid"] else "2 link"
+        return None if a["oid"] and b["oid"] else "2 link"  # two ids under one link part rows under every later rule
     if a["countries"] and b["countries"] and not set(a["countries"]) & set(b["countries"]):
         return None
     if similar(a["title"], b["title"], 0.9):
@@ -143,6 +143,66 @@ def test_a_vetoed_link_leader_hides_no_other(spark):
     assert got == {2: (1, "2 link"), 3: (2, "2 link"), 4: (2, "2 link"), 5: (3, "1 id")}
 
 
+def test_two_ids_under_one_link_are_two_calls_under_every_rule(spark):
+    day = datetime.date(2026, 1, 5)
+    same = ("one title of a call for water", "Fund", day, 7, [])
+    rows = [(1, "X", "l", *same), (2, "Y", "l", *same), (3, "Y", "m", *same), (4, "Z", "l", *same), (5, "", "k", *same), (6, "W", "l", *same), (7, "V", "n", "water calls of one title", "Fund", day, 7, []), (8, "U", "n", "water calls of one title", "Fund", day, 7, [])]
+    got = {r.id: (r.lead, r.rule) for r in dedup.find_duplicates(spark.createDataFrame(rows, DUP)).collect()}
+    plain = first_rules([dict(zip(("id", "oid", "link", "title", "funder", "deadline", "value", "countries"), r)) for r in rows])
+    assert got == plain and 2 not in got and got[3] == (2, "1 id") and got[4] == (3, "3 title")
+    assert {r.id for r in dedup.find_duplicates(spark.createDataFrame(rows[:2], DUP)).collect()} == set()
+
+
+def random_calls(seed, n):
+    rnd = random.Random(seed)
+    titles = ["clean water for east kenya schools", "clean water for east kenya school", "clean water for west kenya schools", "poetry grants for young writers", "poetry grant for young writers 2024", "malaria vaccine delivery research call", ""]
+    days = [None, datetime.date(2026, 1, 5), datetime.date(2026, 1, 6)]
+    return [(i, rnd.choice(["", "", "A", "B", "C"]), rnd.choice(["", "", "l", "m"]), rnd.choice(titles), rnd.choice([None, "Global Science and Health Fund", "GSHF", "Other Fund"]), rnd.choice(days), rnd.choice([None, 5, 6]), rnd.choice([[], [], ["kenya"], ["mali"]])) for i in range(n)]
+
+
+def plain_kept(rows, known=()):
+    """One row after the other against the rows kept so far."""
+    names = ("id", "oid", "link", "title", "funder", "deadline", "value", "countries")
+    kept, out = [dict(zip(names, r)) for r in known], {}
+    for a in (dict(zip(names, r)) for r in rows):
+        found = sorted((rule, b["id"]) for b in kept if (rule := rules(a, b)))
+        out[a["id"]] = (found[0][1], found[0][0]) if found else (None, None)
+        if not found:
+            kept.append(a)
+    return out
+
+
+def test_kept_rows_are_judged_against_kept_rows_only(spark):
+    rows = random_calls(0, 60)
+    got = dedup.kept_and_dropped(spark.createDataFrame(rows, DUP), spark.createDataFrame([], DUP))
+    assert {r.id: (r.lead, r.rule) for r in got.collect()} == plain_kept(rows)
+
+
+def test_batches_end_in_the_rows_of_one_run_and_replays_change_nothing(spark, tmp_path):
+    rows = random_calls(5, 45)
+    want = plain_kept(rows)
+    for k in range(3):
+        spark.createDataFrame(rows[15 * k : 15 * k + 15], DUP).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    folder = str(tmp_path / "out")
+    ingest.run(jobs.landed(spark, str(tmp_path / "in"), ingest.CALL, per_trigger=1), folder, str(tmp_path / "state"))
+    read = lambda: {r.id: (r.lead, r.rule) for r in ingest.stored_rows(spark, folder, ingest.CALL).collect()}
+    assert read() == want
+    ingest.take_in(spark.createDataFrame(rows[15:30], DUP), 1, folder)  # the batch is run again
+    ingest.take_in(spark.createDataFrame(rows[:15] + rows[40:], DUP), 3, folder)  # rows that are stored land again
+    assert read() == want
+    filled = ingest.catalogue(ingest.stored_rows(spark, folder, ingest.CALL), {"deadline": "deadline is null"})
+    assert filled.count() == sum(v[0] is None for v in want.values())
+
+
+def test_tombstones_suppress_what_is_like_them(spark, tmp_path):
+    dead = spark.createDataFrame([(900, "A", "", "", None, None, None, [])], DUP)
+    rows = [(1, "", "", "clean water for east kenya schools", None, None, None, []), (2, "A", "", "clean water for east kenya school", None, None, None, []), (3, "A", "", "something else", None, None, None, [])]
+    ingest.take_in(spark.createDataFrame(rows[:1], DUP), 0, str(tmp_path), tombstones=dead)
+    ingest.take_in(spark.createDataFrame(rows[1:], DUP), 1, str(tmp_path), tombstones=dead)
+    got = {r.id: (r.verdict, r.lead, r.rule) for r in ingest.stored_rows(spark, str(tmp_path), ingest.CALL).collect()}
+    assert got == {1: ("inserted", None, None), 2: ("duplicate", 1, "3 title"), 3: ("suppressed", 900, "seen 1 id")}
+
+
 def test_gap_fill(spark):
     schema = "id long, title string, amount long"
     old = spark.createDataFrame([(1, "a", None), (2, " ", 5), (3, "c", 7)], schema)
