@@ -16,10 +16,10 @@ def flagged(rows: DataFrame, known: DataFrame, key: str, name: str = "in_catalog
     return rows.join(keys, F.col(key) == F.col("__key"), "left").withColumn(name, F.coalesce("__in", F.lit(False))).drop("__key", "__in")
 
 
-def resolved_names(pieces: DataFrame, tenants: DataFrame) -> DataFrame:
-    """pieces: (id, piece), tenants: (tenant, name). (id, piece, tenant, how): equal names, then acronyms, then containment from four characters.
+def named_tenants(pieces: DataFrame, tenants: DataFrame) -> DataFrame:
+    """pieces: (piece), tenants: (tenant, name). (piece, rank, tenant, how) of all tenants that a piece may name.
 
-    Distinct pieces are resolved once, by keys: containment meets on the shorter name's first four characters.
+    Equal names, then acronyms, then containment from four characters, which meets on the shorter name's first four.
     """
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
     p = pieces.select("piece").distinct().withColumns({"n": norm(F.col("piece")), "letters": funder_letters(F.col("piece")), "initials": funder_initials(F.col("piece"))}).where("n <> ''")
@@ -31,7 +31,12 @@ def resolved_names(pieces: DataFrame, tenants: DataFrame) -> DataFrame:
     long_p, long_t = p.where(F.length("n") >= 4), t.where(F.length("tn") >= 4)
     within = found(long_p.withColumn("run", F.left("n", F.lit(4))).join(long_t.withColumn("run", runs("tn")), "run").where(F.contains("tn", "n")), 3, "part")
     holds = found(long_t.withColumn("run", F.left("tn", F.lit(4))).join(long_p.withColumn("run", runs("n")), "run").where(F.contains("n", "tn")), 3, "part")
-    best = equal.union(short).union(within).union(holds).groupBy("piece").agg(F.min(F.struct("rank", "tenant", "how")).alias("m"))
+    return equal.union(short).union(within).union(holds)
+
+
+def resolved_names(pieces: DataFrame, tenants: DataFrame) -> DataFrame:
+    """pieces: (id, piece), tenants: (tenant, name). (id, piece, tenant, how) of the first tenant that a piece names; distinct pieces are resolved once."""
+    best = named_tenants(pieces, tenants).groupBy("piece").agg(F.min(F.struct("rank", "tenant", "how")).alias("m"))
     return pieces.join(best, "piece").select("id", "piece", F.col("m.tenant").alias("tenant"), F.col("m.how").alias("how"))
 
 
