@@ -11,6 +11,8 @@ from ..functions.text import distinctive_tokens, funder_core, funder_initials, f
 from ..sources.tables import ensure_checkpoints
 
 RATIO = 0.90
+#: What rule 4 compares, and which rows it takes.
+_KIND, _DATED = ["title", "funder", "deadline", "countries"], "funder is not null and deadline is not null"
 
 
 def first_seen(df: DataFrame, key: Column, id_: str) -> DataFrame:
@@ -112,42 +114,53 @@ def same_value(rows: DataFrame, funders: DataFrame, among: DataFrame | None = No
     return met.select("id", _allowed()).where(ok).groupBy("id").agg(F.min("lead").alias("lead")).withColumn("rule", F.lit("5 value"))
 
 
-def same_deadline(rows: DataFrame, funders: DataFrame, least: float = 0.75, shared: int = 3, among: DataFrame | None = None, earlier: bool = False) -> DataFrame:
-    """Rule 4 over (id, oid, link, title, funder, deadline, countries): funder and deadline agree, and the titles have a ratio of `least` or `shared` words.
+def deadline_pairs(rows: DataFrame, among: DataFrame, funders: DataFrame, least: float = 0.75, shared: int = 3) -> DataFrame:
+    """Kinds (title, funder, deadline, countries) of rows, ending in _a, and of `among`, in _b, that rule 4 takes for one call.
 
     Only different titles of one deadline and equal funders meet; the ratio is computed where too few words are shared
     and the lengths leave room for it.
     """
-    there, ok = _among(rows, among, earlier)
-    by = ["title", "funder", "deadline", "countries"]
-    has = "funder is not null and deadline is not null"
-    kinds = lambda x: x.where(has).select(*by).distinct().withColumn("words", distinctive_tokens(F.col("title")))
-    a = kinds(rows).select(*[F.col(c).alias(f"{c}_a") for c in (*by, "words")])
-    b = kinds(there).select(*[F.col(c).alias(f"{c}_b") for c in (*by, "words")])
+    kinds = lambda x: x.where(_DATED).select(*_KIND).distinct().withColumn("words", distinctive_tokens(F.col("title")))
+    a = kinds(rows).select(*[F.col(c).alias(f"{c}_a") for c in (*_KIND, "words")])
+    b = kinds(among).select(*[F.col(c).alias(f"{c}_b") for c in (*_KIND, "words")])
     met = a.join(funders, F.col("funder_a") == F.col("a")).join(b, (F.col("b") == F.col("funder_b")) & (F.col("deadline_a") == F.col("deadline_b"))).where(same_place(F.col("countries_a"), F.col("countries_b")))
     met = met.withColumn("common", F.size(F.array_intersect("words_a", "words_b")))
     n, m = F.length("title_a"), F.length("title_b")
     close = met.where("common < " + str(shared)).where((F.least(n, m) >= (n + m) * (least / 2)) & (F.col("title_a") != "") & (F.col("title_b") != ""))
     alike = close.where((F.col("title_a") == F.col("title_b")) | (sequence_ratio(F.col("title_a"), F.col("title_b")) >= least))
-    keys = [f"{c}_{k}" for k in "ab" for c in by]
-    pairs = met.where(f"common >= {shared}").select(*keys).union(alike.select(*keys))
-    leads = _per_mark(there.where(has), by).withColumnsRenamed({c: f"{c}_b" for c in by})
-    own = pairs.join(leads, [f"{c}_b" for c in by]).groupBy(*[F.col(f"{c}_a").alias(c) for c in by], "mark").agg(F.min("lead").alias("lead"))
-    return rows.where(has).join(_choices(own, by), by).select("id", _allowed()).where(ok).select("id", "lead", F.lit("4 deadline").alias("rule"))
+    keys = [f"{c}_{k}" for k in "ab" for c in _KIND]
+    return met.where(f"common >= {shared}").select(*keys).union(alike.select(*keys))
+
 
+def same_deadline(rows: DataFrame, pairs: DataFrame, among: DataFrame | None = None, earlier: bool = False) -> DataFrame:
+    """Rule 4 over (id, oid, link, title, funder, deadline, countries): funder and deadline agree, and the titles have a ratio of 0.75 or three shared words.
 
-def same_title(rows: DataFrame, least: float = RATIO, among: DataFrame | None = None, earlier: bool = False) -> DataFrame:
-    """Rule 3 over (id, oid, link, title, countries): titles with a ratio of `least`, whose countries do not part them."""
+    pairs: as deadline_pairs finds them, of these rows and leads or of more.
+    """
     there, ok = _among(rows, among, earlier)
-    asked, known = (x.where("title <> ''").select("title").distinct() for x in (rows, there))
+    leads = _per_mark(there.where(_DATED), _KIND).withColumnsRenamed({c: f"{c}_b" for c in _KIND})
+    own = pairs.join(leads, [f"{c}_b" for c in _KIND]).groupBy(*[F.col(f"{c}_a").alias(c) for c in _KIND], "mark").agg(F.min("lead").alias("lead"))
+    return rows.where(_DATED).join(_choices(own, _KIND), _KIND).select("id", _allowed()).where(ok).select("id", "lead", F.lit("4 deadline").alias("rule"))
+
+
+def title_pairs(rows: DataFrame, among: DataFrame | None = None, least: float = RATIO) -> DataFrame:
+    """(title, title_b) of a row's title and another of `among`, or of the rows, that are equal or have the ratio."""
+    asked = rows.where("title <> ''").select("title").distinct()
     if among is None:
         named = similar_titles(asked.select(F.col("title").alias("id"), "title"), least).select("id", "other")
-        pairs = named.union(named.select("other", "id")).union(asked.select("title", F.col("title").alias("other")))
-    else:
-        both = asked.withColumn("new", F.lit(True)).union(known.withColumn("new", F.lit(False))).groupBy("title").agg(F.max("new").alias("new"))
-        named = similar_titles(both.select(F.col("title").alias("id"), "title", "new"), least, new="new").select("id", "other")
-        pairs = named.union(named.select("other", "id")).union(both.where("new").select("title", "title"))
-    pairs = pairs.toDF("title", "title_b")
+        return named.union(named.select("other", "id")).union(asked.select("title", F.col("title").alias("other"))).toDF("title", "title_b")
+    known = among.where("title <> ''").select("title").distinct()
+    both = asked.withColumn("new", F.lit(True)).union(known.withColumn("new", F.lit(False))).groupBy("title").agg(F.max("new").alias("new"))
+    named = similar_titles(both.select(F.col("title").alias("id"), "title", "new"), least, new="new").select("id", "other")
+    return named.union(named.select("other", "id")).union(both.where("new").select("title", "title")).toDF("title", "title_b")
+
+
+def same_title(rows: DataFrame, pairs: DataFrame, among: DataFrame | None = None, earlier: bool = False) -> DataFrame:
+    """Rule 3 over (id, oid, link, title, countries): titles that are a pair, whose countries do not part them.
+
+    pairs: as title_pairs finds them, of these rows and leads or of more.
+    """
+    there, ok = _among(rows, among, earlier)
     by = ["title", "countries"]
     kinds = rows.where("title <> ''").select(*by).distinct()
     leads = _per_mark(there.where("title <> ''"), by).withColumnsRenamed({"title": "title_b", "countries": "places"})
@@ -156,17 +169,26 @@ def same_title(rows: DataFrame, least: float = RATIO, among: DataFrame | None =
     return rows.where("title <> ''").join(_choices(own, by), by).select("id", _allowed()).where(ok).select("id", "lead", F.lit("3 title").alias("rule"))
 
 
-def find_duplicates(rows: DataFrame, least: float = RATIO, among: DataFrame | None = None, earlier: bool = False) -> DataFrame:
+Pairs = tuple[DataFrame, DataFrame, DataFrame]
+
+
+def pairs_of(rows: DataFrame, among: DataFrame | None = None, least: float = RATIO) -> Pairs:
+    """Funders, titles and kinds of rows that rules 3 to 5 take for the same: found once, however often the rules are asked."""
+    ensure_checkpoints(rows.sparkSession)
+    every = rows if among is None else rows.unionByName(among)
+    funders = funder_pairs(every.select("funder")).checkpoint()
+    return funders, title_pairs(rows, among, least).checkpoint(), deadline_pairs(rows, every if among is None else among, funders).checkpoint()
+
+
+def find_duplicates(rows: DataFrame, least: float = RATIO, among: DataFrame | None = None, earlier: bool = False, pairs: Pairs | None = None) -> DataFrame:
     """rows: (id, oid, link, title, funder, deadline, value, countries); title normalised. (id, lead, rule).
 
     The first of the five rules by which an earlier row (a smaller id) is the same call, and the least such row; with
-    `among`, of the same columns, any row of those, or any `earlier` one. Countries part titles under rules 3 to 5; an equal id or link
-    outranks them. Two different ids under one link part rows under every rule.
+    `among`, of the same columns, any row of those, or any `earlier` one. Countries part titles under rules 3 to 5; an
+    equal id or link outranks them. Two different ids under one link part rows under every rule.
     """
-    ensure_checkpoints(rows.sparkSession)
-    names = rows.select("funder") if among is None else rows.select("funder").union(among.select("funder"))
-    funders = funder_pairs(names).checkpoint()
-    return first_rule([same_id(rows, among, earlier), same_link(rows, among, earlier), same_title(rows, least, among, earlier), same_deadline(rows, funders, among=among, earlier=earlier), same_value(rows, funders, among, earlier)])
+    funders, titles, kinds = pairs or pairs_of(rows, among, least)
+    return first_rule([same_id(rows, among, earlier), same_link(rows, among, earlier), same_title(rows, titles, among, earlier), same_deadline(rows, kinds, among, earlier), same_value(rows, funders, among, earlier)])
 
 
 def kept_and_dropped(rows: DataFrame, known: DataFrame, least: float = RATIO, never: DataFrame | None = None) -> DataFrame:
@@ -178,22 +200,24 @@ def kept_and_dropped(rows: DataFrame, known: DataFrame, least: float = RATIO, ne
     that are each like the one before. At the end the first rule and least lead of what went are read off all kept rows.
     """
     ensure_checkpoints(rows.sparkSession)
-    old = find_duplicates(rows, least, known).checkpoint()
+    every = rows.unionByName(known) if never is None else rows.unionByName(known).unionByName(never)
+    pairs = pairs_of(rows, every, least)
+    old = find_duplicates(rows, least, known, pairs=pairs).checkpoint()
     open_, seen = rows.join(old.select("id"), "id", "left_anti"), None
     if never is not None:
-        seen = find_duplicates(open_, least, never).select("id", "lead", F.concat(F.lit("seen "), "rule").alias("rule")).checkpoint()
+        seen = find_duplicates(open_, least, never, pairs=pairs).select("id", "lead", F.concat(F.lit("seen "), "rule").alias("rule")).checkpoint()
         open_ = open_.join(seen.select("id"), "id", "left_anti")
     open_, kept = open_.checkpoint(), rows.limit(0)
     while not open_.isEmpty():
-        waits = find_duplicates(open_, least).select("id").checkpoint()
+        waits = find_duplicates(open_, least, pairs=pairs).select("id").checkpoint()
         new = open_.join(waits, "id", "left_anti").checkpoint()
         rest = open_.join(waits, "id", "left_semi")
-        gone = find_duplicates(rest, least, new, True).select("id")
+        gone = find_duplicates(rest, least, new, True, pairs).select("id")
         kept, open_ = kept.union(new), rest.join(gone, "id", "left_anti").checkpoint()
     judged = rows.join(kept.select("id"), "id", "left_anti")
     if seen is not None:
         judged = judged.join(seen.select("id"), "id", "left_anti")
-    out = first_rule([old, find_duplicates(judged, least, kept, True)])
+    out = first_rule([old, find_duplicates(judged, least, kept, True, pairs)])
     out = out.union(kept.select("id", F.lit(None).cast("long"), F.lit(None).cast("string")))
     return out if seen is None else out.union(seen)
 
