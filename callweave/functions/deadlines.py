@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,26 +12,48 @@ SUBMIT = ("submission deadline", "application deadline", "closing date", "deadli
 OTHER = ("posted", "published", "issued", "release date", "opening date", "opens", "start date", "updated", "last modified", "webinar", "award date")
 ROLLING = r"(?i)\b(rolling basis|open until filled|no (?:fixed )?deadline|ongoing|year[- ]round|accepted at any time)\b"
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-#: Parts of a date: a month by its first three letters, four for September, or in full; a day with or without its ending.
-_MONTH = "(?:" + "|".join(rf"{m[:3]}(?:{m[3:]})?" if m != "september" else "sep(?:t(?:ember)?)?" for m in MONTHS) + ")"
-_DAY, _YEAR = r"[0-9]{1,2}(?:st|nd|rd|th)?", "[0-9]{4}"
-#: The shapes of a date, most telling first: ISO, day first, month first, numbers, a month alone.
-SHAPES = ("{year}-[0-9]{{2}}-[0-9]{{2}}", r"{day}\s+{month}[.]?,?\s+{year}", r"{month}[.]?\s+{day},?\s+{year}", "[0-9]{{1,2}}[/.][0-9]{{1,2}}[/.]{year}", r"{month}[.]?\s+{year}")
-_DATE = "|".join(s.format(day=_DAY, month=_MONTH, year=_YEAR) for s in SHAPES)
+#: A month's word is any beginning of its name from three letters on. A worded date is a month and a year with up to one
+#: day on either side of the month; what else is a date is digits and signs. read_date tells the parts by their kinds.
+_MONTH = "(?:" + "|".join(sorted((m[:n] for m in MONTHS for n in (3, 4, len(m)) if n <= len(m)), key=len, reverse=True)) + ")"
+_GAP, _DAY = "[\\s.,]{1,3}", "[0-9]{1,2}(?:[a-z]{2})?"
+_DATE = rf"(?:{_DAY}{_GAP})?{_MONTH}{_GAP}(?:{_DAY}{_GAP})?[0-9]{{4}}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}[/.][0-9]{{1,2}}[/.][0-9]{{4}}"
 WINDOW = 70
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Every beginning of a month's name from three letters on, and the month's number; the first month has it if two do.
+_MONTH_OF = {m[:n]: i + 1 for i, m in reversed(list(enumerate(MONTHS))) for n in range(3, len(m) + 1)}
+
+
 def read_date(text: Column) -> Column:
-    """(date, precise): ISO, 'd Month y', 'Month d, y' and day-first numbers; a month alone is its last day."""
-    t = F.regexp_replace(F.lower(F.trim(text)), r"(\d)(?:st|nd|rd|th)\b", "$1")
-    month = F.initcap(F.left(F.regexp_extract(t, rf"({_MONTH})", 1), F.lit(3)))
-    year, day = F.regexp_extract(t, r"(\d{4})", 1), F.regexp_extract(t, r"(?<!\d)(\d{1,2})(?!\d)", 1)
-    worded = F.try_to_date(F.concat_ws(" ", F.nullif(day, F.lit("")), month, year), "d MMM yyyy")
-    a, b = (F.regexp_extract(t, r"^(\d{1,2})[/.](\d{1,2})[/.]\d{4}$", i).try_cast("int") for i in (1, 2))
-    numeric = F.when((b > 12) & (a <= 12), F.try_to_date(F.concat_ws("-", year, a.cast("string"), b.cast("string")), "yyyy-M-d")).otherwise(F.try_to_date(F.concat_ws("-", year, b.cast("string"), a.cast("string")), "yyyy-M-d"))
-    month_end = F.last_day(F.try_to_date(F.concat_ws(" ", F.lit("1"), month, year), "d MMM yyyy"))
-    iso = F.try_to_date(t, "yyyy-MM-dd")
-    return F.when(t.rlike(r"^\d{4}-"), F.struct(iso.alias("date"), F.lit(True).alias("precise"))).when(a.isNotNull(), F.struct(numeric.alias("date"), F.lit(True).alias("precise"))).when(day != "", F.struct(worded.alias("date"), F.lit(True).alias("precise"))).otherwise(F.struct(month_end.alias("date"), F.lit(False).alias("precise")))
+    """(date, precise): the parts of a date by their kinds, whatever their order; a month without a day is its last day.
+
+    A word gives the month, four digits the year, other digits the day. Without a word, digits that start with the year are
+    year, month, day; others are day and month, the other way round if only that can be.
+    """
+    months = F.expr("map(" + ", ".join(f"'{k}', {v}" for k, v in _MONTH_OF.items()) + ")")
+    digits = lambda parts: F.filter(parts, lambda w: w.rlike("^[0-9]+$"))
+    kinds = lambda parts: _let(digits(parts), lambda d: F.struct(
+        F.get(F.array_compact(F.transform(parts, lambda w: F.try_element_at(months, w))), F.lit(0)).alias("named"),
+        F.get(F.filter(d, lambda w: F.length(w) == 4), F.lit(0)).try_cast("int").alias("year"),
+        F.transform(F.filter(d, lambda w: F.length(w) <= 2), lambda w: w.try_cast("int")).alias("short"),
+        (F.length(F.get(d, F.lit(0))) == 4).alias("year_first"),
+    ))
+
+    def read(k: Column) -> Column:
+        one, two = F.get(k["short"], F.lit(0)), F.get(k["short"], F.lit(1))
+        turned = k["year_first"] | ((two > 12) & (one <= 12))
+        day = F.when(k["named"].isNotNull(), one).when(turned, two).otherwise(one)
+        month = F.coalesce(k["named"], F.when(turned, one).otherwise(two))
+        at = lambda d: F.try_to_date(F.concat_ws("-", k["year"].cast("string"), month.cast("string"), d.cast("string")), "yyyy-M-d")
+        alone = k["named"].isNotNull() & one.isNull()
+        return F.struct(F.when(alone, F.last_day(at(F.lit(1)))).when(day.isNotNull() & month.isNotNull(), at(day)).alias("date"), (~alone).alias("precise"))
+
+    return _let(_let(F.regexp_extract_all(F.lower(text), F.lit("[0-9]+|[a-z]+"), 0), kinds), read)
 
 
 def dated(text: Column) -> Column:
@@ -47,11 +71,15 @@ def dated(text: Column) -> Column:
 
 def deadline(text: Column, year: int) -> Column:
     """(deadline, method, confidence): the latest labelled date, precise ones first; 31 December for rolling calls; else the latest unlabelled one."""
-    rows = F.filter(dated(text), lambda x: x["at"]["date"].isNotNull())
-    pick = lambda kind: F.array_max(F.transform(F.filter(rows, lambda x: x["kind"] == kind), lambda x: F.struct(x["at"]["precise"].alias("precise"), x["at"]["date"].alias("date"))))
-    submit, plain = pick("submit"), pick("none")
+    pick = lambda rows, kind: F.array_max(F.transform(F.filter(rows, lambda x: x["kind"] == kind), lambda x: F.struct(x["at"]["precise"].alias("precise"), x["at"]["date"].alias("date"))))
     out = lambda date, method, level: F.struct(date.alias("deadline"), F.lit(method).alias("method"), F.lit(level).alias("confidence"))
-    return F.when(submit.isNotNull() & submit["precise"], out(submit["date"], "labelled", "high")).when(submit.isNotNull(), out(submit["date"], "labelled month", "medium")).when(text.rlike(ROLLING), out(F.to_date(F.lit(f"{year}-12-31")), "rolling", "medium")).when(plain.isNotNull(), out(plain["date"], "unlabelled", "low"))
+
+    def choose(found: Column) -> Column:
+        submit, plain = found["submit"], found["plain"]
+        return F.when(submit.isNotNull() & submit["precise"], out(submit["date"], "labelled", "high")).when(submit.isNotNull(), out(submit["date"], "labelled month", "medium")).when(text.rlike(ROLLING), out(F.to_date(F.lit(f"{year}-12-31")), "rolling", "medium")).when(plain.isNotNull(), out(plain["date"], "unlabelled", "low"))
+
+    both = lambda rows: F.struct(pick(rows, "submit").alias("submit"), pick(rows, "none").alias("plain"))
+    return _let(_let(F.filter(dated(text), lambda x: x["at"]["date"].isNotNull()), both), choose)
 
 
 def posted(text: Column, as_of: str, head: int = 600) -> Column:

@@ -15,15 +15,21 @@ _CODE = "|".join([*RATES, *(re.escape(s) for s in _SIGNS)])
 #: Words and letters after a number, and what they multiply it by.
 SCALES = {"thousand": 1e3, "million": 1e6, "billion": 1e9, "k": 1e3, "mn": 1e6, "m": 1e6, "bn": 1e9, "b": 1e9}
 _SCALE = "|".join(SCALES)
-# whole part in groups of three, or plain digits; then decimals
-_WHOLE = "(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)"
-_NUMBER = rf"{_WHOLE}(?:[.][0-9]+)?"
-MONEY = rf"(?i)(?:({_CODE})\s*({_NUMBER})\s*({_SCALE})?\b|({_NUMBER})\s*({_SCALE})?\s*({_CODE}))"
-
-
-def number(text: Column, scale: Column) -> Column:
+#: A run of digits with commas and points inside; number() tells by its groups what of it is the number.
+_RUN = "[0-9](?:[0-9,.]*[0-9])?"
+MONEY = rf"(?i)(?:({_CODE})\s*({_RUN})\s*({_SCALE})?\b|({_RUN})\s*({_SCALE})?\s*({_CODE}))"
+
+
+def number(run: Column, scale: Column) -> Column:
+    """The value of a run of digits: groups after commas count if each has three digits and the first at most three, else the first group alone."""
+    parts = F.split(run, "[.]")
+    groups = F.split(F.get(parts, F.lit(0)), ",")
+    later = F.slice(groups, 2, F.greatest(F.size(groups), F.lit(1)))
+    whole = (F.size(later) == 0) | ((F.length(F.get(groups, F.lit(0))) <= 3) & F.forall(later, lambda g: F.length(g) == 3))
+    after = F.regexp_extract(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), "^[0-9]*", 0)
+    value = F.when(whole, F.concat(F.array_join(groups, ""), F.lit("."), after, F.lit("0"))).otherwise(F.get(groups, F.lit(0)))
     factor = F.create_map(*[F.lit(x) for kv in SCALES.items() for x in kv])
-    return F.replace(text, F.lit(","), F.lit("")).try_cast("double") * F.coalesce(F.try_element_at(factor, F.lower(scale)), F.lit(1.0))
+    return value.try_cast("double") * F.coalesce(F.try_element_at(factor, F.lower(scale)), F.lit(1.0))
 
 
 def amounts(text: Column) -> Column:
@@ -47,7 +53,7 @@ def largest(text: Column) -> Column:
 def money_text(text: Column) -> Column:
     """'$0.150M', '150k', '1,200' as a number."""
     bare = F.regexp_replace(F.trim(text), r"^[^\d]*", "")
-    return number(F.regexp_extract(bare, rf"^({_NUMBER})", 1), F.regexp_extract(bare, rf"(?i)^(?:{_NUMBER})\s*({_SCALE})?", 1))
+    return number(F.nullif(F.regexp_extract(bare, rf"^({_RUN})", 1), F.lit("")), F.regexp_extract(bare, rf"(?i)^{_RUN}\s*({_SCALE})?", 1))
 
 
 def rate(currency: Column, rates: Mapping[str, float] = RATES) -> Column:

@@ -56,7 +56,7 @@ def union_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id FROM events WHERE event_id % 2 = 0 EXCEPT SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-30'")
 def except_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
-    return e.where("event_id % 2 = 0").select("user_id").exceptAll(e.limit(0).select("user_id")).subtract(e.where(F.col("ts") >= F.lit("2024-01-30").cast("timestamp")).select("user_id"))
+    return e.where("event_id % 2 = 0").select("user_id").subtract(e.where(F.col("ts") >= F.lit("2024-01-30").cast("timestamp")).select("user_id"))
 
 
 @query("SELECT user_id FROM events WHERE event_type = (SELECT min(event_type) FROM events) INTERSECT SELECT o_custkey FROM orders")

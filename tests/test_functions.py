@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callweave.functions import dates, deadlines, geo, money, taxonomy, text, urls
+from callweave.operators import criteria
 
 
 def one(spark, column, value=None, kind="string"):
@@ -143,3 +144,25 @@ def test_themes(spark):
     assert verdict("Water", "x") == "ambiguous" and verdict("Poetry", "x") == "off-theme"
     assert verdict("Mining water health", "clinics") == "excluded" and verdict("Poetry", "mining") == "excluded"
     assert verdict("Water health clinics", "mining nearby") == "ambiguous"
+
+
+@pytest.mark.parametrize(("value", "wanted"), [("5 years", 5), ("10+ yrs", 10), ("3", 3), ("12y", 12), ("3 +", 3), ("five years", None), ("5 years old", None), ("0", None), ("99 years", None), ("5 years +", None), ("", None), (None, None), ("2 months", None)])
+def test_stated_years(spark, value, wanted):
+    assert one(spark, criteria.stated_years, value) == wanted
+
+
+@pytest.mark.parametrize(
+    ("value", "wanted"),
+    [
+        ("3 June 2025", (2025, 6, 3)), ("June 3rd, 2025", (2025, 6, 3)), ("3rd Sept. 2025", (2025, 9, 3)), ("Sep 2025", (2025, 9, 30)), ("2025-02-09", (2025, 2, 9)), ("03/04/2025", (2025, 4, 3)), ("04.13.2025", (2025, 4, 13)),
+        ("31 February 2025", None), ("February 2024", (2024, 2, 29)), ("13/13/2025", None), ("", None), (None, None),
+    ],
+)
+def test_parts_of_dates_by_kind(spark, value, wanted):
+    got = one(spark, deadlines.read_date, value)
+    assert (got.date if got else None) == (datetime.date(*wanted) if wanted else None)
+
+
+@pytest.mark.parametrize(("value", "wanted"), [("1,200", 1200), ("12,34", 12), ("1,200,000.50", 1200000.5), ("1234,567", 1234), ("7.5", 7.5), ("1.2.3", 1.2), ("0.150M", 150000), ("about 3 bn", 3e9), ("none", None), (None, None)])
+def test_groups_of_digits(spark, value, wanted):
+    assert one(spark, money.money_text, value) == wanted
