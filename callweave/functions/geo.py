@@ -52,7 +52,7 @@ def canonical_of(regions: Mapping[str, Sequence[str]]) -> Callable[[Column], Col
     known = SYNONYMS | {n.lower(): n for n in (*regions, *(c for cs in regions.values() for c in cs))}
     # one constant map, given as text: a column a name would cost a call a name
     names = F.expr("map(" + ", ".join(f"{_quoted(k)}, {_quoted(v)}" for k, v in known.items()) + ")")
-    return lambda name: F.coalesce(F.try_element_at(names, F.lower(F.trim(name))), F.initcap(F.lower(_turned(name))))
+    return lambda name: F.coalesce(F.try_element_at(names, F.lower(F.trim(name))), F.try_element_at(names, F.regexp_replace(F.lower(F.trim(name)), r"^([^,]+),\s*(.+)$", "$2 $1")), F.initcap(F.lower(_turned(name))))
 
 
 def _turned(name: Column) -> Column:

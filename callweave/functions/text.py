@@ -145,4 +145,4 @@ def _ratios(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
 
 def sequence_ratio(a: Column, b: Column) -> Column:
     """Ratcliff-Obershelp similarity; no built-in function has it, so it runs in Arrow batches, on candidates only."""
-    return F.pandas_udf(_ratios, "double", F.PandasUDFType.SCALAR_ITER)(a, b)
+    return F.pandas_udf(_ratios, "double")(a, b)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 COLUMNS = ("source", "opportunity_id", "title", "link", "funder", "amount", "currency", "deadline", "posted", "description")
 #: Hosts of alerts that lead to no call.
-NOISE_HOSTS = ("youtube.com", "facebook.com", "twitter.com", "linkedin.com", "instagram.com", "reddit.com")
+NOISE_HOSTS = ("twitter.com", "x.com", "facebook.com", "fb.com", "m.facebook.com", "linkedin.com", "lnkd.in", "youtube.com", "youtu.be", "instagram.com", "reddit.com", "tiktok.com", "news.google.com", "feedburner.com", "scholar.google.com")
 
 
 def candidates(df: DataFrame, source: str, **fields: Column) -> DataFrame:

@@ -108,6 +108,7 @@ def test_html_strip(spark):
         (text.partners, "Name; (ABC), Beta, Inc.", ["Name (ABC)", "Beta Inc."]),
         (geo.canonical, "usa", "United States"),
         (geo.canonical, "Gambia, The", "Gambia"),
+        (geo.canonical, "Korea, Republic of", "South Korea"),
         (geo.canonical, "COTE D'IVOIRE", "Cote D'ivoire"),
         (lambda c: geo.canonical_of(geo.REGIONS)(c), "COTE D'IVOIRE", "Cote d'Ivoire"),
         (lambda c: geo.canonical_of(geo.REGIONS)(c), " viet nam", "Viet Nam"),
