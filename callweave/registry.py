@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from .plans import aggregates, applicants, criteria, dedup, feeds, filters, gates, incremental, joins, matching, pages, records, reports, scalars, scoring, streams  # noqa: F401
+    from .plans import aggregates, applicants, criteria, dedup, feeds, filters, gates, incremental, joins, matching, pages, records, reports, scalars, scoring, streams, vocabulary  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
