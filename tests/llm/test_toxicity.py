@@ -49,8 +49,6 @@ def plain_pass(z, n, rows):
             w[i] = 0.0 if abs(zi) <= toxicity.L1 else -(zi - math.copysign(toxicity.L1, zi)) / ((toxicity.SMOOTH + math.sqrt(n.get(i, 0.0))) / toxicity.RATE + toxicity.L2)
         w[-1] = -z.get(-1, 0.0) / ((toxicity.SMOOTH + math.sqrt(n.get(-1, 0.0))) / toxicity.RATE)
         g = 1 / (1 + math.exp(-max(-30, min(30, sum(w.values()))))) - y
-        if abs(g) < 1e-4:
-            continue
         for i, wi in w.items():
             old = n.get(i, 0.0)
             z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / toxicity.RATE * wi
@@ -113,3 +111,10 @@ def test_edge_cases(spark, odd, empty):
     twice = labels.unionByName(labels).unionByName(spark.createDataFrame([(None, 1, 1), (5, None, None)], labels.schema))
     out = toxicity.judge_toxicity(odd.select("doc_id", "text", "key", "place"), twice).collect()
     assert len(out) == odd.count() and not any(r.held_out for r in out if r.doc_id is None)
+
+
+def test_rows_that_repeat_an_id_train_once(spark):
+    docs, labels = tables(spark, 200)
+    again = docs.unionByName(docs.where("doc_id % 3 = 0")).unionByName(docs.where("doc_id % 6 = 0"))
+    a, b = toxicity.train(docs, labels), toxicity.train(again, labels)
+    assert (a.weights == b.weights).all() and a.bias == b.bias
