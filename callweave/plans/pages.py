@@ -90,8 +90,8 @@ def notice_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page a supplier: customers as contacts, parts as documents and codes."""
-    n = read(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))
-    shell = lambda df, k: df.crossJoin(F.broadcast(n)).withColumn("page_id", F.col(k) % F.col("n"))  # noqa: E731 one row
+    n = read(spark, sf_dir, "supplier").count()
+    shell = lambda df, k: df.withColumn("page_id", F.col(k) % n)
     people = shell(read(spark, sf_dir, "customer"), "c_custkey").select("page_id", F.lit(0).alias("kind"), F.col("c_custkey").alias("id"), F.format_string('<div class="item"><div class="row"><span class="label">First name:</span><span>%s</span></div><div class="row"><span>Surname:</span><span>%s</span></div><div class="row"><span>Email:</span> <a href="mailto:x">c%d@example.org</a></div><div class="row"><span>Phone:</span><span>+%d</span></div></div>', "c_mktsegment", "c_name", "c_custkey", "c_custkey").alias("x"))
     parts = shell(read(spark, sf_dir, "part"), "p_partkey")
     files = parts.select("page_id", F.lit(1).alias("kind"), F.col("p_partkey").alias("id"), F.format_string('<li><a href="/files/%d.pdf?v=1">%s</a>', "p_partkey", "p_name").alias("x"))
