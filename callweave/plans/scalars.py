@@ -62,11 +62,15 @@ def distinctive_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_orderkey, round(o_totalprice / 1000, 2) * 1000 AS amount, CASE o_orderkey % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'GBP' END AS currency FROM orders""")
 def money_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest amount of a text made from the row: 'from $5 up to USD 12.34k in all'."""
-    k, size = F.col("o_orderkey"), F.format_string("%.2f", F.round(F.col("o_totalprice") / 1000, 2))
+    """The largest amount of a text made from the row: 'from $5 up to USD 12.34k in all'.
+
+    Hundredths are rounded as doubles, as the SQL does: Spark's round(x, 2) goes by the decimal text, so 77.195 (which is
+    a bit less) would go up.
+    """
+    k, size = F.col("o_orderkey"), F.format_string("%.2f", F.round(F.col("o_totalprice") / 1000 * 100) / 100)
     body = F.when(k % 3 == 0, F.concat(F.lit("from $5 up to USD "), size, F.lit("k in all"))).when(k % 3 == 1, F.concat(F.lit("award: "), size, F.lit("k EUR, 3 lots"))).otherwise(F.concat(F.lit("worth £"), size, F.lit(" thousand")))
     best = money.largest(body)
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.round(best["amount"], 2).alias("amount"), best["currency"].alias("currency")).withColumn("amount", F.round("amount", 2))
+    return read(spark, sf_dir, "orders").select("o_orderkey", best["amount"].alias("amount"), best["currency"].alias("currency"))
 
 
 @query(with_calls(f"SELECT uid, CAST(date_diff('day', DATE '{AS_OF}', deadline) AS INTEGER) AS days FROM calls"))
