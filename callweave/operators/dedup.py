@@ -11,8 +11,8 @@ from ..functions.text import distinctive_tokens, funder_core, funder_initials, f
 from ..sources.tables import ensure_checkpoints
 
 RATIO = 0.90
-#: What rule 4 compares, and which rows it takes.
-_KIND, _DATED = ["title", "funder", "deadline", "countries"], "funder is not null and deadline is not null"
+#: Which rows rules 4 and 5 take.
+_DATED = "funder is not null and deadline is not null"
 
 
 def first_seen(df: DataFrame, key: Column, id_: str) -> DataFrame:
@@ -22,6 +22,11 @@ def first_seen(df: DataFrame, key: Column, id_: str) -> DataFrame:
     return keyed.join(firsts, "key").select("id", "first", "copies")
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all shuffle partitions: slim rows that multiply in a join would else be taken for the work of one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def first_rule(found: list[DataFrame]) -> DataFrame:
     """(id, lead, rule) of the first rule that finds a lead, and its least lead."""
     every = found[0]
@@ -66,12 +71,18 @@ def _per_mark(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by, _mark().alias("mark")).agg(F.min("id").alias("lead"))
 
 
-def _choices(per_mark: DataFrame, by: list[str]) -> DataFrame:
+def _least_marks(led: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (by, mark, lead) of a group's least lead without a mark and of its two or three marks with the least: what _choices needs."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("mark").isNotNull(), "lead"))
+    return led.groupBy(*by, "mark").agg(F.min("lead").alias("lead")).withColumn("nth", place).where("nth <= 3").drop("nth")
+
+
+def _choices(led: DataFrame, by: list[str]) -> DataFrame:
     """by and the least leads of a group: without a mark, of any mark, that mark, and of any other mark."""
-    marked = F.col("mark").isNotNull()
-    heads = per_mark.groupBy(*by).agg(F.min(F.when(~marked, F.col("lead"))).alias("bare"), F.min(F.when(marked, F.struct("lead", "mark"))).alias("m"))
-    others = per_mark.where(marked).join(heads, by).where(F.col("mark") != F.col("m.mark")).groupBy(*by).agg(F.min("lead").alias("second"))
-    return heads.join(others, by, "left").select(*by, "bare", F.col("m.lead").alias("first"), F.col("m.mark").alias("first_mark"), "second")
+    marks = F.array_sort(F.collect_list(F.when(F.col("mark").isNotNull(), F.struct("lead", "mark"))))  # three at most
+    heads = _least_marks(led, by).groupBy(*by).agg(F.min(F.when(F.col("mark").isNull(), F.col("lead"))).alias("bare"), marks.alias("m"))
+    first, second = F.get("m", F.lit(0)), F.get("m", F.lit(1))
+    return heads.select(*by, "bare", first["lead"].alias("first"), first["mark"].alias("first_mark"), second["lead"].alias("second"))
 
 
 def _allowed() -> Column:
@@ -79,9 +90,35 @@ def _allowed() -> Column:
     return F.least("bare", F.when(_mark() == F.col("first_mark"), F.col("second")).otherwise(F.col("first"))).alias("lead")
 
 
-def same_place(a: Column, b: Column) -> Column:
-    """Not two titles that name countries and share none."""
-    return (F.size(a) == 0) | (F.size(b) == 0) | F.arrays_overlap(a, b)
+def _named(countries: Column) -> Column:
+    return F.transform(F.array_distinct(countries), lambda c: F.concat(F.lit("="), c))
+
+
+def _stands_in(rows: DataFrame) -> DataFrame:
+    """rows once for each place under which a lead is found: everywhere, and under its countries or under no country."""
+    own = F.when(F.size("countries") == 0, F.array(F.lit("-"))).otherwise(_named(F.col("countries")))
+    return rows.withColumn("place", F.explode(F.concat(F.array(F.lit("*")), own))).drop("countries")
+
+
+def _asked_in(rows: DataFrame) -> DataFrame:
+    """rows once for each place where a lead is sought, so that two titles that name countries and share none never meet."""
+    places = F.when(F.size("countries") == 0, F.array(F.lit("*"))).otherwise(F.concat(F.array(F.lit("-")), _named(F.col("countries"))))
+    return rows.withColumn("place", F.explode(places)).drop("countries")
+
+
+def _led(asked: DataFrame, led: DataFrame, by: list[str], ok: Column, rule: str) -> DataFrame:
+    """asked: (id, oid, link, countries, by), led: (by, place, mark, lead). (id, lead, rule) of the least allowed lead of equal keys."""
+    keys = [*by, "place"]
+    found = _asked_in(asked).join(_choices(led, keys), keys).select("id", _allowed()).where(ok)
+    return found.groupBy("id").agg(F.min("lead").alias("lead")).withColumn("rule", F.lit(rule))
+
+
+def _met(rows: DataFrame, there: DataFrame, funders: DataFrame, by: list[str], ok: Column) -> tuple[DataFrame, DataFrame]:
+    """rows with the names b of their funder, and leads by b, of those groups only that hold a lead for a row: few funders share a day."""
+    leads = there.withColumnRenamed("funder", "b")
+    least = leads.groupBy(*by, "b").agg(F.min("id").alias("lead"))
+    asked = rows.join(funders, F.col("funder") == F.col("a")).drop("a", "funder").join(least, [*by, "b"]).where(ok).drop("lead")
+    return asked, leads.join(asked.select(*by, "b").distinct(), [*by, "b"], "left_semi")
 
 
 def funder_pairs(names: DataFrame, name: str = "funder") -> DataFrame:
@@ -105,42 +142,45 @@ def funder_pairs(names: DataFrame, name: str = "funder") -> DataFrame:
 
 
 def same_value(rows: DataFrame, funders: DataFrame, among: DataFrame | None = None, earlier: bool = False) -> DataFrame:
-    """Rule 5 over (id, oid, link, funder, deadline, value, countries): funder, deadline and value agree. Leads are kept by funder and countries."""
+    """Rule 5 over (id, oid, link, funder, deadline, value, countries): funder, deadline and value agree. Leads are kept by funder and place."""
     there, ok = _among(rows, among, earlier)
-    keyed, there = (x.where("funder is not null and deadline is not null and value is not null").select("id", "oid", "link", "funder", "deadline", "value", "countries") for x in (rows, there))
-    by = ["deadline", "value", "b", "places"]
-    leads = _choices(_per_mark(there.withColumnsRenamed({"funder": "b", "countries": "places"}), by), by)
-    met = keyed.join(funders, F.col("funder") == F.col("a")).join(leads, ["deadline", "value", "b"]).where(same_place(F.col("countries"), F.col("places")))
-    return met.select("id", _allowed()).where(ok).groupBy("id").agg(F.min("lead").alias("lead")).withColumn("rule", F.lit("5 value"))
+    dated = lambda x: x.where(f"{_DATED} and value is not null").select("id", "oid", "link", "funder", "deadline", "value", "countries")
+    asked, leads = _met(dated(rows), dated(there), funders, ["deadline", "value"], ok)
+    by = ["deadline", "value", "b"]
+    return _led(asked, _per_mark(_stands_in(leads), [*by, "place"]), by, ok, "5 value")
 
 
 def deadline_pairs(rows: DataFrame, among: DataFrame, funders: DataFrame, least: float = 0.75, shared: int = 3) -> DataFrame:
-    """Kinds (title, funder, deadline, countries) of rows, ending in _a, and of `among`, in _b, that rule 4 takes for one call.
+    """(title, title_b) of rows and of `among` that rule 4 takes for one call, if deadline and funder agree.
 
-    Only different titles of one deadline and equal funders meet; the ratio is computed where too few words are shared
-    and the lengths leave room for it.
+    Only titles of one deadline and equal funders meet, each two once, however many rows, countries and days they have;
+    the ratio is computed once for them, where too few words are shared and the lengths leave room for it.
     """
-    kinds = lambda x: x.where(_DATED).select(*_KIND).distinct().withColumn("words", distinctive_tokens(F.col("title")))
-    a = kinds(rows).select(*[F.col(c).alias(f"{c}_a") for c in (*_KIND, "words")])
-    b = kinds(among).select(*[F.col(c).alias(f"{c}_b") for c in (*_KIND, "words")])
-    met = a.join(funders, F.col("funder_a") == F.col("a")).join(b, (F.col("b") == F.col("funder_b")) & (F.col("deadline_a") == F.col("deadline_b"))).where(same_place(F.col("countries_a"), F.col("countries_b")))
-    met = met.withColumn("common", F.size(F.array_intersect("words_a", "words_b")))
-    n, m = F.length("title_a"), F.length("title_b")
-    close = met.where("common < " + str(shared)).where((F.least(n, m) >= (n + m) * (least / 2)) & (F.col("title_a") != "") & (F.col("title_b") != ""))
-    alike = close.where((F.col("title_a") == F.col("title_b")) | (sequence_ratio(F.col("title_a"), F.col("title_b")) >= least))
-    keys = [f"{c}_{k}" for k in "ab" for c in _KIND]
-    return met.where(f"common >= {shared}").select(*keys).union(alike.select(*keys))
-
-
-def same_deadline(rows: DataFrame, pairs: DataFrame, among: DataFrame | None = None, earlier: bool = False) -> DataFrame:
+    ensure_checkpoints(rows.sparkSession)
+    kinds = lambda x: x.where(_DATED).select("title", "funder", "deadline").distinct()
+    a = kinds(rows).join(funders, F.col("funder") == F.col("a")).select("title", "b", "deadline").distinct()
+    b = kinds(among).toDF("title_b", "b", "deadline")
+    met = _spread(a, "b", "deadline").join(_spread(b, "b", "deadline"), ["b", "deadline"]).select("title", "title_b").distinct().checkpoint()
+    words = a.select("title").union(b.select("title_b")).distinct().withColumn("words", distinctive_tokens(F.col("title")))
+    met = met.join(words, "title").join(words.toDF("title_b", "words_b"), "title_b").withColumn("common", F.size(F.array_intersect("words", "words_b")))
+    n, m = F.length("title"), F.length("title_b")
+    close = met.where(f"common < {shared}").where((F.least(n, m) >= (n + m) * (least / 2)) & (F.col("title") != "") & (F.col("title_b") != ""))
+    alike = _spread(close, "title", "title_b").where((F.col("title") == F.col("title_b")) | (sequence_ratio(F.col("title"), F.col("title_b")) >= least))
+    return met.where(f"common >= {shared}").select("title", "title_b").union(alike.select("title", "title_b"))
+
+
+def same_deadline(rows: DataFrame, funders: DataFrame, pairs: DataFrame, among: DataFrame | None = None, earlier: bool = False) -> DataFrame:
     """Rule 4 over (id, oid, link, title, funder, deadline, countries): funder and deadline agree, and the titles have a ratio of 0.75 or three shared words.
 
-    pairs: as deadline_pairs finds them, of these rows and leads or of more.
+    pairs: as deadline_pairs finds them, of these rows and leads or of more. Leads are found for each title of a day,
+    funder and place, not for each row.
     """
     there, ok = _among(rows, among, earlier)
-    leads = _per_mark(there.where(_DATED), _KIND).withColumnsRenamed({c: f"{c}_b" for c in _KIND})
-    own = pairs.join(leads, [f"{c}_b" for c in _KIND]).groupBy(*[F.col(f"{c}_a").alias(c) for c in _KIND], "mark").agg(F.min("lead").alias("lead"))
-    return rows.where(_DATED).join(_choices(own, _KIND), _KIND).select("id", _allowed()).where(ok).select("id", "lead", F.lit("4 deadline").alias("rule"))
+    dated = lambda x: x.where(_DATED).select("id", "oid", "link", "title", "funder", "deadline", "countries")
+    asked, leads = _met(dated(rows), dated(there), funders, ["deadline"], ok)
+    by = ["deadline", "b", "title", "place"]
+    few = _least_marks(_per_mark(_stands_in(leads), by), by).withColumnRenamed("title", "title_b")
+    return _led(asked, few.join(pairs, "title_b"), ["deadline", "b", "title"], ok, "4 deadline")
 
 
 def title_pairs(rows: DataFrame, among: DataFrame | None = None, least: float = RATIO) -> DataFrame:
@@ -161,19 +201,17 @@ def same_title(rows: DataFrame, pairs: DataFrame, among: DataFrame | None = None
     pairs: as title_pairs finds them, of these rows and leads or of more.
     """
     there, ok = _among(rows, among, earlier)
-    by = ["title", "countries"]
-    kinds = rows.where("title <> ''").select(*by).distinct()
-    leads = _per_mark(there.where("title <> ''"), by).withColumnsRenamed({"title": "title_b", "countries": "places"})
-    met = kinds.join(pairs, "title").join(leads, "title_b").where(same_place(F.col("countries"), F.col("places")))
-    own = met.groupBy(*by, "mark").agg(F.min("lead").alias("lead"))
-    return rows.where("title <> ''").join(_choices(own, by), by).select("id", _allowed()).where(ok).select("id", "lead", F.lit("3 title").alias("rule"))
+    titled = lambda x: x.where("title <> ''").select("id", "oid", "link", "title", "countries")
+    by = ["title", "place"]
+    few = _least_marks(_per_mark(_stands_in(titled(there)), by), by).withColumnRenamed("title", "title_b")
+    return _led(titled(rows), few.join(pairs, "title_b"), ["title"], ok, "3 title")
 
 
 Pairs = tuple[DataFrame, DataFrame, DataFrame]
 
 
 def pairs_of(rows: DataFrame, among: DataFrame | None = None, least: float = RATIO) -> Pairs:
-    """Funders, titles and kinds of rows that rules 3 to 5 take for the same: found once, however often the rules are asked."""
+    """Funders, titles and titles of a day that rules 3 to 5 take for the same: found once, however often the rules are asked."""
     ensure_checkpoints(rows.sparkSession)
     every = rows if among is None else rows.unionByName(among)
     funders = funder_pairs(every.select("funder")).checkpoint()
@@ -187,8 +225,11 @@ def find_duplicates(rows: DataFrame, least: float = RATIO, among: DataFrame | No
     `among`, of the same columns, any row of those, or any `earlier` one. Countries part titles under rules 3 to 5; an
     equal id or link outranks them. Two different ids under one link part rows under every rule.
     """
-    funders, titles, kinds = pairs or pairs_of(rows, among, least)
-    return first_rule([same_id(rows, among, earlier), same_link(rows, among, earlier), same_title(rows, titles, among, earlier), same_deadline(rows, kinds, among, earlier), same_value(rows, funders, among, earlier)])
+    if pairs is None:
+        ensure_checkpoints(rows.sparkSession)
+        rows = rows.checkpoint()  # read a dozen times
+    funders, titles, days = pairs or pairs_of(rows, among, least)
+    return first_rule([same_id(rows, among, earlier), same_link(rows, among, earlier), same_title(rows, titles, among, earlier), same_deadline(rows, funders, days, among, earlier), same_value(rows, funders, among, earlier)])
 
 
 def kept_and_dropped(rows: DataFrame, known: DataFrame, least: float = RATIO, never: DataFrame | None = None) -> DataFrame:
@@ -253,12 +294,13 @@ def similar_titles(rows: DataFrame, least: float = RATIO, new: str | None = None
     often = runs.groupBy("run").agg(F.count("*").alias("often"))
     placed = runs.join(often, "run").withColumn("place", F.row_number().over(Window.partitionBy("id", F.length("run")).orderBy("often", "run"))).where("place <= first")
     keyed = placed.select("id", "run").join(bags, "id")
-    a, b = keyed.alias("a"), keyed.alias("b")
+    a, b = _spread(keyed, "run").alias("a"), _spread(keyed, "run").alias("b")
     apart = sum((F.abs(F.col(f"a.c{k}") - F.col(f"b.c{k}")) for k in range(len(_BAG))), F.lit(0))
     room = (F.col("a.n") + F.col("b.n")) * (1 - least) + 1e-9
     met = a.join(b, (F.col("a.run") == F.col("b.run")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.new") | F.col("b.new")) & (F.abs(F.col("a.n") - F.col("b.n")) <= room) & (apart <= room))
     pairs = met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
     named = pairs.join(bags.select("id", F.col("title").alias("t")), "id").join(bags.select(F.col("id").alias("other"), F.col("title").alias("u")), "other")
+    named = _spread(named, "id", "other")
     return named.select("id", "other", F.when(F.col("t") == F.col("u"), F.lit(1.0)).otherwise(sequence_ratio(F.col("t"), F.col("u"))).alias("ratio")).where(F.col("ratio") >= least)
 
 

@@ -1,11 +1,16 @@
 """What showed on larger tables only: each case on a few rows made for it, against the query's SQL."""
 
+import datetime
+import random
+
 import duckdb
 import pytest
 
 from callweave import registry
+from callweave.operators import dedup
 
 from .compare import difference
+from .test_operators import DUP, first_rules, random_calls
 
 
 @pytest.fixture
@@ -33,3 +38,19 @@ def test_federal_grants_keep_ceilings_below_a_dollar(spark, made):
     supplier = spark.createDataFrame([(1, "A", 3, 0.5), (2, "B", 4, -0.5), (3, "C", 5, 0.0), (4, "D", 6, 9999.99), (5, "E", 7, None)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
     folder, con = made(supplier=supplier)
     assert difference(registry.queries()["federal_grants_scan"](spark, folder), registry.oracle_sql()["federal_grants_scan"], con) == ""
+
+
+def test_rule_4_meets_titles_once_however_many_rows_days_and_places(spark):
+    rows = [(60 * d + i, "", "", f"soil study for region {i % 3}", "Fund", datetime.date(2026, 1, 1 + d), None, [f"land {i}"]) for d in range(20) for i in range(60)]
+    df = spark.createDataFrame(rows, DUP)
+    funders = dedup.funder_pairs(df.select("funder"))
+    assert dedup.deadline_pairs(df, df, funders).count() == 9
+
+
+def test_rules_with_several_places_and_marks(spark):
+    rnd, rows = random.Random(3), []
+    for i, r in enumerate(random_calls(11, 120)):
+        rows.append((*r[:2], rnd.choice(["", "l", "m", "n"]), *r[3:7], rnd.sample(["kenya", "mali", "peru"], rnd.choice([0, 1, 2]))))
+    names = ("id", "oid", "link", "title", "funder", "deadline", "value", "countries")
+    got = {r.id: (r.lead, r.rule) for r in dedup.find_duplicates(spark.createDataFrame(rows, DUP)).collect()}
+    assert got == first_rules([dict(zip(names, r)) for r in rows])
