@@ -416,3 +416,22 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     linked = marked.where("n_shingles > 0").join(named, "mark").select("key", "n_shingles", "component_id")
     alone = marked.where("n_shingles = 0").select("key", "n_shingles", F.col("key").alias("component_id"))
     return linked.unionByName(alone).withColumnRenamed("key", key)
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRAM, percent: int = LEAST_PERCENT) -> DataFrame:
+    """One document of each class of similar texts: that with the smallest id, ids before nulls, then the smallest text hash.
+
+    All pairs that meet the percentage link, as in similar_classes. Texts without words are copies of one another here, and
+    rows that repeat both id and text are one document.
+    """
+    own = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("own"))
+    classes = stored(similar_classes(docs.select(own.alias("key"), F.col(text).alias("text")), "key", "text", n, percent), "classes")
+    blank = classes.where("n_shingles = 0")
+    least = blank.agg(F.min("key").alias("kept"))  # one row
+    seconds = blank.crossJoin(F.broadcast(least)).where("not (key <=> kept)").unionByName(classes.where("n_shingles > 0 and not (key <=> component_id)").withColumn("kept", F.col("component_id")))
+    gone = stored(seconds.select(F.col("key.id").alias("__id"), F.col("key.own").alias("__own")).distinct(), "gone")
+    packed = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("own"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = packed.join(gone, packed["id"].eqNullSafe(F.col("__id")) & (packed["own"] == F.col("__own")), "left_anti")
+    # rows that repeat both id and text are told apart only if there are any
+    repeated = not classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return (kept.dropDuplicates(["id", "own"]) if repeated else kept).select("row.*")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -112,3 +113,22 @@ def test_edge_rows(spark, odd, empty):
 def test_components_go_on_until_they_are_settled(spark):
     chain = spark.range(300).selectExpr("id a", "id + 1 b")
     assert {r.root for r in connected_components(chain).collect()} == {0}
+
+
+def test_one_of_each_leaves_out_no_link(spark, odd, empty):
+    """Short texts, whose similarity fingerprints tell badly: exactly the first of each class stays."""
+    rnd, rows = random.Random(4), []
+    for i in range(60):
+        base = [f"w{rnd.randrange(400)}" for _ in range(rnd.randint(20, 60))]
+        rows.append(" ".join(base))
+        for _ in range(4):
+            base[rnd.choice([0, 1, -1, -2, rnd.randrange(len(base))])] = f"x{rnd.randrange(10**6)}"
+            rows.append(" ".join(base))
+    rnd.shuffle(rows)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    firsts = set(plain_classes([plain_set(t, 5) for t in rows], 80))
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
+    assert got == firsts and len(firsts) < len(rows) - 50
+    assert jaccard.one_of_each(empty).count() == 0
+    # the repeated row and the second of the two empty texts go; null ids and an id with two texts stay
+    assert jaccard.one_of_each(odd).count() == odd.count() - 2 and jaccard.one_of_each(odd).columns == odd.columns
