@@ -247,9 +247,22 @@ def expand(places: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(places, lambda p: F.concat(F.array(p), F.coalesce(F.try_element_at(groups, p), F.array().cast("array<string>"))))))
 
 
+def _branches(tree: dict) -> str:
+    """What may follow, longer before shorter."""
+    ways = [atom + _branches(below) for atom, below in sorted(tree.items()) if atom]
+    one = ways[0] if len(ways) == 1 and "" not in tree else f"(?:{'|'.join(ways)})"
+    return "" if not ways else one + ("?" if "" in tree else "")
+
+
 def _pattern(options: Sequence[str]) -> str:
-    longest = sorted(options, key=lambda x: (-len(x), x))
-    return r"(?iu)(?<!\w)(?:" + "|".join(re.escape(x).replace(r"\ ", r"\s+") for x in longest) + r")(?!\w)"
+    """Any of the options as whole words, the longest first: by common beginnings, so that a text is not held against each option at each place."""
+    tree: dict = {}
+    for option in options:
+        at = tree
+        for c in option.lower():
+            at = at.setdefault(r"\s+" if c == " " else re.escape(c), {})
+        at[""] = {}
+    return r"(?iu)(?<!\w)(?:" + _branches(tree) + r")(?!\w)"
 
 
 @cache

@@ -9,7 +9,7 @@ from ..functions import deadlines, geo, places, taxonomy, text
 from ..operators import gates as op
 from ..operators import scoring, state
 from ..registry import query
-from .carriers import AS_OF, calls, read, with_calls
+from .carriers import AS_OF, calls, read, spread, with_calls
 
 
 @query(with_calls("SELECT uid, posted + 40 AS deadline, CASE uid % 3 WHEN 0 THEN 'labelled' WHEN 1 THEN 'labelled' ELSE 'unlabelled' END AS method FROM calls WHERE uid % 4 <> 3 UNION ALL SELECT uid, DATE '1998-12-31', 'rolling' FROM calls WHERE uid % 4 = 3"))
@@ -195,7 +195,7 @@ def geo_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer's call, in eight kinds of wording over all regions and nations, against the country of another nation."""
     nation = read(spark, sf_dir, "nation").select("n_nationkey", F.expr(_COUNTRY).alias("name"))
     own = nation.toDF("own_key", "own")
-    rows = read(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    rows = spread(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
     rows = rows.join(F.broadcast(own), F.col("own_key") == (F.col("c_custkey") * 7 + F.col("c_nationkey")) % 25)
     rows = rows.withColumns({"g": F.expr(_GROUP), "tier": F.expr(_TIER), "kind": F.floor(F.col("c_custkey") / 8) % 8})
     kinds = _kinds("concat", "name", "g", "tier")

@@ -5,11 +5,13 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from callweave import registry
+from callweave.functions import places
 from callweave.operators import dedup
 
-from .compare import difference
+from .compare import SF, difference
 from .test_operators import DUP, first_rules, random_calls
 
 
@@ -54,3 +56,12 @@ def test_rules_with_several_places_and_marks(spark):
     names = ("id", "oid", "link", "title", "funder", "deadline", "value", "countries")
     got = {r.id: (r.lead, r.rule) for r in dedup.find_duplicates(spark.createDataFrame(rows, DUP)).collect()}
     assert got == first_rules([dict(zip(names, r)) for r in rows])
+
+
+def test_geo_gate_is_spread_and_its_pattern_branches(spark):
+    """A small file is no single task, and names are sought by common beginnings: longest first, as before."""
+    rows = registry.queries()["geo_gate"](spark, SF)
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert places._pattern(["guinea", "guinea bissau", "guyana"]).count("gu") == 1
+    got = spark.createDataFrame([("Guinea  Bissau, guineas, GUYANA guinea",)], "t string").select(F.regexp_extract_all("t", F.lit(places._pattern(["guinea", "guinea bissau", "guyana"])), F.lit(0)).alias("x")).first().x
+    assert got == ["Guinea  Bissau", "GUYANA", "guinea"]
