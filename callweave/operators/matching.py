@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Queries held in a task at a time; a bounded block is broadcast, however many there are.
 QUERY_BLOCK = 4_096
+#: Cosines that a task holds at a time (8 bytes each): of some of the block's queries with a batch of rows.
+CELLS = 1 << 20
 
 
 def cosine_topk(rows: DataFrame, wanted: DataFrame, id_: str, vector: str, k: int) -> DataFrame:
@@ -33,14 +35,15 @@ def cosine_topk(rows: DataFrame, wanted: DataFrame, id_: str, vector: str, k: in
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             q, units = shared.value
             for batch in batches:
-                ids = batch["id"].to_numpy()
-                cosines = units @ _unit(np.stack(batch["v"])).T
-                cosines[q[:, None] == ids[None, :]] = -np.inf
-                n = min(k, len(ids))
-                best = np.argpartition(-cosines, n - 1, axis=1)[:, :n] if n < len(ids) else np.tile(np.arange(n), (len(q), 1))
-                floor = np.take_along_axis(cosines, best, 1).min(axis=1)
-                at, col = np.nonzero((cosines >= floor[:, None]) & np.isfinite(cosines))  # ties at the edge stay
-                yield pd.DataFrame({"query": q[at], "id": ids[col], "cosine": cosines[at, col]})
+                ids, vectors = batch["id"].to_numpy(), _unit(np.stack(batch["v"])).T
+                n, step = min(k, len(ids)), max(1, CELLS // len(ids)) if len(ids) else len(q)
+                for a in range(0, len(q) if len(ids) else 0, step):
+                    some = q[a : a + step]
+                    cosines = units[a : a + step] @ vectors
+                    cosines[some[:, None] == ids[None, :]] = -np.inf
+                    floor = np.partition(cosines, len(ids) - n, axis=1)[:, len(ids) - n]
+                    at, col = np.nonzero((cosines >= floor[:, None]) & np.isfinite(cosines))  # ties at the edge stay
+                    yield pd.DataFrame({"query": some[at], "id": ids[col], "cosine": cosines[at, col]})
 
         part = rows.select(F.col(id_).alias("id"), F.col(vector).alias("v")).mapInPandas(scan, "query long, id long, cosine double")
         out = part if out is None else out.unionByName(part)

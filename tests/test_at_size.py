@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from callweave import registry
 from callweave.functions import places
-from callweave.operators import dedup
+from callweave.operators import dedup, matching
 
 from .compare import SF, difference
 from .test_operators import DUP, first_rules, random_calls
@@ -65,3 +65,10 @@ def test_geo_gate_is_spread_and_its_pattern_branches(spark):
     assert places._pattern(["guinea", "guinea bissau", "guyana"]).count("gu") == 1
     got = spark.createDataFrame([("Guinea  Bissau, guineas, GUYANA guinea",)], "t string").select(F.regexp_extract_all("t", F.lit(places._pattern(["guinea", "guinea bissau", "guyana"])), F.lit(0)).alias("x")).first().x
     assert got == ["Guinea  Bissau", "GUYANA", "guinea"]
+
+
+def test_topk_holds_some_cosines_at_a_time(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 3), 1.0]) for i in range(60)], "id long, v array<double>").repartition(3)
+    whole = {tuple(r)[:2] for r in matching.cosine_topk(rows, rows.where("id < 9"), "id", "v", 4).collect()}
+    monkeypatch.setattr(matching, "CELLS", 40)  # less than two queries' cosines with a batch
+    assert {tuple(r)[:2] for r in matching.cosine_topk(rows, rows.where("id < 9"), "id", "v", 4).collect()} == whole and len(whole) == 36
