@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from zlib import crc32
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -263,12 +267,61 @@ def kept_and_dropped(rows: DataFrame, known: DataFrame, least: float = RATIO, ne
     return out if seen is None else out.union(seen)
 
 
-#: Groups of letters whose counts are compared before any ratio is computed.
-_BAG = ("ab", "cd", "e", "fgh", "i", "jkl", "mn", "o", "pqr", "s", "t", "uvwxyz", "0123456789")
-
-
-def _grams(title: Column, q: int) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(title) - (q - 1)), lambda i: F.substr(title, i, F.lit(q))))
+#: Titles of a block of which all pairs are compared in one step, and cells of such a comparison held at a time.
+BLOCK, CELLS = 8192, 1 << 18
+#: Runs of q characters, and in how many bits those of a title are kept.
+_MAPS = ((1, 256), (2, 256), (3, 512))
+
+
+def _marks(title: str) -> bytes:
+    """For each length of runs a map of bits: the k-th time that a run occurs turns the bit of (run, k)."""
+    out = []
+    for q, bits in _MAPS:
+        times: dict[str, int] = {}
+        turned = 0
+        for run in (title[i : i + q] for i in range(len(title) - q + 1)):
+            times[run] = k = times.get(run, 0) + 1
+            turned ^= 1 << crc32(f"{k}{run}".encode("utf-8", "surrogatepass")) % bits
+        out.append(turned.to_bytes(bits // 8, "little"))
+    return b"".join(out)
+
+
+def _mapped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in batches:
+        yield pd.Series([_marks(t) for t in batch], dtype=object)
+
+
+def _near(cell: pd.DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of two rows of a cell, one a side, whose maps differ in no more bits than the ratio allows."""
+    n, new = cell["n"].to_numpy(), cell["new"].to_numpy()
+    words = np.frombuffer(b"".join(cell["map"]), np.uint64).reshape(len(cell), -1).T.copy()
+    side = cell["side"].to_numpy()
+    left, right = np.flatnonzero(side <= 0), np.flatnonzero(side != 0)  # -1: both
+    one, two = [], []
+    if len(left) and len(right):
+        step = max(1, CELLS // len(right))
+        top = n[right].max()
+        for at in range(0, len(left), step):
+            some, place = left[at : at + step], 0
+            i = j = None
+            for q, bits in _MAPS:
+                most = (2 * q - 1) * (1 - least)
+                part = words[place : place + bits // 64]
+                place += bits // 64
+                if i is None:  # all pairs, then those that are left
+                    apart = np.zeros((len(some), len(right)), np.uint16)
+                    for w in part:
+                        apart += np.bitwise_count(w[some][:, None] ^ w[right][None, :])
+                    x, y = np.nonzero(apart <= most * (n[some].max() + top) + 1e-9)
+                    i, j, far = some[x], right[y], apart[x, y]
+                else:
+                    far = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in part)
+                fits = far <= most * (n[i] + n[j]) + 1e-9
+                i, j = i[fits], j[fits]
+            ok = (new[i] | new[j]) & (np.abs(n[i] - n[j]) <= (1 - least) * (n[i] + n[j]) + 1e-9) & ((side[i] >= 0) | (i < j))
+            one.append(i[ok])
+            two.append(j[ok])
+    return (np.concatenate(one), np.concatenate(two)) if one else (left[:0], left[:0])
 
 
 def similar_titles(rows: DataFrame, least: float = RATIO, new: str | None = None) -> DataFrame:
@@ -276,30 +329,40 @@ def similar_titles(rows: DataFrame, least: float = RATIO, new: str | None = None
 
     With `new`, a flag of the rows, only pairs with a flagged row are sought.
 
-    A ratio r leaves at most D = (1 - r) (m + n) of both titles' characters unmatched, each of which parts q of the runs of
-    q characters. So of either title all but q D different runs are in the other, and of any order of runs, the q D + 1
-    first of both titles have one in common: titles meet on these, the rarest first. What else the bound says (lengths,
-    counts of letters) is asked in the join; the ratio is computed once per pair. Runs have two characters in titles up
-    to eleven and three from ten on, so that the runs are enough. Nothing is lost.
+    A ratio r leaves at most D = (1 - r) (m + n) of both titles' characters unmatched, each of which changes the counts of
+    runs of q characters by 2 q - 1 in all. So maps of numbered runs differ in (2 q - 1) D bits at most, and only pairs
+    that do are given to the ratio. Titles are dealt by length, a partner's being of the same band or of one next to it, and
+    within a band to blocks of about BLOCK; a cell compares two blocks, CELLS pairs at a time. Nothing is lost.
+
+    Short titles of one language share their frequent runs, so no key parts them: the pairs of a band are quadratic in
+    number, but cost two instructions for each word of a map, and what moves is 200 bytes a title and block.
     """
-    n = F.length("title")
-    counts = [(n - F.length(F.translate("title", letters, ""))).alias(f"c{k}") for k, letters in enumerate(_BAG)]
     ensure_checkpoints(rows.sparkSession)
-    bags = rows.where("title is not null").select("id", "title", n.alias("n"), (F.lit(True) if new is None else F.col(new)).alias("new"), *counts).checkpoint()
-    most = F.floor(F.col("n") * ((1 - least) * 2 / least) + 1e-9)  # D, for the longest title that may be a partner
-    runs = None
-    for q, low, high in ((2, 4, 11), (3, 10, 1 << 30)):
-        part = bags.where(F.col("n").between(low, high)).select("id", (F.lit(q) * most + 1).alias("first"), F.explode(_grams(F.col("title"), q)).alias("run"))
-        runs = part if runs is None else runs.unionByName(part)
-    often = runs.groupBy("run").agg(F.count("*").alias("often"))
-    placed = runs.join(often, "run").withColumn("place", F.row_number().over(Window.partitionBy("id", F.length("run")).orderBy("often", "run"))).where("place <= first")
-    keyed = placed.select("id", "run").join(bags, "id")
-    a, b = _spread(keyed, "run").alias("a"), _spread(keyed, "run").alias("b")
-    apart = sum((F.abs(F.col(f"a.c{k}") - F.col(f"b.c{k}")) for k in range(len(_BAG))), F.lit(0))
-    room = (F.col("a.n") + F.col("b.n")) * (1 - least) + 1e-9
-    met = a.join(b, (F.col("a.run") == F.col("b.run")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.new") | F.col("b.new")) & (F.abs(F.col("a.n") - F.col("b.n")) <= room) & (apart <= room))
-    pairs = met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
-    named = pairs.join(bags.select("id", F.col("title").alias("t")), "id").join(bags.select(F.col("id").alias("other"), F.col("title").alias("u")), "other")
+    n = F.length("title")
+    band = F.floor(F.log(n.cast("double")) / (math.log(max(2 / least - 1, 1.01)) + 1e-9)).cast("int")
+    told = rows.where("title <> ''").select("id", "title", n.alias("n"), (F.lit(True) if new is None else F.col(new)).alias("new"), band.alias("band"))
+    known = _spread(told, "id").withColumn("map", F.pandas_udf(_mapped, "binary")("title")).checkpoint()
+    blocks = lambda c: F.ceil(F.count_if(c) / BLOCK).cast("int")
+    sizes = known.groupBy("band").agg(blocks(F.col("new")).alias("news"), blocks(~F.col("new")).alias("olds"))  # a row a band
+    near = sizes.withColumn("step", F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))).join(sizes.select((F.col("band")).alias("to"), F.col("news").alias("to_news"), F.col("olds").alias("to_olds")), F.col("band") + F.col("step") == F.col("to"))
+    deal = F.xxhash64("id")
+    mine = F.when(F.col("new"), F.pmod(deal, F.col("news"))).otherwise(F.col("news") + F.pmod(deal, F.col("olds"))).cast("int")
+    others = F.when(F.col("new"), F.col("to_news") + F.col("to_olds")).otherwise(F.col("to_news"))  # known titles meet new ones only
+    dealt = known.drop("title").join(F.broadcast(near), "band").withColumn("mine", mine).where(others > 0).withColumn("theirs", F.explode(F.sequence(F.lit(0), others - 1)))
+    first = (F.col("step") > 0) | ((F.col("step") == 0) & (F.col("mine") < F.col("theirs")))
+    side = F.when((F.col("step") == 0) & (F.col("mine") == F.col("theirs")), -1).when(first, 0).otherwise(1)
+    cells = dealt.select("id", "n", "new", "map", side.alias("side"), F.least("band", "to").alias("low"), F.abs("step").alias("up"), F.when(first, F.col("mine")).otherwise(F.col("theirs")).alias("one"), F.when(first, F.col("theirs")).otherwise(F.col("mine")).alias("two"))
+
+    def compare(cell: pd.DataFrame) -> pd.DataFrame:
+        i, j = _near(cell, least)
+        ids = cell["id"]
+        return pd.DataFrame({"a": ids.iloc[i].to_numpy(), "b": ids.iloc[j].to_numpy()})
+
+    kind, keys = dict(rows.dtypes)["id"], ["low", "up", "one", "two"]
+    met = _spread(cells, *keys).groupBy(*keys).applyInPandas(compare, f"a {kind}, b {kind}")
+    pairs = met.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("other"))
+    title = known.select("id", "title")
+    named = pairs.join(title.withColumnRenamed("title", "t"), "id").join(title.toDF("other", "u"), "other")
     named = _spread(named, "id", "other")
     return named.select("id", "other", F.when(F.col("t") == F.col("u"), F.lit(1.0)).otherwise(sequence_ratio(F.col("t"), F.col("u"))).alias("ratio")).where(F.col("ratio") >= least)
 

@@ -1,9 +1,12 @@
 """What showed on larger tables only: each case on a few rows made for it, against the query's SQL."""
 
 import datetime
+import difflib
+import itertools
 import random
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +75,27 @@ def test_topk_holds_some_cosines_at_a_time(spark, monkeypatch):
     whole = {tuple(r)[:2] for r in matching.cosine_topk(rows, rows.where("id < 9"), "id", "v", 4).collect()}
     monkeypatch.setattr(matching, "CELLS", 40)  # less than two queries' cosines with a batch
     assert {tuple(r)[:2] for r in matching.cosine_topk(rows, rows.where("id < 9"), "id", "v", 4).collect()} == whole and len(whole) == 36
+
+
+def syllables(n: int) -> list[str]:
+    """Titles of frequent syllables, which share most of their runs; every tenth is the one before with a letter changed."""
+    rnd, out = random.Random(5), []
+    while len(out) < n:
+        out.append(" ".join("".join(rnd.choices(("the", "er", "on", "in", "tion", "ed", "an", "th", "wh", "ou", "ly", "re", "es", "ha", "at", "ble", "or", "of", "st", "ing"), k=2)) for _ in range(9)))
+        if len(out) % 10 == 9:
+            out.append(f"{out[-1][:20]}z{out[-1][21:]}")
+    return out[:n]
+
+
+def test_few_pairs_of_like_titles_reach_the_ratio(spark, monkeypatch):
+    titles = syllables(300)
+    cell = pd.DataFrame({"n": [len(t) for t in titles], "new": True, "side": -1, "map": [dedup._marks(t) for t in titles]})
+    found = {(int(a), int(b)) for a, b in zip(*dedup._near(cell, 0.9), strict=True)}
+    ratio = lambda a, b: difflib.SequenceMatcher(None, titles[b], titles[a]).ratio()
+    brute = {(a, b): ratio(a, b) for a, b in itertools.combinations(range(300), 2)}
+    want = {k for k, r in brute.items() if r >= 0.9}
+    assert want <= found and 30 <= len(want) and len(found) < 10 * len(want)
+    monkeypatch.setattr(dedup, "BLOCK", 70)  # several blocks, and known titles that never meet each other
+    rows = spark.createDataFrame([(i, t, i % 3 == 0) for i, t in enumerate(titles)], "id long, title string, new boolean")
+    assert {(r.other, r.id) for r in dedup.similar_titles(rows).collect()} == want
+    assert {(r.other, r.id) for r in dedup.similar_titles(rows, new="new").collect()} == {(a, b) for a, b in want if a % 3 == 0 or b % 3 == 0}
