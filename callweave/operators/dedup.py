@@ -370,25 +370,28 @@ def similar_titles(rows: DataFrame, least: float = RATIO, new: str | None = None
 def leaders(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
     """Greedy leaders: in the order of (rank, id) a row joins the first leader it is similar to, else it leads itself.
 
-    ranked: (id, rank), pairs: (id, other) either way. In a round every row is decided whose earlier partners allow it:
-    it joins its first leading partner if no undecided one comes before, and leads if no partner leads or is undecided.
-    Rounds follow the longest chain of partners in falling order; no group of rows is gathered.
+    ranked: (id, rank), pairs: (id, other) either way. A row leads if none of its earlier partners does. In a round those
+    without an earlier open partner lead, and all later partners of these follow; only pairs of open rows are kept, so
+    rounds shrink. Which leader is the first is asked once, at the end. Rounds follow the longest chain of partners that
+    hangs on its order; no group of rows is gathered.
     """
     ensure_checkpoints(ranked.sparkSession)
     at = lambda c: F.struct(F.col(f"{c}.rank").alias("rank"), F.col(f"{c}.id").alias("id"))
-    either = pairs.select("id", "other").union(pairs.select("other", "id")).toDF("i", "o")
+    pairs = pairs.select("id", "other").checkpoint()  # read both ways
+    either = pairs.union(pairs.select("other", "id")).toDF("i", "o")
     a, b = ranked.alias("a"), ranked.alias("b")
-    open_ = either.join(a, F.col("i") == F.col("a.id")).join(b, F.col("o") == F.col("b.id")).where(at("b") < at("a")).select(F.col("i").alias("id"), at("b").alias("before")).distinct().checkpoint()
-    done = ranked.join(open_.select("id").distinct(), "id", "left_anti").select("id", F.col("id").alias("lead")).checkpoint()
+    edges = either.join(a, F.col("i") == F.col("a.id")).join(b, F.col("o") == F.col("b.id")).where(at("b") < at("a")).select(F.col("i").alias("id"), at("b").alias("before")).distinct().checkpoint()
+    open_, lead = edges.select("id", F.col("before.id").alias("over")), None
+    rows = open_.select("id").union(open_.select("over")).distinct()
     while not open_.isEmpty():
-        d = done.select(F.col("id").alias("d"), "lead")
-        seen = open_.join(d, F.col("before.id") == F.col("d"), "left")
-        leads = F.min(F.when(F.col("lead") == F.col("d"), F.col("before"))).alias("leads")
-        waits = F.min(F.when(F.col("d").isNull(), F.col("before"))).alias("waits")
-        new = seen.groupBy("id").agg(leads, waits).where("waits is null or leads < waits").select("id", F.coalesce("leads.id", "id").alias("lead")).checkpoint()
-        done = done.unionByName(new).checkpoint()
-        open_ = open_.join(new.select("id"), "id", "left_anti").checkpoint()
-    return done
+        new = rows.join(open_.select("id").distinct(), "id", "left_anti").checkpoint()
+        gone = open_.join(new.withColumnRenamed("id", "over"), "over", "left_semi").select("id").distinct().checkpoint()
+        lead = new if lead is None else lead.union(new)
+        rows = rows.join(new.union(gone), "id", "left_anti").checkpoint()
+        open_ = open_.join(gone, "id", "left_anti").join(gone.withColumnRenamed("id", "over"), "over", "left_anti").select("id", "over").checkpoint()
+    lead = rows if lead is None else lead.union(rows)
+    first = edges.join(lead.select(F.col("id").alias("_l")), F.col("before.id") == F.col("_l"), "left_semi").groupBy("id").agg(F.min("before").alias("first"))
+    return ranked.select("id").join(first, "id", "left").select("id", F.coalesce("first.id", "id").alias("lead"))
 
 
 def blank_count(columns: Iterator[str]) -> Column:

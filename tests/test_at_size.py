@@ -99,3 +99,18 @@ def test_few_pairs_of_like_titles_reach_the_ratio(spark, monkeypatch):
     rows = spark.createDataFrame([(i, t, i % 3 == 0) for i, t in enumerate(titles)], "id long, title string, new boolean")
     assert {(r.other, r.id) for r in dedup.similar_titles(rows).collect()} == want
     assert {(r.other, r.id) for r in dedup.similar_titles(rows, new="new").collect()} == {(a, b) for a, b in want if a % 3 == 0 or b % 3 == 0}
+
+
+def test_leaders_read_the_pairs_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    chain = [(i, i + 1) for i in range(6)]
+    pairs = spark.createDataFrame(chain, "id long, other long").mapInPandas(count, "id long, other long")
+    got = dedup.leaders(spark.createDataFrame([(i, i) for i in range(8)], "id long, rank long"), pairs)
+    assert {(r.id, r.lead) for r in got.collect()} == {(0, 0), (1, 0), (2, 2), (3, 2), (4, 4), (5, 4), (6, 6), (7, 7)}
+    assert read.value == len(chain)
