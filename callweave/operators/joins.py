@@ -87,7 +87,8 @@ def chain(edges: DataFrame, child: str, parent: str, most: int = 100) -> DataFra
             raise ValueError(f"the parents of {one} form a cycle")
         if n == before or span >= most:
             return reached
-        further = reached.alias("a").join(reached.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor", (F.col("a.hops") + F.col("b.hops")).alias("hops"))
+        far = reached.where(F.col("hops") == span)  # what is further lies beyond these, so that a row meets few
+        further = far.alias("a").join(reached.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor", (F.col("a.hops") + F.col("b.hops")).alias("hops"))
         reached = reached.unionByName(further).groupBy("node", "ancestor").agg(F.min("hops").alias("hops")).checkpoint()
         span, before = span * 2, n
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from callweave import registry
 from callweave.functions import places
-from callweave.operators import dedup, matching
+from callweave.operators import dedup, joins, matching
 
 from .compare import SF, difference
 from .test_operators import DUP, first_rules, random_calls
@@ -114,3 +114,18 @@ def test_leaders_read_the_pairs_once(spark):
     got = dedup.leaders(spark.createDataFrame([(i, i) for i in range(8)], "id long, rank long"), pairs)
     assert {(r.id, r.lead) for r in got.collect()} == {(0, 0), (1, 0), (2, 2), (3, 2), (4, 4), (5, 4), (6, 6), (7, 7)}
     assert read.value == len(chain)
+
+
+def test_chain_is_doubled_from_the_farthest_ancestors_only(spark):
+    edges = spark.createDataFrame([(i, i - 1) for i in range(1, 12)] + [(11, 3), (3, 0)], "child long, parent long")
+    got = {(r.node, r.ancestor): r.hops for r in joins.chain(edges, "child", "parent").collect()}
+    want, up = {}, {i: {i - 1} for i in range(1, 12)}
+    up[11].add(3)
+    up[3].add(0)
+    for node in up:
+        at, hops = {node}, 0
+        while at := {p for x in at for p in up.get(x, ())}:
+            hops += 1
+            for p in at:
+                want.setdefault((node, p), hops)
+    assert got == want
