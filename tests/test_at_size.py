@@ -4,6 +4,7 @@ import datetime
 import difflib
 import itertools
 import random
+from html.parser import HTMLParser
 
 import duckdb
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from callweave import registry
 from callweave.functions import places
 from callweave.operators import dedup, joins, matching
+from callweave.sources import markup
 
 from .compare import SF, difference
 from .test_operators import DUP, first_rules, random_calls
@@ -116,6 +118,23 @@ def test_leaders_read_the_pairs_once(spark):
     assert read.value == len(chain)
 
 
+def test_plain_tags_are_read_as_the_parser_reads_them(monkeypatch):
+    class Slow(markup._Tree):
+        parse_starttag = HTMLParser.parse_starttag
+
+    def shape(node):
+        return (node.tag, node.attrs, [k if isinstance(k, str) else shape(k) for k in node.kids])
+
+    odd = ["<TD>a<Td >b<td\n>c", "<p><b>x</p></b>", "<script>if (a<b>c) {}</script><p>y", "<title><b>t</title>", "<textarea><td></textarea>", "<br><br/><x1>z<a-b>w", "a<", "<td", "<1>", "<style><p></style>&amp;<i>é</i>", "<iframe><p>q</iframe>"]
+    for html in odd:
+        slow = Slow()
+        slow.feed(html)
+        slow.close()
+        assert shape(markup.tree(html)) == shape(slow.root), html
+    monkeypatch.delattr(HTMLParser, "parse_starttag")  # plain tags do without it
+    assert [n.tag for n in markup.walk([markup.tree("<p><b>x<td>y")]) if not isinstance(n, str)] == ["", "p", "b", "td"]
+
+
 def test_chain_is_doubled_from_the_farthest_ancestors_only(spark):
     edges = spark.createDataFrame([(i, i - 1) for i in range(1, 12)] + [(11, 3), (3, 0)], "child long, parent long")
     got = {(r.node, r.ancestor): r.hops for r in joins.chain(edges, "child", "parent").collect()}
