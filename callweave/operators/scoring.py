@@ -124,7 +124,11 @@ def relationship(grantee: Column, contact: Column, known: Column) -> Column:
 
 def competitiveness(signals: Sequence[Column]) -> Column:
     """Signed signals summed: from 1 Strong, to -0.5 Weak, else Moderate; none known: Not sure."""
-    active = F.array_compact(F.array(*signals))
+    return competitiveness_of(F.array_compact(F.array(*signals)))
+
+
+def competitiveness_of(active: Column) -> Column:
+    """competitiveness() of an array without nulls."""
     total = F.aggregate(active, F.lit(0.0), lambda s, x: s + x)
     return F.when(F.size(active) == 0, "Not sure").when(total >= 1, "Strong").when(total <= -0.5, "Weak").otherwise("Moderate")
 

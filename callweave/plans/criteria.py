@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import criteria as op
 from ..registry import query
-from .carriers import AS_OF, read
+from .carriers import AS_OF, read, spread
 
 _KEYS = "o_orderkey AS uid, o_totalprice AS total, c_custkey AS ck, c_acctbal AS cb, c_mktsegment AS seg, cn.n_name AS cn, cr.r_name AS cr, s_suppkey AS sk, s_acctbal AS sb, sn.n_name AS sn, sr.r_name AS sr"
 
@@ -97,7 +97,8 @@ def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda name, fields: F.struct(
         *[F.expr(e).alias(k) for k, e in fields.items()], *[F.array_compact(F.array(*map(F.expr, es))).alias(k) for k, es in LISTS[name].items()], *[m.alias(k) for k, m in themes[name].items()]
     ).alias(name)
-    return base.select("uid", side("org", ORG), side("call", CALL), side("donor", DONOR))
+    # few bytes a row, but long to derive: dealt after the joins, whose tasks are planned by bytes
+    return spread(base).select("uid", side("org", ORG), side("call", CALL), side("donor", DONOR))
 
 
 def regions(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:

@@ -148,3 +148,11 @@ def test_chain_is_doubled_from_the_farthest_ancestors_only(spark):
             for p in at:
                 want.setdefault((node, p), hops)
     assert got == want
+
+
+def test_criteria_say_nothing_twice_and_are_spread(spark):
+    """What a factor reads is a column of its own: as one expression, years of experience were read some hundred times a row."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    plan = registry.queries()["criteria_verdict"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("regexp_extract") < 10 and "Repartition" in plan
