@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,9 @@ from ..functions.text import partners
 from .catalogue import named_tenants
 from .criteria import factor
 from .joins import chain
+from .ranking import top_per_group
 
+SALTS = 16
 SELF, PARENT, PRIME, CO = "self", "parent", "prime", "co-applicant"
 #: Relations that a class of criteria may consult, the strongest first.
 CLASSES: dict[str, tuple[str, ...]] = {
@@ -37,14 +40,19 @@ def named_applicants(calls: DataFrame, tenants: DataFrame) -> DataFrame:
     """
     cell = lambda c, name: calls.select("uid", F.col("tenant").alias("own"), F.lit(name).alias("cell"), F.posexplode(partners(F.col(c))).alias("place", "piece"))
     pieces = cell("lead", "lead").union(cell("sub", "sub"))
-    may = named_tenants(pieces.select("piece").distinct(), tenants).groupBy("piece", F.col("tenant").alias("named")).agg(F.min("rank").alias("rank"))
-    keys = ["uid", "own", "cell", "place", "piece"]
-    met = pieces.join(may, "piece", "left").withColumn("m", F.when(F.col("named").isNotNull() & ~F.col("named").eqNullSafe(F.col("own")), F.struct("rank", "named")))
-    best = met.groupBy(*keys).agg(F.min("m.rank").alias("r"), F.min("m").alias("m")).select("uid", "cell", "place", "piece", F.col("m.named").alias("named"))
+    # a piece may stand in a share of all cells: only its best two tenants are met, by a small table of distinct spellings
     known = tenants.select(F.col("tenant").alias("named"), "status", "shares")
     active = F.lower(F.trim(F.coalesce(F.nullif("status", F.lit("")), F.lit("active")))) == "active"
-    standing = F.when(F.col("named").isNull(), "unresolved").when(~active, "inactive").when(~F.coalesce("shares", F.lit(False)), "no consent").otherwise("ok")
-    return best.join(known, "named", "left").select("uid", "cell", "place", "piece", "named", standing.alias("standing"))
+    standing = F.when(~active, "inactive").when(~F.coalesce("shares", F.lit(False)), "no consent").otherwise("ok")
+    names = pieces.select("piece").distinct().persist(StorageLevel.MEMORY_AND_DISK)  # read five times
+    may = named_tenants(names, tenants).groupBy("piece", F.col("tenant").alias("named")).agg(F.min("rank").alias("rank"))
+    best = top_per_group(may, ["piece"], [F.asc("rank"), F.asc("named")], 2).join(known, "named").select("piece", F.struct("place", "named", standing.alias("standing")).alias("m"))
+    best = best.groupBy("piece").agg(F.array_sort(F.collect_list("m")).alias("best"))
+    first = F.get(F.filter(F.col("best"), lambda m: ~m["named"].eqNullSafe(F.col("own"))), F.lit(0))
+    # a frequent piece is dealt to SALTS tasks, and only the small side is held: pieces are not sorted
+    dealt = best.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))).hint("shuffle_hash")
+    met = pieces.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int")).join(dealt, ["piece", "salt"], "left").select("uid", "cell", "place", "piece", first.alias("m"))
+    return met.select("uid", "cell", "place", "piece", F.col("m.named").alias("named"), F.coalesce("m.standing", F.lit("unresolved")).alias("standing"))
 
 
 def backers(calls: DataFrame, tenants: DataFrame) -> DataFrame:
@@ -53,7 +61,9 @@ def backers(calls: DataFrame, tenants: DataFrame) -> DataFrame:
     own = calls.select("uid", F.lit(SELF).alias("relation"), F.lit(0).alias("place"), "tenant")
     parents = tenants.select(F.col("tenant").alias("_t"), F.col("parent")).join(tenants.select(F.col("tenant").alias("parent")), "parent")
     above = calls.join(parents, F.col("tenant") == F.col("_t")).select("uid", F.lit(PARENT), F.lit(0), "parent")
-    first = names.where("cell = 'lead'").groupBy("uid").agg(F.min(F.struct("place", "named")).alias("m")).select("uid", F.lit(PRIME), F.col("m.place"), F.col("m.named"))
+    # dealt by call first: counted before the shuffle, a task would hold all calls that it reads
+    leads = names.where("cell = 'lead'").select("uid", "place", "named").repartition("uid").groupBy("uid")
+    first = leads.agg(F.min("place").alias("p"), F.min_by("named", "place").alias("n")).select("uid", F.lit(PRIME), "p", "n")
     others = names.where("cell = 'sub'").select("uid", F.lit(CO), "place", "named")
     return own.union(above).union(first).union(others)
 

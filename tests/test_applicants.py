@@ -69,3 +69,13 @@ def test_factors(spark):
     edge = op.competitiveness_factors(F.lit(0.5), F.lit(2022), 2026, F.lit(None).cast("double"), F.array(F.lit("grant")), empty, F.lit(False), F.lit(True), F.lit(True), F.lit(False), F.lit(" Kenya"), F.lit("kenya"))
     got = {x.key: (x.active, x.score) for x in spark.range(1).select(F.concat(edge, op.bid_factors(F.lit(7), F.lit(None).cast("boolean"))).alias("x")).first().x}
     assert got == {"comp_track": (True, 0.5), "comp_age": (True, 0.0), "comp_portal": (True, 0.0), "comp_route": (True, None), "comp_grassroots": (False, None), "comp_multi": (True, 0.0), "comp_hq": (True, 1.0), "bid_time": (True, 0.5), "bid_team": (False, None)}
+
+
+def test_frequent_names_are_not_gathered(spark, people):
+    """Names meet tenants without a sort of all cells, each spelling is read once, and no aggregate holds a scan's calls."""
+    rows = [(i, 1, "sub", "Nobody Known; Prime Research Institute", "Nobody Known", "x") for i in range(200)]
+    names = op.named_applicants(calls(spark, *rows), people)
+    plan = names._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "salt" in plan and "InMemoryRelation" in names._jdf.queryExecution().withCachedData().toString()
+    assert {(r.cell, r.place, r.named, r.standing, r["count"]) for r in names.groupBy("cell", "place", "named", "standing").count().collect()} == {("lead", 0, None, "unresolved", 200), ("lead", 1, 3, "ok", 200), ("sub", 0, None, "unresolved", 200)}
+    assert "partial_min(struct" not in op.backers(calls(spark, *rows[:1]), people)._jdf.queryExecution().sparkPlan().toString()
