@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, DateType, LongType, StructField, StructType
 
-STATE = "first_seen long, last_seen long, deadline date, deadline_at long, deadline_id long, posted date, posted_at long, posted_id long, rolling boolean, rolling_at long, rolling_id long, tombstone long, suppressed long, closed long, version long"
+STATE = "first_seen long, last_seen long, deadline date, deadline_at long, deadline_id long, posted date, posted_at long, posted_id long, rolling boolean, rolling_at long, rolling_id long, tombstone long, suppressed long, closed long, version long, timer long"
 CHANGE = "uid long, version long, status string, first_seen long, last_seen long, deadline date, posted date, rolling boolean, suppressed long, closed_at long"
 _NAMES = [c.split()[0] for c in STATE.split(", ")]
 _KINDS = {"long": LongType(), "date": DateType(), "boolean": BooleanType()}
@@ -49,7 +49,8 @@ class CallLedger(StatefulProcessor):
         self.call = handle.getValueState("call", StructType([StructField(n, _KINDS[k]) for n, k in (c.split() for c in STATE.split(", "))]))
 
     def _load(self) -> dict[str, Any]:
-        return dict(zip(_NAMES, self.call.get(), strict=True)) if self.call.exists() else {n: None for n in _NAMES} | {"suppressed": 0, "version": 0}
+        held = self.call.get()
+        return dict(zip(_NAMES, held, strict=True)) if held is not None else {n: None for n in _NAMES} | {"suppressed": 0, "version": 0}
 
     def _emit(self, key: Any, state: dict[str, Any]) -> Row:
         state["version"] += 1
@@ -72,19 +73,24 @@ class CallLedger(StatefulProcessor):
                 said, at = row[field], (state[f"{field}_at"], state[f"{field}_id"])
                 if said is not None and (at[0] is None or (ts, row.event_id) < at):
                     state[field], state[f"{field}_at"], state[f"{field}_id"] = said, ts, row.event_id
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        state["closed"], end = None, expiry(state, self.stale)
+        state["closed"], end, timer = None, expiry(state, self.stale), None
         if state["tombstone"] is None and end is not None:
             if end <= now:
                 state["closed"] = end
             else:
-                self.handle.registerTimer(end)
+                timer = end
+        # the state knows its timer: each question to the store is a round trip, and most rows leave the timer as it is
+        if timer != state["timer"]:
+            if state["timer"] is not None:
+                self.handle.deleteTimer(state["timer"])
+            if timer is not None:
+                self.handle.registerTimer(timer)
+            state["timer"] = timer
         yield self._emit(key, state)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         state = self._load()
-        state["closed"] = expiredTimerInfo.getExpiryTimeInMs()
+        state["closed"], state["timer"] = expiredTimerInfo.getExpiryTimeInMs(), None
         yield self._emit(key, state)
 
     def close(self) -> None:

@@ -9,12 +9,14 @@ from html.parser import HTMLParser
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from callweave import registry
 from callweave.functions import places
 from callweave.operators import dedup, joins, matching
 from callweave.sources import markup
+from callweave.streaming import ledger
 
 from .compare import SF, difference
 from .test_operators import DUP, first_rules, random_calls
@@ -156,3 +158,41 @@ def test_criteria_say_nothing_twice_and_are_spread(spark):
     plan = registry.queries()["criteria_verdict"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     spark.conf.unset("spark.sql.debug.maxToStringFields")
     assert plan.count("regexp_extract") < 10 and "Repartition" in plan
+
+
+def test_ledger_asks_the_store_only_for_what_changes():
+    """A row whose timer stays costs one read and one write; before, timers were listed, deleted and set again each time."""
+    class Store:
+        held, timers, calls = None, set(), 0
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+        def registerTimer(self, at):
+            self.timers, self.calls = self.timers | {at}, self.calls + 1
+
+        def deleteTimer(self, at):
+            self.timers, self.calls = self.timers - {at}, self.calls + 1
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    store, day = Store(), ledger._DAY
+    call = ledger.CallLedger(6)
+    call.init(store)
+    seen = lambda ms, deadline=None, kind="seen": list(call.handleInputRows((1,), iter([Row(ms=ms, event_id=ms, kind=kind, deadline=deadline, posted=None, rolling=None)]), Now()))
+    seen(day)
+    assert store.timers == {7 * day} and store.calls == 1
+    seen(day // 2)  # late: the timer stays
+    assert store.calls == 1
+    seen(2 * day)
+    assert store.timers == {8 * day} and store.calls == 3
+    seen(3 * day, kind="tombstone")
+    assert not store.timers and store.calls == 4
