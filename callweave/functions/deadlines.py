@@ -57,16 +57,24 @@ def read_date(text: Column) -> Column:
 
 
 def dated(text: Column) -> Column:
-    """Every date of a text with the kind of the nearest label in the characters before it: submit, other or none."""
-    pieces = F.regexp_extract_all(text, F.lit(rf"(?is).{{0,{WINDOW}}}?(?<![\w/.-])(?:{_DATE})(?![\w/])"), 0)
+    """Every date of a text with the kind of the nearest label in the characters before it: submit, other or none.
 
-    def label(x: Column) -> Column:
-        low = F.lower(x)
-        last = lambda words: F.greatest(*[F.length(low) - F.coalesce(F.nullif(F.instr(F.reverse(low), F.lit(w[::-1])), F.lit(0)), F.length(low) + 1) for w in words])
-        submit, other = last(SUBMIT), last(OTHER)
-        return F.when((submit < 0) & (other < 0), "none").when(submit >= other, "submit").otherwise("other")
-
-    return F.transform(pieces, lambda x: F.struct(label(x).alias("kind"), read_date(F.regexp_extract(x, rf"(?is)({_DATE})\s*$", 1)).alias("at"), F.trim(x).alias("evidence")))
+    Dates are found alone and the text is split at them, so that it is read once from end to end; a text without four digits
+    in a row has none and isn't read.
+    """
+    date = F.lit(rf"(?i)(?<![\w/.-])(?=[0-9jfmasond])(?:{_DATE})(?![\w/])")
+    none = F.array().cast("array<string>")
+    # split leaves one piece more than there are dates, the one after the last
+    parts = lambda dates: F.zip_with(F.slice(F.split(text, date, -1), F.lit(1), F.size(dates)), dates, lambda b, d: F.concat(F.right(b, F.lit(WINDOW)), d))
+    pieces = F.when(~text.rlike("[0-9]{4}"), none).otherwise(_let(F.regexp_extract_all(text, date, 0), parts))
+
+    def label(low: Column, back: Column) -> Column:
+        last = lambda words: F.greatest(*[F.length(low) - F.coalesce(F.nullif(F.instr(back, F.lit(w[::-1])), F.lit(0)), F.length(low) + 1) for w in words])
+        found = F.struct(last(SUBMIT).alias("submit"), last(OTHER).alias("other"))
+        return _let(found, lambda x: F.when((x["submit"] < 0) & (x["other"] < 0), "none").when(x["submit"] >= x["other"], "submit").otherwise("other"))
+
+    kind = lambda piece: _let(F.lower(piece), lambda low: _let(F.reverse(low), lambda back: label(low, back)))
+    return F.transform(pieces, lambda x: F.struct(kind(x).alias("kind"), read_date(F.regexp_extract(x, rf"(?is)({_DATE})\s*$", 1)).alias("at"), F.trim(x).alias("evidence")))
 
 
 def deadline(text: Column, year: int) -> Column:

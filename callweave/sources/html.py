@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,25 +16,48 @@ _ANCHOR = re.compile(r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\
 JUNK = frozenset(("home", "about", "contact", "login", "register", "search", "next", "previous", "more", "read more", "skip to content", "menu"))
 
 
+#: Plain addresses, which urljoin hands back as they are, and plain paths, which it sets behind the base's host.
+_PLAIN, _HOST, _REST = r"(?=[!-:<-Z\\^-~]+\Z)(?!.*/\.)", r"https?://[A-Za-z0-9.:-]+", r"(?:\?[^#]+)?(?:#.+)?"
+_WHOLE = re.compile(rf"{_PLAIN}{_HOST}(?:/[^?#]*)?{_REST}")
+_PATH = re.compile(rf"{_PLAIN}/(?!/)[^?#]*{_REST}")
+_ROOT = re.compile(rf"{_HOST}(?=[/?#]|\Z)")
+
+
+def joined(base: str, root: str, target: str) -> str:
+    """urljoin(base, target), spared where there is nothing to resolve; `root` is the base up to its path, if that is plain."""
+    if _WHOLE.fullmatch(target):
+        return target
+    return root + target if root and _PATH.fullmatch(target) else urljoin(base, target)
+
+
 def anchors_of(base: str, page: str) -> Iterator[tuple[str, str]]:
+    base = base or ""
+    start = _ROOT.match(base)
+    root = start[0] if start else ""
     for double, single, bare, inner in _ANCHOR.findall(page or ""):
         target = entities.unescape(double or single or bare).strip()
-        title = re.sub(r"\s+", " ", entities.unescape(re.sub(r"<[^>]*>", " ", inner))).strip()
+        title = " ".join(entities.unescape(re.sub(r"<[^>]*>", " ", inner) if "<" in inner else inner).split())
         if title and target and not target.startswith(("#", "javascript:", "mailto:")) and title.lower() not in JUNK:
-            yield title, urljoin(base or "", target)
+            yield title, joined(base, root, target)
 
 
-def anchors(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, place, title, link): the links of every page, absolute, without empty and junk ones."""
+def anchors(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", keep: Sequence[str] = ()) -> DataFrame:
+    """(page_id, place, title, link): the links of every page, absolute, without empty and junk ones. Columns of the page
+    named in `keep` follow."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, i, *x) for k, u, h in zip(batch["key"], batch["url"], batch["html"], strict=True) for i, x in enumerate(anchors_of(u, h))]
-            yield pd.DataFrame(rows, columns=["key", "place", "title", "link"])
-
-    kind = dict(pages.dtypes)[key]
-    slim = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
-    return slim.mapInPandas(scan, f"key {kind}, place int, title string, link string").withColumnRenamed("key", key)
+            pages = zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True)
+            rows = [(n, i, *x) for n, (u, h) in enumerate(pages) for i, x in enumerate(anchors_of(u, h))]
+            at, place, title, link = zip(*rows, strict=True) if rows else ((),) * 4
+            of = pa.array(at, "int64")
+            columns = [batch["key"].take(of), pa.array(place, "int32"), pa.array(title, "string"), pa.array(link, "string"), *[batch[c].take(of) for c in keep]]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "place", "title", "link", *keep])
+
+    kinds = dict(pages.dtypes)
+    slim = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), *[c for c in keep if c not in ("url", "html")])
+    schema = ", ".join([f"key {kinds[key]}, place int, title string, link string", *[f"{c} {kinds[c]}" for c in keep]])
+    return slim.mapInArrow(scan, schema).withColumnRenamed("key", key)
 
 
 def children(pages: DataFrame, most: int = 8) -> DataFrame:

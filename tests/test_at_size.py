@@ -13,9 +13,9 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from callweave import registry
-from callweave.functions import places
+from callweave.functions import deadlines, places
 from callweave.operators import dedup, joins, matching
-from callweave.sources import markup
+from callweave.sources import companions, html, markup
 from callweave.streaming import ledger
 
 from .compare import SF, difference
@@ -196,3 +196,29 @@ def test_ledger_asks_the_store_only_for_what_changes():
     assert store.timers == {8 * day} and store.calls == 3
     seen(3 * day, kind="tombstone")
     assert not store.timers and store.calls == 4
+
+
+def test_companions_read_each_page_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def page(k):
+        read.add(1)
+        return f'<a href="https://cal.example.net/calendar/{k}">c</a>' if k % 2 else "<p>Deadline: 2 June 2026</p>"
+
+    rows = spark.range(40).select(F.col("id").alias("page_id"), F.when(F.col("id") % 2 == 1, F.format_string("http://f.org/%d", "id")).otherwise(F.format_string("https://cal.example.net/calendar/%d", F.col("id") + 1)).alias("url"), F.udf(page, "string").asNondeterministic()("id").alias("html"))
+    got = {r.page_id: str(r.deadline) for r in companions.companion_deadlines(rows, 2026).collect()}
+    assert got == {k: "2026-06-02" for k in range(1, 40, 2)} and read.value == 40
+
+
+def test_anchors_join_plain_addresses_as_urljoin_does():
+    from urllib.parse import urljoin
+
+    for base in ("http://a.org/x/y?q", "https://a.org", "//a.org/b", "", "a/b", "HTTP://A.org/x"):
+        for target in ("/p", "/p/../q", "/p?", "/p#", "/p;a?b#c", "//b.org/x", "https://b.org", "http://b.org?", "http://b.org/./x?y#z", "https://b.org/a b", "HTTPS://b.org/x", "x/y", "?q", "/\u00e9", "https://b.org/x?u=/.."):
+            assert [x for _, x in html.anchors_of(base, f'<a href="{target}">t</a>')] == [urljoin(base, target)]
+
+
+def test_dates_are_cut_out_with_what_stands_before_them(spark):
+    texts = ["no date " * 20 + "1234 Deadline: 5 May 2026", "\U0001f600" * 90 + " 5 May 2026 and 6.7.2026x, closes" + "y" * 65 + " 2026-07-08", "x5 May 2026"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string").select("k", F.size(deadlines.dated(F.col("t"))), deadlines.deadline(F.col("t"), 2026)["deadline"].cast("string"), F.transform(deadlines.dated(F.col("t")), lambda x: F.length(x["evidence"]))).orderBy("k").collect()
+    assert [(r[1], r[2], r[3]) for r in rows] == [(1, "2026-05-05", [80]), (2, "2026-07-08", [80, 80]), (1, "2026-05-05", [11])]
