@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,18 +17,21 @@ K1, B = 1.2, 0.75  # fixed values: the usual constants of BM25
 
 def terms(text: Column) -> Column:
     """Lower-case words of letters and digits, repeats included; null and blank texts have none."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(term, key, tf, size): one row a term and document. Rows that repeat a key count as one text each, added up.
 
-    Counted before the shuffle, so that a term moves once a document; `size` is the document's number of words.
+    A document's texts meet once, by key, and its words are counted within its row as runs of the sorted words; `size` is the
+    document's number of words.
     """
-    words = docs.select(F.col(key), terms(F.col(text)).alias("w"))
-    sized = words.groupBy(key).agg(F.sum(F.size("w")).cast("long").alias("size"))
-    counted = words.select(key, F.explode("w").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    return counted.join(sized, key).select("term", key, "tf", "size")
+    whole = docs.groupBy(key).agg(F.array_join(F.collect_list(F.col(text)), " ").alias("_text"))
+    words = whole.select(key, F.sort_array(terms(F.col("_text"))).alias("w"))
+    ends = F.transform("w", lambda w, i: F.when((i == F.size("w") - 1) | (w != F.get(F.col("w"), i + 1)), i + 1))  # null within a run
+    runs = words.select(key, "w", F.array_compact(ends).alias("e"))
+    counted = F.transform("e", lambda e, i: F.struct(F.get(F.col("w"), e - 1).alias("term"), (e - F.coalesce(F.get(F.col("e"), i - 1), F.lit(0))).cast("long").alias("tf")))
+    return runs.select(key, F.size("w").cast("long").alias("size"), F.explode(counted).alias("x")).select("x.term", key, "x.tf", "size")
 
 
 def frequencies(index: DataFrame) -> DataFrame:
@@ -48,21 +53,72 @@ def collection(index: DataFrame, key: str) -> tuple[int, float]:
     return int(row[0]), float(row[1] or 1.0)
 
 
+def asked_terms(asked: DataFrame, text: str) -> DataFrame:
+    """(term): the different words of all queries. An index that keeps these rows gives the same weights and answers."""
+    return asked.select(F.explode(terms(F.col(text))).alias("term")).distinct()
+
+
+QUERIES, DOCS = 256, 2048  # queries and documents that meet in one cell
+
+
+def _best(asked: pd.DataFrame, found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """(query, key, score) of one cell: what can be among the k best when scores are rounded to six places later.
+
+    `asked` is (query, term), `found` (term, key, weight). Scores are kept as a matrix, a term's weights added to the rows of
+    its queries. Of documents with one and the same score only the k smallest keys can be needed.
+    """
+    query, queries = pd.factorize(asked["query"])
+    doc, docs = pd.factorize(found["key"], sort=True)
+    term, names = pd.factorize(asked["term"])
+    of = pd.Index(names).get_indexer(found["term"])
+    order, turn = np.argsort(of, kind="stable"), np.argsort(term, kind="stable")
+    doc, weight, query = doc[order], found["weight"].to_numpy()[order], query[turn]
+    low, high = (np.searchsorted(of[order], np.arange(len(names)), side) for side in ("left", "right"))
+    first, last = (np.searchsorted(term[turn], np.arange(len(names)), side) for side in ("left", "right"))
+    scores = np.zeros((len(queries), len(docs)))
+    for i in np.flatnonzero(high > low):
+        at = slice(low[i], high[i])
+        scores[query[first[i] : last[i]]] += np.bincount(doc[at], weight[at], len(docs))
+    rows, best = [np.empty(0, "int64")], [np.empty(0, "int64")]
+    for i, row in enumerate(scores):
+        met = np.flatnonzero(row > 0)
+        if len(met) > k:
+            met = met[row[met] >= np.partition(row[met], len(met) - k)[len(met) - k] - 2e-6]
+        met = met[np.lexsort((met, -row[met]))]
+        alike = np.searchsorted(-row[met], -row[met])  # where the documents of the same score begin
+        met = met[np.arange(len(met)) - alike < k]
+        rows.append(np.full(len(met), i))
+        best.append(met)
+    at, of_doc = np.concatenate(rows), np.concatenate(best)
+    return pd.DataFrame({"query": queries[at], "key": docs[of_doc], "score": scores[at, of_doc]})
+
+
 def top_k(asked: DataFrame, query: str, text: str, weights: DataFrame, key: str, k: int, salts: int = 16) -> DataFrame:
     """(query, key, score, place): the k best documents of each query by BM25, ties by the smaller key.
 
-    Queries meet postings on (term, salt): a term that stands in a third of all documents is dealt to `salts` tasks by
-    document, so a document's terms meet in one salt and the score is summed there. Each task keeps k of a query before the
-    last shuffle. Only documents that share a term are touched; a repeated word of a query counts once.
+    Queries and documents meet in cells of about `QUERIES` queries and one of `salts` parts of the documents (`parts`): a term
+    that stands in a third of all documents is dealt over all cells, a document's terms meet in one and its score is summed
+    there. A cell holds its own queries and documents only and hands on its best; rounding and the last choice are Spark's.
+    Only postings of asked terms move; a repeated word of a query counts once.
     """
-    deal = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
-    words = asked.select(query, F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
-    dealt = words.distinct().select(query, "term", F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("salt"))
-    met = dealt.join(weights.withColumn("salt", deal), ["term", "salt"])
-    scored = met.groupBy(query, key).agg(F.round(F.sum("weight"), 6).alias("score"))
+    words = asked.select(F.col(query).alias("query"), F.explode(F.array_distinct(terms(F.col(text)))).alias("term")).distinct()
+    blocks = -(-words.select("query").distinct().count() // QUERIES)
+    words = words.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(max(1, blocks))).cast("int"))
+    dealt = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    part = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
+    found = weights.select("term", F.col(key).alias("key"), "weight", part.alias("salt")).join(words.select("term", F.col("block").alias("to")).distinct(), "term")
+    kinds = dict(asked.dtypes)[query], dict(weights.dtypes)[key]
+    cells = dealt.groupBy("block", "salt").cogroup(found.groupBy("to", "salt"))
+    best = cells.applyInPandas(lambda q, d: _best(q, d, k), f"query {kinds[0]}, key {kinds[1]}, score double")
+    scored = best.select(F.col("query").alias(query), F.col("key").alias(key), F.round("score", 6).alias("score"))
     return top_per_group(scored, [query], [F.desc("score"), F.asc(key)], k)
 
 
+def parts(docs: int) -> int:
+    """Into how many parts to deal so many documents, so that a cell stays as large however many there are."""
+    return max(16, -(-docs // DOCS))
+
+
 #: Wording by which a found title is a call.
 CALLS = ("call for proposal", "call for application", "request for proposal", "request for application", "request for expression", "expression of interest", "funding opportunity", "request for information", "notice of funding", "grant", "rfp", "rfa", "eoi", "tender")
 

@@ -14,7 +14,7 @@ from ..operators import search
 from ..registry import query
 from ..sources import companions, markup
 from ..sources.tables import scratch
-from .carriers import read
+from .carriers import read, spread
 
 YEAR = 1998
 
@@ -147,12 +147,13 @@ _RANKED = f"""d AS (SELECT page_id, {_WORDS.format(_PROSE)} AS w FROM pages), p
 
 
 def ranked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "pages").select("page_id", urls.strip_html(F.col("html")).alias("text"))
+    docs = spread(read(spark, sf_dir, "pages").select("page_id", "html"), "page_id").select("page_id", urls.strip_html(F.col("html")).alias("text"))
     path = scratch(spark, "postings")
     search.postings(docs, "page_id", "text").write.parquet(path)
-    index = spark.read.parquet(path)
-    weights = search.weighed(index, "page_id", *search.collection(index, "page_id"))
-    return search.top_k(read(spark, sf_dir, "benchmark"), "item_id", "text", weights, "page_id", 10).withColumnRenamed("item_id", "query")
+    index, asked = spark.read.parquet(path), read(spark, sf_dir, "benchmark")
+    n, mean = search.collection(index, "page_id")
+    weights = search.weighed(index.join(search.asked_terms(asked, "text"), "term", "left_semi"), "page_id", n, mean)
+    return search.top_k(asked, "item_id", "text", weights, "page_id", 10, search.parts(n)).withColumnRenamed("item_id", "query")
 
 
 @query(f"WITH {_RANKED} SELECT query, page_id, score, place FROM t")

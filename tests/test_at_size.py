@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from callweave import registry
 from callweave.functions import deadlines, places
-from callweave.operators import dedup, joins, matching
+from callweave.operators import dedup, joins, matching, search
 from callweave.sources import companions, html, markup
 from callweave.streaming import ledger
 
@@ -222,3 +222,38 @@ def test_dates_are_cut_out_with_what_stands_before_them(spark):
     texts = ["no date " * 20 + "1234 Deadline: 5 May 2026", "\U0001f600" * 90 + " 5 May 2026 and 6.7.2026x, closes" + "y" * 65 + " 2026-07-08", "x5 May 2026"]
     rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string").select("k", F.size(deadlines.dated(F.col("t"))), deadlines.deadline(F.col("t"), 2026)["deadline"].cast("string"), F.transform(deadlines.dated(F.col("t")), lambda x: F.length(x["evidence"]))).orderBy("k").collect()
     assert [(r[1], r[2], r[3]) for r in rows] == [(1, "2026-05-05", [80]), (2, "2026-07-08", [80, 80]), (1, "2026-05-05", [11])]
+
+
+def test_postings_of_dealt_documents_are_not_dealt_again(spark):
+    rows = [(1, "b a b"), (2, None), (3, " .,"), (1, "c a"), (4, "Z")]
+    docs = spark.createDataFrame(rows, "k long, t string").repartition(3, "k")
+    index = search.postings(docs, "k", "t")
+    assert index._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the one above
+    assert sorted(map(tuple, index.collect())) == [("a", 1, 2, 5), ("b", 1, 2, 5), ("c", 1, 1, 5), ("z", 4, 1, 1)]
+
+
+def test_top_k_over_many_cells_equals_a_plain_search(spark, monkeypatch):
+    from .test_pages import plain_top
+
+    monkeypatch.setattr(search, "QUERIES", 3)
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.choice(["hot", "hot", *(f"w{j}" for j in range(25))]) for _ in range(n))
+    docs = [(f"d{i}", text(rng.randrange(0, 30))) for i in range(150)] + [(f"copy{i}", "hot w1 w2") for i in range(60)]
+    asked = [(q, text(4)) for q in range(10)] + [(50, "hot"), (51, "w1 w2")]
+    index = search.postings(spark.createDataFrame(docs, "k string, body string"), "k", "body").cache()
+    frame = spark.createDataFrame(asked, "q int, t string")
+    weights = search.weighed(index.join(search.asked_terms(frame, "t"), "term", "left_semi"), "k", *search.collection(index, "k"))
+    expected = {q: v for q, v in plain_top(docs, asked, 7).items() if v}
+    for salts in (1, 40):
+        got = {}
+        for r in search.top_k(frame, "q", "t", weights, "k", 7, salts).orderBy("q", "place").collect():
+            got.setdefault(r.q, []).append((r.score, r.k))
+        assert {q: [d for _, d in x] for q, x in got.items()} == {q: [d for _, d in x] for q, x in expected.items()}
+
+
+def test_cells_keep_their_size_and_hand_on_few_rows():
+    assert search.parts(100) == 16 and search.parts(1_000_000) * search.DOCS >= 1_000_000
+    found = pd.DataFrame({"term": ["hot"] * 1000 + ["w"], "key": [*range(1000, 0, -1), 5], "weight": [0.5] * 1000 + [1e-7]})
+    best = search._best(pd.DataFrame({"query": [1, 1, 2, 3], "term": ["hot", "w", "hot", "none"]}), found, 4)
+    assert {q: sorted(x["key"]) for q, x in best.groupby("query")} == {1: [1, 2, 3, 4, 5], 2: [1, 2, 3, 4]}
+    assert not len(search._best(pd.DataFrame({"query": [1], "term": ["hot"]}), found[:0], 4))
